@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import mixing
+from . import mixing, quality, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES = {
