@@ -1,10 +1,12 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import mixing, quality, toxicity
+from . import bpe, fingerprint, mixing, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op7_bpe": bpe.op7_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 
