@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .toxicity import labelled_sample
+from .toxicity import labelled_sample, marked
 
 #: Labelled documents of each class that the model is fitted on, at most, and characters of each that go to the fit.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8192
@@ -63,16 +63,17 @@ class Quality:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def fit_quality(good: list[str], bad: list[str]) -> Quality:
+def fit_quality(good: list[str], bad: list[str], share_good: float | None = None) -> Quality:
     """Dictionaries and calibration from texts of both classes.
 
     The dictionaries come from three quarters of the texts and the curve from the rest, whose sizes the dictionaries
-    cannot have memorised. If a class is missing or too small for a dictionary, every text scores the share of good
-    ones (0.5 without any).
+    cannot have memorised. share_good: that of good texts among all labelled ones (default: among the given), to which the
+    curve is calibrated. If a class is missing or too small for a dictionary, every text scores that share (0.5 without
+    any label).
     """
     import zstandard
 
-    prior = (len(good) + 1) / (len(good) + len(bad) + 2)
+    prior = (len(good) + 1) / (len(good) + len(bad) + 2) if share_good is None else min(max(share_good, 0.01), 0.99)
     flat = Quality(bias=math.log(prior / (1 - prior)))
     trained = []
     for texts in (good, bad):
@@ -86,8 +87,7 @@ def fit_quality(good: list[str], bad: list[str]) -> Quality:
     if len({k for _, k in rest}) < 2:
         return flat
     x, y = (np.array(v, dtype=float) for v in zip(*rest))
-    # Weights that make the classes count by their numbers before each was bounded are not known here: classes count alike.
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
+    share = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum()) * len(y)
     a, b = 20.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -106,7 +106,8 @@ def fit_quality(good: list[str], bad: list[str]) -> Quality:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Quality:
     """A model from labels(doc_id, quality) whose crc32(doc_id as text) mod 5 is not 0."""
     rows = labelled_sample(docs, labels, "quality", 5, 0, sample_rows)
-    return fit_quality([t for k, t in rows if k == 1], [t for k, t in rows if k == 0])
+    share = marked(labels, "quality", 5, 0).agg(F.avg("mark")).first()[0]
+    return fit_quality([t for k, t in rows if k == 1], [t for k, t in rows if k == 0], share)
 
 
 def scorer(model: Quality):

@@ -1,15 +1,21 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import bpe, fingerprint, mixing, quality, toxicity
+from . import bpe, embeddings, fingerprint, minhash, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_secrets": secrets.op3_secrets,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op7_bpe": bpe.op7_bpe,
+    "op8_minhash": minhash.op8_minhash,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_embeddings": embeddings.op10_embeddings,
 }
 
 ORACLES = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op3_secrets": secrets.OP3_SQL,
+    "op8_minhash": minhash.OP8_SQL,
+    "op10_embeddings": embeddings.OP10_SQL,
 }

@@ -167,16 +167,20 @@ def _calibrate(model: Lexicon, toxic: list[str], clean: list[str], rounds: int =
     return model
 
 
+def marked(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, mark) of the labels outside the held-out fold; of repeated label rows the largest label counts."""
+    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("mark"))
+    return marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> list[tuple[int, str]]:
     """(label, text) of at most `rows` labelled documents of each class outside the held-out fold, in a stable order.
 
     Only label rows are ranked; the bounded choice of ids is then broadcast to the documents. Null labels and ids and
-    unlabelled documents take no part; of repeated label rows the largest label counts.
+    unlabelled documents take no part.
     """
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("mark"))
-    text_id = F.col("doc_id").cast("string")
-    marks = marks.where(F.crc32(text_id.cast("binary")) % folds != held)
-    picks = [marks.where(F.col("mark") == k).orderBy(F.md5(text_id), "doc_id").limit(rows) for k in (0, 1)]
+    marks = marked(labels, label, folds, held)
+    picks = [marks.where(F.col("mark") == k).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows) for k in (0, 1)]
     chosen = picks[0].unionAll(picks[1])
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "text").collect()
     return [(r.mark, r.text or "") for r in sorted(found, key=lambda r: (str(r.doc_id), r.text or ""))]
