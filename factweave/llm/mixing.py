@@ -87,6 +87,26 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
     return mix(docs, **how).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: a row with docs' columns for each pass that takes words of a document, range-sorted by position.
+
+    A document that a pass takes whole keeps its text; the one at which a source's target is met keeps the words taken,
+    joined by single spaces (and n_chars follows). Repeated rows are matched one to one with their rows in the plan.
+    """
+    nth = Window.partitionBy("_id")
+    plan = mix(docs, **how).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "size", "pass_words", "positions")
+    plan = plan.withColumn("_nth", F.row_number().over(nth.orderBy("size"))).withColumnRenamed("size", "_size")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy(F.col("row")["text"])))
+    taken = rows.join(plan, ["_id", "_nth"]).select("_id", "row", "_size", F.explode(F.arrays_zip("pass_words", "positions")).alias("pass")).where("pass.pass_words > 0")
+    whole = F.col("pass")["pass_words"] >= F.col("_size")
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col("row")["text"], F.lit(WORD), F.lit(0)), 1, F.col("pass")["pass_words"].cast("int")), " ")
+    text = F.when(whole, F.col("row")["text"]).otherwise(words)
+    new = {"text": text, "n_chars": F.when(whole, F.col("row")["n_chars"]).otherwise(F.length(words).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    taken = taken.orderBy(F.col("pass")["positions"], "_id", "_nth")
+    return taken.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
