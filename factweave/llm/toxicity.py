@@ -34,14 +34,24 @@ SIGNS = {"@": "a", "$": "s", "!": "i"}
 
 _SHARP = {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | HOMOGLYPHS
 _LOOKS = re.compile("[" + "".join(_SHARP) + "]")
-_CODED = re.compile(r"(?<=[^\W\d_])[013457@$!](?=[^\W_])|(?<![^\W_])[013457@$](?=[^\W\d_])")
+_CODED, _TOKEN = re.compile("[013457@$!]"), re.compile(r"[\w@$!]+")
+_DECODE = str.maketrans(DIGITS | SIGNS)
 _BREAK = re.compile(r"[\W_]+")
 
 
+def _decoded(m: re.Match) -> str:
+    """A token with coded letters replaced, if it holds a letter as well; signs at its end are punctuation."""
+    token = m[0].rstrip("@$!").lstrip("!")
+    if _CODED.search(token) and not token.isalpha() and any(map(str.isalpha, token)):
+        token = token.translate(_DECODE)
+    return f"{token} "
+
+
 def fold(text: str | None) -> str:
     """Lower case, look-alikes and coded letters replaced, words parted by one space with one at either end."""
     text = _LOOKS.sub(lambda m: _SHARP[m[0]], (text or "").lower())
-    text = _CODED.sub(lambda m: DIGITS.get(m[0]) or SIGNS[m[0]], text)
+    if _CODED.search(text):
+        text = _TOKEN.sub(_decoded, text)
     return f" {_BREAK.sub(' ', text).strip()} "
 
 
