@@ -66,8 +66,8 @@ def readable(nodes: DataFrame) -> DataFrame:
     def inner(kids):
         # The right operand needs brackets at equal rank too, as operators associate to the left.
         parts = F.transform(kids, lambda k, i: F.when((k["rank"] < rank) | ((k["rank"] == rank) & (i > 0)), F.concat(F.lit("("), k["text"], F.lit(")"))).otherwise(k["text"]))
-        one = F.concat(F.col("operator"), parts[0])
-        two = F.concat_ws(" ", parts[0], F.col("operator"), F.try_element_at(parts, F.lit(2)))
+        one = F.concat(F.col("operator"), F.get(parts, F.lit(0)))
+        two = F.concat_ws(" ", F.get(parts, F.lit(0)), F.col("operator"), F.get(parts, F.lit(1)))
         return F.struct(F.when(F.col("kind") == "unary", one).otherwise(two).alias("text"), rank.alias("rank"))
 
     return _fold(nodes, leaf, inner)
