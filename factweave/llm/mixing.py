@@ -95,10 +95,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     nth = Window.partitionBy("_id")
     plan = mix(docs, **how).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "size", "pass_words", "positions")
-    plan = plan.withColumn("_nth", F.row_number().over(nth.orderBy("size"))).withColumnRenamed("size", "_size")
+    plan = plan.withColumn("_place", F.row_number().over(nth.orderBy("size"))).withColumnRenamed("size", "_size")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy(F.col("row")["text"])))
-    taken = rows.join(plan, ["_id", "_nth"]).select("_id", "row", "_size", F.explode(F.arrays_zip("pass_words", "positions")).alias("pass")).where("pass.pass_words > 0")
+    # The join is by _id alone, as both sides are dealt by it already: texts are not shuffled again for the second condition.
+    taken = rows.join(plan, "_id").where(F.col("_nth") - F.col("_place") == 0)
+    taken = taken.select("_id", "_nth", "row", "_size", F.explode(F.arrays_zip("pass_words", "positions")).alias("pass")).where("pass.pass_words > 0")
     whole = F.col("pass")["pass_words"] >= F.col("_size")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col("row")["text"], F.lit(WORD), F.lit(0)), 1, F.col("pass")["pass_words"].cast("int")), " ")
     text = F.when(whole, F.col("row")["text"]).otherwise(words)
