@@ -1,73 +1,110 @@
-"""Predicate trees as adjacency rows, folded bottom-up to canonical and to readable text.
+"""Predicate trees as adjacency rows, folded to canonical and to readable text.
 
-Rows: tree, node, parent (null at the root), place (among siblings), kind, operator, type, constant. A fold takes one join and one
-aggregate for each level; trees deeper than MAX_DEPTH are withheld with PRED003, as are those with an unknown kind (PRED001).
+Rows: tree, node, parent (null at the root), place (among siblings), kind, operator, type, constant. A tree is one condition of a
+program and so small: rows are dealt and sorted by tree and folded as they pass, which takes one shuffle whatever their depth. Trees deeper
+than MAX_DEPTH, without exactly one root or with nodes that the root does not reach (a cycle) are withheld with PRED003, those with
+an unknown kind or a wrong number of operands with PRED001.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MAX_DEPTH = 10
-# Kinds of nodes, and how tightly operators bind.
-LEAVES = ("parameter", "local", "member", "constant")
+MAX_DEPTH = 64
+# Kinds of nodes with their number of operands, and how tightly operators bind.
+OPERANDS = {"parameter": 0, "local": 0, "member": 0, "constant": 0, "unary": 1, "binary": 2}
 PRECEDENCE = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 4, "<=": 4, ">": 4, ">=": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6, "!": 7}
+LEAF = 9
+
+
+class Malformed(Exception):
+    """Carries the code for which a tree is withheld."""
+
+
+def _fold(nodes: DataFrame, make) -> DataFrame:
+    """(tree, text, code); make(kind, operator, type, constant, operands) gives a node's (text, rank)."""
+
+    columns = ["tree", "node", "parent", "kind", "operator", "type", "constant"]
+
+    def whole(rows: list[tuple]) -> str:
+        below: dict = {}
+        for row in rows:
+            below.setdefault(row[2], []).append(row)
+        seen = 0
+
+        def text(row: tuple, depth: int):
+            nonlocal seen
+            seen += 1
+            _, node, _, kind, *rest = row
+            kids = below.get(node, [])
+            if kind not in OPERANDS or len(kids) != OPERANDS[kind]:
+                raise Malformed("PRED001")
+            if depth >= MAX_DEPTH:
+                raise Malformed("PRED003")
+            return make(kind, *rest, [text(k, depth + 1) for k in kids])
 
+        roots = below.get(None, [])
+        if len(roots) != 1:
+            raise Malformed("PRED003")
+        out = text(roots[0], 0)[0]
+        if seen != len(rows):
+            raise Malformed("PRED003")
+        return out
 
-def framed(c):
-    return F.concat(F.length(c).cast("string"), F.lit(":"), c)
-
-
-def _leveled(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Nodes by depth, and those below MAX_DEPTH."""
-    at = nodes.where("parent is null")
-    levels = [at]
-    for _ in range(MAX_DEPTH - 1):
-        up = at.select("tree", F.col("node").alias("parent"))
-        at = nodes.join(up, ["tree", "parent"], "left_semi")
-        levels.append(at)
-    deeper = nodes.join(at.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
-    return levels, deeper
-
-
-def _fold(nodes: DataFrame, leaf, inner) -> DataFrame:
-    """(tree, text, code): leaf() and inner(children) give a node's (text, rank) structs; children come in order."""
-    bad = nodes.where(~F.col("kind").isin(*LEAVES, "binary", "unary")).select("tree").distinct().withColumn("unknown", F.lit(True))
-    levels, deeper = _leveled(nodes)
-    below = None
-    for rows in reversed(levels):
-        if below is None:
-            rows = rows.withColumn("children", F.array().cast("array<struct<place:int,text:string,rank:int>>"))
-        else:
-            kids = below.groupBy("tree", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list(F.struct("place", "text", "rank"))).alias("children"))
-            rows = rows.join(kids, ["tree", "node"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<struct<place:int,text:string,rank:int>>")))
-        made = F.when(F.col("kind").isin(*LEAVES), leaf()).otherwise(inner(F.col("children")))
-        below = rows.select("tree", "node", "parent", F.col("place").cast("int").alias("place"), made.alias("made")).select("tree", "node", "parent", "place", F.col("made.text").alias("text"), F.col("made.rank").alias("rank"))
-    deep = deeper.select("tree").distinct().withColumn("deep", F.lit(True))
-    out = below.join(bad, "tree", "left").join(deep, "tree", "left")
-    code = F.when(F.col("unknown"), "PRED001").when(F.col("deep"), "PRED003")
-    return out.select("tree", F.when(code.isNull(), F.col("text")).alias("text"), code.alias("code"))
+    def fold(rows: list[tuple]) -> tuple:
+        try:
+            return rows[0][0], whole(rows), None
+        except Malformed as e:
+            return rows[0][0], None, e.args[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # the tree that the last batch may have cut
+        for batch in batches:
+            done = []
+            for row in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in columns)):
+                if held and held[0][0] != row[0]:
+                    done.append(fold(held))
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(done, columns=["tree", "text", "code"])
+        if held:
+            yield pd.DataFrame([fold(held)], columns=["tree", "text", "code"])
+
+    kind = nodes.schema["tree"].dataType.simpleString()
+    rows = nodes.select(*columns, "place").repartition("tree").sortWithinPartitions("tree", "place", "node").select(*columns)
+    return rows.mapInPandas(run, f"tree {kind}, text string, code string")
+
+
+def _text(value) -> str:
+    return "" if value is None else str(value)
+
+
+def framed(text: str) -> str:
+    return f"{len(text)}:{text}"
 
 
 def canonical(nodes: DataFrame) -> DataFrame:
     """Each node as kind(length:operand,...), so that no two trees share a text."""
-    part = lambda t: F.struct(t.alias("text"), F.lit(0).alias("rank"))
-    leaf = lambda: part(F.concat(F.col("kind"), F.lit("("), framed(F.coalesce("type", F.lit(""))), F.lit(","), framed(F.coalesce("constant", F.lit(""))), F.lit(")")))
-    inner = lambda kids: part(F.concat(F.col("kind"), F.lit("("), F.array_join(F.concat(F.array(framed(F.coalesce("operator", F.lit("")))), F.transform(kids, lambda k: framed(k["text"]))), ","), F.lit(")")))
-    return _fold(nodes, leaf, inner)
+
+    def make(kind, operator, type_, constant, operands):
+        parts = [_text(operator), *(t for t, _ in operands)] if operands else [_text(type_), _text(constant)]
+        return f"{kind}({','.join(map(framed, parts))})", 0
+
+    return _fold(nodes, make)
 
 
 def readable(nodes: DataFrame) -> DataFrame:
     """Infix text with brackets only where an operand binds less tightly than its operator."""
-    rank = F.coalesce(F.create_map(*[F.lit(x) for pair in PRECEDENCE.items() for x in pair])[F.col("operator")], F.lit(0))
-    leaf = lambda: F.struct(F.coalesce("constant", F.lit("?")).alias("text"), F.lit(9).alias("rank"))
 
-    def inner(kids):
+    def make(kind, operator, type_, constant, operands):
+        if not operands:
+            return _text(constant) or "?", LEAF
+        rank = PRECEDENCE.get(operator, 0)
         # The right operand needs brackets at equal rank too, as operators associate to the left.
-        parts = F.transform(kids, lambda k, i: F.when((k["rank"] < rank) | ((k["rank"] == rank) & (i > 0)), F.concat(F.lit("("), k["text"], F.lit(")"))).otherwise(k["text"]))
-        one = F.concat(F.col("operator"), F.get(parts, F.lit(0)))
-        two = F.concat_ws(" ", F.get(parts, F.lit(0)), F.col("operator"), F.get(parts, F.lit(1)))
-        return F.struct(F.when(F.col("kind") == "unary", one).otherwise(two).alias("text"), rank.alias("rank"))
+        parts = [f"({t})" if r < rank or (r == rank and k) else t for k, (t, r) in enumerate(operands)]
+        return f"{operator}{parts[0]}" if len(parts) == 1 else f"{parts[0]} {operator} {parts[1]}", rank
 
-    return _fold(nodes, leaf, inner)
+    return _fold(nodes, make)

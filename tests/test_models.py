@@ -29,10 +29,11 @@ NODES = "tree string, node long, parent long, place long, kind string, operator
 
 def test_predicates(spark):
     rows = [("t", 0, None, 0, "binary", "&&", "b", None), ("t", 1, 0, 0, "binary", "||", "b", None), ("t", 2, 0, 1, "unary", "!", "b", None), ("t", 3, 1, 0, "parameter", None, "b", "p"), ("t", 4, 1, 1, "local", None, "b", "q"), ("t", 5, 2, 0, "member", None, "b", "r")]
-    deep = [("deep", k, k - 1 if k else None, 0, "unary" if k < 15 else "constant", "!", "b", "c") for k in range(16)]
+    deep = [("deep", k, k - 1 if k else None, 0, "unary" if k < 69 else "constant", "!", "b", "c") for k in range(70)]
     bad = [("bad", 0, None, 0, "call", None, "b", "c")]
+    bad += [("loop", 1, 2, 0, "unary", "!", "b", None), ("loop", 2, 1, 0, "unary", "!", "b", None), ("lone", 1, None, 0, "unary", "!", "b", None)]
     nodes = spark.createDataFrame(rows[::-1] + deep + bad, NODES)
-    assert got(predicates.readable(nodes)) == [("bad", None, "PRED001"), ("deep", None, "PRED003"), ("t", "(p || q) && !r", None)]
+    assert got(predicates.readable(nodes)) == [("bad", None, "PRED001"), ("deep", None, "PRED003"), ("lone", None, "PRED001"), ("loop", None, "PRED003"), ("t", "(p || q) && !r", None)]
     (text,) = [t for tree, t, _ in got(predicates.canonical(nodes)) if tree == "t"]
     assert text.startswith("binary(2:&&,") and "parameter(1:b,1:p)" in text
 
