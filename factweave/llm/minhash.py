@@ -7,8 +7,9 @@
    only classes go on, so exact copies cost nothing further.
 2. Each bucket's classes are compared with the bucket's smallest one (a star, found by an aggregate and a join: no bucket is ever
    gathered), first the head that a class meets most often, then other heads still in another component.
-3. Only pairs of a bucket whose ends are then still in different components are compared, so a group of near copies costs its
-   size and not its square, while no link that could join two components is left out.
+3. Members of a bucket that are then still in different components are compared: small buckets pair by pair, large ones in
+   blocks, where a task holds two blocks of sets and returns at most one edge for each component that it joins. No link that
+   could join two components is left out, and no more rows than the members times the number of blocks are made.
 
 Sets are computed again only for classes that meet another in some bucket; their ids are broadcast if few enough (counted
 first), else joined. Joins on a frequent class or bucket are plain equi-joins, which Spark splits where skewed.
@@ -32,6 +33,8 @@ PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Ids of classes that are broadcast at most; beyond, the texts are joined with them.
 BROADCAST_IDS = 500_000
+#: Members of a bucket that are compared pair by pair, at most; sets in a block of a larger one, about.
+SMALL, BLOCK_SETS = 8, 512
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -201,14 +204,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = cut(components(links))
     links2 = cut(_confirm(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), found), sets))
     found = cut(components(_contract(links, links2)))
-    # Pairs of a bucket that are in different components and have not been compared as star edges.
-    named = meets.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    mixed_buckets = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    named = cut(named.join(mixed_buckets, "bucket", "left_semi"))
-    x = named.select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = named.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "bucket").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
-    links3 = cut(_confirm(rest.join(stars, ["a", "b"], "left_anti"), sets))
+    links3 = cut(_rest(meets, stars, found, sets))
     found = components(_contract(_contract(links, links2), links3))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(member.select("doc_id", "class_id"), "doc_id", "left")
     out = out.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
@@ -216,6 +212,76 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _rest(meets: DataFrame, stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket, its head aside, that are still in different components.
+
+    Buckets of equal members count once. Small buckets give pairs, of which there are at most (SMALL - 1) / 2 for each member;
+    larger ones are compared block by block, and give no more edges than members.
+    """
+    named = meets.where("doc_id <> head").join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    about = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("low < high")
+    about = about.groupBy("members", "low", "high", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
+    named = cut(named.join(about, "bucket"))
+    x = named.where(f"members <= {SMALL}").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = x.select("bucket", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
+    pairs = x.join(y, "bucket").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
+    links = _confirm(pairs.join(stars, ["a", "b"], "left_anti"), sets)
+    large = named.where(f"members > {SMALL}").withColumn("blocks", F.ceil(F.col("members") / BLOCK_SETS).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    large = large.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "doc_id", "component").join(sets, "doc_id")
+    return links.unionAll(large.groupBy("bucket", "i", "j").applyInPandas(_join_blocks, "a long, b long"))
+
+
+def _join_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of two blocks of sets (or of one with itself) as edges of a spanning forest over components."""
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    left = group[group["block"] == i]
+    right = left if i == j else group[group["block"] == j]
+    edges: list[tuple[int, int]] = []
+    if len(left) and len(right) and (left["component"].nunique() > 1 or right["component"].nunique() > 1 or left["component"].iloc[0] != right["component"].iloc[0]):
+        linked = _linked_sets(*([np.frombuffer(m, np.uint64) for m in part["members"]] for part in (left, right)))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        a, b, ca, cb = (part[c].to_numpy() for c in ("doc_id", "component") for part in (left, right))
+        linked &= ca[:, None] != cb[None, :]
+        for p, q in zip(*np.nonzero(linked)):
+            x, y = root(int(ca[p])), root(int(cb[q]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                edges.append((int(a[p]), int(b[q])))
+    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+
+def _linked_sets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of two lists are similar enough, by products of 0/1 matrices over the members that both lists hold."""
+    sizes = [np.array([len(s) for s in part]) for part in (left, right)]
+    flat = [np.concatenate(part) for part in (left, right)]
+    shared = np.intersect1d(*flat)
+    spots = []
+    for size, values in zip(sizes, flat):
+        at = np.searchsorted(shared, values)
+        hit = (at < len(shared)) & (shared[np.minimum(at, max(0, len(shared) - 1))] == values) if len(shared) else np.zeros(len(values), bool)
+        spots.append((np.repeat(np.arange(len(size)), size)[hit], at[hit]))
+    both = np.zeros((len(left), len(right)), np.float32)  # exact: counts stay far below 2**24
+    for start in range(0, len(shared), 4096):
+        width = min(4096, len(shared) - start)
+        sides = []
+        for size, (row, col) in zip(sizes, spots):
+            inside = (col >= start) & (col < start + width)
+            m = np.zeros((len(size), width), np.float32)
+            m[row[inside], col[inside] - start] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    return 100 * both.astype(np.float64) >= PERCENT * union
+
+
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     for end in "ab":
