@@ -1,14 +1,15 @@
 """Control flow of methods: dominators, loops, control dependence, outcomes.
 
-A method's graph is small and independent of all others, so each fixpoint is computed inside one group per method (one
-shuffle by method, no global iteration); everything around the fixpoints is plain DataFrame code. Node sets are Python
-integers used as bit sets.
+A method's graph is small and independent of all others, so blocks are dealt and sorted by method once and each fixpoint is
+computed as a method's blocks pass by (no global iteration, and no data frame for each method); everything around the
+fixpoints is plain DataFrame code. Node sets are Python integers used as bit sets.
 
 Input `blocks`: method, ord (from 0), n (the method's exit block), cond_succ and fall (null: no such edge).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
@@ -16,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Graph = tuple[int, list[int], list[int]]  # exit block, successor sets, predecessor sets
+Block = tuple[int, int, str, int | None, int | None]  # ord, n, event_type, cond_succ, fall
 
 
-def graph_of(group: pd.DataFrame) -> Graph:
-    exit_block = int(group["n"].iloc[0])
+def graph_of(body: list[Block]) -> Graph:
+    exit_block = body[0][1]
     after, before = [0] * (exit_block + 1), [0] * (exit_block + 1)
-    for column in ("cond_succ", "fall"):
-        for a, b in group.loc[group[column].notna(), ["ord", column]].itertuples(index=False):
-            after[int(a)] |= 1 << int(b)
-            before[int(b)] |= 1 << int(a)
+    for a, _, _, *targets in body:
+        for b in targets:
+            if b is not None:
+                after[a] |= 1 << b
+                before[b] |= 1 << a
     return exit_block, after, before
 
 
@@ -72,16 +75,34 @@ def loop_body(g: Graph, latch: int, header: int) -> int:
     return body
 
 
-def _per_method(blocks: DataFrame, rows, schema: str) -> DataFrame:
-    """rows(graph, group) -> list of tuples after the method id."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        method = group["method"].iloc[0]
-        return pd.DataFrame([(method, *r) for r in rows(graph_of(group), group)], columns=["method", *names])
+def per_method(blocks: DataFrame, rows: Callable[[Graph, list[Block]], list[tuple]], schema: str) -> DataFrame:
+    """rows(graph, body) -> tuples after the method id, for every method."""
+    names = ["method", *(c.split()[0] for c in schema.split(", "))]
+    columns = ["ord", "n", "event_type", "cond_succ", "fall"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, body = None, []  # the method that the last batch may have cut
+        for batch in batches:
+            done = []
+            values = [batch[c].astype(object).where(batch[c].notna(), None) for c in ("method", *columns)]
+            for method, o, n, kind, c, f in zip(*values):
+                if body and method != held:
+                    done += [(held, *r) for r in rows(graph_of(body), body)]
+                    body = []
+                held = method
+                body.append((int(o), int(n), kind, None if c is None else int(c), None if f is None else int(f)))
+            yield pd.DataFrame(done, columns=names)
+        if body:
+            yield pd.DataFrame([(held, *r) for r in rows(graph_of(body), body)], columns=names)
 
     kind = blocks.schema["method"].dataType.simpleString()
-    return blocks.groupBy("method").applyInPandas(run, f"method {kind}, {schema}")
+    dealt = blocks.select("method", *columns).repartition("method").sortWithinPartitions("method", "ord")
+    return dealt.mapInPandas(run, f"method {kind}, {schema}")
+
+
+def decisions(body: list[Block]) -> list[tuple[int, int, int]]:
+    """(ord, true successor, false successor) of blocks that have both."""
+    return [(o, c, f) for o, _, _, c, f in body if c is not None and f is not None]
 
 
 def _pairs(sets_of, g: Graph, _):
@@ -90,12 +111,12 @@ def _pairs(sets_of, g: Graph, _):
 
 def dominators(blocks: DataFrame) -> DataFrame:
     """(method, dominator, node); a node that the entry does not reach is dominated by every node."""
-    return _per_method(blocks, partial(_pairs, dominator_sets), "dominator long, node long")
+    return per_method(blocks, partial(_pairs, dominator_sets), "dominator long, node long")
 
 
 def post_dominators(blocks: DataFrame) -> DataFrame:
     """(method, dominator, node): every node without successors is an end of its own."""
-    return _per_method(blocks, partial(_pairs, post_dominator_sets), "dominator long, node long")
+    return per_method(blocks, partial(_pairs, post_dominator_sets), "dominator long, node long")
 
 
 def edges(blocks: DataFrame) -> DataFrame:
@@ -118,12 +139,12 @@ def _back(g: Graph):
 
 def back_edges(blocks: DataFrame) -> DataFrame:
     """(method, source, target): the target is no later block and dominates the source."""
-    return _per_method(blocks, lambda g, _: _back(g), "source long, target long")
+    return per_method(blocks, lambda g, _: _back(g), "source long, target long")
 
 
 def natural_loops(blocks: DataFrame) -> DataFrame:
     """(method, latch, header, node): the nodes of each back edge's loop, the header among them."""
-    return _per_method(blocks, lambda g, _: [(s, t, k) for s, t in _back(g) for k in bits(loop_body(g, s, t))], "latch long, header long, node long")
+    return per_method(blocks, lambda g, _: [(s, t, k) for s, t in _back(g) for k in bits(loop_body(g, s, t))], "latch long, header long, node long")
 
 
 def loop_exits(blocks: DataFrame) -> DataFrame:
@@ -139,30 +160,28 @@ def loop_exits(blocks: DataFrame) -> DataFrame:
             out += [(s, t, k) for k in bits(after & ~body)]
         return out
 
-    return _per_method(blocks, rows, "latch long, header long, node long")
+    return per_method(blocks, rows, "latch long, header long, node long")
 
 
 def control_dependences(blocks: DataFrame) -> DataFrame:
     """(method, decision, node, polarity): the node post-dominates one successor of the decision only, and not the decision."""
 
-    def rows(g: Graph, group: pd.DataFrame):
+    def rows(g: Graph, body: list[Block]):
         sets = post_dominator_sets(g)
         out = []
-        both = group[group["cond_succ"].notna() & group["fall"].notna()]
-        for d, c, f in both[["ord", "cond_succ", "fall"]].itertuples(index=False):
-            d, c, f = int(d), int(c), int(f)
+        for d, c, f in decisions(body):
             out += [(d, k, bool(sets[c] >> k & 1)) for k in bits((sets[c] ^ sets[f]) & ~sets[d])]
         return out
 
-    return _per_method(blocks, rows, "decision long, node long, polarity boolean")
+    return per_method(blocks, rows, "decision long, node long, polarity boolean")
 
 
 def outcomes(blocks: DataFrame) -> DataFrame:
     """(method, outcome): ExplicitReturn and EscapingThrow where such blocks exist, NormalCompletion where the entry
     reaches the exit block, NoNormalExit where neither a return nor the exit is there."""
 
-    def rows(g: Graph, group: pd.DataFrame):
-        kinds = set(group["event_type"])
+    def rows(g: Graph, body: list[Block]):
+        kinds = {b[2] for b in body}
         seen, todo = 1, [0]
         while todo:
             fresh = g[1][todo.pop()] & ~seen
@@ -175,4 +194,4 @@ def outcomes(blocks: DataFrame) -> DataFrame:
             out.append("NoNormalExit")
         return [(name,) for name in out]
 
-    return _per_method(blocks, rows, "outcome string")
+    return per_method(blocks, rows, "outcome string")

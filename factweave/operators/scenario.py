@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +61,13 @@ def arm_terminals(blocks: DataFrame) -> DataFrame:
     own, is Unknown.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        exit_block, after, _ = flow.graph_of(group)
-        kind = dict(zip(group["ord"].astype(int), group["event_type"]))
-        decision = {int(o) for o in group.loc[group["cond_succ"].notna(), "ord"]}
-        rows = []
-        both = group[group["cond_succ"].notna() & group["fall"].notna()]
-        for d, c, f in both[["ord", "cond_succ", "fall"]].itertuples(index=False):
-            for arm, at in ((True, int(c)), (False, int(f))):
+    def rows(g: flow.Graph, body: list[flow.Block]):
+        exit_block, after, _ = g
+        kind = {b[0]: b[2] for b in body}
+        decision = {b[0] for b in body if b[3] is not None}
+        out = []
+        for d, c, f in flow.decisions(body):
+            for arm, at in ((True, c), (False, f)):
                 seen, end = set(), None
                 while end is None:
                     if at == exit_block or at in decision:
@@ -81,11 +79,10 @@ def arm_terminals(blocks: DataFrame) -> DataFrame:
                     else:
                         seen.add(at)
                         at = next(flow.bits(after[at]))
-                rows.append((group["method"].iloc[0], int(d), arm, end))
-        return pd.DataFrame(rows, columns=["method", "decision", "arm", "terminal"])
+                out.append((d, arm, end))
+        return out
 
-    kind = blocks.schema["method"].dataType.simpleString()
-    return blocks.groupBy("method").applyInPandas(run, f"method {kind}, decision long, arm boolean, terminal string")
+    return flow.per_method(blocks, rows, "decision long, arm boolean, terminal string")
 
 
 def nesting(handlers: DataFrame) -> DataFrame:
