@@ -75,6 +75,16 @@ def loop_body(g: Graph, latch: int, header: int) -> int:
     return body
 
 
+def reached(g: Graph, start: int) -> int:
+    """The nodes that a way leads to from start, itself included."""
+    seen, todo = 1 << start, [start]
+    while todo:
+        fresh = g[1][todo.pop()] & ~seen
+        seen |= fresh
+        todo.extend(bits(fresh))
+    return seen
+
+
 def per_method(blocks: DataFrame, rows: Callable[[Graph, list[Block]], list[tuple]], schema: str) -> DataFrame:
     """rows(graph, body) -> tuples after the method id, for every method."""
     names = ["method", *(c.split()[0] for c in schema.split(", "))]
@@ -182,11 +192,7 @@ def outcomes(blocks: DataFrame) -> DataFrame:
 
     def rows(g: Graph, body: list[Block]):
         kinds = {b[2] for b in body}
-        seen, todo = 1, [0]
-        while todo:
-            fresh = g[1][todo.pop()] & ~seen
-            seen |= fresh
-            todo.extend(bits(fresh))
+        seen = reached(g, 0)
         out = [name for name, kind in (("ExplicitReturn", "purchase"), ("EscapingThrow", "error")) if kind in kinds]
         if seen >> g[0] & 1:
             out.append("NormalCompletion")
@@ -195,3 +201,23 @@ def outcomes(blocks: DataFrame) -> DataFrame:
         return [(name,) for name in out]
 
     return per_method(blocks, rows, "outcome string")
+
+
+def reachability(blocks: DataFrame, kind: str | None = None) -> DataFrame:
+    """(method, start, node): the nodes reached from each node, itself included; starts are blocks of one event type if given."""
+
+    def rows(g: Graph, body: list[Block]):
+        starts = range(g[0] + 1) if kind is None else [b[0] for b in body if b[2] == kind]
+        return [(s, k) for s in starts for k in bits(reached(g, s))]
+
+    return per_method(blocks, rows, "start long, node long")
+
+
+def on_cycles(blocks: DataFrame) -> DataFrame:
+    """(method, node): nodes from which a way leads back to themselves."""
+
+    def rows(g: Graph, _):
+        sets = [reached(g, k) for k in range(g[0] + 1)]
+        return [(k,) for k, after in enumerate(g[1]) if any(sets[t] >> k & 1 for t in bits(after))]
+
+    return per_method(blocks, rows, "node long")

@@ -3,7 +3,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import calls, facts, joins
+from ..operators import calls, facts, flow, joins
 from .bind import view, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -107,7 +107,7 @@ _SETS = "s AS (SELECT DISTINCT u.method AS g, u.local_name || ':' || (u.event_id
 
 
 def _sets(spark, d):
-    return view(spark, d, "v_def").where("ord <= 3").select(F.col("method").alias("g"), F.concat_ws(":", "local_name", (F.col("event_id") % 2).cast("string")).alias("m"))
+    return view(spark, d, "v_def").select(F.col("method").alias("g"), F.concat_ws(":", "local_name", (F.col("event_id") % 2).cast("string")).alias("m"))
 
 
 @query("set_equality", f"{with_views('v_def')}, {_SETS}, w AS (SELECT g, string_agg(m, ',' ORDER BY m) AS members FROM s GROUP BY g) SELECT f.first, g AS other, w.members FROM w JOIN (SELECT members, min(g) AS first FROM w GROUP BY members) f ON f.members = w.members WHERE g > f.first")
@@ -203,14 +203,13 @@ def _closure(spark, d):
 
 @query("value_reachability", f"{with_views('v_edge', 'v_node', recursive=True)}, r AS (SELECT method, node AS start, node FROM v_node UNION SELECT r.method, r.start, e.target FROM r JOIN v_edge e ON e.method = r.method AND e.source = r.node) SELECT method, start, node FROM r")
 def _reach(spark, d):
-    nodes = view(spark, d, "v_block").select("method", F.explode(F.array("ord", "n")).alias("start"))
-    return calls.closure(nodes, view(spark, d, "v_edge"), ["method"])
+    return flow.reachability(view(spark, d, "v_block_all"))
 
 
 @query("parameter_influence", f"{with_views('v_edge', 'v_block', recursive=True)}, r AS (SELECT method, ord AS start, ord AS node FROM v_block WHERE event_type = 'signup' UNION SELECT r.method, r.start, e.target FROM r JOIN v_edge e ON e.method = r.method AND e.source = r.node) SELECT r.method, r.start AS parameter, bool_or(coalesce(b.event_type = 'purchase', false)) AS to_return, bool_or(coalesce(b.event_type = 'error', false)) AS to_state FROM r LEFT JOIN v_block b ON b.method = r.method AND b.ord = r.node GROUP BY r.method, r.start")
 def _influence(spark, d):
-    blocks = view(spark, d, "v_block")
-    found = calls.closure(blocks.where("event_type = 'signup'").select("method", F.col("ord").alias("start")), view(spark, d, "v_edge"), ["method"])
+    blocks = view(spark, d, "v_block_all")
+    found = flow.reachability(blocks, "signup")
     kinds = blocks.select("method", F.col("ord").alias("node"), "event_type")
     hit = lambda k: F.bool_or(F.coalesce(F.col("event_type") == k, F.lit(False)))
     return found.join(kinds, ["method", "node"], "left").groupBy("method", F.col("start").alias("parameter")).agg(hit("purchase").alias("to_return"), hit("error").alias("to_state"))

@@ -7,7 +7,7 @@ _NAMES = ["dominators", "post_dominators", "back_edges", "natural_loops", "loop_
 
 
 def _query(fn):
-    return lambda spark, sf_dir: fn(view(spark, sf_dir, "v_block"))
+    return lambda spark, sf_dir: fn(view(spark, sf_dir, "v_block_all"))
 
 
 QUERIES = {"cfg_edges": _query(flow.edges)} | {f"cfg_{n}": _query(getattr(flow, n)) for n in _NAMES}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import scenario
+from ..operators import flow, scenario
 from .bind import view, with_views
 from .fact_queries import _EXPAND, _REGION, _expand, _regions
 
@@ -37,8 +37,11 @@ def _caught(spark, d):
 
 @query("evidence_cycles", f"{with_views('v_edge', recursive=True)}, e AS (SELECT method * 100 + source AS source, method * 100 + target AS target FROM v_edge WHERE method % 3 = 0), r AS (SELECT target AS start, target AS node FROM e UNION SELECT r.start, e.target FROM r JOIN e ON e.source = r.node) SELECT DISTINCT start AS node FROM r JOIN e ON e.source = r.node AND e.target = r.start")
 def _cycles(spark, d):
-    e = view(spark, d, "v_edge").where("method % 3 = 0").select((F.col("method") * 100 + F.col("source")).alias("source"), (F.col("method") * 100 + F.col("target")).alias("target"))
-    return scenario.cyclic(e)
+    blocks = view(spark, d, "v_block_all")
+    # Node ids as in the SQL, and wider where a method has more than 99 blocks, so that no two nodes share an id.
+    digits = F.greatest(F.lit(2), F.length(F.max("n").cast("string")))
+    width = blocks.agg(F.rpad(F.lit("1"), digits + 1, "0").cast("long").alias("width"))
+    return flow.on_cycles(blocks).crossJoin(F.broadcast(width)).select((F.col("method") * F.col("width") + F.col("node")).alias("node"))
 
 
 @query("inherited_arms", f"SELECT root, path, 'arm' || (place % 3) AS arm FROM (SELECT root, path, CAST(string_split(path, '.')[1] AS BIGINT) AS place FROM ({_EXPAND}) WHERE path <> '') WHERE place % 2 = 0")
@@ -59,7 +62,7 @@ def _summary(spark, d):
   SELECT w.method, decision, arm, coalesce(max(CASE WHEN b.ord IS NULL OR b.cond_succ IS NOT NULL THEN 'Rejoins' WHEN b.event_type IN ('purchase', 'error') THEN 'Terminates' END), 'Unknown') AS terminal
   FROM w LEFT JOIN v_block b ON b.method = w.method AND b.ord = w.spot GROUP BY ALL""")
 def _walk(spark, d):
-    return scenario.arm_terminals(view(spark, d, "v_block"))
+    return scenario.arm_terminals(view(spark, d, "v_block_all"))
 
 
 @query("handler_nesting", f"{with_views('v_def')} SELECT method, ord, last_value(CASE WHEN local_name = 'view' THEN ord END IGNORE NULLS) OVER w AS \"within\", count(CASE WHEN local_name = 'view' THEN ord END) OVER w AS depth FROM v_def WINDOW w AS (PARTITION BY method ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
