@@ -271,7 +271,7 @@ def _status(spark, d):
 def _coverage(spark, d):
     """Messages not referenced exactly once, and references without a message."""
     messages = view(spark, d, "v_msg").select("plan", "ord").distinct().withColumn("there", F.lit(True))
-    refs = view(spark, d, "v_inv").where("owner <= 200").groupBy(F.col("owner").alias("plan"), F.col("line").alias("ord")).agg(F.count("*").alias("refs"))
+    refs = view(spark, d, "v_inv").groupBy(F.col("owner").alias("plan"), F.col("line").alias("ord")).agg(F.count("*").alias("refs"))
     out = messages.join(refs, ["plan", "ord"], "full").where("coalesce(refs, 0) <> 1 or there is null")
     return out.select("plan", "ord", F.coalesce("refs", F.lit(0)).alias("refs"))
 

@@ -7,7 +7,7 @@ from factweave.plans import registry
 from tests.test_oracles import SF, TABLES, rows
 
 #: What the registered SQL leaves out, and what stands there when nothing is left out.
-CUTS = {"least(count(*), 12)": "count(*)", " WHERE ord < 12": "", " WHERE u.ord <= 3": "", " WHERE method % 3 = 0": ""}
+CUTS = {"least(count(*), 12)": "count(*)", " WHERE ord < 12": "", " WHERE u.ord <= 3": "", " WHERE method % 3 = 0": "", " WHERE owner <= 200": ""}
 FLOW = ["edges", "dominators", "post_dominators", "back_edges", "natural_loops", "loop_exits", "control_dependences", "outcomes"]
 
 
@@ -38,3 +38,15 @@ def test_long_method(spark, tmp_path):
     found = {tuple(r) for r in registry.QUERIES["cfg_back_edges"](spark, str(tmp_path)).collect()}
     assert found == {(7, 110, 100)}
     assert {r.node for r in registry.QUERIES["evidence_cycles"](spark, str(tmp_path)).collect()} == {7000 + k for k in range(100, 111)}
+
+
+def test_coverage_of_all_plans(spark, duck):
+    assert rows(registry.QUERIES["plan_coverage"](spark, SF).toPandas()) == rows(duck.sql(whole(registry.ORACLES["plan_coverage"])).df())
+
+
+def test_coverage_of_a_late_plan(spark, tmp_path):
+    """Plan 900: line 1 is a message referenced once, line 2 a reference without a message."""
+    spark.createDataFrame([(900, 1, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    lines = spark.createDataFrame([(900, 1), (900, 2)], "l_orderkey long, l_linenumber int").selectExpr("*", "1L l_partkey", "1L l_suppkey", "1.0 l_extendedprice", "1.0 l_quantity", "date'2020-01-01' l_shipdate", "'A' l_returnflag", "'F' l_linestatus")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in registry.QUERIES["plan_coverage"](spark, str(tmp_path)).collect()] == [(900, 2, 1)]
