@@ -122,7 +122,7 @@ _NODES = """SELECT owner AS tree, op_ord AS node, CASE WHEN op_ord > 0 THEN (op_
 
 
 def _trees(spark, d):
-    sql = _NODES.replace("//", "div").replace("VARCHAR", "STRING").replace("v_inv", "{v_inv}").replace("FROM (SELECT", "FROM (SELECT").replace(") WHERE", ") AS x WHERE")
+    sql = _NODES.replace("//", "div").replace("VARCHAR", "STRING").replace("v_inv", "{v_inv}").replace("FROM (SELECT", "FROM (SELECT").replace(") WHERE n <= 7", ") AS x")
     return spark.sql(sql, v_inv=view(spark, d, "v_inv"))
 
 

@@ -50,3 +50,41 @@ def test_coverage_of_a_late_plan(spark, tmp_path):
     lines = spark.createDataFrame([(900, 1), (900, 2)], "l_orderkey long, l_linenumber int").selectExpr("*", "1L l_partkey", "1L l_suppkey", "1.0 l_extendedprice", "1.0 l_quantity", "date'2020-01-01' l_shipdate", "'A' l_returnflag", "'F' l_linestatus")
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in registry.QUERIES["plan_coverage"](spark, str(tmp_path)).collect()] == [(900, 2, 1)]
+
+
+def heap_tree(n, make):
+    """The root's text of a tree of n nodes, as the view lays it out: node k has children 2k + 1 and 2k + 2."""
+
+    def fold(k):
+        kids = [c for c in (2 * k + 1, 2 * k + 2) if c < n]
+        return make(k, [fold(c) for c in kids])
+
+    return fold(0)
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 17, 40])
+def test_large_trees(spark, tmp_path, n):
+    """One tree of n nodes, by a fold of its own; the node's method_id tells its operator, its supplier the constant."""
+    ops = {0: ("&&", 2), 1: ("||", 1), 2: ("==", 3)}
+    lines = spark.range(n).selectExpr("5L l_orderkey", "cast(id as int) l_linenumber", "id l_partkey", "100 + id l_suppkey", "1.0 l_extendedprice", "1.0 l_quantity", "date'2020-01-01' l_shipdate", "'A' l_returnflag", "'F' l_linestatus")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    framed = lambda t: f"{len(t)}:{t}"
+
+    def canonical(k, kids):
+        if not kids:
+            return f"constant({framed('System.Int32')},{framed(str(100 + k))})"
+        op = "!" if len(kids) == 1 else ops[k % 3][0]
+        return f"{'unary' if len(kids) == 1 else 'binary'}({','.join(map(framed, [op, *kids]))})"
+
+    def readable(k, kids):
+        if not kids:
+            return str(100 + k), 9
+        if len(kids) == 1:
+            return "!" + (f"({kids[0][0]})" if kids[0][1] < 7 else kids[0][0]), 7
+        op, rank = ops[k % 3]
+        (a, ra), (b, rb) = kids
+        return f"{f'({a})' if ra < rank else a} {op} {f'({b})' if rb <= rank else b}", rank
+
+    got = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert got("predicate_canonical") == [(5, heap_tree(n, canonical), None)]
+    assert got("predicate_text") == [(5, heap_tree(n, readable)[0], None)]
