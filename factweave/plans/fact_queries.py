@@ -228,7 +228,7 @@ _EXPAND = f"""{with_views('v_call', 'v_method')},
 @query("direct_expansion", _EXPAND)
 def _expand(spark, d):
     m = view(spark, d, "v_method")
-    return calls.expand(m.where("method_id % 20 = 0").select(F.col("method_id").alias("root")), view(spark, d, "v_call"), m)
+    return calls.expand(m.select(F.col("method_id").alias("root")), view(spark, d, "v_call"), m)
 
 
 @query("expansion_stops", f"SELECT stop, count(*) AS n FROM ({_EXPAND}) GROUP BY stop")
