@@ -59,7 +59,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     doc_id: ordered as the empty string. Equal doc_ids tie by size; repeated rows are documents of their own. Other
     columns are ignored whatever their names. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"))
+    return _plan(docs, [], weights, share, passes, tilts)
+
+
+def _plan(docs: DataFrame, keys: list[str], weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, tilts=TILTS) -> DataFrame:
+    """mix() with the columns `keys` of docs carried along; they also order rows of one doc_id and size."""
+    rows = docs.select(*keys, "doc_id", F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"))
     rows = rows.withColumn("bucket", F.substring("order_key", 1, 3))  # 4,096 ranges of the order key
     by = ["no_source", "source_key", "bucket"]
     rows = cut(rows)  # counts without texts: both uses below read them, and the texts are read once
@@ -68,7 +73,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     buckets = buckets.withColumn("bucket_start", F.sum("bucket_size").over(of_source.orderBy("bucket")) - F.col("bucket_size"))
     sources = source_targets(buckets.groupBy("no_source", "source_key").agg(F.sum("bucket_size").alias("source_size")), weights, share, passes, tilts)
     buckets = buckets.join(sources, ["no_source", "source_key"]).drop("rank", "weight", "most", "try", "bucket_size")
-    inside = Window.partitionBy(*by).orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*by).orderBy("order_key", "size", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(buckets, by)
     start, goal = F.col("inside") + F.col("bucket_start"), F.floor(F.col("target") + 0.5)
     begin = [start + F.col("source_size") * k for k in range(passes)]
@@ -79,7 +84,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     when = [2 * q / ((1 + tilt) + F.sqrt(F.greatest(F.lit(0.0), (1 + tilt) * (1 + tilt) - 4 * tilt * q))) for q in part]
     rows = rows.withColumn("pass_words", F.array(*words))
     rows = rows.withColumn("positions", F.array(*[F.when(F.col("pass_words")[k] > 0, t) for k, t in enumerate(when)]))
-    return rows.select("doc_id", F.when(F.col("no_source") == 0, F.col("source_key")).alias("source"), "size", "source_size", "target", F.aggregate("pass_words", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), "pass_words", "positions", F.col("positions")[0].alias("position"))
+    return rows.select(*keys, "doc_id", F.when(F.col("no_source") == 0, F.col("source_key")).alias("source"), "size", "source_size", "target", F.aggregate("pass_words", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), "pass_words", "positions", F.col("positions")[0].alias("position"))
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
@@ -91,21 +96,25 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: a row with docs' columns for each pass that takes words of a document, range-sorted by position.
 
     A document that a pass takes whole keeps its text; the one at which a source's target is met keeps the words taken,
-    joined by single spaces (and n_chars follows). Repeated rows are matched one to one with their rows in the plan.
+    joined by single spaces (and n_chars follows). Each row has its own place in the plan, found by a hash of all its
+    columns: rows that share a doc_id, or lack one, meet only their own places, and equal rows are interchangeable.
     """
-    nth = Window.partitionBy("_id")
-    plan = mix(docs, **how).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "size", "pass_words", "positions")
-    plan = plan.withColumn("_place", F.row_number().over(nth.orderBy("size"))).withColumnRenamed("size", "_size")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy(F.col("row")["text"])))
-    # The join is by _id alone, as both sides are dealt by it already: texts are not shuffled again for the second condition.
-    taken = rows.join(plan, "_id").where(F.col("_nth") - F.col("_place") == 0)
-    taken = taken.select("_id", "_nth", "row", "_size", F.explode(F.arrays_zip("pass_words", "positions")).alias("pass")).where("pass.pass_words > 0")
+    # Nulls are hashed as flags, as xxhash64 passes over them; two seeds make 128 bits.
+    content = [*[F.col(c).isNull() for c in docs.columns], *[F.col(c) for c in docs.columns]]
+    keys = [F.xxhash64(F.lit(seed), *content).alias(f"_key{seed}") for seed in (1, 2)]
+    names = ["_key1", "_key2"]
+    plan = _plan(docs.select("doc_id", "source", "text", *keys), names, **how)
+    plan = plan.select(*names, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("size").alias("_size"), "pass_words", "positions")
+    rows = docs.select(*keys, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    # One of each set of equal rows is enough, as the plan has a row for each: no pairs are made of copies.
+    rows = rows.groupBy(*names).agg(F.first("row").alias("row"))
+    taken = rows.join(plan, names)
+    taken = taken.select("_id", *names, "row", "_size", F.explode(F.arrays_zip("pass_words", "positions")).alias("pass")).where("pass.pass_words > 0")
     whole = F.col("pass")["pass_words"] >= F.col("_size")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col("row")["text"], F.lit(WORD), F.lit(0)), 1, F.col("pass")["pass_words"].cast("int")), " ")
     text = F.when(whole, F.col("row")["text"]).otherwise(words)
     new = {"text": text, "n_chars": F.when(whole, F.col("row")["n_chars"]).otherwise(F.length(words).cast("long"))} if "n_chars" in docs.columns else {"text": text}
-    taken = taken.orderBy(F.col("pass")["positions"], "_id", "_nth")
+    taken = taken.orderBy(F.col("pass")["positions"], "_id", *names)
     return taken.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
