@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,24 +14,38 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch handed to Python, so that very long texts do not pile up in a worker.
 BATCH_ROWS = 500
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch; never raises a smaller bound that the session already has."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the rows and bytes of an Arrow batch; never raises a smaller bound that the session already has.
+
+    Spark reads both settings when a plan runs, not when it is made, so they stay set for the session; they change the
+    size of batches only, never a result.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(setting: str) -> int:
+    found = re.fullmatch(r"(-?\d+)\s*([bkmg]?)b?", setting.strip().lower())
+    return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset on a local master."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return named or os.path.dirname(sc.getCheckpointDir())
 
@@ -45,12 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of edges (a, b: long): one row (id, component) per vertex, component its smallest vertex.
 
     Large-star and small-star rounds (Kiveris et al. 2014) expressed as aggregates and joins, so no neighbour list is
     ever gathered; each round is cut from its lineage. The number of rounds grows with the logarithm of the vertices.
     Self-loops and repeated edges are harmless; an empty input gives an empty result; rows with a null end are ignored.
+    Raises RuntimeError rather than return an unfinished result.
     """
     cols = [F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")]
     links = cut(edges.where("a is not null and b is not null and a <> b").select(*cols).distinct())
@@ -70,6 +86,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(F.col("m").alias("id")).distinct()
     return links.select(F.col("v").alias("id"), F.col("m").alias("component")).unionAll(
         roots.select("id", F.col("id").alias("component"))

@@ -3,8 +3,9 @@
 64 permutations give 128 unbiased signature values (half the hash evaluations of plain MinHash); 16 bands of four minima and
 16 of four maxima find a pair of similarity 0.75 with probability over 1 - 1e-5. Every link is confirmed on full sets.
 
-1. One pass over the texts: set size, a 128-bit hash of the set, band keys. Equal sets form a class, named by its smallest doc_id;
-   only classes go on, so exact copies cost nothing further.
+1. One pass over the texts: set size, a 128-bit hash of the set, band keys. Equal sets form a class with an id of its own, named
+   by its smallest doc_id; only classes go on, so exact copies cost nothing further. A document with several texts (a repeated
+   doc_id) ties their classes together.
 2. Each bucket's classes are compared with the bucket's smallest one (a star, found by an aggregate and a join: no bucket is ever
    gathered), first the head that a class meets most often, then other heads still in another component.
 3. Members of a bucket that are then still in different components are compared: small buckets pair by pair, large ones in
@@ -12,16 +13,19 @@
    could join two components is left out, and no more rows than the members times the number of blocks are made.
 
 Sets are computed again only for classes that meet another in some bucket; their ids are broadcast if few enough (counted
-first), else joined. Joins on a frequent class or bucket are plain equi-joins, which Spark splits where skewed.
+first), else joined. Rows meet their class by class and salt, so that a class of a third of all rows is dealt to many tasks; joins on a frequent
+bucket are plain equi-joins, which Spark splits where skewed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +39,13 @@ BANDS = 2 * PERMUTATIONS // ROWS
 BROADCAST_IDS = 500_000
 #: Members of a bucket that are compared pair by pair, at most; sets in a block of a larger one, about.
 SMALL, BLOCK_SETS = 8, 512
+#: Bytes of the sets in a block, about.
+BLOCK_BYTES = 8 << 20
+#: Parts that the members of one class are dealt to before they meet its name.
+SALTS = 4096
 #: Bytes of text hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @lru_cache(maxsize=1)
@@ -52,7 +61,7 @@ def _constants():
 _BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     back = pow(_BASE, -1, 1 << 64)
@@ -70,34 +79,55 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, stops = edge[::2], edge[1::2]
-    size = 1 << max(16, int(len(data) - 1).bit_length())
-    ahead, back = _powers(size)
+    ahead, back = _powers(1 << max(CHUNK.bit_length(), int(len(data) - 1).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_constants()[0][data] * ahead[: len(data)], out=total[1:])
     return starts, mixed((total[stops] - total[starts]) * back[starts] ^ mixed((stops - starts).astype(np.uint64)))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Of each text the sorted distinct hashes of its five-word shingles; with fewer words one of the whole sequence."""
-    out: list[np.ndarray] = []
+def _parts(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The texts, A-Z lower-cased, in order and in lists of about CHUNK bytes; a longer text makes a list of its own."""
     part: list[bytes] = []
     size = 0
     for t in texts:
-        part.append((t or "").encode("utf-8", "surrogatepass").lower())  # bytes.lower() folds A-Z only
-        size += len(part[-1]) + 1
-        if size >= CHUNK:
-            out, part, size = out + _sets(part), [], 0
-    return out + _sets(part)
+        data = (t or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() folds A-Z only
+        if part and size + len(data) >= CHUNK:
+            yield part
+            part, size = [], 0
+        part.append(data)
+        size += len(data) + 1
+    if part:
+        yield part
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[list[np.ndarray]]:
+    """Of each text the sorted distinct hashes of its five-word shingles, in lists over consecutive texts.
+
+    A text of fewer words has one, of the whole sequence; one without words has none.
+    """
+    for part in _parts(texts):
+        yield _sets(part)
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about CHUNK bytes, cut at white space only."""
+    at = 0
+    while at < len(data):
+        found = _SPACE.search(data, at + CHUNK)
+        stop = found.start() if found else len(data)
+        yield data[at:stop]
+        at = stop
 
 
 def _sets(part: list[bytes]) -> list[np.ndarray]:
-    if not part:
-        return []
-    data = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-    begin = np.cumsum([0, *(len(p) + 1 for p in part)])
     with np.errstate(over="ignore"):
-        starts, words = _words(data)
-        edge = np.searchsorted(starts, begin)
+        if len(part) == 1:
+            hashes = [_words(np.frombuffer(piece + b" ", np.uint8))[1] for piece in _pieces(part[0])]
+            words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            edge = np.array([0, len(words)])
+        else:
+            starts, words = _words(np.frombuffer(b" ".join(part) + b" ", np.uint8))
+            edge = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in part)]))
         place = _constants()[1]
         grams = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
         for k in range(WORDS):
@@ -133,24 +163,39 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.T
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = shingle_sets(list(batch["text"]))
-        full = [s for s in sets if len(s)]
-        bands = iter(band_keys(full).view(np.int64) if full else ())
-        with np.errstate(over="ignore"):
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "n": [len(s) for s in sets],
-                "hash1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                "hash2": [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                "bands": [next(bands) if len(s) else np.zeros(0, np.int64) for s in sets],
-            })
+def _identity(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """Size and 128-bit hash of each set."""
+    with np.errstate(over="ignore"):
+        return {
+            "n": pa.array([len(s) for s in sets], pa.int64()),
+            "hash1": pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
+            "hash2": pa.array([int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
+        }
 
 
-def _set_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_part(batches: Iterator[pa.RecordBatch], more: Callable[[list[np.ndarray]], pa.Array], name: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, the identity of the set and one more column, part by part, so that no more than a part's sets are held."""
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "members": [s.tobytes() for s in shingle_sets(list(batch["text"]))]})
+        ids, at = batch.column("doc_id"), 0
+        for sets in shingle_sets(batch.column("text").to_pylist()):
+            columns = {"doc_id": ids.slice(at, len(sets)), **_identity(sets), name: more(sets)}
+            at += len(sets)
+            yield pa.RecordBatch.from_pydict(columns)
+
+
+def _bands(sets: list[np.ndarray]) -> pa.Array:
+    full = [s for s in sets if len(s)]
+    keys = band_keys(full).view(np.int64).ravel() if full else np.zeros(0, np.int64)
+    sizes = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_part(batches, _bands, "bands")
+
+
+def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_part(batches, lambda sets: pa.array([s.tobytes() for s in sets], pa.binary()), "members")
 
 
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -168,68 +213,109 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(_linked, "boolean")("set_a", "set_b")).select("a", "b")
+    """Links (a, b) between the documents that name the classes of pairs (a, b), where full sets are similar enough."""
+    left, right = (sets.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("members").alias(f"set_{c}")) for c in "ab")
+    linked = pairs.join(left, "a").join(right, "b").where(F.pandas_udf(_linked, "boolean")("set_a", "set_b"))
+    return linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
-    Null and empty texts and texts without words have n_shingles 0 and are linked with nothing, as are rows without
-    doc_id (component_id null, kept). Repeated rows and rows of one doc_id are one vertex. Extra columns are ignored
-    whatever their names. An empty table gives an empty result.
+    Null and empty texts and texts without words have n_shingles 0 and are linked with nothing by themselves; rows without
+    doc_id have component_id null and are kept. Rows of one doc_id are one vertex, whatever their texts: a link of any of
+    the texts is a link of the document, and all its rows get its component. Repeated rows change nothing. Extra columns are
+    ignored whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", "text")
-    rows = cut(texts.mapInPandas(_digests, "doc_id long, n long, hash1 long, hash2 long, bands array<long>"))
     key = ["n", "hash1", "hash2"]
-    real = rows.where("n > 0 and doc_id is not null")
-    classes = real.groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    member = cut(real.select("doc_id", *key).join(classes, key).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")))
-    # One doc_id with several texts ties their classes together.
-    same = member.where("other <> class_id").select(F.col("class_id").alias("a"), F.col("other").alias("b"))
-    heads_only = member.where("doc_id = class_id").select("doc_id")
-    banded = real.join(heads_only, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
-    meets = cut(banded.join(heads, "bucket").select("bucket", "doc_id", "n", "head"))
-    stars = cut(meets.where("head <> doc_id").groupBy(F.col("head").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("times")))
-    involved = stars.select(F.col("b").alias("doc_id")).unionAll(stars.select(F.col("a").alias("doc_id"))).distinct()
-    involved = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    sets = cut(texts.join(involved, "doc_id").mapInPandas(_set_bytes, "doc_id long, members binary").dropDuplicates(["doc_id"]))
+    rows = cut(texts.mapInArrow(_digests, "doc_id long, n long, hash1 long, hash2 long, bands array<long>"))
+    named = rows.where("doc_id is not null")
+    real = named.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # Classes in two levels: of a large class no more than SALTS rows ever meet in one task.
+    salted = cut(real.groupBy(*key, "salt").agg(F.min("doc_id").alias("rep")))
+    classes = cut(salted.groupBy(*key).agg(F.min("rep").alias("rep")).withColumn("cls", F.monotonically_increasing_id()))
+    ties = _ties(named, salted, classes, key)
+    heads_only = real.groupBy(*key, "doc_id").agg(F.first("bands").alias("bands")).join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"])
+    banded = cut(heads_only.select("cls", "n", F.explode("bands").alias("bucket")))
+    heads = banded.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").drop("tail")
+    meets = cut(banded.join(heads, "bucket").select("bucket", "cls", "n", "head"))
+    stars = cut(meets.where("head <> cls").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times")))
+    sets = _sets_of(texts, classes, stars, key)
 
     best = stars.groupBy("b").agg(F.max(F.struct("times", -F.col("a"))).alias("top")).select((-F.col("top")["col2"]).alias("a"), "b")
-    links = cut(_confirm(best, sets).unionAll(same))
-    found = cut(components(links))
-    links2 = cut(_confirm(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), found), sets))
-    found = cut(components(_contract(links, links2)))
-    links3 = cut(_rest(meets, stars, found, sets))
-    found = components(_contract(_contract(links, links2), links3))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(member.select("doc_id", "class_id"), "doc_id", "left")
-    out = out.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    links = cut(_confirm(best, sets).unionAll(ties))
+    found, home = _homes(links, classes)
+    more = cut(_confirm(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), home), sets))
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        found, home = _homes(links, classes)
+    more = cut(_rest(meets, stars, home, sets))
+    if not more.isEmpty():
+        found, home = _homes(links.unionAll(more), classes)
+    # Rows meet their component by class and salt; those without words by document, which only ties have put anywhere.
+    salted = salted.join(classes.drop("rep"), key).join(home, "cls").select(*key, "salt", "component")
+    worded = real.select("doc_id", "salt", *key).join(salted, [*key, "salt"]).select("doc_id", "n", "component")
+    wordless = named.where("n = 0").select("doc_id", "n").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    lost = rows.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    out = worded.unionAll(wordless).unionAll(lost)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _rest(meets: DataFrame, stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def _ties(named: DataFrame, salted: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (a, b) from a document with several texts to the documents that name its texts' classes; commonly none."""
+    several = named.groupBy("doc_id").agg(*[f(c).alias(f"{n}_{c}") for c in key for n, f in (("low", F.min), ("high", F.max))])
+    several = cut(several.where(" or ".join(f"low_{c} < high_{c}" for c in key)).select("doc_id"))
+    few = several.count()
+    several = F.broadcast(several) if few <= BROADCAST_IDS else several
+    own = named.where("n > 0").join(several, "doc_id", "left_semi").select("doc_id", *key).distinct()
+    own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    named_by = salted.drop("rep").join(classes.select("rep", *key), key)
+    return own.join(named_by, [*key, "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
+def _sets_of(texts: DataFrame, classes: DataFrame, stars: DataFrame, key: list[str]) -> DataFrame:
+    """cls, rep and members (the set's hashes as bytes) of the classes that meet another in some bucket."""
+    involved = stars.select(F.col("b").alias("cls")).unionAll(stars.select(F.col("a").alias("cls"))).distinct()
+    involved = cut(classes.join(involved, "cls", "left_semi"))
+    few = involved.count() <= BROADCAST_IDS
+    wanted = involved.select(F.col("rep").alias("doc_id"), "cls", *key)
+    ids = wanted.select("doc_id").distinct()
+    some = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    some = some.mapInArrow(_set_bytes, "doc_id long, n long, hash1 long, hash2 long, members binary")
+    some = some.join(F.broadcast(wanted) if few else wanted, ["doc_id", *key]).select("cls", F.col("doc_id").alias("rep"), "members")
+    return cut(some.dropDuplicates(["cls"]))
+
+
+def _homes(links: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of documents (id, component), and of all classes (cls, component)."""
+    found = cut(components(links))
+    home = classes.select("cls", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    return found, cut(home.select("cls", F.coalesce("component", "rep").alias("component")))
+
+
+def _rest(meets: DataFrame, stars: DataFrame, home: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between members of a bucket, its head aside, that are still in different components.
 
     Buckets of equal members count once. Small buckets give pairs, of which there are at most (SMALL - 1) / 2 for each member;
-    larger ones are compared block by block, and give no more edges than members.
+    larger ones are compared block by block, and give no more edges than members. Blocks are bounded by sets and bytes.
     """
-    named = meets.where("doc_id <> head").join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    about = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("low < high")
-    about = about.groupBy("members", "low", "high", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
+    named = meets.where("cls <> head").join(home, "cls").select("bucket", "cls", "n", "component")
+    about = named.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).where("low < high")
+    about = about.groupBy("members", "hashes", "low", "high", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "hashes")
     named = cut(named.join(about, "bucket"))
-    x = named.where(f"members <= {SMALL}").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    x = named.where(f"members <= {SMALL}").select("bucket", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = x.select("bucket", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
     pairs = x.join(y, "bucket").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
     links = _confirm(pairs.join(stars, ["a", "b"], "left_anti"), sets)
-    large = named.where(f"members > {SMALL}").withColumn("blocks", F.ceil(F.col("members") / BLOCK_SETS).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    large = named.where(f"members > {SMALL}").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("hashes") * 8 / BLOCK_BYTES)).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     large = large.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "doc_id", "component").join(sets, "doc_id")
+    large = large.select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "cls", "component").join(sets, "cls")
+    large = large.select("bucket", "i", "j", "block", "rep", "component", "members")
     return links.unionAll(large.groupBy("bucket", "i", "j").applyInPandas(_join_blocks, "a long, b long"))
 
 
@@ -248,7 +334,7 @@ def _join_blocks(group: pd.DataFrame) -> pd.DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        a, b, ca, cb = (part[c].to_numpy() for c in ("doc_id", "component") for part in (left, right))
+        a, b, ca, cb = (part[c].to_numpy() for c in ("rep", "component") for part in (left, right))
         linked &= ca[:, None] != cb[None, :]
         for p, q in zip(*np.nonzero(linked)):
             x, y = root(int(ca[p])), root(int(cb[q]))
@@ -282,18 +368,15 @@ def _linked_sets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return 100 * both.astype(np.float64) >= PERCENT * union
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
+def _apart(pairs: DataFrame, home: DataFrame) -> DataFrame:
+    """The pairs of classes whose ends are in different components."""
     for end in "ab":
-        pairs = pairs.join(found.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
-def _contract(links: DataFrame, more: DataFrame) -> DataFrame:
-    return links.select("a", "b").unionAll(more.select("a", "b"))
+        pairs = pairs.join(home.select(F.col("cls").alias(end), F.col("component").alias(f"c{end}")), end)
+    return pairs.where("ca <> cb").select("a", "b")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the whole table of documents; nulls, repeats and empty tables as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
