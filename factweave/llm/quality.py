@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 from .toxicity import labelled_sample, marked
 
-#: Labelled documents of each class that the model is fitted on, at most, and characters of each that go to the fit.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 8192
+#: Labelled documents of each class that the model is fitted on, at most, and bytes of their whole texts, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 #: Bytes of a dictionary and of a block, and zstandard's level.
 DICTIONARY, BLOCK, LEVEL = 32768, 256, 3
+#: Blocks that a dictionary is trained on, at most: beyond, that many spread evenly over all blocks of the class's texts.
+TRAINED_BLOCKS = 16384
 THRESHOLD = 0.3
 
 
@@ -67,7 +69,7 @@ def fit_quality(good: list[str], bad: list[str], share_good: float | None = None
     """Dictionaries and calibration from texts of both classes.
 
     The dictionaries come from three quarters of the texts and the curve from the rest, whose sizes the dictionaries
-    cannot have memorised. share_good: that of good texts among all labelled ones (default: among the given), to which the
+    cannot have memorised; both see whole texts. share_good: that of good texts among all labelled ones (default: among the given), to which the
     curve is calibrated. If a class is missing or too small for a dictionary, every text scores that share (0.5 without
     any label).
     """
@@ -77,13 +79,14 @@ def fit_quality(good: list[str], bad: list[str], share_good: float | None = None
     flat = Quality(bias=math.log(prior / (1 - prior)))
     trained = []
     for texts in (good, bad):
-        parts = [b for k, t in enumerate(texts) if k % 4 for b in blocks(t[:SAMPLE_CHARS])]
+        parts = [b for k, t in enumerate(texts) if k % 4 for b in blocks(t)]
+        parts = [parts[k * len(parts) // TRAINED_BLOCKS] for k in range(TRAINED_BLOCKS)] if len(parts) > TRAINED_BLOCKS else parts
         try:
             trained.append(zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes())
         except (zstandard.ZstdError, ValueError):  # too few or too small samples
             return flat
     model = Quality(*trained)
-    rest = [(model.difference(t[:SAMPLE_CHARS]), k) for k, texts in ((1, good), (0, bad)) for t in texts[::4] if t]
+    rest = [(model.difference(t), k) for k, texts in ((1, good), (0, bad)) for t in texts[::4] if t]
     if len({k for _, k in rest}) < 2:
         return flat
     x, y = (np.array(v, dtype=float) for v in zip(*rest))
@@ -103,9 +106,9 @@ def fit_quality(good: list[str], bad: list[str], share_good: float | None = None
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Quality:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Quality:
     """A model from labels(doc_id, quality) whose crc32(doc_id as text) mod 5 is not 0."""
-    rows = labelled_sample(docs, labels, "quality", 5, 0, sample_rows)
+    rows = labelled_sample(docs, labels, "quality", 5, 0, sample_rows, sample_bytes)
     share = marked(labels, "quality", 5, 0).agg(F.avg("mark")).first()[0]
     return fit_quality([t for k, t in rows if k == 1], [t for k, t in rows if k == 0], share)
 
@@ -129,6 +132,7 @@ def score_quality(docs: DataFrame, model: Quality) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the whole table of documents; a null doc_id has held_out null and is scored like any other row."""
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

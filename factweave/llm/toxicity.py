@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon: Aho-Corasick over folded text, normalised by length, with exception phrases.
 
 The lexicon, its weights, the exception phrases and the calibration are learned on the driver from at most
-`sample_rows` labelled documents of each class (chosen by the md5 of their id, so runs agree); scoring is one pass over
+`sample_rows` labelled documents of each class, of whole texts and of bounded total size (chosen by the md5 of their id, so
+runs agree); scoring is one pass over
 the documents in Arrow batches without a shuffle.
 """
 
@@ -9,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: Labelled documents of each class that the model is fitted on, at most.
-SAMPLE_ROWS = 3000
+#: Labelled documents of each class that the model is fitted on, at most, and bytes of their texts, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 8 << 20
 #: A document is taken for toxic from this score.
 THRESHOLD = 0.3
 
@@ -86,7 +89,14 @@ class Lexicon:
         hits, free = [], []
         for end, p in self.machine().iter(folded):
             (hits if p in self.weights else free).append((end - len(p) + 1, end, p))
-        total = sum(self.weights[p] for a, b, p in hits if not any(x <= a and b <= y for x, y, _ in free))
+        free.sort()
+        starts = [x for x, _, _ in free]
+        reach = list(accumulate((y for _, y, _ in free), max))  # furthest end of the phrases begun so far
+        total = 0.0
+        for a, b, p in hits:
+            k = bisect_right(starts, a)
+            if not k or reach[k - 1] < b:
+                total += self.weights[p]
         return total / (1.0 + math.log(1.0 + max(1, folded.count(" ") - 1))) if hits else 0.0
 
     def score(self, text: str | None) -> float:
@@ -109,19 +119,18 @@ def fit_lexicon(toxic: list[str], clean: list[str], least: int = 4) -> Lexicon:
     and at least a fortieth of them hold it and its share among them is 50 times that among clean ones; of terms where one
     begins the other, the one that tells more documents apart enters.
     """
-    toxic, clean = sorted(set(toxic)), sorted(set(clean))
-    if not toxic:
+    bad, good = ([fold(t) for t in sorted(set(texts))] for texts in (toxic, clean))
+    if not bad:
         return Lexicon()
-    bad, good = ([set(fold(t).split()) for t in texts] for texts in (toxic, clean))
-    words = Counter(w for doc in bad for w in doc if len(w) > 2)
-    plain = Counter(w for doc in good for w in doc if len(w) > 2)
+    words = Counter(w for t in bad for w in set(t.split()) if len(w) > 2)
+    plain = Counter(w for t in good for w in set(t.split()) if w in words)
     # A word in no more toxic than clean documents (by share) cannot mark toxicity; that leaves few to extend.
     share = len(bad) / max(1, len(good))
     marked = {w for w, n in words.items() if n > 4 * share * plain.get(w, 0)}
-    with_term = Counter(t for doc in bad for t in {t for w in doc & marked for t in _terms(w)})
+    with_term = Counter(t for doc in bad for t in {t for w in marked.intersection(doc.split()) for t in _terms(w)})
     enough = lambda t: max(least * (1 if t[-1] == " " else 2), 0.025 * len(bad))
     wanted = {t for t, n in with_term.items() if n >= enough(t)}
-    against = Counter(t for doc in good for t in {t for w in doc for t in _terms(w)} & wanted)
+    against = Counter(t for doc in good for t in {t for w in set(doc.split()) for t in _terms(w)} & wanted)
 
     def weight(t: str) -> float:
         return math.log((with_term[t] + 0.5) / (len(bad) + 1)) - math.log((against[t] + 0.5) / (len(good) + 1))
@@ -132,17 +141,17 @@ def fit_lexicon(toxic: list[str], clean: list[str], least: int = 4) -> Lexicon:
         if not any(t.startswith(x) or x.startswith(t) for x in weights):
             weights[t] = weight(t)
     model = Lexicon(weights)
-    model.excused = _excuses(model, toxic, clean)
+    model.excused = _excuses(model, bad, good)
     model._machine = None
-    return _calibrate(model, toxic, clean)
+    return _calibrate(model, bad, good)
 
 
 def _excuses(model: Lexicon, toxic: list[str], clean: list[str], least: int = 3) -> tuple[str, ...]:
-    """Two-word phrases around a term that clean documents use and toxic ones do not."""
+    """Two-word phrases around a term that clean documents (folded, as the toxic ones) use and toxic ones do not."""
     seen = []
     for texts in (toxic, clean):
         found: Counter = Counter()
-        for folded in map(fold, texts):
+        for folded in texts:
             phrases = set()
             for end, p in model.machine().iter(folded) if model.weights else ():
                 start = end - len(p) + 1
@@ -157,8 +166,8 @@ def _excuses(model: Lexicon, toxic: list[str], clean: list[str], least: int = 3)
 
 
 def _calibrate(model: Lexicon, toxic: list[str], clean: list[str], rounds: int = 50) -> Lexicon:
-    """Logistic regression of the class on strength, by damped Newton steps with a small ridge."""
-    x = [model.strength(fold(t)) for t in (*toxic, *clean)]
+    """Logistic regression of the class on the strength of folded texts, by damped Newton steps with a small ridge."""
+    x = [model.strength(t) for t in (*toxic, *clean)]
     y = [1] * len(toxic) + [0] * len(clean)
     a, b = 1.0, -2.0
     for _ in range(rounds):
@@ -183,22 +192,40 @@ def marked(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
     return marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> list[tuple[int, str]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, size: int) -> list[tuple[int, str]]:
     """(label, text) of at most `rows` labelled documents of each class outside the held-out fold, in a stable order.
 
-    Only label rows are ranked; the bounded choice of ids is then broadcast to the documents. Null labels and ids and
-    unlabelled documents take no part.
+    Texts are whole; a class's texts make at most `size` bytes (in the order of the ids' md5, a text that no longer fits is
+    passed over). Only label rows are ranked; the bounded choice of ids is then broadcast to the documents, and
+    sizes are known before any text leaves its executor. Of the rows of one doc_id the least text counts. Null labels and
+    ids and unlabelled documents take no part.
     """
     marks = marked(labels, label, folds, held)
-    picks = [marks.where(F.col("mark") == k).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows) for k in (0, 1)]
-    chosen = picks[0].unionAll(picks[1])
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "text").collect()
-    return [(r.mark, r.text or "") for r in sorted(found, key=lambda r: (str(r.doc_id), r.text or ""))]
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
-    """A lexicon from labels(doc_id, toxic) whose crc32(doc_id as text) mod 4 is not 2."""
-    rows = labelled_sample(docs, labels, "toxic", 4, 2, sample_rows)
+    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
+    picks = [marks.where(F.col("mark") == k).orderBy(*order).limit(rows) for k in (0, 1)]
+    chosen = [r for p in picks for r in p.collect()]
+    spark = docs.sparkSession
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def of(ids: list):
+        wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"doc_id {id_type}"))
+        return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    if not chosen:
+        return []
+    sizes = {r.doc_id: r.size for r in of([r.doc_id for r in chosen]).select("doc_id", F.octet_length("text").alias("size")).collect()}
+    left, mark = {0: size, 1: size}, {}
+    for r in chosen:
+        if r.doc_id in sizes and sizes[r.doc_id] <= left[r.mark]:
+            left[r.mark] -= sizes[r.doc_id]
+            mark[r.doc_id] = r.mark
+    texts = of(list(mark)).collect() if mark else []
+    return [(mark[r.doc_id], r.text) for r in sorted(texts, key=lambda r: (str(r.doc_id), r.text))]
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Lexicon:
+    """A lexicon from labels(doc_id, toxic) whose crc32(doc_id as text) mod 4 is not 2; without any, an empty one."""
+    rows = labelled_sample(docs, labels, "toxic", 4, 2, sample_rows, sample_bytes)
     return fit_lexicon([t for k, t in rows if k == 1], [t for k, t in rows if k == 0])
 
 
@@ -221,6 +248,7 @@ def score_toxicity(docs: DataFrame, model: Lexicon) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the whole table of documents; a null doc_id has held_out null and is scored like any other row."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

@@ -271,3 +271,48 @@ def test_pipeline(spark, docs, texts):
                 want[r.doc_id, hashlib.sha256(" ".join(map(str, tok.encode(text, add_special_tokens=False).ids)).encode()).hexdigest()] += 1
     got = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+def test_quality_against_plain_zstandard(spark, docs, texts):
+    """Every score from sizes that zstandard gives block by block, whole texts through."""
+    import math
+
+    import zstandard
+
+    model = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    packs = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    got = {r.doc_id: r.score for r in quality.op1_quality(spark, SF).collect()}
+    assert set(got) == set(texts) and model.good and model.bad
+    for i, t in texts.items():
+        data = t.encode()
+        good, bad = (sum(len(p.compress(data[k : k + 256])) for k in range(0, len(data), 256)) for p in packs)
+        x = (bad - good) / (good + bad) if data else 0.0
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(model.slope * x + model.bias))), abs_tol=1e-12)
+
+
+def test_toxicity_against_substring_search(spark):
+    """Every score from a search for each pattern and phrase on its own, of overlapping places too."""
+    import math
+
+    sf = SF.replace("sf0.001", "sf0.01")  # enough labels for a lexicon
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in toxicity.op9_toxicity(spark, sf).collect()}
+    assert set(got) == set(texts) and model.weights
+    places = lambda text, p: [k for k in range(len(text)) if text.startswith(p, k)]
+    for i, t in texts.items():
+        folded = toxicity.fold(t)
+        free = [(k, k + len(p)) for p in model.excused if p in folded for k in places(folded, p)]
+        total = sum(w for p, w in model.weights.items() if p in folded for k in places(folded, p) if not any(a <= k and k + len(p) <= b for a, b in free))
+        strength = total / (1 + math.log(1 + max(1, len(folded.split()))))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-max(-30, min(30, model.slope * strength + model.bias)))), abs_tol=1e-9)
+
+
+def test_sample_is_bounded_by_bytes_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(k, "x" * 10 * (k + 1)) for k in range(30)] + [(3, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", 4, 2, 100, 500)
+    for mark in (0, 1):
+        sizes = [len(t) for m, t in rows if m == mark]
+        assert 1 < len(sizes) and sum(sizes) <= 500
