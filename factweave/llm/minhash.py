@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(salted.groupBy(*key).agg(F.min("rep").alias("rep")).withColumn("cls", F.monotonically_increasing_id()))
     ties = _ties(named, salted, classes, key)
     heads_only = real.groupBy(*key, "doc_id").agg(F.first("bands").alias("bands")).join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"])
-    banded = cut(heads_only.select("cls", "n", F.explode("bands").alias("bucket")))
+    banded = cut(heads_only.select("cls", "n", "bands")).select("cls", "n", F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").drop("tail")
     meets = cut(banded.join(heads, "bucket").select("bucket", "cls", "n", "head"))
     stars = cut(meets.where("head <> cls").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times")))
@@ -250,11 +250,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found, home = _homes(links, classes)
     more = cut(_confirm(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), home), sets))
     if not more.isEmpty():
-        links = links.unionAll(more)
-        found, home = _homes(links, classes)
+        found, home = _homes(_joined(found, more), classes)
     more = cut(_rest(meets, stars, home, sets))
     if not more.isEmpty():
-        found, home = _homes(links.unionAll(more), classes)
+        found, home = _homes(_joined(found, more), classes)
     # Rows meet their component by class and salt; those without words by document, which only ties have put anywhere.
     salted = salted.join(classes.drop("rep"), key).join(home, "cls").select(*key, "salt", "component")
     worded = real.select("doc_id", "salt", *key).join(salted, [*key, "salt"]).select("doc_id", "n", "component")
@@ -269,8 +268,9 @@ def _ties(named: DataFrame, salted: DataFrame, classes: DataFrame, key: list[str
     """Edges (a, b) from a document with several texts to the documents that name its texts' classes; commonly none."""
     several = named.groupBy("doc_id").agg(*[f(c).alias(f"{n}_{c}") for c in key for n, f in (("low", F.min), ("high", F.max))])
     several = cut(several.where(" or ".join(f"low_{c} < high_{c}" for c in key)).select("doc_id"))
-    few = several.count()
-    several = F.broadcast(several) if few <= BROADCAST_IDS else several
+    if several.isEmpty():
+        return named.sparkSession.createDataFrame([], "a long, b long")
+    several = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
     own = named.where("n > 0").join(several, "doc_id", "left_semi").select("doc_id", *key).distinct()
     own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     named_by = salted.drop("rep").join(classes.select("rep", *key), key)
@@ -297,6 +297,11 @@ def _homes(links: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, cut(home.select("cls", F.coalesce("component", "rep").alias("component")))
 
 
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Edges of the components found so far, as stars, and of further links."""
+    return found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)
+
+
 def _rest(meets: DataFrame, stars: DataFrame, home: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between members of a bucket, its head aside, that are still in different components.
 
