@@ -111,12 +111,12 @@ def test_vectors_against_all_pairs(spark):
         if (new == label).all():
             break
         label = new
-    old = embeddings.INTERVAL, embeddings.TILE
-    embeddings.INTERVAL, embeddings.TILE = 150, 32
+    old = embeddings.INTERVAL_BYTES, embeddings.RUN
+    embeddings.INTERVAL_BYTES, embeddings.RUN = 150 * 8 * 16, 32
     try:
         got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
     finally:
-        embeddings.INTERVAL, embeddings.TILE = old
+        embeddings.INTERVAL_BYTES, embeddings.RUN = old
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(linked[i].sum()), int(label[i])) for i in range(len(x))}
 
 
