@@ -5,7 +5,7 @@ its completion, with the spans of the completion that training may learn from (t
 
 Turns are compared place by place by a join on (pair, turn number); neither conversation is gathered to find the prefix. A
 conversation is gathered only to be rendered, as its text is one value of the result. Turns are keyed by pair, of which
-there are half as many as conversations, so a frequent first turn does not make any key frequent.
+there are as many as conversations, so a frequent first turn does not make any key frequent.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ from .common import table
 OPEN, BETWEEN, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def format_pairs(turns: DataFrame) -> DataFrame:
+def format_pairs(turns: DataFrame, dealt_by: tuple[str, ...] = ()) -> DataFrame:
     """turns(pair, side, turn, role, text), side 'chosen' or 'rejected': one row per pair that has a turn.
 
+    dealt_by: columns of turns that pair determines and by which turns are shuffled already; all steps then stay in those
+    partitions. Without them turns are shuffled once, by pair.
+
     Returns pair, n_shared (turns in the prompt), prompt, chosen, rejected (rendered) and chosen_mask, rejected_mask (arrays
     of start and finish, in code points of the completion, of the assistant's texts with their closing mark).
 
@@ -29,16 +32,18 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     text renders as empty and equals a null only. A side without turns has an empty completion, and then nothing is shared. Rows with null
     pair or another side are left out. Other columns are ignored whatever their names; an empty table gives an empty result.
     """
-    rows = turns.where("pair is not null and side in ('chosen', 'rejected')").select("pair", "side", "turn", "role", "text")
-    order = Window.partitionBy("pair", "side").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    keys = [*dealt_by, "pair"]
+    rows = turns.where("pair is not null and side in ('chosen', 'rejected')").select(*keys, "side", "turn", "role", "text")
+    rows = rows if dealt_by else rows.repartition("pair")
+    order = Window.partitionBy(*keys, "side").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = rows.withColumn("place", F.row_number().over(order))
     # Both sides of a place meet in one row; the first place whose sides differ ends the prefix.
     side = lambda name: F.max(F.when(F.col("side") == name, F.struct("role", "text"))).alias(name)
-    places = rows.groupBy("pair", "place").agg(side("chosen"), side("rejected"))
+    places = rows.groupBy(*keys, "place").agg(side("chosen"), side("rejected"))
     differs = F.col("chosen").isNull() | F.col("rejected").isNull() | ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    ends = Window.partitionBy("pair")
+    ends = Window.partitionBy(*keys)
     places = places.withColumn("shared", F.coalesce(F.min(F.when(differs, F.col("place"))).over(ends), F.max("place").over(ends) + 1) - 1)
-    whole = places.groupBy("pair").agg(
+    whole = places.groupBy(*keys).agg(
         F.first("shared").alias("n_shared"),
         F.array_sort(F.collect_list(F.struct("place", "chosen", "rejected"))).alias("turns"),
     )
@@ -69,14 +74,31 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 
 
 def paired(conversations: DataFrame) -> DataFrame:
-    """Turns of conversations as sides of pairs: 2k is chosen and 2k + 1 rejected of pair k; null ids are left out."""
-    side = F.when(F.col("conv_id") % 2 == 0, F.lit("chosen")).otherwise(F.lit("rejected"))
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    return conversations.where("conv_id is not null").select(pair.alias("pair"), side.alias("side"), "turn", "role", "text")
+    """Each conversation as chosen, and a copy whose last assistant turn is another's as rejected: couple, pair, side, turn, role, text.
+
+    The other conversation is the one of the couple (2k, 2k + 1); its last assistant turn gives the text. Where it is missing or
+    has none, that turn is left out of the rejected copy. A conversation without assistant turns is copied as it is. Turns are
+    ordered as format_pairs() states; null conv_ids are left out; an empty table gives an empty result.
+    """
+    rows = conversations.where("conv_id is not null").select(F.shiftright("conv_id", 1).alias("couple"), F.col("conv_id").alias("pair"), "turn", "role", "text")
+    rows = rows.repartition("couple")
+    of_one = Window.partitionBy("couple", "pair")
+    order = of_one.orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = rows.withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("is_last", F.coalesce(F.col("place") == F.max(F.when(F.col("role") == "assistant", F.col("place"))).over(of_one), F.lit(False)))
+    of_couple = Window.partitionBy("couple")
+    last = lambda odd: F.max(F.when(F.col("is_last") & (F.col("pair").bitwiseAND(F.lit(1)) == odd), F.struct("text"))).over(of_couple)
+    rows = rows.withColumn("even", last(0)).withColumn("odd", last(1))
+    other = F.when(F.col("pair").bitwiseAND(F.lit(1)) == 0, F.col("odd")).otherwise(F.col("even"))
+    chosen = F.struct(F.lit("chosen").alias("side"), F.col("text"))
+    rejected = F.struct(F.lit("rejected").alias("side"), F.when(F.col("is_last"), other["text"]).otherwise(F.col("text")).alias("text"))
+    sides = F.when(F.col("is_last") & other.isNull(), F.array(chosen)).otherwise(F.array(chosen, rejected))
+    return rows.select("couple", "pair", "turn", "role", F.explode(sides).alias("x")).select("couple", "pair", "x.side", "turn", "role", "x.text")
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_pairs(paired(table(spark, sf_dir, "conversations")))
+    """Pairs made of the whole table of conversations, formatted; masks as start:finish, joined by commas."""
+    out = format_pairs(paired(table(spark, sf_dir, "conversations")), ("couple",))
     flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["finish"].cast("string"))), ",").alias(c)
     return out.select("pair", F.col("n_shared").cast("long"), "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"))
 
@@ -87,9 +109,16 @@ def _sql_side(name: str) -> str:
 
 
 OP4_SQL = f"""
-WITH p AS (SELECT (conv_id // 2)::BIGINT AS pair, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, role, text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
-    '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS r FROM conversations WHERE conv_id IS NOT NULL),
+WITH c AS (SELECT conv_id, conv_id // 2 AS couple, turn, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(place) AS place FROM c WHERE role = 'assistant' GROUP BY conv_id),
+t AS (SELECT c.conv_id, couple, place, text FROM c JOIN l USING (conv_id, place)),
+d AS (SELECT conv_id AS pair, 'chosen' AS side, turn, role, text FROM c
+  UNION ALL SELECT c.conv_id, 'rejected', c.turn, c.role, CASE WHEN t.place = c.place THEN o.text ELSE c.text END
+  FROM c LEFT JOIN t ON t.conv_id = c.conv_id LEFT JOIN t o ON o.couple = c.couple AND o.conv_id <> c.conv_id
+  WHERE t.place IS DISTINCT FROM c.place OR o.conv_id IS NOT NULL),
+p AS (SELECT pair, side, role, text, row_number() OVER (PARTITION BY pair, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+    '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS r FROM d),
 m AS (SELECT pair, place, count(*) = 2 AND bool_and(NOT EXISTS (SELECT 1 FROM p q WHERE q.pair = p.pair AND q.place = p.place AND q.side <> p.side AND (q.role IS DISTINCT FROM p.role OR q.text IS DISTINCT FROM p.text))) AS same FROM p GROUP BY pair, place),
 e AS (SELECT pair, coalesce(min(CASE WHEN NOT same THEN place END), max(place) + 1) - 1 AS n_shared FROM m GROUP BY pair),
 {_sql_side("chosen")}, {_sql_side("rejected")},

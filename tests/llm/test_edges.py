@@ -119,3 +119,25 @@ def test_token_files_of_no_rows_and_empty_texts(spark, docs, empty):
     found = separators.scan(spark, separators.token_files(docs, path, public_tokenizers.PATTERN), block=1000)
     assert found.count() == len(ROWS) and found.where("n_tokens = 0").count() == 2
     assert separators.scan(spark, separators.token_files(empty, path, public_tokenizers.PATTERN)).count() == 0
+
+
+def test_pairs_share_their_turns(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "one"), (0, 2, "user", "and"), (0, 3, "assistant", "two"), (1, 0, "user", "ho"), (1, 1, "assistant", "three"),
+            (2, 0, "user", "alone"), (2, 1, "assistant", "four"), (4, 0, "user", "mute"), (5, 0, "assistant", None), (None, 0, "user", "x"), (7, 0, "assistant", "same"), (6, 0, "assistant", "same")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("couple", F.lit("clash"))
+    got = {r.pair: r for r in preferences.format_pairs(preferences.paired(conversations), ("couple",)).collect()}
+    assert {k: r.n_shared for k, r in got.items()} == {0: 3, 1: 1, 2: 1, 4: 1, 5: 0, 6: 1, 7: 1}
+    assert got[0].chosen.startswith("<|im_start|>assistant\ntwo") and got[0].rejected.startswith("<|im_start|>assistant\nthree")
+    assert got[2].chosen == "<|im_start|>assistant\nfour<|im_end|>\n" and got[2].rejected == ""
+    assert got[5].chosen == "<|im_start|>assistant\n<|im_end|>\n" and got[5].rejected == ""
+    assert got[6].chosen == got[6].rejected == ""
+    assert preferences.paired(conversations.limit(0)).collect() == []
+    whole = preferences.op4_preferences(spark, "/root/testdata/sf0.001")
+    assert whole.where("n_shared > 0").count() > 0.5 * whole.count() and whole.where("rejected <> chosen").count() > 0.5 * whole.count()
+
+
+def test_ranges_of_ids(spark):
+    edges = sorted({k * k for k in range(1, 60)}, reverse=True)
+    ids = spark.range(0, 3482).select(F.col("id").alias("doc_id")).unionAll(spark.sql("select cast(null as long)"))
+    got = ids.select("doc_id", fingerprint._range_of(edges).alias("r")).collect()
+    assert all(r.r == (len(edges) - 1 if r.doc_id is None else sum(e >= r.doc_id for e in edges) - 1) for r in got)
