@@ -13,12 +13,13 @@ successor takes one shuffle of the texts by ranges of doc_id.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -168,6 +169,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", of("text").alias("fingerprint"))
 
 
+def _range_of(edges: list) -> Column:
+    """The place of the smallest edge not below doc_id among descending edges (null ids: the last place).
+
+    Found in two steps, among the first edges of about sqrt(n) parts and then inside one part.
+    """
+    if not edges:
+        return F.lit(0)
+    step = math.isqrt(len(edges) - 1) + 1
+    parts = [edges[k : k + step] for k in range(0, len(edges), step)]
+    above = lambda found: F.size(F.filter(found, lambda e: e >= F.col("doc_id"))) - 1
+    part = above(F.array(*[F.lit(p[0]) for p in parts]))
+    inside = above(F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in parts]), part + 1))
+    return F.when(F.col("doc_id").isNull(), F.lit(len(edges) - 1)).otherwise(part * step + inside)
+
+
 def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
     """Hand every document with the next one in descending doc_id order (the last with the first) to work.
 
@@ -188,12 +204,9 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
         before = F.create_map(*[F.lit(x) for k, e in enumerate(edges) for x in (e, (k - 1) % len(edges))])
         heads = rows.where(F.col("doc_id").isin(edges)).groupBy("doc_id").agg(F.min("text").alias("text"))
         heads = heads.select("doc_id", "text", before[F.col("doc_id")].alias("range"), F.lit(1).alias("head"))
-    # The range of an id is that of the smallest edge not below it.
-    place = F.lit(max(0, len(edges) - 1))
-    if edges:
-        place = F.when(F.col("doc_id").isNull(), place).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e >= F.col("doc_id"))) - 1)
-    rows = rows.select("doc_id", "text", place.alias("range"), F.lit(0).alias("head")).unionAll(heads)
-    rows = rows.repartition(parts, "range").sortWithinPartitions("range", "head", F.col("doc_id").desc_nulls_last(), "text")
+    rows = rows.select("doc_id", "text", _range_of(edges).alias("range"), F.lit(0).alias("head")).unionAll(heads)
+    # Range k is partition k: every range has a task of its own, and none shares one by chance.
+    rows = rows.repartitionById(max(1, len(edges)), "range").sortWithinPartitions("range", "head", F.col("doc_id").desc_nulls_last(), "text")
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # (range, doc_id, text) of the row whose next has not come yet
@@ -224,6 +237,10 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
 
 
 def compare_edits(ids: list, texts: list[str]) -> pd.DataFrame:
+    """Per id the contract's columns of texts[k] with texts[k + 1] as its next; empty texts have an empty fingerprint.
+
+    likeness() says what two empty fingerprints have in common; a null id stays null.
+    """
     edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, texts[1:])]
     own, new = phrases(texts), phrases(edited)
     return pd.DataFrame({
@@ -238,5 +255,6 @@ def compare_edits(ids: list, texts: list[str]) -> pd.DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compare_edits() over the whole table of documents; order, ties and nulls as with_next() states."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(table(spark, sf_dir, "documents"), compare_edits, schema)
