@@ -3,10 +3,11 @@
 A flat file holds unsigned 16-bit little-endian token ids, each document followed by the end-of-document id. Files are cut into
 blocks of equal length whatever documents they cut; each block is searched for separators by vector comparison on its
 own, and a prefix scan over the blocks' summaries (position of the last separator so far, separators so far) stitches
-documents that cross blocks. A block is bounded whatever the lengths of files and documents are.
+documents that cross blocks. The scan has two levels, over groups of blocks of a file and inside each group, and sees no
+separator places. A block is bounded whatever the lengths of files and documents are.
 
 Files under file: paths (shared folders) are read block by block where they lie; files of other stores are read by Spark's
-binaryFile source, a file (below 2 GB) at a time.
+binaryFile source, a file at a time; that source fails on a file above 2 GB, so a larger one must lie under a file: path.
 """
 
 from __future__ import annotations
@@ -20,23 +21,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches, table
+from .common import cut, new_folder, small_batches, table
 
 #: Tokens of a block, and bytes of a token.
 BLOCK, WIDTH = 1 << 20, 2
 #: The end-of-document id of the vocabulary that token_files() writes with.
 END = 50256
 
-_SUMMARY = "path string, block long, start long, tokens long, first long, last long, inner array<int>, separators long"
+#: Blocks of a file that the first level of the prefix scan takes together.
+GROUP = 1024
+_SUMMARY = "path string, block long, start long, tokens long, at array<int>, last long, separators long"
 
 
 def _summary(path: str, block: int, ids: np.ndarray, size: int, end: int) -> tuple:
-    """Of one block: its place, first and last separator (file positions) and lengths of the documents wholly between."""
-    at = np.flatnonzero(ids == end)
+    """Of one block: its place, the separators' places inside it, the file position of the last, and their number."""
+    at = np.flatnonzero(ids == end).astype(np.int32)
     start = block * size
-    if not len(at):
-        return path, block, start, len(ids), None, None, np.zeros(0, np.int32), 0
-    return path, block, start, len(ids), start + int(at[0]), start + int(at[-1]), (np.diff(at) - 1).astype(np.int32), len(at)
+    return path, block, start, len(ids), at, start + int(at[-1]) if len(at) else None, len(at)
 
 
 def scan(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK) -> DataFrame:
@@ -48,7 +49,7 @@ def scan(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK) -
     """
     files = spark.read.format("binaryFile").load(folder)
     names = [c.split()[0] for c in _SUMMARY.split(", ")]
-    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"first": "Int64", "last": "Int64"})
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"last": "Int64"})
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,20 +70,28 @@ def scan(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK) -
     found = blocks.mapInPandas(near, _SUMMARY)
     if files.where("path not like 'file:%'").select("path").limit(1).count():
         found = found.unionAll(files.where("path not like 'file:%'").select("path", "content").mapInPandas(far, _SUMMARY))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("path")
-    found = found.withColumn("open", F.coalesce(F.max("last").over(before) + 1, F.lit(0)))
-    found = found.withColumn("docs_before", F.coalesce(F.sum("separators").over(before), F.lit(0)))
-    found = found.withColumn("file_end", F.max(F.col("start") + F.col("tokens")).over(in_file)).withColumn("is_last", F.col("start") + F.col("tokens") == F.col("file_end"))
-    # The document that the first separator ends, then those between separators, then what the last block leaves open.
-    tail = F.col("file_end") - F.coalesce(F.col("last") + 1, F.col("open"))
-    sizes = F.when(F.col("separators") > 0, F.concat(F.array(F.col("first") - F.col("open")), F.col("inner").cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>"))
-    sizes = F.when(F.col("is_last") & (tail > 0), F.concat(sizes, F.array(tail))).otherwise(sizes)
-    found = found.select("path", "open", "docs_before", "separators", sizes.alias("sizes"))
-    rows = found.select("path", "open", "docs_before", "separators", F.posexplode("sizes").alias("k", "n_tokens"))
-    inside = Window.partitionBy("path", "docs_before", "open").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.col("open") + F.coalesce(F.sum(F.col("n_tokens") + 1).over(inside), F.lit(0)))
-    return rows.select("path", (F.col("docs_before") + F.col("k")).alias("doc_no"), "start", "n_tokens", (F.col("k") < F.col("separators")).alias("ended"))
+    found = cut(found)
+    # The scan runs over narrow summaries, first over groups of blocks and then inside each; places are joined to its result.
+    narrow = found.select("path", "block", F.expr(f"block div {GROUP}").alias("group"), "last", "separators", (F.col("start") + F.col("tokens")).alias("stop"))
+    groups = narrow.groupBy("path", "group").agg(F.max("last").alias("last"), F.sum("separators").alias("separators"), F.max("stop").alias("stop"))
+    over_file = Window.partitionBy("path").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("last_before", F.max("last").over(over_file)).withColumn("docs", F.coalesce(F.sum("separators").over(over_file), F.lit(0)))
+    groups = groups.select("path", "group", "last_before", "docs", F.max("stop").over(Window.partitionBy("path")).alias("file_end"))
+    over_group = Window.partitionBy("path", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = narrow.withColumn("last_here", F.max("last").over(over_group)).withColumn("docs_here", F.coalesce(F.sum("separators").over(over_group), F.lit(0)))
+    narrow = narrow.join(groups, ["path", "group"])
+    opened = F.coalesce(F.coalesce("last_here", "last_before") + 1, F.lit(0).cast("long"))
+    narrow = narrow.select("path", "block", opened.alias("open"), (F.col("docs") + F.col("docs_here")).alias("docs_before"), "file_end", (F.col("stop") == F.col("file_end")).alias("is_last"))
+    found = found.join(narrow, ["path", "block"])
+    # Documents end at the block's separators, and what the last block of a file leaves open at the file's end.
+    stops = F.transform("at", lambda x: F.col("start") + x)
+    tail = F.col("is_last") & (F.col("file_end") > F.coalesce(F.col("last") + 1, F.col("open")))
+    stops = F.when(tail, F.concat(stops, F.array("file_end"))).otherwise(stops)
+    found = found.select("path", "open", "docs_before", "separators", stops.alias("stops"))
+    starts = F.concat(F.array("open"), F.transform(F.slice("stops", 1, F.greatest(F.size("stops") - 1, F.lit(0))), lambda x: x + 1))
+    found = found.where(F.size("stops") > 0).select("path", "docs_before", "separators", F.arrays_zip(starts.alias("start"), F.col("stops").alias("stop")).alias("docs"))
+    rows = found.select("path", "docs_before", "separators", F.posexplode("docs").alias("k", "doc"))
+    return rows.select("path", (F.col("docs_before") + F.col("k")).alias("doc_no"), F.col("doc")["start"].alias("start"), (F.col("doc")["stop"] - F.col("doc")["start"]).alias("n_tokens"), (F.col("k") < F.col("separators")).alias("ended"))
 
 
 @lru_cache(maxsize=2)
