@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 #: Entries of a worker's cache, and characters of the longest piece it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
@@ -96,8 +97,8 @@ class WordBpe:
         cuts = [k for k in range(1, stop) if (body[k - 1], body[k]) not in joined]
         if stop and (body[stop - 1], body[stop] + self.end) not in joined:
             cuts.append(stop)
-        if not cuts:
-            return self.encode_fragment(body, True)
+        if not cuts:  # a whole word, which the caller remembers
+            return [t.id for t in self.last.tokenize(body)]
         cuts = [0, *cuts, stop + 1]
         return [i for a, b in zip(cuts, cuts[1:]) for i in self.encode_fragment(body[a:b], b > stop)]
 
@@ -177,10 +178,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
 
     @F.pandas_udf("ids array<int>, decoded string")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
-        rows = [[int(i) for p in bpe.encode(t) for i in p[0].split()] for t in texts]
-        return pd.DataFrame({"ids": rows, "decoded": [bpe.decode(r) for r in rows]})
+
+        def encoded(texts: pd.Series) -> pd.DataFrame:
+            rows = [[int(i) for p in bpe.encode(t) for i in p[0].split()] for t in texts]
+            return pd.DataFrame({"ids": rows, "decoded": [bpe.decode(r) for r in rows]})
+
+        yield from tidied(map(encoded, batches))
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", encode("text").alias("x")).select("doc_id", "x.ids", "x.decoded")
@@ -190,9 +195,9 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """encode_documents() with ids and decoded text as digests, so that neither leaves the worker."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
-        return pd.DataFrame([bpe.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        yield from tidied(pd.DataFrame([bpe.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"]) for texts in batches)
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", digest("text").alias("x")).select("doc_id", "x.*")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,28 @@ def _bytes(setting: str) -> int:
     return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
 
 
+def _give_back() -> None:
+    """Return memory that Python has freed to the system (glibc keeps it otherwise); elsewhere nothing happens."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(results: Iterator, every: int = 16) -> Iterator:
+    """The results of a worker's batches, with freed memory returned now and then and at the end.
+
+    Workers are kept for the stages that follow, so what one stage has freed would count against them.
+    """
+    try:
+        for k, result in enumerate(results, 1):
+            yield result
+            if k % every == 0:
+                _give_back()
+    finally:
+        _give_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset on a local master."""
     sc = spark.sparkContext

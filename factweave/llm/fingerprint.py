@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 #: Levels of phrases kept, from the coarsest; hashes kept of a level; a finer level is kept below FEW names of this one.
 LEVELS, KEEP, FEW = (3, 2, 1), 64, 32
@@ -233,7 +233,7 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
                 yield work(ids, texts)
 
     small_batches(spark)
-    return rows.mapInPandas(follow, schema)
+    return rows.mapInPandas(lambda batches: tidied(follow(batches)), schema)
 
 
 def compare_edits(ids: list, texts: list[str]) -> pd.DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, table
+from .common import components, cut, small_batches, table, tidied
 from .fingerprint import mixed
 
 WORDS, PERCENT = 5, 75
@@ -191,11 +191,11 @@ def _bands(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _by_part(batches, _bands, "bands")
+    return tidied(_by_part(batches, _bands, "bands"), 256)
 
 
 def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _by_part(batches, lambda sets: pa.array([s.tobytes() for s in sets], pa.binary()), "members")
+    return tidied(_by_part(batches, lambda sets: pa.array([s.tobytes() for s in sets], pa.binary()), "members"), 256)
 
 
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -212,10 +212,14 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def _linked_rows(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    yield from tidied(_linked(a, b) for a, b in batches)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the documents that name the classes of pairs (a, b), where full sets are similar enough."""
     left, right = (sets.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("members").alias(f"set_{c}")) for c in "ab")
-    linked = pairs.join(left, "a").join(right, "b").where(F.pandas_udf(_linked, "boolean")("set_a", "set_b"))
+    linked = pairs.join(left, "a").join(right, "b").where(F.pandas_udf(_linked_rows, "boolean")("set_a", "set_b"))
     return linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 

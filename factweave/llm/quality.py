@@ -8,6 +8,7 @@ bounded sample of labelled documents; scoring is one pass in Arrow batches witho
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 from .toxicity import labelled_sample, marked
 
 #: Labelled documents of each class that the model is fitted on, at most, and bytes of their whole texts, at most.
@@ -115,8 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 
 def scorer(model: Quality):
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(pd.Series([model.score(t) for t in texts], dtype="float64") for texts in batches)
 
     return score
 

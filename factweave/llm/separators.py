@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, small_batches, table
+from .common import cut, new_folder, small_batches, table, tidied
 
 #: Tokens of a block, and bytes of a token.
 BLOCK, WIDTH = 1 << 20, 2
@@ -113,9 +113,9 @@ def token_files(docs: DataFrame, path: str, pattern: str, end: int = END) -> str
     """
 
     @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = _ranks(path, pattern)
-        return pd.Series([np.array(encoding.encode_ordinary(t or ""), "<u2").tobytes() for t in texts], dtype="object")
+        yield from tidied(pd.Series([np.array(encoding.encode_ordinary(t or ""), "<u2").tobytes() for t in texts], dtype="object") for texts in batches)
 
     small_batches(docs.sparkSession)
     folder = new_folder(docs.sparkSession, "tokens")

@@ -12,6 +12,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 #: Labelled documents of each class that the model is fitted on, at most, and bytes of their texts, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 8 << 20
@@ -231,8 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 
 def scorer(model: Lexicon):
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(pd.Series([model.score(t) for t in texts], dtype="float64") for texts in batches)
 
     return score
 
