@@ -14,7 +14,12 @@ TYPE_ALIASES = {
 # Comparison operators and their complements.
 COMPLEMENTS = {"==": "!=", "!=": "==", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}
 # Fragments that mark a configuration key as sensitive, after punctuation is stripped and case folded.
-SENSITIVE_KEYS = ("PASSWORD", "PASSWD", "PWD", "SECRET", "TOKEN", "APIKEY", "CREDENTIAL", "CONNECTIONSTRING", "PRIVATEKEY", "CERTIFICATE")
+SENSITIVE_KEYS = ("PASSWORD", "PASSPHRASE", "PWD", "SECRET", "TOKEN", "APIKEY", "ACCESSKEY", "PRIVATEKEY", "CONNECTIONSTRING", "CREDENTIAL", "AUTHORIZATION")
+# Words that make a value sensitive wherever they stand, in any case; beginnings of known tokens.
+SENSITIVE_WORDS = ("password", "secret", "token", "connection-string", "connectionstring", "api_key", "apikey")
+TOKEN_STARTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")
+# Technical words that are written in capitals.
+ACRONYMS = ("Sql", "Json", "Id", "Http", "Url", "Api", "Db", "Ef")
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:
@@ -116,14 +121,17 @@ def aliased_type(display: Column) -> Column:
 
 
 def humanize(key: Column) -> Column:
-    """Words of a camel-case or separated name, acronyms kept whole, in lower case but acronyms."""
-    parted = F.regexp_replace(F.regexp_replace(F.regexp_replace(key, "[_-]+", " "), "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    words = F.transform(F.split(F.trim(parted), " +"), lambda w: F.when(w.rlike("^[A-Z0-9]{2,}$"), w).otherwise(F.lower(w)))
-    return F.array_join(words, " ")
+    """Words of a camel-case name, the first one as it stands with a capital, the others with a small letter, ACRONYMS in capitals."""
+    words = F.split(key, r"(?<=\p{Ll})(?=\p{Lu})|(?<=.)(?=\p{Lu}\p{Ll})")
+    first = lambda w, fold: F.concat(fold(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
+    said = F.transform(words, lambda w, k: F.when(w.isin(*ACRONYMS), F.upper(w)).when(k == 0, first(w, F.upper)).otherwise(first(w, F.lower)))
+    return F.array_join(said, " ")
 
 
 def pluralize(word: Column) -> Column:
-    return F.when(word.rlike("[^aeiou]y$"), F.regexp_replace(word, "y$", "ies")).when(word.rlike("(s|x|z|ch|sh)$"), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
+    """With ies for a y after no vowel, else with s; null for endings (s, x, z, ch, sh) that want another plural, and for an empty word."""
+    ies = F.regexp_replace(word, "[yY]$", "ies")
+    return F.when(word.rlike("[^aeiouAEIOU][yY]$"), ies).when((F.length(word) > 0) & ~word.rlike("([sxz]|[cs]h)$"), F.concat(word, F.lit("s")))
 
 
 def participant_key(name: Column) -> Column:
@@ -131,11 +139,14 @@ def participant_key(name: Column) -> Column:
 
 
 def diagram_label(text: Column) -> Column:
-    """Text safe inside a diagram line: one line, and quotes, semicolons and back-ticks as entities."""
-    out = F.regexp_replace(text, r"[\r\n]+", " ")
-    out = F.replace(F.replace(out, F.lit("#"), F.lit("#35;")), F.lit(";"), F.lit("#59;"))
-    out = F.replace(out, F.lit("#35#59;"), F.lit("#35;"))
-    return F.replace(F.replace(out, F.lit('"'), F.lit("#quot;")), F.lit("`"), F.lit("#96;"))
+    """Text safe as a label: every line break (one for CR LF) a space, quotes as entities."""
+    return F.replace(F.regexp_replace(text, r"\r\n|\r|\n", " "), F.lit('"'), F.lit("#quot;"))
+
+
+def diagram_alias(text: Column) -> Column:
+    """Text safe as a participant's unquoted name: control characters as spaces, quotes, semicolons and back-ticks as entities."""
+    out = F.regexp_replace(text, r"[\x00-\x1F\x7F-\x9F]", " ")
+    return F.replace(F.replace(F.replace(out, F.lit(";"), F.lit("#59;")), F.lit("`"), F.lit("#96;")), F.lit('"'), F.lit("#quot;"))
 
 
 def markdown_text(text: Column) -> Column:
@@ -143,8 +154,9 @@ def markdown_text(text: Column) -> Column:
 
 
 def delay_label(milliseconds: Column) -> Column:
-    whole = milliseconds % 1000 == 0
-    return F.when(whole, F.concat((milliseconds / 1000).cast("long").cast("string"), F.lit(" s"))).otherwise(F.concat(milliseconds.cast("string"), F.lit(" ms")))
+    """Whole seconds as seconds, else milliseconds."""
+    seconds = F.concat(F.lit("Wait "), (milliseconds / 1000).cast("long").cast("string"), F.lit(" seconds"))
+    return F.when(milliseconds % 1000 == 0, seconds).otherwise(F.concat(F.lit("Wait "), milliseconds.cast("string"), F.lit(" milliseconds")))
 
 
 def json_boolean(json: Column, path: str) -> Column:
@@ -168,14 +180,17 @@ def hex_key(text: Column) -> Column:
 
 
 def sensitive_key(key: Column) -> Column:
-    return F.upper(F.regexp_replace(key, "[^A-Za-z0-9]", "")).rlike("|".join(SENSITIVE_KEYS))
+    """Whether a key holds a sensitive fragment once everything but letters and digits is left out."""
+    return F.upper(F.regexp_replace(key, r"[^\p{L}\p{Nd}]", "")).rlike("|".join(SENSITIVE_KEYS))
 
 
 def looks_sensitive(value: Column) -> Column:
-    """Known secret formats, or a run of 20 and more letters, digits and signs of which ten and more differ, with digits and letters."""
-    known = value.rlike(r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-    mixed = value.rlike(r"^[A-Za-z0-9+/=_-]{20,}$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
-    return known | mixed
+    """Null, a sensitive word, the form of a known token, or 16 and more letters and digits, ten of them different, with a digit."""
+    word = F.lower(value).rlike("|".join(SENSITIVE_WORDS))
+    known = value.rlike(r"(?s)^(AKIA|ASIA).{16}\z|(?s)^sk-.{17}") | value.rlike(f"^({'|'.join(TOKEN_STARTS)})")
+    dotted = value.rlike(r"^[\p{L}\p{Nd}_-]{8,}(\.[\p{L}\p{Nd}_-]{8,}){2}\z")
+    mixed = value.rlike(r"^[\p{L}\p{Nd}]{16,}\z") & value.rlike(r"\p{Nd}") & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
+    return F.coalesce(word | known | dotted | mixed, F.lit(True))
 
 
 def excluded_call(type_name: Column, member: Column, pattern: Column) -> Column:

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to spark.checkpoint.dir (a folder of this machine only where that is unset)."""
+    """The rows, written to spark.checkpoint.dir (a folder of its own only where that is unset on a local master)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -24,7 +27,7 @@ def closure(starts: DataFrame, edges: DataFrame, on: list[str] | None = None, ma
     """All (start, node) with node reached from start, itself included, over edges(source, target).
 
     on: columns that starts and edges share and that bound the search (a method, a profile). Edges are distinct per
-    bound; cycles end as only new pairs go on.
+    bound; cycles end as only new pairs go on. Raises RuntimeError rather than return an unfinished result.
     """
     on = on or []
     seen = cut(starts.select(*on, F.col("start"), F.col("start").alias("node")).distinct())
@@ -37,6 +40,8 @@ def closure(starts: DataFrame, edges: DataFrame, on: list[str] | None = None, ma
         if not new.limit(1).count():
             break
         seen = cut(seen.unionAll(new))
+    else:
+        raise RuntimeError(f"the closure is not complete after {max_rounds} rounds")
     return seen
 
 

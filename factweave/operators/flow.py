@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Graph = tuple[int, list[int], list[int]]  # exit block, successor sets, predecessor sets
-Block = tuple[int, int, str, int | None, int | None]  # ord, n, event_type, cond_succ, fall
+Block = tuple[int, int, str, int | None, int | None]  # ord, n, terminal, cond_succ, fall
 
 
 def graph_of(body: list[Block]) -> Graph:
@@ -88,7 +88,7 @@ def reached(g: Graph, start: int) -> int:
 def per_method(blocks: DataFrame, rows: Callable[[Graph, list[Block]], list[tuple]], schema: str) -> DataFrame:
     """rows(graph, body) -> tuples after the method id, for every method."""
     names = ["method", *(c.split()[0] for c in schema.split(", "))]
-    columns = ["ord", "n", "event_type", "cond_succ", "fall"]
+    columns = ["ord", "n", "terminal", "cond_succ", "fall"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, body = None, []  # the method that the last batch may have cut
@@ -130,16 +130,21 @@ def post_dominators(blocks: DataFrame) -> DataFrame:
 
 
 def edges(blocks: DataFrame) -> DataFrame:
-    """(method, source, target, kind): True and False out of decisions, LoopBack to a dominating earlier block, Return, Throw, Normal.
+    """(method, source, target, kind) of blocks(method, ord, n, terminal, cond_succ, fall); n is the exit block.
 
-    A block with a conditional successor is a decision; its fall-through edge is False. An edge back to a block that
-    dominates its source is LoopBack whatever its condition.
+    Out of a Conditional block True and False, or LoopBack where the target is no later block and dominates the source.
+    The fall-through of a block that ends in Return, Throw or Rethrow is of that kind, also backwards; of others it is
+    LoopBack or Normal. A Throw or Rethrow without fall-through leads to the exit.
     """
-    flat = blocks.select("method", "ord", "n", "event_type", F.explode(F.array(F.struct(F.col("cond_succ").alias("target"), F.lit(True).alias("taken")), F.struct(F.col("fall").alias("target"), F.lit(False).alias("taken")))).alias("e"), F.col("cond_succ").isNotNull().alias("decision"))
-    flat = flat.where("e.target is not null").select("method", F.col("ord").alias("source"), F.col("e.target").alias("target"), "e.taken", "decision", "event_type")
+    way = lambda target, taken: F.struct(F.col(target).alias("target"), F.lit(taken).alias("taken"))
+    flat = blocks.select("method", F.col("ord").alias("source"), "terminal", F.explode(F.array(way("cond_succ", True), way("fall", False))).alias("e"))
+    flat = flat.where("e.target is not null").select("method", "source", F.col("e.target").alias("target"), "e.taken", "terminal")
     back = back_edges(blocks).withColumn("back", F.lit(True))
-    kind = F.when(F.col("back"), "LoopBack").when(F.col("taken"), "True").when(F.col("decision"), "False").when(F.col("event_type") == "purchase", "Return").otherwise("Normal")
-    return flat.join(back, ["method", "source", "target"], "left").select("method", "source", "target", kind.alias("kind"))
+    leaves = F.col("terminal").isin("Return", "Throw", "Rethrow")
+    kind = F.when(leaves, F.col("terminal")).when(F.col("back"), "LoopBack").when(F.col("taken"), "True").when(F.col("terminal") == "Conditional", "False").otherwise("Normal")
+    inside = flat.join(back, ["method", "source", "target"], "left").select("method", "source", "target", kind.alias("kind"))
+    thrown = blocks.where("fall is null and terminal in ('Throw', 'Rethrow')")
+    return inside.unionAll(thrown.select("method", F.col("ord").alias("source"), F.col("n").alias("target"), F.col("terminal").alias("kind")))
 
 
 def _back(g: Graph):
@@ -187,24 +192,24 @@ def control_dependences(blocks: DataFrame) -> DataFrame:
 
 
 def outcomes(blocks: DataFrame) -> DataFrame:
-    """(method, outcome): ExplicitReturn and EscapingThrow where such blocks exist, NormalCompletion where the entry
-    reaches the exit block, NoNormalExit where neither a return nor the exit is there."""
+    """(method, ord, outcome): how a method can end; blocks as for edges(), with escaping for throws that nothing catches.
 
-    def rows(g: Graph, body: list[Block]):
-        kinds = {b[2] for b in body}
-        seen = reached(g, 0)
-        out = [name for name, kind in (("ExplicitReturn", "purchase"), ("EscapingThrow", "error")) if kind in kinds]
-        if seen >> g[0] & 1:
-            out.append("NormalCompletion")
-        elif "purchase" not in kinds:
-            out.append("NoNormalExit")
-        return [(name,) for name in out]
-
-    return per_method(blocks, rows, "outcome string")
+    A row for each block that returns (ExplicitReturn), throws out of the method (EscapingThrow) or ends in a way Unknown. For
+    the whole method (ord null) NormalCompletion, if some block but a caught throw falls through to the exit, and NoNormalExit,
+    if there is neither that nor a return.
+    """
+    throws = F.col("terminal").isin("Throw", "Rethrow")
+    escaping = F.coalesce(F.col("escaping"), F.lit(False))
+    kind = F.when(F.col("terminal") == "Return", "ExplicitReturn").when(F.col("terminal") == "Unknown", "Unknown").when(throws & escaping, "EscapingThrow")
+    own = blocks.select("method", "ord", kind.alias("outcome")).where("outcome is not null")
+    done = F.bool_or(F.coalesce(F.col("fall") == F.col("n"), F.lit(False)) & (~throws | escaping))
+    whole = blocks.groupBy("method").agg(done.alias("done"), F.bool_or(F.col("terminal") == "Return").alias("returns"))
+    last = F.when(F.col("done"), "NormalCompletion").when(~F.col("returns"), "NoNormalExit")
+    return own.unionAll(whole.select("method", F.lit(None).cast("long").alias("ord"), last.alias("outcome")).where("outcome is not null"))
 
 
 def reachability(blocks: DataFrame, kind: str | None = None) -> DataFrame:
-    """(method, start, node): the nodes reached from each node, itself included; starts are blocks of one event type if given."""
+    """(method, start, node): the nodes reached from each node, itself included; starts are blocks of one terminal if given."""
 
     def rows(g: Graph, body: list[Block]):
         starts = range(g[0] + 1) if kind is None else [b[0] for b in body if b[2] == kind]

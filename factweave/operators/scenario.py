@@ -72,7 +72,7 @@ def arm_terminals(blocks: DataFrame) -> DataFrame:
                 while end is None:
                     if at == exit_block or at in decision:
                         end = "Rejoins"
-                    elif kind[at] in ("purchase", "error"):
+                    elif kind[at] in ("Return", "Throw", "Rethrow"):
                         end = "Terminates"
                     elif at in seen or not after[at]:
                         end = "Unknown"

@@ -16,16 +16,14 @@ VIEWS = {
     "v_inv": "SELECT l_orderkey AS owner, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) - 1 AS op_ord, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS method_id, l_suppkey AS target, l_returnflag AS kind, l_linestatus AS status FROM {lineitem}",
     # Call edges: an invocation calls the next one of its owner.
     "v_call": "SELECT caller, callee, owner, op_ord FROM (SELECT method_id AS caller, lead(method_id) OVER (PARTITION BY owner ORDER BY op_ord) AS callee, owner, op_ord FROM v_inv) AS c WHERE callee IS NOT NULL",
-    # Basic blocks: the first twelve events of a user are the blocks of one method. Only the DuckDB counterparts still read this cut.
+    # Basic blocks: the events of a user are the blocks of one method, the block after the last is its exit. Views decide,
+    # purchases return, errors throw, throw again or end in a way unknown, and two of three throws escape.
     "v_block": """SELECT f.user_id AS method, ord, n, event_type,
       CASE WHEN event_type = 'view' AND event_id % n <> ord + 1 THEN event_id % n END AS cond_succ,
-      CASE WHEN event_type IN ('view','click','signup') THEN ord + 1 WHEN event_type = 'purchase' THEN n END AS fall
-      FROM (SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS ord FROM {events}) AS f
-      JOIN (SELECT user_id, CAST(least(count(*), 12) AS BIGINT) AS n FROM {events} GROUP BY user_id) AS c ON f.user_id = c.user_id WHERE ord < 12""",
-    # The same with every event of a user, however many: what the queries read.
-    "v_block_all": """SELECT f.user_id AS method, ord, n, event_type,
-      CASE WHEN event_type = 'view' AND event_id % n <> ord + 1 THEN event_id % n END AS cond_succ,
-      CASE WHEN event_type IN ('view','click','signup') THEN ord + 1 WHEN event_type = 'purchase' THEN n END AS fall
+      CASE WHEN event_type IN ('view','click','signup') THEN ord + 1 WHEN event_type = 'purchase' THEN n END AS fall,
+      CASE WHEN event_type = 'view' AND event_id % n <> ord + 1 THEN 'Conditional' WHEN event_type = 'purchase' THEN 'Return'
+        WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'Rethrow' WHEN 1 THEN 'Unknown' ELSE 'Throw' END ELSE 'None' END AS terminal,
+      event_id % 3 <> 0 AS escaping
       FROM (SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS ord FROM {events}) AS f
       JOIN (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id) AS c ON f.user_id = c.user_id""",
     "v_edge": "SELECT method, ord AS source, fall AS target, 'Fall' AS way FROM v_block WHERE fall IS NOT NULL UNION ALL SELECT method, ord, cond_succ, 'Cond' FROM v_block WHERE cond_succ IS NOT NULL",

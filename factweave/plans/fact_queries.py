@@ -103,7 +103,7 @@ def _paired(spark, d):
     return joins.paired(view(spark, d, "v_inv").withColumn("is_true", F.col("status") == "F"), ["owner"], "op_ord")
 
 
-_SETS = "s AS (SELECT DISTINCT u.method AS g, u.local_name || ':' || (u.event_id % 2) AS m FROM v_def u WHERE u.ord <= 3)"
+_SETS = "s AS (SELECT DISTINCT u.method AS g, u.local_name || ':' || (u.event_id % 2) AS m FROM v_def u)"
 
 
 def _sets(spark, d):
@@ -203,13 +203,13 @@ def _closure(spark, d):
 
 @query("value_reachability", f"{with_views('v_edge', 'v_node', recursive=True)}, r AS (SELECT method, node AS start, node FROM v_node UNION SELECT r.method, r.start, e.target FROM r JOIN v_edge e ON e.method = r.method AND e.source = r.node) SELECT method, start, node FROM r")
 def _reach(spark, d):
-    return flow.reachability(view(spark, d, "v_block_all"))
+    return flow.reachability(view(spark, d, "v_block"))
 
 
 @query("parameter_influence", f"{with_views('v_edge', 'v_block', recursive=True)}, r AS (SELECT method, ord AS start, ord AS node FROM v_block WHERE event_type = 'signup' UNION SELECT r.method, r.start, e.target FROM r JOIN v_edge e ON e.method = r.method AND e.source = r.node) SELECT r.method, r.start AS parameter, bool_or(coalesce(b.event_type = 'purchase', false)) AS to_return, bool_or(coalesce(b.event_type = 'error', false)) AS to_state FROM r LEFT JOIN v_block b ON b.method = r.method AND b.ord = r.node GROUP BY r.method, r.start")
 def _influence(spark, d):
-    blocks = view(spark, d, "v_block_all")
-    found = flow.reachability(blocks, "signup")
+    blocks = view(spark, d, "v_block")
+    found = flow.reachability(blocks.withColumn("terminal", F.col("event_type")), "signup")
     kinds = blocks.select("method", F.col("ord").alias("node"), "event_type")
     hit = lambda k: F.bool_or(F.coalesce(F.col("event_type") == k, F.lit(False)))
     return found.join(kinds, ["method", "node"], "left").groupBy("method", F.col("start").alias("parameter")).agg(hit("purchase").alias("to_return"), hit("error").alias("to_state"))
@@ -217,7 +217,7 @@ def _influence(spark, d):
 
 _EXPAND = f"""{with_views('v_call', 'v_method')},
  s AS (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY owner, op_ord, callee) AS place FROM v_call),
- l0 AS (SELECT method_id AS root, method_id, [method_id] AS trail, []::INT[] AS places, 0 AS depth, NULL AS stop FROM v_method WHERE method_id % 20 = 0),
+ l0 AS (SELECT method_id AS root, method_id, [method_id] AS trail, []::INT[] AS places, 0 AS depth, NULL AS stop FROM v_method),
  l1 AS (SELECT root, s.callee AS method_id, list_append(trail, s.callee) AS trail, list_append(places, place::INT) AS places, 1 AS depth, CASE WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN list_contains(trail, s.callee) THEN 'Cycle' END AS stop FROM l0 JOIN s ON s.caller = l0.method_id LEFT JOIN v_method m ON m.method_id = s.callee),
  l2 AS (SELECT root, s.callee, list_append(trail, s.callee), list_append(places, place::INT), 2, CASE WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN list_contains(trail, s.callee) THEN 'Cycle' ELSE 'Depth' END FROM l1 JOIN s ON s.caller = l1.method_id AND l1.stop IS NULL LEFT JOIN v_method m ON m.method_id = s.callee),
  u AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2),
@@ -267,7 +267,7 @@ def _status(spark, d):
     return view(spark, d, "v_inv").select("owner", "op_ord", "status", code.alias("code"), polarity.alias("polarity"))
 
 
-@query("plan_coverage", f"{with_views('v_msg', 'v_inv')} SELECT coalesce(m.plan, r.plan) AS plan, coalesce(m.ord, r.ord) AS ord, coalesce(refs, 0) AS refs FROM (SELECT DISTINCT plan, ord FROM v_msg) m FULL JOIN (SELECT owner AS plan, line AS ord, count(*) AS refs FROM v_inv WHERE owner <= 200 GROUP BY ALL) r ON m.plan = r.plan AND m.ord = r.ord WHERE coalesce(refs, 0) <> 1 OR m.plan IS NULL")
+@query("plan_coverage", f"{with_views('v_msg', 'v_inv')} SELECT coalesce(m.plan, r.plan) AS plan, coalesce(m.ord, r.ord) AS ord, coalesce(refs, 0) AS refs FROM (SELECT DISTINCT plan, ord FROM v_msg) m FULL JOIN (SELECT owner AS plan, line AS ord, count(*) AS refs FROM v_inv GROUP BY ALL) r ON m.plan = r.plan AND m.ord = r.ord WHERE coalesce(refs, 0) <> 1 OR m.plan IS NULL")
 def _coverage(spark, d):
     """Messages not referenced exactly once, and references without a message."""
     messages = view(spark, d, "v_msg").select("plan", "ord").distinct().withColumn("there", F.lit(True))

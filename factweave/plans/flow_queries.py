@@ -7,7 +7,7 @@ _NAMES = ["dominators", "post_dominators", "back_edges", "natural_loops", "loop_
 
 
 def _query(fn):
-    return lambda spark, sf_dir: fn(view(spark, sf_dir, "v_block_all"))
+    return lambda spark, sf_dir: fn(view(spark, sf_dir, "v_block"))
 
 
 QUERIES = {"cfg_edges": _query(flow.edges)} | {f"cfg_{n}": _query(getattr(flow, n)) for n in _NAMES}
@@ -31,8 +31,9 @@ body AS (SELECT method, source AS latch, target AS header, target AS node FROM b
   UNION SELECT b.method, b.latch, b.header, e.source FROM body b JOIN v_edge e ON e.method = b.method AND e.target = b.node WHERE b.node <> b.header)"""
 
 ORACLES = {
-    "cfg_edges": f"""{_DOM} SELECT e.method, e.source, e.target, CASE WHEN back.method IS NOT NULL THEN 'LoopBack' WHEN way = 'Cond' THEN 'True' WHEN cond_succ IS NOT NULL THEN 'False' WHEN event_type = 'purchase' THEN 'Return' ELSE 'Normal' END AS kind
-      FROM v_edge e JOIN v_block b ON b.method = e.method AND b.ord = e.source LEFT JOIN back ON back.method = e.method AND back.source = e.source AND back.target = e.target""",
+    "cfg_edges": f"""{_DOM} SELECT e.method, e.source, e.target, CASE WHEN terminal IN ('Return', 'Throw', 'Rethrow') THEN terminal WHEN back.method IS NOT NULL THEN 'LoopBack' WHEN way = 'Cond' THEN 'True' WHEN terminal = 'Conditional' THEN 'False' ELSE 'Normal' END AS kind
+      FROM v_edge e JOIN v_block b ON b.method = e.method AND b.ord = e.source LEFT JOIN back ON back.method = e.method AND back.source = e.source AND back.target = e.target
+      UNION ALL SELECT method, ord, n, terminal FROM v_block WHERE fall IS NULL AND terminal IN ('Throw', 'Rethrow')""",
     "cfg_dominators": f"{_DOM} SELECT method, dominator, node FROM dom",
     "cfg_post_dominators": f"{_PDOM} SELECT method, dominator, node FROM pdom",
     "cfg_back_edges": f"{_DOM} SELECT method, source, target FROM back",
@@ -43,9 +44,7 @@ ORACLES = {
       FROM v_block b JOIN v_node n ON n.method = b.method WHERE b.cond_succ IS NOT NULL AND b.fall IS NOT NULL
       AND EXISTS (SELECT 1 FROM pdom p WHERE p.method = b.method AND p.dominator = n.node AND p.node = b.cond_succ) <> EXISTS (SELECT 1 FROM pdom p WHERE p.method = b.method AND p.dominator = n.node AND p.node = b.fall)
       AND NOT EXISTS (SELECT 1 FROM pdom p WHERE p.method = b.method AND p.dominator = n.node AND p.node = b.ord)""",
-    "cfg_outcomes": f"""{_W}, seen AS (SELECT DISTINCT method, CAST(0 AS BIGINT) AS node FROM v_block UNION SELECT e.method, e.target FROM seen s JOIN v_edge e ON e.method = s.method AND e.source = s.node),
-      f AS (SELECT method, bool_or(event_type = 'purchase') AS ret, bool_or(event_type = 'error') AS thr, max(n) AS n FROM v_block GROUP BY method),
-      x AS (SELECT f.*, EXISTS (SELECT 1 FROM seen s WHERE s.method = f.method AND s.node = f.n) AS done FROM f)
-      SELECT method, 'ExplicitReturn' AS outcome FROM x WHERE ret UNION ALL SELECT method, 'EscapingThrow' FROM x WHERE thr
-      UNION ALL SELECT method, 'NormalCompletion' FROM x WHERE done UNION ALL SELECT method, 'NoNormalExit' FROM x WHERE NOT done AND NOT ret""",
+    "cfg_outcomes": f"""{with_views('v_block')}, f AS (SELECT method, bool_or(coalesce(fall = n, false) AND (terminal NOT IN ('Throw', 'Rethrow') OR escaping)) AS done, bool_or(terminal = 'Return') AS ret FROM v_block GROUP BY method)
+      SELECT method, ord, CASE terminal WHEN 'Return' THEN 'ExplicitReturn' WHEN 'Unknown' THEN 'Unknown' ELSE 'EscapingThrow' END AS outcome FROM v_block WHERE terminal IN ('Return', 'Unknown') OR (terminal IN ('Throw', 'Rethrow') AND escaping)
+      UNION ALL SELECT method, NULL, 'NormalCompletion' FROM f WHERE done UNION ALL SELECT method, NULL, 'NoNormalExit' FROM f WHERE NOT done AND NOT ret""",
 }

@@ -118,22 +118,22 @@ def _bare(spark, d):
 _NODES = """SELECT owner AS tree, op_ord AS node, CASE WHEN op_ord > 0 THEN (op_ord - 1) // 2 END AS parent, op_ord AS place,
   CASE WHEN op_ord * 2 + 2 < n THEN 'binary' WHEN op_ord * 2 + 1 < n THEN 'unary' ELSE 'constant' END AS kind,
   CASE WHEN op_ord * 2 + 2 < n THEN CASE method_id % 3 WHEN 0 THEN '&&' WHEN 1 THEN '||' ELSE '==' END WHEN op_ord * 2 + 1 < n THEN '!' END AS operator,
-  'System.Int32' AS type, CAST(target AS VARCHAR) AS constant FROM (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM v_inv) WHERE n <= 7"""
+  'System.Int32' AS type, CAST(target AS VARCHAR) AS constant FROM (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM v_inv) AS x"""
 
 
 def _trees(spark, d):
-    sql = _NODES.replace("//", "div").replace("VARCHAR", "STRING").replace("v_inv", "{v_inv}").replace("FROM (SELECT", "FROM (SELECT").replace(") WHERE n <= 7", ") AS x")
+    sql = _NODES.replace("//", "div").replace("VARCHAR", "STRING").replace("v_inv", "{v_inv}")
     return spark.sql(sql, v_inv=view(spark, d, "v_inv"))
 
 
 def _fold_sql(leaf: str, unary: str, binary: str) -> str:
-    """Three levels are all that seven nodes need."""
-    out = f"{with_views('v_inv')}, t AS ({_NODES}), l3 AS (SELECT tree, node, {leaf} AS x, 9 AS r FROM t WHERE kind = 'constant')"
-    for k in ("2", "1", "0"):
-        below = {"2": "l3", "1": "l2", "0": "l1"}[k]
-        out += f""", l{k} AS (SELECT t.tree, t.node, CASE kind WHEN 'constant' THEN {leaf} WHEN 'unary' THEN {unary} ELSE {binary} END AS x,
+    """Levels from the deepest up: seven of them hold trees of 127 nodes, of which no owner here has half."""
+    out = f"{with_views('v_inv')}, t AS MATERIALIZED ({_NODES}), l6 AS (SELECT tree, node, {leaf} AS x, 9 AS r FROM t WHERE kind = 'constant' AND node >= 63)"
+    for k in range(5, -1, -1):
+        below = f"l{k + 1}"
+        out += f""", l{k} AS MATERIALIZED (SELECT t.tree, t.node, CASE kind WHEN 'constant' THEN {leaf} WHEN 'unary' THEN {unary} ELSE {binary} END AS x,
           CASE kind WHEN 'constant' THEN 9 WHEN 'unary' THEN 7 ELSE CASE operator WHEN '||' THEN 1 WHEN '&&' THEN 2 ELSE 3 END END AS r
-          FROM t LEFT JOIN {below} a ON a.tree = t.tree AND a.node = 2 * t.node + 1 LEFT JOIN {below} b ON b.tree = t.tree AND b.node = 2 * t.node + 2)"""
+          FROM t LEFT JOIN {below} a ON a.tree = t.tree AND a.node = 2 * t.node + 1 LEFT JOIN {below} b ON b.tree = t.tree AND b.node = 2 * t.node + 2 WHERE t.node >= {2**k - 1} AND t.node < {2 ** (k + 1) - 1})"""
     return out + " SELECT tree, x AS text, CAST(NULL AS VARCHAR) AS code FROM l0 WHERE node = 0"
 
 

@@ -35,9 +35,9 @@ def _caught(spark, d):
     return scenario.caught(throws, catches, spark.range(1, 10).select(F.col("id").alias("type"), F.floor(F.col("id") / 2).alias("above")))
 
 
-@query("evidence_cycles", f"{with_views('v_edge', recursive=True)}, e AS (SELECT method * 100 + source AS source, method * 100 + target AS target FROM v_edge WHERE method % 3 = 0), r AS (SELECT target AS start, target AS node FROM e UNION SELECT r.start, e.target FROM r JOIN e ON e.source = r.node) SELECT DISTINCT start AS node FROM r JOIN e ON e.source = r.node AND e.target = r.start")
+@query("evidence_cycles", f"{with_views('v_edge', recursive=True)}, e AS (SELECT method * 100 + source AS source, method * 100 + target AS target FROM v_edge), r AS (SELECT target AS start, target AS node FROM e UNION SELECT r.start, e.target FROM r JOIN e ON e.source = r.node) SELECT DISTINCT start AS node FROM r JOIN e ON e.source = r.node AND e.target = r.start")
 def _cycles(spark, d):
-    blocks = view(spark, d, "v_block_all")
+    blocks = view(spark, d, "v_block")
     # Node ids as in the SQL, and wider where a method has more than 99 blocks, so that no two nodes share an id.
     digits = F.greatest(F.lit(2), F.length(F.max("n").cast("string")))
     width = blocks.agg(F.rpad(F.lit("1"), digits + 1, "0").cast("long").alias("width"))
@@ -58,11 +58,11 @@ def _summary(spark, d):
 
 
 @query("arm_walk_terminals", f"""{with_views('v_block', recursive=True)}, a AS (SELECT method, ord AS decision, true AS arm, cond_succ AS spot FROM v_block WHERE cond_succ IS NOT NULL AND fall IS NOT NULL UNION ALL SELECT method, ord, false, fall FROM v_block WHERE cond_succ IS NOT NULL AND fall IS NOT NULL),
-  w AS (SELECT method, decision, arm, spot FROM a UNION SELECT w.method, decision, arm, b.fall FROM w JOIN v_block b ON b.method = w.method AND b.ord = w.spot WHERE b.cond_succ IS NULL AND b.event_type NOT IN ('purchase', 'error'))
-  SELECT w.method, decision, arm, coalesce(max(CASE WHEN b.ord IS NULL OR b.cond_succ IS NOT NULL THEN 'Rejoins' WHEN b.event_type IN ('purchase', 'error') THEN 'Terminates' END), 'Unknown') AS terminal
+  w AS (SELECT method, decision, arm, spot FROM a UNION SELECT w.method, decision, arm, b.fall FROM w JOIN v_block b ON b.method = w.method AND b.ord = w.spot WHERE b.cond_succ IS NULL AND b.fall IS NOT NULL AND b.terminal NOT IN ('Return', 'Throw', 'Rethrow'))
+  SELECT w.method, decision, arm, coalesce(max(CASE WHEN b.ord IS NULL OR b.cond_succ IS NOT NULL THEN 'Rejoins' WHEN b.terminal IN ('Return', 'Throw', 'Rethrow') THEN 'Terminates' END), 'Unknown') AS terminal
   FROM w LEFT JOIN v_block b ON b.method = w.method AND b.ord = w.spot GROUP BY ALL""")
 def _walk(spark, d):
-    return scenario.arm_terminals(view(spark, d, "v_block_all"))
+    return scenario.arm_terminals(view(spark, d, "v_block"))
 
 
 @query("handler_nesting", f"{with_views('v_def')} SELECT method, ord, last_value(CASE WHEN local_name = 'view' THEN ord END IGNORE NULLS) OVER w AS \"within\", count(CASE WHEN local_name = 'view' THEN ord END) OVER w AS depth FROM v_def WINDOW w AS (PARTITION BY method ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")

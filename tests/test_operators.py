@@ -11,30 +11,41 @@ def got(df, *cols):
     return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=repr)
 
 
-BLOCKS = "method string, ord long, n long, event_type string, cond_succ long, fall long"
+BLOCKS = "method string, ord long, n long, terminal string, cond_succ long, fall long"
 
 
 def test_diamond(spark):
     """0 -> 1; 1 decides between 3 (true) and 2 (false); both meet in the exit block 4."""
-    rows = [("m", 0, 4, "click", None, 1), ("m", 1, 4, "view", 3, 2), ("m", 2, 4, "click", None, 4), ("m", 3, 4, "click", None, 4)]
+    rows = [("m", 0, 4, "None", None, 1), ("m", 1, 4, "Conditional", 3, 2), ("m", 2, 4, "None", None, 4), ("m", 3, 4, "None", None, 4)]
     for given in (rows, rows[::-1]):
         blocks = spark.createDataFrame(given, BLOCKS)
         assert ("m", 4, 0) in got(flow.post_dominators(blocks)) and ("m", 4, 3) in got(flow.post_dominators(blocks))
         assert got(flow.back_edges(blocks)) == [] and got(flow.natural_loops(blocks)) == []
         assert got(flow.edges(blocks)) == [("m", 0, 1, "Normal"), ("m", 1, 2, "False"), ("m", 1, 3, "True"), ("m", 2, 4, "Normal"), ("m", 3, 4, "Normal")]
         assert got(flow.control_dependences(blocks)) == [("m", 1, 2, False), ("m", 1, 3, True)]
-        assert got(flow.outcomes(blocks)) == [("m", "NormalCompletion")]
+        assert got(flow.outcomes(blocks.withColumn("escaping", F.lit(False)))) == [("m", None, "NormalCompletion")]
 
 
 def test_loops_and_unreachable(spark):
     """A self-loop on 1; block 2 is reached by nothing and so dominated by everything."""
-    blocks = spark.createDataFrame([("m", 0, 3, "click", None, 1), ("m", 1, 3, "view", 1, 3), ("m", 2, 3, "click", None, 3)], BLOCKS)
+    blocks = spark.createDataFrame([("m", 0, 3, "None", None, 1), ("m", 1, 3, "Conditional", 1, 3), ("m", 2, 3, "None", None, 3)], BLOCKS)
     assert got(flow.back_edges(blocks)) == [("m", 1, 1)]
     assert got(flow.natural_loops(blocks)) == [("m", 1, 1, 1)]
     assert got(flow.loop_exits(blocks)) == [("m", 1, 1, 3)]
     assert [d for _, d, n in got(flow.dominators(blocks)) if n == 2] == [0, 1, 2, 3]
 
 
+def test_terminals(spark):
+    """A throw without fall-through leads to the exit, a return back to the entry stays a return, a caught throw ends nothing."""
+    schema = BLOCKS + ", escaping boolean"
+    rows = [("m", 0, 4, "Conditional", 2, 1, False), ("m", 1, 4, "Throw", None, None, True), ("m", 2, 4, "Return", None, 0, False), ("m", 3, 4, "Rethrow", None, 4, False)]
+    blocks = spark.createDataFrame(rows, schema)
+    assert got(flow.edges(blocks)) == [("m", 0, 1, "False"), ("m", 0, 2, "True"), ("m", 1, 4, "Throw"), ("m", 2, 0, "Return"), ("m", 3, 4, "Rethrow")]
+    assert got(flow.outcomes(blocks)) == [("m", 1, "EscapingThrow"), ("m", 2, "ExplicitReturn")]
+    alone = spark.createDataFrame([("k", 0, 1, "Unknown", None, None, None)], schema)
+    assert got(flow.outcomes(alone)) == [("k", 0, "Unknown"), ("k", None, "NoNormalExit")]
+
+
 @pytest.mark.parametrize("matches, expected", [(0, [(1, None, "none")]), (1, [(1, "a", None)]), (2, [(1, None, "many")])])
 def test_exactly_one(spark, matches, expected):
     left = spark.createDataFrame([(1,)], "k long")
@@ -117,12 +128,31 @@ def one(spark, fn, value, kind="string"):
         (text.single_generic_argument, "D<A,B>", None),
         (text.effective_return_type, "System.Threading.Tasks.ValueTask<X>", "X"),
         (text.aliased_type, "System.Int32?", "int"),
-        (text.humanize, "GetHTTPResponse", "get HTTP response"),
+        (text.humanize, "CustomerService", "Customer service"),
+        (text.humanize, "getHttpResponseById", "Get HTTP response by ID"),
+        (text.humanize, "GetSQLUrl", "Get sQL URL"),
         (text.pluralize, "query", "queries"),
+        (text.pluralize, "Box", None),
+        (text.pluralize, "Part", "Parts"),
         (text.observation_kind, "// fixme: later", "Todo"),
         (text.observation_kind, "/* Note this", "Note"),
         (text.observation_kind, "// noted", None),
-        (text.diagram_label, 'a "b";`c`\n#', "a #quot;b#quot;#59;#96;c#96; #35;"),
+        (text.diagram_label, 'a "b";`c`\r\n\n#', "a #quot;b#quot;;`c`  #"),
+        (text.diagram_alias, 'a "b";`c`\n#', "a #quot;b#quot;#59;#96;c#96; #"),
+        (text.delay_label, 2000, "Wait 2 seconds"),
+        (text.delay_label, 1500, "Wait 1500 milliseconds"),
+        (text.sensitive_key, "Auth:Authorization", True),
+        (text.sensitive_key, "My:Pass Phrase", True),
+        (text.sensitive_key, "Access/Key", True),
+        (text.sensitive_key, "Certificate", False),
+        (text.looks_sensitive, "my password is x", True),
+        (text.looks_sensitive, "ASIA" + "X" * 16, True),
+        (text.looks_sensitive, "ASIA" + "X" * 17, False),
+        (text.looks_sensitive, "github_pat_x", True),
+        (text.looks_sensitive, "abcdefghij123456", True),
+        (text.looks_sensitive, "abcdefghijklmnop", False),
+        (text.looks_sensitive, "abcdefgh.abcdefgh.abcdefgh", True),
+        (text.looks_sensitive, "abcdefgh.abcdefgh.abc", False),
         (text.sensitive_key, "Db:Connection_String", True),
         (text.looks_sensitive, "hello", False),
     ],
@@ -153,4 +183,4 @@ def test_hidden_calls_and_labels(spark):
 
 def test_diagram(spark):
     lines = spark.createDataFrame([("p", 1, "b", "a c", "x", 1), ("p", 0, "a c", "b", "y;", 0)], "plan string, ord long, source string, target string, label string, depth int")
-    assert got(render.diagram(lines), "diagram") == [("sequenceDiagram\n  a_c->>b: y#59;\n    b->>a_c: x\n",)]
+    assert got(render.diagram(lines), "diagram") == [("sequenceDiagram\n  a_c->>b: y;\n    b->>a_c: x\n",)]
