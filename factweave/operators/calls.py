@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def call_kind(delegate: Column, dynamic: Column, constructor: Column, static: Column) -> Column:
+    """The kind of a call by its flags, the first that holds in this order; null flags do not hold."""
+    kinds = ((delegate, "DelegateOrEvent"), (dynamic, "Dynamic"), (constructor, "Constructor"), (static, "Static"))
+    return F.coalesce(*[F.when(flag, name) for flag, name in kinds], F.lit("Instance"))
+
+
 def closure(starts: DataFrame, edges: DataFrame, on: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
     """All (start, node) with node reached from start, itself included, over edges(source, target).
 

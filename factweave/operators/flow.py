@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Graph = tuple[int, list[int], list[int]]  # exit block, successor sets, predecessor sets
@@ -129,22 +129,33 @@ def post_dominators(blocks: DataFrame) -> DataFrame:
     return per_method(blocks, partial(_pairs, post_dominator_sets), "dominator long, node long")
 
 
-def edges(blocks: DataFrame) -> DataFrame:
-    """(method, source, target, kind) of blocks(method, ord, n, terminal, cond_succ, fall); n is the exit block.
-
-    Out of a Conditional block True and False, or LoopBack where the target is no later block and dominates the source.
-    The fall-through of a block that ends in Return, Throw or Rethrow is of that kind, also backwards; of others it is
-    LoopBack or Normal. A Throw or Rethrow without fall-through leads to the exit.
-    """
+def _edges(blocks: DataFrame) -> DataFrame:
+    """edges() with whether the edge is taken where the condition holds."""
     way = lambda target, taken: F.struct(F.col(target).alias("target"), F.lit(taken).alias("taken"))
     flat = blocks.select("method", F.col("ord").alias("source"), "terminal", F.explode(F.array(way("cond_succ", True), way("fall", False))).alias("e"))
     flat = flat.where("e.target is not null").select("method", "source", F.col("e.target").alias("target"), "e.taken", "terminal")
     back = back_edges(blocks).withColumn("back", F.lit(True))
     leaves = F.col("terminal").isin("Return", "Throw", "Rethrow")
     kind = F.when(leaves, F.col("terminal")).when(F.col("back"), "LoopBack").when(F.col("taken"), "True").when(F.col("terminal") == "Conditional", "False").otherwise("Normal")
-    inside = flat.join(back, ["method", "source", "target"], "left").select("method", "source", "target", kind.alias("kind"))
+    inside = flat.join(back, ["method", "source", "target"], "left").select("method", "source", "target", kind.alias("kind"), "taken")
     thrown = blocks.where("fall is null and terminal in ('Throw', 'Rethrow')")
-    return inside.unionAll(thrown.select("method", F.col("ord").alias("source"), F.col("n").alias("target"), F.col("terminal").alias("kind")))
+    return inside.unionAll(thrown.select("method", F.col("ord").alias("source"), F.col("n").alias("target"), F.col("terminal").alias("kind"), F.lit(False).alias("taken")))
+
+
+def edge_ordinals(blocks: DataFrame) -> DataFrame:
+    """edges() with their place in the method: by source, the conditional edge of a block before its fall-through."""
+    order = Window.partitionBy("method").orderBy("source", F.desc("taken"), "target")
+    return _edges(blocks).withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).drop("taken")
+
+
+def edges(blocks: DataFrame) -> DataFrame:
+    """(method, source, target, kind) of blocks(method, ord, n, terminal, cond_succ, fall); n is the exit block.
+
+    Out of a Conditional block True and False, or LoopBack where the target is no later block and dominates the source.
+    The fall-through of a block that ends in Return, Throw or Rethrow is of that kind, also backwards; of others it is
+    LoopBack or Normal. A Throw or Rethrow without fall-through leads to the exit.
+    """
+    return _edges(blocks).drop("taken")
 
 
 def _back(g: Graph):

@@ -37,19 +37,33 @@ def equal_sets(sets: DataFrame, group: str, member: str) -> DataFrame:
 def minimal_supersets(sets: DataFrame, group: str, member: str) -> DataFrame:
     """(child, parent): the smallest proper superset of each set, null if there is none or several are smallest.
 
-    Candidates share a member; sizes and shared counts decide, so nothing is compared that shares nothing.
+    A superset holds the child's rarest member, so only the groups of that member are candidates, however frequent the others
+    are; a candidate is a superset if it holds as many of the child's members as the child has.
     """
     rows = sets.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    size = rows.groupBy("g").agg(F.count("*").alias("size"))
-    sized = rows.join(size, "g")
-    a, b = sized.select(F.col("g").alias("child"), "m", F.col("size").alias("n")), sized.select(F.col("g").alias("parent"), "m", F.col("size").alias("np"))
-    over = a.join(b, "m").where("n < np").groupBy("child", "n", "parent", "np").agg(F.count("*").alias("shared")).where("shared = n")
+    rare = rows.join(rows.groupBy("m").agg(F.count("*").alias("held_by")), "m")
+    size = rare.groupBy("g").agg(F.count("*").alias("size"), F.min_by("m", F.struct("held_by", "m")).alias("m"))
+    child, parent = size.select(F.col("g").alias("child"), "m", F.col("size").alias("n")), size.select(F.col("g").alias("parent"), F.col("size").alias("np"))
+    pairs = child.join(rows.withColumnRenamed("g", "parent"), "m").join(parent, "parent").where("n < np").select("child", "parent", "n", "np")
+    held = pairs.join(rows.withColumnRenamed("g", "child"), "child").join(rows.withColumnRenamed("g", "parent"), ["parent", "m"], "left_semi")
+    over = held.groupBy("child", "n", "parent", "np").agg(F.count("*").alias("shared")).where("shared = n")
     least = Window.partitionBy("child")
     over = over.withColumn("least", F.min("np").over(least)).where("np = least")
     over = over.groupBy("child").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
     return size.select(F.col("g").alias("child")).join(over, "child", "left").select("child", F.when(F.col("k") == 1, F.col("parent")).alias("parent"))
 
 
+def contained_files(files: DataFrame, directories: DataFrame, path: str, directory: str) -> DataFrame:
+    """Every pair of a file and a directory above it, paths parted by slashes; the empty directory holds every file.
+
+    Each path is spread over the directories above it and met by equality, so no prefix is compared with every file.
+    """
+    parts = F.split(F.col(path), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    spread = files.where(F.col(path).isNotNull()).withColumn(directory, F.explode(above))
+    return spread.join(directories.where(F.col(directory).isNotNull()).distinct(), directory)
+
+
 def in_intervals(points: DataFrame, intervals: DataFrame, on: list[str], point: str, start: str, finish: str) -> DataFrame:
     """Every pair of a point and an interval (ends included) that holds it, within the equal columns."""
     return points.join(intervals, on).where(F.col(point).between(F.col(start), F.col(finish)))

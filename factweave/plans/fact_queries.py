@@ -276,3 +276,17 @@ def _coverage(spark, d):
     return out.select("plan", "ord", F.coalesce("refs", F.lit(0)).alias("refs"))
 
 
+@query("call_kinds", f"{with_views('v_inv')} SELECT owner, op_ord, CASE WHEN line = 7 THEN 'DelegateOrEvent' WHEN method_id % 11 = 0 THEN 'Dynamic' WHEN kind = 'A' THEN 'Constructor' WHEN status = 'F' THEN 'Static' ELSE 'Instance' END AS call_kind FROM v_inv")
+def _kinds(spark, d):
+    kind = calls.call_kind(F.col("line") == 7, F.col("method_id") % 11 == 0, F.col("kind") == "A", F.col("status") == "F")
+    return view(spark, d, "v_inv").select("owner", "op_ord", kind.alias("call_kind"))
+
+
+@query("owned_files", f"""{with_views('v_route')}, f AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM v_route),
+  p AS (SELECT DISTINCT regexp_extract(path, '^[^/]*') AS directory FROM f UNION SELECT DISTINCT regexp_extract(path, '^[^/]*/[^/]*') FROM f UNION SELECT '')
+  SELECT page_id, directory FROM f JOIN p ON directory = '' OR starts_with(path, directory || '/')""")
+def _owned(spark, d):
+    files = view(spark, d, "v_route").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    first = lambda pattern: files.select(F.regexp_extract("path", pattern, 0).alias("directory"))
+    directories = first("^[^/]*").unionAll(first("^[^/]*/[^/]*")).unionAll(spark.sql("select '' as directory"))
+    return joins.contained_files(files, directories, "path", "directory").select("page_id", "directory")

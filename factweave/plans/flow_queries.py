@@ -3,7 +3,7 @@
 from ..operators import flow
 from .bind import view, with_views
 
-_NAMES = ["dominators", "post_dominators", "back_edges", "natural_loops", "loop_exits", "control_dependences", "outcomes"]
+_NAMES = ["edge_ordinals", "dominators", "post_dominators", "back_edges", "natural_loops", "loop_exits", "control_dependences", "outcomes"]
 
 
 def _query(fn):
@@ -30,10 +30,13 @@ _LOOP = f"""{_DOM},
 body AS (SELECT method, source AS latch, target AS header, target AS node FROM back UNION SELECT method, source, target, source FROM back
   UNION SELECT b.method, b.latch, b.header, e.source FROM body b JOIN v_edge e ON e.method = b.method AND e.target = b.node WHERE b.node <> b.header)"""
 
-ORACLES = {
-    "cfg_edges": f"""{_DOM} SELECT e.method, e.source, e.target, CASE WHEN terminal IN ('Return', 'Throw', 'Rethrow') THEN terminal WHEN back.method IS NOT NULL THEN 'LoopBack' WHEN way = 'Cond' THEN 'True' WHEN terminal = 'Conditional' THEN 'False' ELSE 'Normal' END AS kind
+_EDGES = f"""{_DOM} SELECT e.method, e.source, e.target, way, CASE WHEN terminal IN ('Return', 'Throw', 'Rethrow') THEN terminal WHEN back.method IS NOT NULL THEN 'LoopBack' WHEN way = 'Cond' THEN 'True' WHEN terminal = 'Conditional' THEN 'False' ELSE 'Normal' END AS kind
       FROM v_edge e JOIN v_block b ON b.method = e.method AND b.ord = e.source LEFT JOIN back ON back.method = e.method AND back.source = e.source AND back.target = e.target
-      UNION ALL SELECT method, ord, n, terminal FROM v_block WHERE fall IS NULL AND terminal IN ('Throw', 'Rethrow')""",
+      UNION ALL SELECT method, ord, n, 'Fall', terminal FROM v_block WHERE fall IS NULL AND terminal IN ('Throw', 'Rethrow')"""
+
+ORACLES = {
+    "cfg_edges": f"SELECT method, source, target, kind FROM ({_EDGES})",
+    "cfg_edge_ordinals": f"SELECT method, source, target, kind, row_number() OVER (PARTITION BY method ORDER BY source, way, target) - 1 AS ordinal FROM ({_EDGES})",
     "cfg_dominators": f"{_DOM} SELECT method, dominator, node FROM dom",
     "cfg_post_dominators": f"{_PDOM} SELECT method, dominator, node FROM pdom",
     "cfg_back_edges": f"{_DOM} SELECT method, source, target FROM back",

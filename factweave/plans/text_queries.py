@@ -269,3 +269,16 @@ def _backup(spark, d):
 def _critical(spark, d):
     old, new = _files(spark, d)
     return old.join(new, "f", "left_semi")
+
+
+@query("hex_key", f"{with_views('v_method')} SELECT method_id, lower(hex(type_name || '<' || name || '>')) AS hex_key FROM v_method")
+def _hex(spark, d):
+    return view(spark, d, "v_method").select("method_id", text.hex_key(F.concat("type_name", F.lit("<"), "name", F.lit(">"))).alias("hex_key"))
+
+
+_PATTERN = "CASE method_id % 5 WHEN 0 THEN type_name WHEN 1 THEN type_name || '.*' WHEN 2 THEN type_name || '.' || name WHEN 3 THEN type_name || '.other' ELSE name END"
+
+
+@query("excluded_call", f"{with_views('v_method')} SELECT method_id, method_id % 5 < 3 OR name = type_name AS excluded FROM v_method")
+def _excluded(spark, d):
+    return view(spark, d, "v_method").select("method_id", text.excluded_call(F.col("type_name"), F.col("name"), F.expr(_PATTERN)).alias("excluded"))

@@ -184,3 +184,21 @@ def test_hidden_calls_and_labels(spark):
 def test_diagram(spark):
     lines = spark.createDataFrame([("p", 1, "b", "a c", "x", 1), ("p", 0, "a c", "b", "y;", 0)], "plan string, ord long, source string, target string, label string, depth int")
     assert got(render.diagram(lines), "diagram") == [("sequenceDiagram\n  a_c->>b: y;\n    b->>a_c: x\n",)]
+
+
+def test_call_kind_precedence(spark):
+    flags = spark.createDataFrame([(True, True, True, True), (False, True, True, True), (None, False, True, True), (False, None, False, True), (False, False, None, None)], "a boolean, b boolean, c boolean, d boolean")
+    assert [r[0] for r in flags.select(calls.call_kind(*[F.col(c) for c in "abcd"])).collect()] == ["DelegateOrEvent", "Dynamic", "Constructor", "Static", "Instance"]
+
+
+def test_contained_files(spark):
+    files = spark.createDataFrame([("a/b/c.json",), ("a/bc.json",), ("top.json",), (None,)], "path string")
+    directories = spark.createDataFrame([("a",), ("a/b",), ("",), ("a/b",), (None,), ("top",)], "dir string")
+    assert got(joins.contained_files(files, directories, "path", "dir"), "path", "dir") == [("a/b/c.json", ""), ("a/b/c.json", "a"), ("a/b/c.json", "a/b"), ("a/bc.json", ""), ("a/bc.json", "a"), ("top.json", "")]
+
+
+def test_supersets_through_the_rarest_member(spark):
+    """x is in every set; sets of x alone still find their smallest superset, and ties give none."""
+    sets = {1: "x", 2: "xy", 3: "xyz", 4: "xyw", 5: "xyzw", 6: "q"}
+    rows = spark.createDataFrame([(g, m) for g, s in sets.items() for m in s], "g long, m string")
+    assert got(joins.minimal_supersets(rows, "g", "m")) == [(1, 2), (2, None), (3, 5), (4, 5), (5, None), (6, None)]
