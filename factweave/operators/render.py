@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 #: Deepest nesting of blocks in a diagram.
 MAX_DEPTH = 3
+# What opens a block, the forms of a line that is no block, and control lines that say nothing of their own.
+OPENERS = ("alt", "opt", "break", "loop")
+PARTICIPANT = r"^participant\s+\S+\s+as\s+(?:#(?:quot|59|96);|[^\"`;\p{Cc}])+$"
+MESSAGE = r"^\S+(-{2}>>|->>)\S+:\s*\S.*$"
+GENERIC = r"^(?:alt|else|opt|break|loop)\s+(?:Condition|Continue|Continue evaluating condition|Path terminates)$"
 
 
 def _rank(roles: dict[str, int]):
@@ -47,3 +52,43 @@ def block_depths(lines: DataFrame, plan: str) -> DataFrame:
     depth = F.sum("step").over(Window.partitionBy(plan).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = lines.withColumn("depth", depth).groupBy(plan).agg(F.min("depth").alias("lowest"), F.max("depth").alias("deepest"), F.max_by("depth", "line").alias("open_at_end"))
     return out.withColumn("valid", (F.col("lowest") >= 0) & (F.col("deepest") <= MAX_DEPTH) & (F.col("open_at_end") == 0))
+
+
+def diagram_errors(diagram: Column) -> Column:
+    """What is wrong with a sequence diagram: an array of (line, problem), lines from 1, of the whole diagram null; empty if it is right.
+
+    The first line names the kind of diagram; no line is blank; every other one is a participant, a message or part of a block.
+    Blocks close in order, at most MAX_DEPTH deep; else stands directly in an alt, break in some block. The lines are folded over
+    a stack, as a diagram is one value. Null and blank texts have the one problem of being empty.
+    """
+    form = "array<struct<line:int,problem:string>>"
+    lines = F.transform(F.split(diagram, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+    def kind(line: Column, k: Column) -> Column:
+        known = F.when(k == 0, F.when(line == "sequenceDiagram", "plain").otherwise("header"))
+        known = known.when(line == "", "blank").when(line.rlike(GENERIC), "generic").when(line == "end", "end").when(line.startswith("else "), "else")
+        for opener in (*OPENERS, "par"):
+            known = known.when(line.startswith(f"{opener} "), opener)
+        return known.when(line.rlike(PARTICIPANT) | line.rlike(MESSAGE), "plain").otherwise("unknown")
+
+    plain_problems = {"header": "no sequenceDiagram", "blank": "blank line", "generic": "generic label", "par": "par is not supported", "unknown": "unknown syntax"}
+
+    def step(s: Column, x: Column) -> Column:
+        stack, what = s["stack"], x["kind"]
+        opens = what.isin(*OPENERS) & ((what != "break") | (F.size(stack) > 0))
+        problem = F.create_map(*[F.lit(v) for pair in plain_problems.items() for v in pair])[what]
+        problem = F.when(problem.isNotNull(), problem).when((what == "end") & (F.size(stack) == 0), "end without a block")
+        problem = problem.when((what == "else") & ~F.coalesce(F.get(stack, F.size(stack) - 1) == "alt", F.lit(False)), "else outside alt")
+        problem = problem.when((what == "break") & (F.size(stack) == 0), "break outside a block").when(opens & (F.size(stack) >= MAX_DEPTH), "nested too deep")
+        after = F.when(opens, F.concat(stack, F.array(what))).when(what == "end", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
+        found = F.when(problem.isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(F.struct(x["line"].alias("line"), problem.alias("problem")))))
+        return F.struct(after.alias("stack"), found.alias("found"))
+
+    def finish(s: Column) -> Column:
+        left = F.array(F.struct(F.lit(None).cast("int").alias("line"), F.lit("block not closed").alias("problem"))).cast(form)
+        return F.when(F.size(s["stack"]) > 0, F.concat(s["found"], left)).otherwise(s["found"])
+
+    items = F.transform(lines, lambda x, k: F.struct((k + 1).alias("line"), kind(x, k).alias("kind")))
+    empty = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast(form).alias("found"))
+    nothing = F.array(F.struct(F.lit(None).cast("int").alias("line"), F.lit("empty diagram").alias("problem"))).cast(form)
+    return F.when(F.coalesce(F.trim(F.regexp_replace(diagram, r"\s+", " ")), F.lit("")) == "", nothing).otherwise(F.aggregate(items, empty, step, finish))

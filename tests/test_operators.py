@@ -202,3 +202,25 @@ def test_supersets_through_the_rarest_member(spark):
     sets = {1: "x", 2: "xy", 3: "xyz", 4: "xyw", 5: "xyzw", 6: "q"}
     rows = spark.createDataFrame([(g, m) for g, s in sets.items() for m in s], "g long, m string")
     assert got(joins.minimal_supersets(rows, "g", "m")) == [(1, 2), (2, None), (3, 5), (4, 5), (5, None), (6, None)]
+
+
+@pytest.mark.parametrize(
+    "body, expected",
+    [
+        ("participant a as A #quot;x#quot;\n  a->>b: hello\n  alt is open\n    a-->>b: yes\n  else is shut\n    break gone\n      b-->>a: no\n    end\n  end", []),
+        ("alt x\nopt y\nloop z\nend\nend\nend", []),
+        ("alt x\nopt y\nloop z\nopt w\nend\nend\nend\nend", [(5, "nested too deep")]),
+        ("end\nelse x\nbreak y", [(2, "end without a block"), (3, "else outside alt"), (4, "break outside a block")]),
+        ("opt x\nelse y", [(3, "else outside alt"), (None, "block not closed")]),
+        ("par x\n\nalt Condition\nhello\na->>b:", [(2, "par is not supported"), (3, "blank line"), (4, "generic label"), (5, "unknown syntax"), (6, "unknown syntax")]),
+        ("participant a as A;B", [(2, "unknown syntax")]),
+    ],
+)
+def test_diagram_errors(spark, body, expected):
+    assert [tuple(e) for e in one(spark, render.diagram_errors, "sequenceDiagram\n" + body)] == expected
+
+
+def test_diagrams_without_a_header_or_text(spark):
+    assert [tuple(e) for e in one(spark, render.diagram_errors, "flowchart\na->>b: x")] == [(1, "no sequenceDiagram")]
+    assert [tuple(e) for e in one(spark, render.diagram_errors, " \n ")] == [(None, "empty diagram")]
+    assert [tuple(e) for e in one(spark, render.diagram_errors, None)] == [(None, "empty diagram")]
