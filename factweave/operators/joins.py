@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calls import cut
+
 
 def exactly_one(left: DataFrame, right: DataFrame, on: list[str], none: str, many: str, payload: list[str]) -> DataFrame:
     """Left rows with the one match of right; without a match, or with several, the payload is withheld and a code says why.
@@ -34,23 +36,40 @@ def equal_sets(sets: DataFrame, group: str, member: str) -> DataFrame:
     return whole.join(first, "members").where(F.col(group) > F.col("first")).select("first", F.col(group).alias("other"), "members")
 
 
-def minimal_supersets(sets: DataFrame, group: str, member: str) -> DataFrame:
-    """(child, parent): the smallest proper superset of each set, null if there is none or several are smallest.
+def proper_supersets(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(child, parent, size): the parents' sets that hold all of a child's members and more; both are rows (g, m) without repeats.
 
-    A superset holds the child's rarest member, so only the groups of that member are candidates, however frequent the others
+    A superset holds the child's rarest member, so only the parents of that member are candidates, however frequent the others
     are; a candidate is a superset if it holds as many of the child's members as the child has.
     """
+    held_by = parents.groupBy("m").agg(F.count("*").alias("held_by"))
+    rare = children.join(held_by, "m", "left").withColumn("held_by", F.coalesce("held_by", F.lit(0)))
+    child = rare.groupBy(F.col("g").alias("child")).agg(F.count("*").alias("n"), F.min_by("m", F.struct("held_by", "m")).alias("m"))
+    size = parents.groupBy(F.col("g").alias("parent")).agg(F.count("*").alias("size"))
+    pairs = child.join(parents.withColumnRenamed("g", "parent"), "m").join(size, "parent").where("n < size").select("child", "parent", "n", "size")
+    held = pairs.join(children.withColumnRenamed("g", "child"), "child").join(parents.withColumnRenamed("g", "parent"), ["parent", "m"], "left_semi")
+    return held.groupBy("child", "n", "parent", "size").agg(F.count("*").alias("shared")).where("shared = n").select("child", "parent", "size")
+
+
+def minimal_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(child, parent): the one minimal proper superset of each child among the parents, null if there is none or there are several.
+
+    Minimal is by inclusion. If just one superset is minimal, it lies within all the others: so it is the smallest, no other
+    is as small, and all others are proper supersets of it.
+    """
+    over = cut(proper_supersets(children, parents))
+    best = over.groupBy("child").agg(F.count("*").alias("k"), F.min("size").alias("size"), F.min_by("parent", F.struct("size", "parent")).alias("best"))
+    rest = over.join(best.select("child", "best"), "child").where("parent <> best")
+    inside = proper_supersets(parents, parents).select(F.col("child").alias("best"), "parent")
+    held = rest.join(inside, ["best", "parent"], "left_semi").groupBy("child").agg(F.count("*").alias("held"))
+    found = best.join(held, "child", "left").where(F.col("k") == F.coalesce("held", F.lit(0)) + 1).select("child", F.col("best").alias("parent"))
+    return children.select(F.col("g").alias("child")).distinct().join(found, "child", "left")
+
+
+def minimal_supersets(sets: DataFrame, group: str, member: str) -> DataFrame:
+    """(child, parent): minimal_parents() of sets among themselves."""
     rows = sets.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    rare = rows.join(rows.groupBy("m").agg(F.count("*").alias("held_by")), "m")
-    size = rare.groupBy("g").agg(F.count("*").alias("size"), F.min_by("m", F.struct("held_by", "m")).alias("m"))
-    child, parent = size.select(F.col("g").alias("child"), "m", F.col("size").alias("n")), size.select(F.col("g").alias("parent"), F.col("size").alias("np"))
-    pairs = child.join(rows.withColumnRenamed("g", "parent"), "m").join(parent, "parent").where("n < np").select("child", "parent", "n", "np")
-    held = pairs.join(rows.withColumnRenamed("g", "child"), "child").join(rows.withColumnRenamed("g", "parent"), ["parent", "m"], "left_semi")
-    over = held.groupBy("child", "n", "parent", "np").agg(F.count("*").alias("shared")).where("shared = n")
-    least = Window.partitionBy("child")
-    over = over.withColumn("least", F.min("np").over(least)).where("np = least")
-    over = over.groupBy("child").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
-    return size.select(F.col("g").alias("child")).join(over, "child", "left").select("child", F.when(F.col("k") == 1, F.col("parent")).alias("parent"))
+    return minimal_parents(rows, rows)
 
 
 def contained_files(files: DataFrame, directories: DataFrame, path: str, directory: str) -> DataFrame:

@@ -30,6 +30,15 @@ VIEWS = {
     "v_node": "SELECT method, ord AS node FROM v_block UNION SELECT method, n FROM v_block",
     # Definitions of locals in evaluation order.
     "v_def": "SELECT user_id AS method, event_type AS local_name, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS ord FROM {events}",
+    # Operations: the invocations of an owner are the operations of one method, three to a block, and take earlier ones as operands.
+    "v_op": """SELECT owner AS method, op_ord AS op, CAST(floor(op_ord / 3) AS BIGINT) AS block, CAST(target * 5 % 4 AS BIGINT) AS evaluation, kind, target % 2 = 0 AS is_root,
+      CASE WHEN kind = 'ParameterReference' AND target % 4 <> 1 THEN target % 4 END AS parameter, CASE WHEN kind = 'LocalReference' THEN 'local' || (target % 2) END AS local_name,
+      CASE WHEN kind IN ('FieldReference', 'PropertyReference') AND target % 5 <> 1 THEN 'member' || (target % 9) END AS member, target, line, method_id
+      FROM (SELECT owner, op_ord, target, line, method_id, CASE method_id % 20 WHEN 0 THEN 'ParameterReference' WHEN 1 THEN 'Literal' WHEN 2 THEN 'LocalReference' WHEN 3 THEN 'LocalReference' WHEN 4 THEN 'Assignment'
+        WHEN 5 THEN 'CompoundAssignment' WHEN 6 THEN 'Invocation' WHEN 7 THEN 'ObjectCreation' WHEN 8 THEN 'Await' WHEN 9 THEN 'Return' WHEN 10 THEN 'Throw' WHEN 11 THEN 'FieldReference' WHEN 12 THEN 'PropertyReference'
+        WHEN 13 THEN 'Conversion' WHEN 14 THEN 'ExpressionStatement' WHEN 15 THEN 'Unknown' WHEN 16 THEN 'DynamicInvocation' WHEN 17 THEN 'EventAssignment' WHEN 18 THEN 'Assignment' ELSE 'Binary' END AS kind FROM v_inv) AS i""",
+    "v_operand": """SELECT method, op, CAST(0 AS BIGINT) AS place, op - 1 AS operand FROM v_op WHERE op >= 1 AND target % 6 <> 0
+      UNION ALL SELECT method, op, CAST(1 AS BIGINT), op - 2 FROM v_op WHERE op >= 2 AND target % 3 <> 0""",
     # Evidence with certainty: 0 exact, 1 conservative, 2 heuristic, 3 unknown.
     "v_evid": "SELECT d.doc_id AS evidence_id, d.source AS owner, d.lang AS artifact, CASE WHEN l.quality IS NULL THEN 3 WHEN l.toxic = 1 THEN 2 WHEN l.quality = 0 THEN 1 ELSE 0 END AS certainty FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
     # Runs of profiles; the sequence orders them.

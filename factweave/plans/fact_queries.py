@@ -116,8 +116,8 @@ def _equal(spark, d):
 
 
 @query("containment_parent", f"""{with_views('v_def')}, {_SETS}, w AS (SELECT g, list_sort(list(m)) AS l FROM s GROUP BY g),
-  o AS (SELECT a.g AS child, b.g AS parent, len(b.l) AS n FROM w a JOIN w b ON len(a.l) < len(b.l) AND list_has_all(b.l, a.l)),
-  k AS (SELECT child, count(*) AS k, min(parent) AS parent FROM o WHERE n = (SELECT min(n) FROM o x WHERE x.child = o.child) GROUP BY child)
+  o AS (SELECT a.g AS child, b.g AS parent, b.l FROM w a JOIN w b ON len(a.l) < len(b.l) AND list_has_all(b.l, a.l)),
+  k AS (SELECT child, count(*) AS k, min(parent) AS parent FROM o WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.child = o.child AND len(x.l) < len(o.l) AND list_has_all(o.l, x.l)) GROUP BY child)
   SELECT w.g AS child, CASE WHEN k = 1 THEN parent END AS parent FROM w LEFT JOIN k ON k.child = w.g""")
 def _parent(spark, d):
     return joins.minimal_supersets(_sets(spark, d), "g", "m")

@@ -168,13 +168,17 @@ _SECRET_VALUE = """CASE method_id % 8 WHEN 0 THEN 'ASIA' || upper(substring(md5(
   WHEN 3 THEN substring(md5(name), 1, CAST(size % 32 AS INT)) WHEN 4 THEN 'sk-' || name WHEN 5 THEN replace(name, ' ', '.') WHEN 6 THEN replace(name, ' ', '') || '1' END"""
 
 
+# looks_sensitive() on v, its lower case low and its parts between dots.
+LOOKS_SENSITIVE = """v IS NULL OR len(list_filter(['password', 'secret', 'token', 'connection-string', 'connectionstring', 'api_key', 'apikey'], lambda f: contains(low, f))) > 0
+    OR ((starts_with(v, 'AKIA') OR starts_with(v, 'ASIA')) AND length(v) = 20) OR len(list_filter(['ghp_', 'gho_', 'ghu_', 'ghs_', 'ghr_', 'github_pat_'], lambda f: starts_with(v, f))) > 0
+    OR (starts_with(v, 'sk-') AND length(v) >= 20) OR (len(parts) = 3 AND len(list_filter(parts, lambda p: length(p) < 8 OR NOT regexp_full_match(p, '[A-Za-z0-9_-]*'))) = 0)
+    OR (length(v) >= 16 AND regexp_full_match(v, '[A-Za-z0-9]*') AND len(list_distinct(string_split(v, ''))) >= 10 AND regexp_matches(v, '[0-9]'))"""
+
+
 @query("sensitive_values", f"""{with_views('v_method')}, x AS (SELECT method_id, {_SECRET_KEY} AS k, {_SECRET_VALUE} AS v FROM v_method),
   y AS (SELECT *, upper(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')) AS bare, lower(v) AS low, string_split(v, '.') AS parts FROM x)
   SELECT method_id, len(list_filter(['PASSWORD', 'PASSPHRASE', 'PWD', 'SECRET', 'TOKEN', 'APIKEY', 'ACCESSKEY', 'PRIVATEKEY', 'CONNECTIONSTRING', 'CREDENTIAL', 'AUTHORIZATION'], lambda f: contains(bare, f))) > 0 AS key_hit,
-    v IS NULL OR len(list_filter(['password', 'secret', 'token', 'connection-string', 'connectionstring', 'api_key', 'apikey'], lambda f: contains(low, f))) > 0
-    OR ((starts_with(v, 'AKIA') OR starts_with(v, 'ASIA')) AND length(v) = 20) OR len(list_filter(['ghp_', 'gho_', 'ghu_', 'ghs_', 'ghr_', 'github_pat_'], lambda f: starts_with(v, f))) > 0
-    OR (starts_with(v, 'sk-') AND length(v) >= 20) OR (len(parts) = 3 AND len(list_filter(parts, lambda p: length(p) < 8 OR NOT regexp_full_match(p, '[A-Za-z0-9_-]*'))) = 0)
-    OR (length(v) >= 16 AND regexp_full_match(v, '[A-Za-z0-9]*') AND len(list_distinct(string_split(v, ''))) >= 10 AND regexp_matches(v, '[0-9]')) AS value_hit FROM y""")
+    {LOOKS_SENSITIVE} AS value_hit FROM y""")
 def _sensitive(spark, d):
     rows = view(spark, d, "v_method").select("method_id", F.expr(_SECRET_KEY).alias("k"), F.expr(_SECRET_VALUE).alias("v"))
     return rows.select("method_id", text.sensitive_key(F.col("k")).alias("key_hit"), text.looks_sensitive(F.col("v")).alias("value_hit"))
