@@ -196,3 +196,29 @@ def looks_sensitive(value: Column) -> Column:
 def excluded_call(type_name: Column, member: Column, pattern: Column) -> Column:
     """A pattern is a type, Type.Member, or Type.* for all its members."""
     return (pattern == type_name) | (pattern == F.concat(type_name, F.lit(".*"))) | (pattern == F.concat_ws(".", type_name, member))
+
+
+def output_path(path: Column) -> Column:
+    """The path with forward slashes; null if it is blank, rooted, holds a scheme, or has a part that is . or .."""
+    flat = F.replace(path, F.lit("\\"), F.lit("/"))
+    bad = (F.trim(flat) == "") | flat.startswith("/") | flat.contains("://") | flat.rlike(r"(^|/)\.\.?(/|\z)")
+    return F.when(~bad, flat)
+
+
+def target_framework(moniker: Column) -> Column:
+    """The short name of a moniker such as .NETCoreApp,Version=v8.0 (net8.0); null for other families and forms."""
+    family, version = (F.regexp_extract(moniker, r"(?is)^(.*?),Version=v(.*)\z", k) for k in (1, 2))
+    short = F.when(F.lower(family) == ".netcoreapp", F.concat(F.lit("net"), version)).when(F.lower(family) == ".netstandard", F.concat(F.lit("netstandard"), version))
+    return short.when(F.lower(family) == ".netframework", F.concat(F.lit("net"), F.replace(version, F.lit("."))))
+
+
+def canonical_framework(moniker: Column, platform: Column, platform_version: Column, project_framework: Column) -> Column:
+    """The framework with the platform that is given, else with the one that the project names for the same framework.
+
+    A moniker of no known family gives the project's own framework.
+    """
+    framework = target_framework(moniker)
+    named = F.trim(F.coalesce(platform, F.lit(""))) != ""
+    given = F.concat(F.lit("-"), F.lower(platform), F.coalesce(platform_version, F.lit("")))
+    own = F.when(F.lower(project_framework).startswith(F.lower(framework)), F.lower(F.regexp_extract(project_framework, "-.*", 0)))
+    return F.when(framework.isNull(), project_framework).otherwise(F.concat(framework, F.when(named, given).otherwise(F.coalesce(own, F.lit("")))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from ..functions import text
+from .calls import cut
 
 # Severities from most to least severe.
 SEVERITIES = ("Error", "Warning", "Info")
@@ -119,3 +120,30 @@ def validate_roots(roots: DataFrame, methods: DataFrame) -> DataFrame:
     return known.select("root", F.when(~shaped, "SD3012").when(F.col("known").isNull(), "SD3013").alias("code")).where("code is not null")
 
 
+def entry_points(framework: DataFrame, configured: DataFrame) -> DataFrame:
+    """Framework entries(entry, root, kind), and configured ones whose root no framework entry has already."""
+    columns = ["entry", "root", "kind"]
+    new = configured.join(framework.select("root").distinct(), "root", "left_anti")
+    return framework.select(*columns).unionAll(new.select(*columns))
+
+
+def symbols(types: DataFrame, members: DataFrame, methods: DataFrame) -> DataFrame:
+    """Every symbol once, whichever of the three tables(symbol) name it; null symbols are none."""
+    return types.select("symbol").unionAll(members.select("symbol")).unionAll(methods.select("symbol")).where("symbol is not null").distinct()
+
+
+RESERVED_KEYS = ("client", "action", "dispatch", "handler", "service", "data")  # Fixed values.
+
+
+def participant_keys(types: DataFrame) -> DataFrame:
+    """(graph, type_name, key): a key for each type of a graph, of letters, digits and underscores.
+
+    Keys that several types share, or that are reserved, are lengthened by the hex form of the type, again while any are equal.
+    """
+    bare, suffix = text.participant_key(F.col("type_name")), F.concat(F.lit("_"), text.hex_key(F.col("type_name")))
+    same = F.count("*").over(Window.partitionBy("graph", "key"))
+    out = types.where("trim(type_name) <> ''").select("graph", "type_name").distinct().withColumn("key", bare)
+    out = cut(out.withColumn("n", same).withColumn("key", F.when((F.col("n") > 1) | F.col("key").isin(*RESERVED_KEYS), F.concat("key", suffix)).otherwise(F.col("key"))).drop("n"))
+    while out.groupBy("graph", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        out = cut(out.withColumn("n", same).withColumn("key", F.when(F.col("n") > 1, F.concat("key", suffix)).otherwise(F.col("key"))).drop("n"))
+    return out

@@ -99,3 +99,9 @@ def agreement(rows: DataFrame, owner: str, anchor: str, value: list[str]) -> Dat
     """(owner, agrees): whether all anchors of an owner carry the same set of values."""
     sets = rows.groupBy(owner, anchor).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", *value))), ",").alias("s"))
     return sets.groupBy(owner).agg((F.count_distinct("s") == 1).alias("agrees"))
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
+    """Parents with their children in order, a row for each with its ordinal from 0; a parent without children has one row of nulls."""
+    place = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
+    return parents.join(children.where(F.col(key).isNotNull()).select(key, place.alias("ordinal"), *payload), key, "left")

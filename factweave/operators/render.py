@@ -92,3 +92,47 @@ def diagram_errors(diagram: Column) -> Column:
     empty = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast(form).alias("found"))
     nothing = F.array(F.struct(F.lit(None).cast("int").alias("line"), F.lit("empty diagram").alias("problem"))).cast(form)
     return F.when(F.coalesce(F.trim(F.regexp_replace(diagram, r"\s+", " ")), F.lit("")) == "", nothing).otherwise(F.aggregate(items, empty, step, finish))
+
+
+# The order of a scenario's nodes and edges, and the exit codes of outcomes.
+NODE_RANKS = {"EntryPoint": 0, "Action": 1, "MethodCall": 2, "ServiceCall": 2, "EntityQuery": 3, "StateAssignment": 4, "EntityMutation": 5, "SourceObservation": 6, "Delay": 10}
+RESULT_RANKS = {"result-status": 7, "result-failure": 8, "result-success": 10}
+EDGE_RANKS = {
+    "Entry": 0, "Call": 1, "Query": 2, "StateAssignment": 3, "Mutation": 4, "Save": 5, "Observation": 6, "ResultStatus": 7, "ResultFailure": 8,
+    "OutcomeFailure": 9, "ResultSuccess": 10, "OutcomeSuccess": 11,
+}
+EXIT_CODES = {
+    "Succeeded": 0, "InvalidInput": 2, "BuildFailure": 3, "AnalysisFailure": 4, "ValidationFailure": 5, "UnsupportedRequiredFeature": 6,
+    "PersistenceFailure": 7, "DocumentationGenerationFailure": 8, "Cancelled": 130,
+}
+
+
+def _by_name(table: dict, name: Column, other: int) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[name], F.lit(other))
+
+
+def exit_code(outcome: Column) -> Column:
+    """The exit code of an outcome; that of a failed analysis for unknown and null ones."""
+    return _by_name(EXIT_CODES, outcome, EXIT_CODES["AnalysisFailure"])
+
+
+def node_order(kind: Column, key: Column, incoming: Column, ordinal: Column, minimal: Column, source_ordinal: Column) -> Column:
+    """(segment, ordinal, rank) of a node: the way of the request, facts in source order, observations, results and outcomes.
+
+    incoming is the kind of the outcome edge that leads to an outcome, minimal whether the node belongs to a minimal route's
+    handler, whose delays and outcomes follow their source_ordinal (without one they come last).
+    """
+    minimal = F.coalesce(minimal, F.lit(False))
+    rank = F.when(kind == "Result", _by_name(RESULT_RANKS, key, 12)).when(kind == "Outcome", F.when(incoming == "OutcomeFailure", 9).otherwise(11)).otherwise(_by_name(NODE_RANKS, kind, 13))
+    segment = F.when(kind.isin("EntryPoint", "Action", "MethodCall", "ServiceCall"), 0).when(kind.isin("EntityQuery", "StateAssignment", "EntityMutation"), 1)
+    segment = F.coalesce(segment.when((kind == "SourceObservation") | (kind.isin("Delay", "Outcome") & minimal), 2), F.lit(3))
+    place = F.when((segment == 1) | (kind == "MethodCall"), ordinal).when((segment == 2) & minimal, F.coalesce(source_ordinal, F.lit((1 << 31) - 1))).otherwise(rank)
+    return F.struct(segment.alias("segment"), place.cast("long").alias("ordinal"), rank.alias("rank"))
+
+
+def edge_order(kind: Column, ordinal: Column) -> Column:
+    """(segment, ordinal, rank) of an edge, as for nodes."""
+    rank = _by_name(EDGE_RANKS, kind, 12)
+    segment = F.when(kind.isin("Entry", "Call"), 0).when(kind.isin("Query", "StateAssignment", "Mutation", "Save"), 1).when(kind == "Observation", 2).otherwise(3)
+    place = F.when((kind == "Call") | (segment == 1), ordinal).otherwise(rank)
+    return F.struct(segment.alias("segment"), place.cast("long").alias("ordinal"), rank.alias("rank"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
     # Methods with their containing type and project.
-    "v_method": "SELECT p_partkey AS method_id, p_type AS type_name, p_brand AS project, p_name AS name, p_size % 5 <> 0 AS has_body, CAST(p_size AS BIGINT) AS size FROM {part}",
+    "v_method": "SELECT p_partkey AS method_id, p_type AS type_name, p_brand AS project, p_name AS name, p_size % 5 <> 0 AS has_body, p_partkey % 23 <> 0 AS loaded, CAST(CASE p_partkey % 29 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS flows, CAST(p_size AS BIGINT) AS size FROM {part}",
     # Invocations in source order; the natural key repeats, so the ordinal comes from a total order.
     "v_inv": "SELECT l_orderkey AS owner, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) - 1 AS op_ord, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS method_id, l_suppkey AS target, l_returnflag AS kind, l_linestatus AS status FROM {lineitem}",
     # Call edges: an invocation calls the next one of its owner.
