@@ -83,7 +83,7 @@ def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int =
 
     Children follow in the order of (owner, op_ord). The first reason that holds stops a callee: BodyUnavailable, SourceUnavailable
     (its project is not loaded or it is generated), NoFlow, AmbiguousFlow (several flows), Cycle (it is on its own path), Depth (at the
-    last level, if it calls on). methods(method_id, has_body) may also tell loaded and flows, else taken as true and 1. Nodes
+    last level, whether or not it calls on). methods(method_id, has_body) may also tell loaded and flows, else taken as true and 1. Nodes
     beyond the budget, counted before their children and after their elder siblings, are cut with all that follows (NodeBudget
     on the first).
     Returns root, path (places joined by dots), depth, method_id, stop (null: complete or expanded).
@@ -93,16 +93,13 @@ def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int =
     step = calls.withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget + 1).select("caller", "callee", "place")
     told = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in methods.columns else F.lit(default)
     bodies = methods.select(F.col("method_id").alias("callee"), F.coalesce("has_body", F.lit(False)).alias("has_body"), told("loaded", True).alias("loaded"), told("flows", 1).alias("flows"))
-    going = calls.select(F.col("caller").alias("callee"), F.lit(True).alias("goes_on")).distinct()
     level = roots.select("root", F.col("root").alias("method_id"), F.array("root").alias("trail"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("stop"))
     out = level
     for k in range(1, depth + 1):
         nxt = level.where("stop is null").join(step, F.col("method_id") == F.col("caller")).join(bodies, "callee", "left")
         stop = F.when(~F.coalesce("has_body", F.lit(False)), "BodyUnavailable").when(~F.col("loaded"), "SourceUnavailable")
         stop = stop.when(F.col("flows") == 0, "NoFlow").when(F.col("flows") > 1, "AmbiguousFlow").when(F.array_contains("trail", F.col("callee")), "Cycle")
-        if k == depth:
-            nxt = nxt.join(going, "callee", "left")
-            stop = stop.when(F.col("goes_on"), "Depth")
+        stop = stop.when(F.lit(k == depth), "Depth")
         level = nxt.select("root", F.col("callee").alias("method_id"), F.concat("trail", F.array("callee")).alias("trail"), F.concat("places", F.array("place")).alias("places"), F.lit(k).alias("depth"), stop.alias("stop"))
         out = out.unionAll(level)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("places")))

@@ -219,7 +219,7 @@ _EXPAND = f"""{with_views('v_call', 'v_method')},
  s AS (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY owner, op_ord, callee) AS place FROM v_call),
  l0 AS (SELECT method_id AS root, method_id, [method_id] AS trail, []::INT[] AS places, 0 AS depth, NULL AS stop FROM v_method),
  l1 AS (SELECT root, s.callee AS method_id, list_append(trail, s.callee) AS trail, list_append(places, place::INT) AS places, 1 AS depth, CASE WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN NOT m.loaded THEN 'SourceUnavailable' WHEN m.flows = 0 THEN 'NoFlow' WHEN m.flows > 1 THEN 'AmbiguousFlow' WHEN list_contains(trail, s.callee) THEN 'Cycle' END AS stop FROM l0 JOIN s ON s.caller = l0.method_id LEFT JOIN v_method m ON m.method_id = s.callee),
- l2 AS (SELECT root, s.callee, list_append(trail, s.callee), list_append(places, place::INT), 2, CASE WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN NOT m.loaded THEN 'SourceUnavailable' WHEN m.flows = 0 THEN 'NoFlow' WHEN m.flows > 1 THEN 'AmbiguousFlow' WHEN list_contains(trail, s.callee) THEN 'Cycle' WHEN s.callee IN (SELECT caller FROM v_call) THEN 'Depth' END FROM l1 JOIN s ON s.caller = l1.method_id AND l1.stop IS NULL LEFT JOIN v_method m ON m.method_id = s.callee),
+ l2 AS (SELECT root, s.callee, list_append(trail, s.callee), list_append(places, place::INT), 2, CASE WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN NOT m.loaded THEN 'SourceUnavailable' WHEN m.flows = 0 THEN 'NoFlow' WHEN m.flows > 1 THEN 'AmbiguousFlow' WHEN list_contains(trail, s.callee) THEN 'Cycle' ELSE 'Depth' END FROM l1 JOIN s ON s.caller = l1.method_id AND l1.stop IS NULL LEFT JOIN v_method m ON m.method_id = s.callee),
  u AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2),
  k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY places) AS rank FROM u)
  SELECT root, array_to_string(places, '.') AS path, depth::BIGINT AS depth, method_id, CASE WHEN rank > 64 THEN 'NodeBudget' ELSE stop END AS stop FROM k WHERE rank <= 65"""
