@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import bpe, embeddings, fingerprint, hosts, minhash, mixing, preferences, quality, secrets, separators, toxicity, whitening
+from . import bpe, embeddings, fingerprint, hosts, minhash, mixing, phrases, preferences, quality, secrets, separators, toxicity, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_phrases": phrases.op11_phrases,
     "op12_whitening": whitening.op12_whitening,
     "op13_host_rules": hosts.op13_host_rules,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op4_preferences": preferences.OP4_SQL,
     "op8_minhash": minhash.OP8_SQL,
     "op10_embeddings": embeddings.OP10_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op13_host_rules": hosts.OP13_SQL,
 }
