@@ -23,8 +23,6 @@ from .toxicity import labelled_sample, marked
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 #: Bytes of a dictionary and of a block, and zstandard's level.
 DICTIONARY, BLOCK, LEVEL = 32768, 256, 3
-#: Blocks that a dictionary is trained on, at most: beyond, that many spread evenly over all blocks of the class's texts.
-TRAINED_BLOCKS = 16384
 THRESHOLD = 0.3
 
 
@@ -81,7 +79,6 @@ def fit_quality(good: list[str], bad: list[str], share_good: float | None = None
     trained = []
     for texts in (good, bad):
         parts = [b for k, t in enumerate(texts) if k % 4 for b in blocks(t)]
-        parts = [parts[k * len(parts) // TRAINED_BLOCKS] for k in range(TRAINED_BLOCKS)] if len(parts) > TRAINED_BLOCKS else parts
         try:
             trained.append(zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes())
         except (zstandard.ZstdError, ValueError):  # too few or too small samples

@@ -196,8 +196,8 @@ def marked(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, size: int) -> list[tuple[int, str]]:
     """(label, text) of at most `rows` labelled documents of each class outside the held-out fold, in a stable order.
 
-    Texts are whole; a class's texts make at most `size` bytes (in the order of the ids' md5, a text that no longer fits is
-    passed over). Only label rows are ranked; the bounded choice of ids is then broadcast to the documents, and
+    Texts are whole; a class's texts make at most `size` bytes: its ids are taken in the order of their md5 up to the first text
+    that does not fit, so that long texts are as likely as short ones. Only label rows are ranked; the bounded choice of ids is then broadcast to the documents, and
     sizes are known before any text leaves its executor. Of the rows of one doc_id the least text counts. Null labels and
     ids and unlabelled documents take no part.
     """
@@ -217,8 +217,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     sizes = {r.doc_id: r.size for r in of([r.doc_id for r in chosen]).select("doc_id", F.octet_length("text").alias("size")).collect()}
     left, mark = {0: size, 1: size}, {}
     for r in chosen:
-        if r.doc_id in sizes and sizes[r.doc_id] <= left[r.mark]:
-            left[r.mark] -= sizes[r.doc_id]
+        left[r.mark] -= sizes.get(r.doc_id, 0)
+        if r.doc_id in sizes and left[r.mark] >= 0:
             mark[r.doc_id] = r.mark
     texts = of(list(mark)).collect() if mark else []
     return [(mark[r.doc_id], r.text) for r in sorted(texts, key=lambda r: (str(r.doc_id), r.text))]
