@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -36,8 +38,7 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SIGNS = {"@": "a", "$": "s", "!": "i"}
 
-_SHARP = {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | HOMOGLYPHS
-_LOOKS = re.compile("[" + "".join(_SHARP) + "]")
+_LOOKS = re.compile("[" + "".join(HOMOGLYPHS) + "]")
 _CODED, _TOKEN = re.compile("[013457@$!]"), re.compile(r"[\w@$!]+")
 _DECODE = str.maketrans(DIGITS | SIGNS)
 _BREAK = re.compile(r"[\W_]+")
@@ -51,9 +52,21 @@ def _decoded(m: re.Match) -> str:
     return f"{token} "
 
 
+@lru_cache(maxsize=1)
+def _unseen() -> re.Pattern:
+    """Marks that stand on a letter, and format characters, which have no width."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Mn", "Me", "Cf")) + "]")
+
+
 def fold(text: str | None) -> str:
-    """Lower case, look-alikes and coded letters replaced, words parted by one space with one at either end."""
-    text = _LOOKS.sub(lambda m: _SHARP[m[0]], (text or "").lower())
+    """Lower case, look-alikes and coded letters replaced, words parted by one space with one at either end.
+
+    Compatible forms (full-width, mathematical, ligatures, superscripts) become plain letters; accents and invisible characters go.
+    """
+    text = text or ""
+    if not text.isascii():
+        text = _unseen().sub("", unicodedata.normalize("NFKD", text))
+    text = _LOOKS.sub(lambda m: HOMOGLYPHS[m[0]], text.lower())
     if _CODED.search(text):
         text = _TOKEN.sub(_decoded, text)
     return f" {_BREAK.sub(' ', text).strip()} "
