@@ -15,7 +15,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -52,10 +51,16 @@ def _decoded(m: re.Match) -> str:
     return f"{token} "
 
 
-@lru_cache(maxsize=1)
-def _unseen() -> re.Pattern:
-    """Marks that stand on a letter, and format characters, which have no width."""
-    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Mn", "Me", "Cf")) + "]")
+#: The combining marks of European letters; anything above these may be another mark or invisible.
+_MARKS, _FURTHER = re.compile("[\u0300-\u036f]+"), re.compile("[\u00ad\u0483-\U0010ffff]")
+
+
+def _plain(text: str) -> str:
+    """Compatible forms decomposed, marks that stand on a letter and format characters (which have no width) dropped."""
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    if _FURTHER.search(text):
+        text = "".join(c for c in text if c < "\x80" or unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+    return text
 
 
 def fold(text: str | None) -> str:
@@ -65,7 +70,7 @@ def fold(text: str | None) -> str:
     """
     text = text or ""
     if not text.isascii():
-        text = _unseen().sub("", unicodedata.normalize("NFKD", text))
+        text = _plain(text)
     text = _LOOKS.sub(lambda m: HOMOGLYPHS[m[0]], text.lower())
     if _CODED.search(text):
         text = _TOKEN.sub(_decoded, text)
