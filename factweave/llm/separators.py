@@ -6,18 +6,21 @@ own, and a prefix scan over the blocks' summaries (position of the last separato
 documents that cross blocks. The scan has two levels, over groups of blocks of a file and inside each group, and sees no
 separator places. A block is bounded whatever the lengths of files and documents are.
 
-Files under file: paths (shared folders) are read block by block where they lie; files of other stores are read by Spark's
-binaryFile source, a file at a time; that source fails on a file above 2 GB, so a larger one must lie under a file: path.
+Files are read block by block where they lie, through Arrow's file systems (file, s3, gs, abfs, hdfs where their libraries are at
+hand), whatever their size. Only files of a store that Arrow cannot open are read by Spark's binaryFile source, a file at a
+time; that source takes no file above 2 GB. token_files() writes a file for each task of its input, far below that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,21 @@ def _summary(path: str, block: int, ids: np.ndarray, size: int, end: int) -> tup
     return path, block, start, len(ids), at, start + int(at[-1]) if len(at) else None, len(at)
 
 
+def in_store(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path as Spark names it, and the path in there."""
+    scheme, rest = path.split(":", 1)
+    rest = rest if rest.startswith("//") else f"//{rest}"
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }:{quote(rest, safe='/:@')}")
+
+
+def readable(path: str) -> bool:
+    try:
+        in_store(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def scan(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK) -> DataFrame:
     """Documents of the flat token files in a folder: path, doc_no (from 0 in its file), start, n_tokens, ended.
 
@@ -54,7 +72,11 @@ def scan(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK) -
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, k in zip(batch["path"], batch["block"]):
-                ids = np.fromfile(unquote(urlparse(path).path), "<u2", count=block, offset=int(k) * block * WIDTH)
+                store, place = in_store(path)
+                with store.open_input_file(place) as f:
+                    f.seek(int(k) * block * WIDTH)
+                    data = f.read(block * WIDTH)
+                ids = np.frombuffer(data, "<u2", count=len(data) // WIDTH)
                 yield frame([_summary(path, int(k), ids, block, end)])
 
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,12 +86,14 @@ def scan(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK) -
                 for k in range(0, -(-len(ids) // block)):
                     yield frame([_summary(path, k, ids[k * block : (k + 1) * block], block, end)])
 
-    local = files.where("path like 'file:%' and length >= 2")
-    blocks = local.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length div {WIDTH} - 1) div {block}"))).alias("block"))
+    store = F.regexp_extract("path", "^[^:]+:(//[^/]*)?", 0)
+    stores = {r.store: readable(r.store + "/") for r in files.select(store.alias("store")).distinct().collect()}
+    ranged = store.isin([s for s, known in stores.items() if known])
+    blocks = files.where(ranged & (F.col("length") >= WIDTH)).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length div {WIDTH} - 1) div {block}"))).alias("block"))
     blocks = blocks.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), "path", "block")
     found = blocks.mapInPandas(near, _SUMMARY)
-    if files.where("path not like 'file:%'").select("path").limit(1).count():
-        found = found.unionAll(files.where("path not like 'file:%'").select("path", "content").mapInPandas(far, _SUMMARY))
+    if not all(stores.values()):
+        found = found.unionAll(files.where(~ranged).select("path", "content").mapInPandas(far, _SUMMARY))
     found = cut(found)
     # The scan runs over narrow summaries, first over groups of blocks and then inside each; places are joined to its result.
     narrow = found.select("path", "block", F.expr(f"block div {GROUP}").alias("group"), "last", "separators", (F.col("start") + F.col("tokens")).alias("stop"))
