@@ -120,19 +120,26 @@ def test_vectors_against_all_pairs(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(linked[i].sum()), int(label[i])) for i in range(len(x))}
 
 
-def plain_parse(text):
-    """Levels of phrase names of one text, symbol by symbol."""
-    names, places, _ = fingerprint._tables()
-    mix = lambda v: int(fingerprint.mixed(np.array([v & (2**64 - 1)], np.uint64))[0])
-    sym, levels = [int(names[ord(c)]) for c in text], []
-    for _ in range(3):
+def scrambled(v):
+    """splitmix64's finaliser, on Python's integers."""
+    v = (v + 0x9E3779B97F4A7C15) % 2**64
+    v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    v = (v ^ v >> 27) * 0x94D049BB133111EB % 2**64
+    return v ^ v >> 31
+
+
+def plain_parse(text, top=3):
+    """Levels of phrase names of one text, symbol by symbol, up to a level or to one phrase."""
+    places = [scrambled((1 << 20) + k) | 1 for k in range(64)]
+    sym, levels = [scrambled(ord(c)) for c in text], []
+    while len(levels) < top or (top == 0 and len(sym) > 1) or not levels:
         runs = []
         for s in sym:
             if runs and runs[-1][0] == s:
                 runs[-1][1] += 1
             else:
                 runs.append([s, 1])
-        sym = [s if n == 1 else mix(s ^ mix(n)) for s, n in runs]
+        sym = [s if n == 1 else scrambled(s ^ scrambled(n)) for s, n in runs]
         labels = sym
         for step in range(4):
             new = []
@@ -142,7 +149,7 @@ def plain_parse(text):
                 new.append(2 * low + (v >> low & 1) if k else v & 1)
             labels = new
         starts = [k for k in range(len(sym)) if k == 0 or (labels[k] < labels[k - 1] and (k + 1 == len(sym) or labels[k] < labels[k + 1]))]
-        sym = [mix(sum(sym[k] * int(places[k - a & 63]) for k in range(a, b)) & (2**64 - 1) ^ mix(b - a)) for a, b in zip(starts, [*starts[1:], len(sym)])]
+        sym = [scrambled(sum(sym[k] * places[k - a & 63] for k in range(a, b)) % 2**64 ^ scrambled(b - a)) for a, b in zip(starts, [*starts[1:], len(sym)])]
         levels.append(sym)
     return levels
 
@@ -150,6 +157,7 @@ def plain_parse(text):
 def test_parse_against_plain_version(texts):
     some = [t for t in list(texts.values())[:12]] + ["a", "ab", "aaaa", "abab" * 20, "\U0001f600é" * 9]
     for text, kept in zip(some, fingerprint.phrases(some)):
+        assert kept.pop(fingerprint.ROOT).tolist() == plain_parse(text, 0)[-1] and len(plain_parse(text, 0)[-1]) == 1
         for level, names in kept.items():
             assert names.tolist() == sorted({n >> 32 for n in plain_parse(text[:100_000])[level - 1]})[: fingerprint.KEEP]
 
@@ -172,6 +180,22 @@ def test_edits(spark, texts):
     assert all(r.near_edited > r.near_next for r in got.values())
 
 
+def test_likeness_against_whole_phrase_sets(texts):
+    """What 64 hashes of a level cost: the likeness of a text and its edit against the Jaccard similarity of all their phrases."""
+    ids = sorted(texts, reverse=True)
+    pairs = [(texts[i], texts[i][: len(texts[i]) - len(texts[i]) // 3] + texts[n][: len(texts[i]) // 3]) for i, n in zip(ids, ids[1:])]
+    pairs = [p for p in pairs if 300 < len(p[0]) < 12_000][:60]
+    errors = []
+    for a, b in pairs:
+        x, y = fingerprint.phrases([a, b])
+        both = [v for v in fingerprint.LEVELS if v in x and v in y]
+        level = next((v for v in both if min(len(x[v]), len(y[v])) >= fingerprint.ENOUGH), both[-1])
+        p, q = set(plain_parse(a)[level - 1]), set(plain_parse(b)[level - 1])
+        errors.append(abs(fingerprint.likeness(x, y) - len(p & q) / len(p | q)))
+    print("mean error", sum(errors) / len(errors), "largest", max(errors))
+    assert len(errors) > 30 and sum(errors) / len(errors) < 0.05 and max(errors) < 0.2
+
+
 def test_token_counts(spark, texts):
     import public_tokenizers
 

@@ -138,6 +138,55 @@ def test_pairs_share_their_turns(spark):
 
 def test_ranges_of_ids(spark):
     edges = sorted({k * k for k in range(1, 60)}, reverse=True)
-    ids = spark.range(0, 3482).select(F.col("id").alias("doc_id")).unionAll(spark.sql("select cast(null as long)"))
-    got = ids.select("doc_id", fingerprint._range_of(edges).alias("r")).collect()
+    ids = spark.range(0, 3482).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("hash")).unionAll(spark.sql("select cast(null as long), 0L"))
+    got = ids.select("doc_id", fingerprint._range_of([(e, None) for e in edges]).alias("r")).collect()
     assert all(r.r == (len(edges) - 1 if r.doc_id is None else sum(e >= r.doc_id for e in edges) - 1) for r in got)
+
+
+@pytest.mark.parametrize("kind", ["ids", "repeats", "no ids", "one id", "equal rows"])
+def test_next_document_of_ties(spark, kind):
+    """Every row meets its next one, whoever shares its id, and no range holds most of the rows of a frequent id."""
+    import hashlib
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(30)))
+    rows = {
+        "ids": [(i, word()) for i in range(300)],
+        "repeats": [(rng.choice((None, 7, 7, 7, i)), word()) for i in range(400)],
+        "no ids": [(None, word()) for _ in range(100)],
+        "one id": [(5, word()) for _ in range(100)] + [(9, "x")],
+        "equal rows": [(5, "same")] * 100 + [(None, "same")] * 80 + [(1, "b")],
+    }[kind]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    got = sorted(repr((r.doc_id, r.edited_sha256)) for r in fingerprint.with_next(docs, fingerprint.compare_edits, schema).collect())
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted((1 << 62 if i is None else -i, hashes[t], t, i) for i, t in rows)
+    texts = [t for _, _, t, _ in order]
+    edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, texts[1:] + texts[:1])]
+    assert got == sorted(repr((x[3], hashlib.sha256(e.encode()).hexdigest())) for x, e in zip(order, edited))
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark):
+    rows = spark.createDataFrame([(None if k % 3 else 4, f"text {k}") for k in range(900)], "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    edges = fingerprint._edges(rows, [4, None], {4: 3, None: 6})
+    sizes = [r["count"] for r in rows.groupBy(fingerprint._range_of(edges).alias("r")).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 160
+
+
+def test_files_that_arrow_cannot_open(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    for k, n in enumerate((0, 1, 300, 301)):
+        np.random.default_rng(k).integers(0, 9, n).astype("<u2").tofile(folder / f"part-{k}.bin")
+    near = sorted(map(str, separators.scan(spark, str(folder), end=5, block=7).collect()))
+    monkeypatch.setattr(separators, "readable", lambda path: False)
+    assert near and sorted(map(str, separators.scan(spark, str(folder), end=5, block=7).collect())) == near
+
+
+def test_hidden_letters_are_folded():
+    assert toxicity.fold("𝐬𝐜𝐮𝐦 s\u200bc\u0301um \ufb01ne ⓢcum sc\xadum") == " scum scum fine scum scum "
+    assert toxicity.fold("ÀÉ İ ﬃ") == " ae i ffi " and toxicity.fold(None) == "  " == toxicity.fold("\u200b")
