@@ -166,9 +166,9 @@ def json_boolean(json: Column, path: str) -> Column:
 
 
 def observation_kind(comment: Column) -> Column:
-    """Todo for comments that start with TODO, FIXME or HACK, Note for NOTE, whatever the case; else null."""
+    """Todo for comments whose text starts with TODO, FIXME or HACK, Note for NOTE, whatever the case and whatever follows; else null."""
     body = F.regexp_replace(comment, r"^\s*(//+|/\*+|\*|#)?\s*", "")
-    return F.when(body.rlike(r"(?i)^(todo|fixme|hack)\b"), "Todo").when(body.rlike(r"(?i)^note\b"), "Note")
+    return F.when(body.rlike(r"(?i)^(todo|fixme|hack)"), "Todo").when(body.rlike(r"(?i)^note"), "Note")
 
 
 def complement(operator: Column) -> Column:

@@ -79,29 +79,47 @@ def prune_types(candidates: DataFrame, ancestors: DataFrame, roots: DataFrame, c
 
 
 def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int = 2, budget: int = 64) -> DataFrame:
-    """Call trees of roots(root) over calls(caller, callee, owner, op_ord), by path, with the reason why a node stops.
+    """Call trees of roots(root) over admitted calls(caller, callee, owner, op_ord), in pre-order, with the reason why a node stops.
 
     Children follow in the order of (owner, op_ord). The first reason that holds stops a callee: BodyUnavailable, SourceUnavailable
     (its project is not loaded or it is generated), NoFlow, AmbiguousFlow (several flows), Cycle (it is on its own path), Depth (at the
-    last level, whether or not it calls on). methods(method_id, has_body) may also tell loaded and flows, else taken as true and 1. Nodes
-    beyond the budget, counted before their children and after their elder siblings, are cut with all that follows (NodeBudget
-    on the first).
-    Returns root, path (places joined by dots), depth, method_id, stop (null: complete or expanded).
+    last level, if it calls on). calls may also tell guarded, methods(method_id, has_body) loaded and flows; else false, true and 1.
+    A call is no step of the tree, only a mark where it ends, if it is guarded and not the root's own (Guarded), or if `budget` steps
+    (the root not among them) come before it (NodeBudget); nothing follows below it.
+    Returns root, path (places joined by dots), depth, method_id, stop (null: complete or expanded), step (false for the root and marks).
     """
     order = Window.partitionBy("caller").orderBy("owner", "op_ord", "callee")
-    # A root looks at its first `budget` calls at most: later ones lie beyond the budget on every level.
-    step = calls.withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget + 1).select("caller", "callee", "place")
+    guarded = F.coalesce("guarded", F.lit(False)) if "guarded" in calls.columns else F.lit(False)
+    step = calls.withColumn("place", F.row_number().over(order)).select("caller", "callee", "place", guarded.alias("guarded"))
     told = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in methods.columns else F.lit(default)
     bodies = methods.select(F.col("method_id").alias("callee"), F.coalesce("has_body", F.lit(False)).alias("has_body"), told("loaded", True).alias("loaded"), told("flows", 1).alias("flows"))
+    bodies = bodies.join(calls.select(F.col("caller").alias("callee")).distinct().withColumn("calls_on", F.lit(True)), "callee", "left")
     level = roots.select("root", F.col("root").alias("method_id"), F.array("root").alias("trail"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("stop"))
     out = level
     for k in range(1, depth + 1):
-        nxt = level.where("stop is null").join(step, F.col("method_id") == F.col("caller")).join(bodies, "callee", "left")
-        stop = F.when(~F.coalesce("has_body", F.lit(False)), "BodyUnavailable").when(~F.col("loaded"), "SourceUnavailable")
+        # A call behind `budget` others of its caller cannot be a step, so nothing below it is looked up.
+        open_ = level.where("stop is null and (size(places) = 0 or element_at(places, -1) <= %d)" % budget)
+        nxt = open_.join(step, F.col("method_id") == F.col("caller")).join(bodies, "callee", "left")
+        stop = F.when(F.col("guarded") & F.lit(k > 1), "Guarded").when(~F.coalesce("has_body", F.lit(False)), "BodyUnavailable").when(~F.col("loaded"), "SourceUnavailable")
         stop = stop.when(F.col("flows") == 0, "NoFlow").when(F.col("flows") > 1, "AmbiguousFlow").when(F.array_contains("trail", F.col("callee")), "Cycle")
-        stop = stop.when(F.lit(k == depth), "Depth")
+        stop = stop.when(F.lit(k == depth) & F.col("calls_on"), "Depth")
         level = nxt.select("root", F.col("callee").alias("method_id"), F.concat("trail", F.array("callee")).alias("trail"), F.concat("places", F.array("place")).alias("places"), F.lit(k).alias("depth"), stop.alias("stop"))
         out = out.unionAll(level)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("places")))
-    ranked = ranked.where(F.col("rank") <= budget + 1).withColumn("stop", F.when(F.col("rank") > budget, "NodeBudget").otherwise(F.col("stop")))
-    return ranked.select("root", F.array_join("places", ".").alias("path"), F.col("depth").cast("long"), "method_id", "stop")
+    by_place = Window.partitionBy("root").orderBy("places")
+    counts = (F.col("depth") > 0) & ~F.coalesce(F.col("stop") == "Guarded", F.lit(False))
+    ranked = out.withColumn("rank", F.count(F.when(counts, 1)).over(by_place))
+    # In pre-order a node's parent is the last node before it that is one level up.
+    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    up = F.coalesce(*[F.when(F.col("depth") == k + 1, F.last(F.when(F.col("depth") == k, F.col("rank")), ignorenulls=True).over(before)) for k in range(depth)], F.lit(0))
+    ranked = ranked.withColumn("up", up).where(F.col("up") <= budget)
+    stop = F.when(counts & (F.col("rank") > budget), "NodeBudget").otherwise(F.col("stop"))
+    return ranked.select("root", F.array_join("places", ".").alias("path"), F.col("depth").cast("long"), "method_id", stop.alias("stop"), (counts & (F.col("rank") <= budget)).alias("step"))
+
+
+def expansion_conflicts(tree: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(root, path, method_id, operation): where an expanded node of expand() leaves out operations whose invocations disagree.
+
+    conflicts(caller, operation) are such operations; a method that stops shows none of its own.
+    """
+    shown = tree.where("stop is null").select("root", "path", "method_id")
+    return shown.join(conflicts.select(F.col("caller").alias("method_id"), "operation").distinct(), "method_id").select("root", "path", "method_id", "operation")

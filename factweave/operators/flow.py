@@ -85,31 +85,40 @@ def reached(g: Graph, start: int) -> int:
     return seen
 
 
-def per_method(blocks: DataFrame, rows: Callable[[Graph, list[Block]], list[tuple]], schema: str) -> DataFrame:
-    """rows(graph, body) -> tuples after the method id, for every method."""
+def walk_methods(rows: DataFrame, columns: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """work(rows of one method) -> tuples after the method id, for every method; rows are tuples of columns, in order, nulls as None."""
     names = ["method", *(c.split()[0] for c in schema.split(", "))]
-    columns = ["ord", "n", "terminal", "cond_succ", "fall"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, body = None, []  # the method that the last batch may have cut
         for batch in batches:
             done = []
-            values = [batch[c].astype(object).where(batch[c].notna(), None) for c in ("method", *columns)]
-            for method, o, n, kind, c, f in zip(*values):
+            for method, *row in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in ("method", *columns))):
                 if body and method != held:
-                    done += [(held, *r) for r in rows(graph_of(body), body)]
+                    done += [(held, *r) for r in work(body)]
                     body = []
                 held = method
-                body.append((int(o), int(n), kind, None if c is None else int(c), None if f is None else int(f)))
+                body.append(tuple(row))
             yield pd.DataFrame(done, columns=names)
         if body:
-            yield pd.DataFrame([(held, *r) for r in rows(graph_of(body), body)], columns=names)
+            yield pd.DataFrame([(held, *r) for r in work(body)], columns=names)
 
-    kind = blocks.schema["method"].dataType.simpleString()
-    dealt = blocks.select("method", *columns).repartition("method").sortWithinPartitions("method", "ord")
+    kind = rows.schema["method"].dataType.simpleString()
+    dealt = rows.select("method", *columns).repartition("method").sortWithinPartitions("method", *order)
     return dealt.mapInPandas(run, f"method {kind}, {schema}")
 
 
+def per_method(blocks: DataFrame, rows: Callable[[Graph, list[Block]], list[tuple]], schema: str) -> DataFrame:
+    """rows(graph, body) -> tuples after the method id, for every method."""
+    whole = lambda v: None if v is None else int(v)
+
+    def work(found: list[tuple]) -> list[tuple]:
+        body = [(int(o), int(n), kind, whole(c), whole(f)) for o, n, kind, c, f in found]
+        return rows(graph_of(body), body)
+
+    return walk_methods(blocks, ["ord", "n", "terminal", "cond_succ", "fall"], ["ord"], work, schema)
+
+
 def decisions(body: list[Block]) -> list[tuple[int, int, int]]:
     """(ord, true successor, false successor) of blocks that have both."""
     return [(o, c, f) for o, _, _, c, f in body if c is not None and f is not None]

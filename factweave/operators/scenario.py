@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import calls, flow
+from . import calls
 
 
 def either_key(left: DataFrame, right: DataFrame, first: str, second: str, key: str) -> DataFrame:
@@ -29,12 +29,6 @@ def caught(throws: DataFrame, catches: DataFrame, above: DataFrame) -> DataFrame
     return throws.join(taken, ["method", "ord", "type"], "left").select("method", "ord", "type", F.coalesce("taken", F.lit(False)).alias("caught"))
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """(node): nodes of edges(source, target) that reach themselves."""
-    seen = calls.closure(edges.select(F.col("target").alias("start")), edges)
-    return seen.join(edges, (F.col("node") == F.col("source")) & (F.col("start") == F.col("target"))).select(F.col("start").alias("node")).distinct()
-
-
 def inherit_arms(tree: DataFrame, arms: DataFrame) -> DataFrame:
     """(root, path, arm): nodes of call trees (root, path: places joined by dots) under the arm of their first call.
 
@@ -53,38 +47,6 @@ def summaries(calls_: DataFrame, writes: DataFrame, methods: DataFrame) -> DataF
     return out.select("method_id", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_targets", F.lit(0)).alias("n_targets"), F.coalesce("writes_state", F.lit(False)).alias("writes_state"), F.coalesce("complete", F.lit(True)).alias("complete"))
 
 
-def arm_terminals(blocks: DataFrame) -> DataFrame:
-    """(method, decision, arm, terminal): how each arm of a decision ends.
-
-    The arm is walked from its first block along single successors. A return or throw ends it (Terminates); the exit block
-    or another decision takes it back (Rejoins); a block seen before, or one without successor and without an end of its
-    own, is Unknown.
-    """
-
-    def rows(g: flow.Graph, body: list[flow.Block]):
-        exit_block, after, _ = g
-        kind = {b[0]: b[2] for b in body}
-        decision = {b[0] for b in body if b[3] is not None}
-        out = []
-        for d, c, f in flow.decisions(body):
-            for arm, at in ((True, c), (False, f)):
-                seen, end = set(), None
-                while end is None:
-                    if at == exit_block or at in decision:
-                        end = "Rejoins"
-                    elif kind[at] in ("Return", "Throw", "Rethrow"):
-                        end = "Terminates"
-                    elif at in seen or not after[at]:
-                        end = "Unknown"
-                    else:
-                        seen.add(at)
-                        at = next(flow.bits(after[at]))
-                out.append((d, arm, end))
-        return out
-
-    return flow.per_method(blocks, rows, "decision long, arm boolean, terminal string")
-
-
 def nesting(handlers: DataFrame) -> DataFrame:
     """Handlers (method, ord, is_decision) with the decision before them and how many decisions that is deep."""
     w = Window.partitionBy("method").orderBy("ord")

@@ -15,14 +15,15 @@ from .calls import cut
 MAX_DEPTH = 3
 
 
-def memberships(nodes: DataFrame, anchors: DataFrame, dependences: DataFrame) -> tuple[DataFrame, DataFrame]:
+def memberships(nodes: DataFrame, anchors: DataFrame, dependences: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((method, node, decision, polarity), (method, node, code, decision)) of nodes(method, node, operation).
 
-    anchors(method, operation, anchor), dependences(method, decision, node, polarity) with node an anchor. SC011 withholds a
-    node without operation or anchor, or whose anchors disagree; SC012 withholds the decision that holds a node with both its
-    arms. Methods without any dependence have no question to answer and give no row.
+    anchors(method, operation, anchor), dependences(method, decision, node, polarity) with node an anchor, decisions(method, decision). SC011
+    withholds a node without operation or anchor, or whose anchors disagree; SC012 withholds the decision that holds a node with
+    both its arms. Methods without a decision have no question to answer and give no row; a dependence on what is no decision
+    still makes anchors disagree, but gives no membership.
     """
-    nodes = nodes.join(dependences.select("method").distinct(), "method", "left_semi").select("method", "node", "operation")
+    nodes = nodes.join(decisions.select("method").distinct(), "method", "left_semi").select("method", "node", "operation")
     all_of = anchors.distinct().groupBy("method", "operation").agg(F.count("*").alias("anchors"))
     held = anchors.distinct().join(dependences.select("method", F.col("node").alias("anchor"), "decision", "polarity").distinct(), ["method", "anchor"])
     held = held.groupBy("method", "operation", "decision", "polarity").agg(F.count("*").alias("held"))
@@ -32,8 +33,34 @@ def memberships(nodes: DataFrame, anchors: DataFrame, dependences: DataFrame) ->
     placed = nodes.join(all_of, ["method", "operation"], "left").join(split, ["method", "operation"], "left")
     lost = placed.where("anchors is null or split").select("method", "node", F.lit("SC011").alias("code"), F.lit(None).cast(dependences.schema["decision"].dataType).alias("decision"))
     sound = placed.where("anchors is not null and split is null").join(both, ["method", "operation"])
-    found = sound.where("arms = 1").select("method", "node", "decision", "polarity")
-    return found, lost.unionAll(sound.where("arms > 1").select("method", "node", F.lit("SC012"), "decision"))
+    found = sound.where("arms = 1").select("method", "node", "decision", "polarity").join(decisions.distinct(), ["method", "decision"], "left_semi")
+    return found.select("method", "node", "decision", "polarity"), lost.unionAll(sound.where("arms > 1").select("method", "node", F.lit("SC012"), "decision"))
+
+
+def decision_topology(scopes: DataFrame, nodes: DataFrame, anchors: DataFrame, dependences: DataFrame, terminals: DataFrame) -> dict[str, DataFrame]:
+    """Decisions, arms, memberships and diagnostics of entries, each over all the methods of its scope together.
+
+    scopes(entry, method): commonly the entry's root and the service method that it calls. nodes(entry, node, operation) are the material
+    nodes, anchors(method, operation, anchor), dependences(method, decision, node, polarity) and terminals(method, decision, arm,
+    terminal, reason) facts of methods. An operation may be anchored in any method of the scope; all its anchors must agree.
+    Returns arms(entry, method, decision, polarity, terminal), memberships(entry, node, method, decision, polarity) and
+    diagnostics(entry, code, node, method, decision, detail): SC011 and SC012 of memberships(), SC013 for a decision of which an arm is
+    not classified, with the true arm's reason, else the false arm's.
+    """
+    scopes = scopes.select("entry", "method").distinct()
+    at = lambda c: F.struct("method", F.col(c).alias("place"))
+    arms = scopes.join(terminals, "method").select("entry", "method", "decision", F.col("arm").alias("polarity"), "terminal", "reason")
+    decisions = arms.select(F.col("entry").alias("method"), at("decision").alias("decision")).distinct()
+    all_anchors = scopes.join(anchors, "method").select(F.col("entry").alias("method"), "operation", at("anchor").alias("anchor"))
+    control = scopes.join(dependences, "method").select(F.col("entry").alias("method"), at("decision").alias("decision"), at("node").alias("node"), "polarity")
+    members, lost = memberships(nodes.select(F.col("entry").alias("method"), "node", "operation"), all_anchors, control, decisions)
+    spread = lambda rows, *more: rows.select(F.col("method").alias("entry"), "node", *more, F.col("decision.method").alias("method"), F.col("decision.place").alias("decision"))
+    found = spread(lost, "code").select("entry", "code", "node", "method", "decision", F.lit(None).cast("string").alias("detail"))
+    why = F.coalesce(F.max(F.when(F.col("polarity"), F.col("reason"))), F.max(F.when(~F.col("polarity"), F.col("reason"))))
+    unclear = arms.groupBy("entry", "method", "decision").agg(why.alias("detail")).where("detail is not null")
+    node = F.lit(None).cast(nodes.schema["node"].dataType)
+    found = found.unionAll(unclear.select("entry", F.lit("SC013"), node, "method", "decision", "detail"))
+    return {"arms": arms.drop("reason"), "memberships": spread(members, "polarity").select("entry", "node", "method", "decision", "polarity"), "diagnostics": found}
 
 
 def prune(nodes: DataFrame, edges: DataFrame, members: DataFrame, withheld: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ VIEWS = {
     # Invocations in source order; the natural key repeats, so the ordinal comes from a total order.
     "v_inv": "SELECT l_orderkey AS owner, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) - 1 AS op_ord, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS method_id, l_suppkey AS target, l_returnflag AS kind, l_linestatus AS status FROM {lineitem}",
     # Call edges: an invocation calls the next one of its owner.
-    "v_call": "SELECT caller, callee, owner, op_ord FROM (SELECT method_id AS caller, lead(method_id) OVER (PARTITION BY owner ORDER BY op_ord) AS callee, owner, op_ord FROM v_inv) AS c WHERE callee IS NOT NULL",
+    "v_call": "SELECT caller, callee, owner, op_ord, (owner + op_ord) % 11 = 3 AS guarded FROM (SELECT method_id AS caller, lead(method_id) OVER (PARTITION BY owner ORDER BY op_ord) AS callee, owner, op_ord FROM v_inv) AS c WHERE callee IS NOT NULL",
     # Basic blocks: the events of a user are the blocks of one method, the block after the last is its exit. Views decide,
     # purchases return, errors throw, throw again or end in a way unknown, and two of three throws escape.
     "v_block": """SELECT f.user_id AS method, ord, n, event_type,

@@ -215,14 +215,16 @@ def _influence(spark, d):
     return found.join(kinds, ["method", "node"], "left").groupBy("method", F.col("start").alias("parameter")).agg(hit("purchase").alias("to_return"), hit("error").alias("to_state"))
 
 
+_STOP = "CASE WHEN {guard} THEN 'Guarded' WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN NOT m.loaded THEN 'SourceUnavailable' WHEN m.flows = 0 THEN 'NoFlow' WHEN m.flows > 1 THEN 'AmbiguousFlow' WHEN list_contains(trail, s.callee) THEN 'Cycle' {last} END"
 _EXPAND = f"""{with_views('v_call', 'v_method')},
- s AS (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY owner, op_ord, callee) AS place FROM v_call),
+ s AS (SELECT caller, callee, guarded, row_number() OVER (PARTITION BY caller ORDER BY owner, op_ord, callee) AS place FROM v_call),
  l0 AS (SELECT method_id AS root, method_id, [method_id] AS trail, []::INT[] AS places, 0 AS depth, NULL AS stop FROM v_method),
- l1 AS (SELECT root, s.callee AS method_id, list_append(trail, s.callee) AS trail, list_append(places, place::INT) AS places, 1 AS depth, CASE WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN NOT m.loaded THEN 'SourceUnavailable' WHEN m.flows = 0 THEN 'NoFlow' WHEN m.flows > 1 THEN 'AmbiguousFlow' WHEN list_contains(trail, s.callee) THEN 'Cycle' END AS stop FROM l0 JOIN s ON s.caller = l0.method_id LEFT JOIN v_method m ON m.method_id = s.callee),
- l2 AS (SELECT root, s.callee, list_append(trail, s.callee), list_append(places, place::INT), 2, CASE WHEN NOT coalesce(m.has_body, false) THEN 'BodyUnavailable' WHEN NOT m.loaded THEN 'SourceUnavailable' WHEN m.flows = 0 THEN 'NoFlow' WHEN m.flows > 1 THEN 'AmbiguousFlow' WHEN list_contains(trail, s.callee) THEN 'Cycle' ELSE 'Depth' END FROM l1 JOIN s ON s.caller = l1.method_id AND l1.stop IS NULL LEFT JOIN v_method m ON m.method_id = s.callee),
+ l1 AS (SELECT root, s.callee AS method_id, list_append(trail, s.callee) AS trail, list_append(places, place::INT) AS places, 1 AS depth, {_STOP.format(guard='false', last='')} AS stop FROM l0 JOIN s ON s.caller = l0.method_id LEFT JOIN v_method m ON m.method_id = s.callee),
+ l2 AS (SELECT root, s.callee, list_append(trail, s.callee), list_append(places, place::INT), 2, {_STOP.format(guard='s.guarded', last="WHEN s.callee IN (SELECT caller FROM v_call) THEN 'Depth'")} FROM l1 JOIN s ON s.caller = l1.method_id AND l1.stop IS NULL LEFT JOIN v_method m ON m.method_id = s.callee),
  u AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2),
- k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY places) AS rank FROM u)
- SELECT root, array_to_string(places, '.') AS path, depth::BIGINT AS depth, method_id, CASE WHEN rank > 64 THEN 'NodeBudget' ELSE stop END AS stop FROM k WHERE rank <= 65"""
+ k AS (SELECT *, sum(CASE WHEN depth > 0 AND stop IS DISTINCT FROM 'Guarded' THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY places) AS rank FROM u),
+ z AS (SELECT k.*, coalesce(p.rank, 0) AS up FROM k LEFT JOIN k p ON k.depth > 0 AND p.root = k.root AND p.places = k.places[1 : k.depth - 1])
+ SELECT root, array_to_string(places, '.') AS path, depth::BIGINT AS depth, method_id, CASE WHEN depth > 0 AND rank > 64 AND stop IS DISTINCT FROM 'Guarded' THEN 'NodeBudget' ELSE stop END AS stop, depth > 0 AND rank <= 64 AND stop IS DISTINCT FROM 'Guarded' AS step FROM z WHERE up <= 64"""
 
 
 @query("direct_expansion", _EXPAND)
@@ -236,6 +238,16 @@ def _stops(spark, d):
     return _expand(spark, d).groupBy("stop").agg(F.count("*").alias("n"))
 
 
+_CONFLICTS = "SELECT method_id AS caller, line AS operation FROM v_inv GROUP BY method_id, line HAVING count(*) > 1 AND min(target) <> max(target) AND min(status) <> max(status)"
+
+
+@query("expansion_duplicates", f"WITH t AS ({_EXPAND}), c AS ({with_views('v_inv')} {_CONFLICTS}) SELECT root, path, method_id, operation FROM t JOIN c ON caller = method_id WHERE stop IS NULL")
+def _conflicting(spark, d):
+    seen = view(spark, d, "v_inv").groupBy(F.col("method_id").alias("caller"), F.col("line").alias("operation"))
+    both = seen.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("target", "status") for k, f in (("lo", F.min), ("hi", F.max))])
+    return calls.expansion_conflicts(_expand(spark, d), both.where("n > 1 and target_lo <> target_hi and status_lo <> status_hi"))
+
+
 @query("service_resolution", f"""{with_views('v_method', 'v_inv')},
  o AS (SELECT owner, method_id, count(*) OVER (PARTITION BY owner) AS n FROM v_inv WHERE kind = 'A'),
  a AS (SELECT k.o_orderkey AS action, CASE WHEN count(o.owner) = 1 THEN min(o.method_id) END AS ctor, count(o.owner) AS n FROM orders k LEFT JOIN o ON o.owner = k.o_orderkey GROUP BY k.o_orderkey),

@@ -115,33 +115,44 @@ def _bare(spark, d):
     return _claims(spark, d)[1].where("code = 'SEQFW002'")
 
 
-_NODES = """SELECT owner AS tree, op_ord AS node, CASE WHEN op_ord > 0 THEN (op_ord - 1) // 2 END AS parent, op_ord AS place,
-  CASE WHEN op_ord * 2 + 2 < n THEN 'binary' WHEN op_ord * 2 + 1 < n THEN 'unary' ELSE 'constant' END AS kind,
-  CASE WHEN op_ord * 2 + 2 < n THEN CASE method_id % 3 WHEN 0 THEN '&&' WHEN 1 THEN '||' ELSE '==' END WHEN op_ord * 2 + 1 < n THEN '!' END AS operator,
-  'System.Int32' AS type, CAST(target AS VARCHAR) AS constant FROM (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM v_inv) AS x"""
+# Heap-shaped trees: comparisons of two leaves take numbers, all else booleans, and one leaf in sixty a string, which nothing here admits.
+_NODES = """SELECT x.owner AS tree, x.op_ord AS node, CASE WHEN x.op_ord > 0 THEN (x.op_ord - 1) // 2 END AS parent, x.op_ord AS place,
+  CASE WHEN x.op_ord * 2 + 2 < x.n THEN 'binary' WHEN x.op_ord * 2 + 1 < x.n THEN 'unary' WHEN x.target % 3 = 0 THEN 'local' ELSE 'constant' END AS kind,
+  CASE WHEN x.op_ord * 2 + 2 < x.n THEN x.operator WHEN x.op_ord * 2 + 1 < x.n THEN '!' END AS operator,
+  CASE WHEN x.target % 60 = 7 THEN 'System.String' WHEN p.operator IN ('==', '<=') AND p.op_ord * 4 + 3 >= p.n AND p.op_ord * 2 + 2 < p.n THEN 'System.Int32' ELSE 'System.Boolean' END AS type,
+  CASE WHEN x.target % 3 = 0 THEN 'local' || CAST(x.target AS VARCHAR) WHEN p.operator IN ('==', '<=') AND p.op_ord * 4 + 3 >= p.n AND p.op_ord * 2 + 2 < p.n THEN CAST(x.target AS VARCHAR) WHEN x.target % 2 = 0 THEN 'True' ELSE 'False' END AS constant
+  FROM y AS x LEFT JOIN y AS p ON p.owner = x.owner AND x.op_ord > 0 AND p.op_ord = (x.op_ord - 1) // 2"""
+_OPERATORS = "SELECT *, count(*) OVER (PARTITION BY owner) AS n, CASE method_id % 4 WHEN 0 THEN '&&' WHEN 1 THEN '||' WHEN 2 THEN '==' ELSE '<=' END AS operator FROM v_inv"
 
 
 def _trees(spark, d):
-    sql = _NODES.replace("//", "div").replace("VARCHAR", "STRING").replace("v_inv", "{v_inv}")
-    return spark.sql(sql, v_inv=view(spark, d, "v_inv"))
+    rows = spark.sql(_OPERATORS.replace("v_inv", "{v_inv}"), v_inv=view(spark, d, "v_inv"))
+    return spark.sql(_NODES.replace("//", "div").replace("VARCHAR", "STRING").replace("y AS", "{y} AS"), y=rows)
 
 
 def _fold_sql(leaf: str, unary: str, binary: str) -> str:
-    """Levels from the deepest up: seven of them hold trees of 127 nodes, of which no owner here has half."""
-    out = f"{with_views('v_inv')}, t AS MATERIALIZED ({_NODES}), l6 AS (SELECT tree, node, {leaf} AS x, 9 AS r FROM t WHERE kind = 'constant' AND node >= 63)"
+    """Levels from the deepest up: seven of them hold trees of 127 nodes, of which no owner here has half. t is null where a tree is withheld."""
+    out = f"{with_views('v_inv')}, y AS MATERIALIZED ({_OPERATORS}), t AS MATERIALIZED ({_NODES}), l6 AS (SELECT tree, node, {leaf} AS x, type AS t, 9 AS r FROM t WHERE kind IN ('constant', 'local') AND node >= 63)"
     for k in range(5, -1, -1):
         below = f"l{k + 1}"
-        out += f""", l{k} AS MATERIALIZED (SELECT t.tree, t.node, CASE kind WHEN 'constant' THEN {leaf} WHEN 'unary' THEN {unary} ELSE {binary} END AS x,
-          CASE kind WHEN 'constant' THEN 9 WHEN 'unary' THEN 7 ELSE CASE operator WHEN '||' THEN 1 WHEN '&&' THEN 2 ELSE 3 END END AS r
+        out += f""", l{k} AS MATERIALIZED (SELECT t.tree, t.node, CASE WHEN kind IN ('constant', 'local') THEN {leaf} WHEN kind = 'unary' THEN {unary} ELSE {binary} END AS x,
+          CASE WHEN kind IN ('constant', 'local') THEN type WHEN kind = 'unary' THEN CASE WHEN a.t = 'System.Boolean' THEN a.t END
+            WHEN operator IN ('&&', '||') THEN CASE WHEN a.t = 'System.Boolean' AND b.t = 'System.Boolean' THEN a.t END
+            WHEN a.t = b.t AND (a.t <> 'System.String' OR operator = '==') THEN 'System.Boolean' END AS t,
+          CASE WHEN kind IN ('constant', 'local') THEN 9 WHEN kind = 'unary' THEN 7 ELSE CASE operator WHEN '||' THEN 1 WHEN '&&' THEN 2 WHEN '==' THEN 3 ELSE 4 END END AS r
           FROM t LEFT JOIN {below} a ON a.tree = t.tree AND a.node = 2 * t.node + 1 LEFT JOIN {below} b ON b.tree = t.tree AND b.node = 2 * t.node + 2 WHERE t.node >= {2**k - 1} AND t.node < {2 ** (k + 1) - 1})"""
-    return out + " SELECT tree, x AS text, CAST(NULL AS VARCHAR) AS code FROM l0 WHERE node = 0"
+    return out + " SELECT tree, CASE WHEN t IS NOT NULL THEN x END AS text, CASE WHEN t IS NULL THEN 'PRED001' END AS code FROM l0 WHERE node = 0"
 
 
 _FR = "length({0}) || ':' || {0}"
-_OP = "CASE operator WHEN '||' THEN 1 WHEN '&&' THEN 2 ELSE 3 END"
+_TYPED = _FR.format("type")
+_LEAF = f"CASE WHEN kind = 'local' THEN CASE WHEN t.node = 0 AND type = 'System.Boolean' THEN 'truth(14:System.Boolean,sym(' ELSE 'sym(' END || {_TYPED} || ',' || {_FR.format('constant')} || CASE WHEN t.node = 0 AND type = 'System.Boolean' THEN '))' ELSE ')' END"
+_LEAF += f" WHEN type = 'System.Int32' THEN 'num(' || {_TYPED} || ',' || {_FR.format('constant')} || ')' WHEN type = 'System.String' THEN 'str(' || {_TYPED} || ',' || {_FR.format('constant')} || ')' ELSE 'bool(' || {_TYPED} || ',' || {_FR.format('lower(constant)')} || ')' END"
+_OP = "CASE operator WHEN '||' THEN 1 WHEN '&&' THEN 2 WHEN '==' THEN 3 ELSE 4 END"
+_NAMED = "CASE operator WHEN '||' THEN 'or(14:System.Boolean' WHEN '&&' THEN 'and(14:System.Boolean' WHEN '==' THEN 'cmp(14:System.Boolean,5:Equal' ELSE 'cmp(14:System.Boolean,15:LessThanOrEqual' END"
 
 
-@query("predicate_canonical", _fold_sql(f"'constant(' || {_FR.format('type')} || ',' || {_FR.format('constant')} || ')'", f"'unary(1:!,' || {_FR.format('a.x')} || ')'", f"'binary(2:' || operator || ',' || {_FR.format('a.x')} || ',' || {_FR.format('b.x')} || ')'"))
+@query("predicate_canonical", _fold_sql(_LEAF, "'neg(14:System.Boolean,' || a.x || ')'", f"{_NAMED} || ',' || a.x || ',' || b.x || ')'"))
 def _canonical(spark, d):
     return predicates.canonical(_trees(spark, d))
 

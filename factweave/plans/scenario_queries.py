@@ -1,5 +1,6 @@
 """Queries on behaviour-graph operators, and their DuckDB counterparts."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -46,8 +47,8 @@ def _cycles(spark, d):
 
 @query("inherited_arms", f"SELECT root, path, 'arm' || (place % 3) AS arm FROM (SELECT root, path, CAST(string_split(path, '.')[1] AS BIGINT) AS place FROM ({_EXPAND}) WHERE path <> '') WHERE place % 2 = 0")
 def _inherited(spark, d):
-    roots = view(spark, d, "v_method")
-    arms = roots.select(F.col("method_id").alias("root"), F.explode(F.sequence(F.lit(2).cast("long"), F.lit(68).cast("long"), F.lit(2).cast("long"))).alias("place"))
+    place = F.row_number().over(Window.partitionBy("caller").orderBy("owner", "op_ord")).cast("long")
+    arms = view(spark, d, "v_call").select(F.col("caller").alias("root"), place.alias("place")).where("place % 2 = 0")
     return scenario.inherit_arms(_expand(spark, d), arms.withColumn("arm", F.concat(F.lit("arm"), (F.col("place") % 3).cast("string"))))
 
 
@@ -57,14 +58,6 @@ def _summary(spark, d):
     return scenario.summaries(view(spark, d, "v_call"), view(spark, d, "v_inv").where("kind = 'R'"), view(spark, d, "v_method"))
 
 
-@query("arm_walk_terminals", f"""{with_views('v_block', recursive=True)}, a AS (SELECT method, ord AS decision, true AS arm, cond_succ AS spot FROM v_block WHERE cond_succ IS NOT NULL AND fall IS NOT NULL UNION ALL SELECT method, ord, false, fall FROM v_block WHERE cond_succ IS NOT NULL AND fall IS NOT NULL),
-  w AS (SELECT method, decision, arm, spot FROM a UNION SELECT w.method, decision, arm, b.fall FROM w JOIN v_block b ON b.method = w.method AND b.ord = w.spot WHERE b.cond_succ IS NULL AND b.fall IS NOT NULL AND b.terminal NOT IN ('Return', 'Throw', 'Rethrow'))
-  SELECT w.method, decision, arm, coalesce(max(CASE WHEN b.ord IS NULL OR b.cond_succ IS NOT NULL THEN 'Rejoins' WHEN b.terminal IN ('Return', 'Throw', 'Rethrow') THEN 'Terminates' END), 'Unknown') AS terminal
-  FROM w LEFT JOIN v_block b ON b.method = w.method AND b.ord = w.spot GROUP BY ALL""")
-def _walk(spark, d):
-    return scenario.arm_terminals(view(spark, d, "v_block"))
-
-
 @query("handler_nesting", f"{with_views('v_def')} SELECT method, ord, last_value(CASE WHEN local_name = 'view' THEN ord END IGNORE NULLS) OVER w AS \"within\", count(CASE WHEN local_name = 'view' THEN ord END) OVER w AS depth FROM v_def WINDOW w AS (PARTITION BY method ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def _nesting(spark, d):
     return scenario.nesting(view(spark, d, "v_def").select("method", "ord", (F.col("local_name") == "view").alias("is_decision")))
@@ -82,11 +75,13 @@ def _focused(spark, d):
     return scenario.focused(entries, "op-77")
 
 
-@query("observation_kind", f"{with_views('v_def')} SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Todo' WHEN 1 THEN 'Todo' WHEN 2 THEN 'Note' END AS kind FROM v_def")
+@query("observation_kind", """SELECT event_id, CASE WHEN starts_with(t, 'todo') OR starts_with(t, 'hack') OR starts_with(t, 'fixme') THEN 'Todo' WHEN starts_with(t, 'note') THEN 'Note' END AS kind
+  FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'todo' WHEN 1 THEN 'todos' WHEN 2 THEN 'note' WHEN 3 THEN 'notable' WHEN 4 THEN 'fixme' WHEN 5 THEN 'hacky' ELSE '' END || lower(props) AS t FROM events)""")
 def _kind(spark, d):
-    n = F.col("event_id") % 5
-    comment = F.when(n == 0, "// TODO: x").when(n == 1, "/* Hack y */").when(n == 2, "//note z").when(n == 3, "// notable").otherwise("plain todo")
-    return view(spark, d, "v_def").select("event_id", text.observation_kind(comment).alias("kind"))
+    n = F.col("event_id") % 7
+    word = F.when(n == 0, "// TODO").when(n == 1, "/// ToDos").when(n == 2, "//note").when(n == 3, "// notable").when(n == 4, "/* FIXME").when(n == 5, "/** Hacky").otherwise("//")
+    comment = F.concat(word, "props", F.when(n == 4, " */").otherwise(""))
+    return view(spark, d, "v_cfg").select("event_id", text.observation_kind(comment).alias("kind"))
 
 
 @query("evidence_artifacts", f"{with_views('v_evid')} SELECT owner, string_agg(DISTINCT artifact, ', ' ORDER BY artifact) AS artifacts, count(DISTINCT artifact) AS n FROM v_evid GROUP BY owner")

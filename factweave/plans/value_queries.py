@@ -153,7 +153,7 @@ _STANDS = "SELECT method, CASE WHEN event_id % 3 > 0 THEN CAST(floor((ord + 1) /
 _DEPENDS = f"{FLOW['cfg_control_dependences'].rsplit(' SELECT b.method, b.ord AS decision', 1)[0]}, v_def AS ({with_views('v_def').removeprefix('WITH v_def AS (').removesuffix(')')}), dep AS (SELECT b.method, b.ord AS decision{FLOW['cfg_control_dependences'].rsplit(' SELECT b.method, b.ord AS decision', 1)[1]})"
 _MEMBERS = f"""{_DEPENDS}, k AS ({_SCENARIO}), a AS ({_STANDS}), x AS (SELECT a.method, operation, anchor, string_agg(decision || '/' || polarity, ',' ORDER BY decision, polarity) AS s FROM a LEFT JOIN dep ON dep.method = a.method AND dep.node = a.anchor GROUP BY a.method, operation, anchor),
   g AS (SELECT method, operation, count(DISTINCT coalesce(s, '')) = 1 AS agrees FROM x GROUP BY method, operation),
-  n AS (SELECT k.method, k.node, k.operation, agrees FROM k LEFT JOIN g ON g.method = k.method AND g.operation = k.operation WHERE kind <> 'Action' AND k.method IN (SELECT method FROM dep)),
+  n AS (SELECT k.method, k.node, k.operation, agrees FROM k LEFT JOIN g ON g.method = k.method AND g.operation = k.operation WHERE kind <> 'Action' AND k.method IN (SELECT method FROM v_block WHERE cond_succ IS NOT NULL AND fall IS NOT NULL)),
   m AS (SELECT DISTINCT n.method, n.node, decision, polarity FROM n JOIN a ON a.method = n.method AND a.operation = n.operation JOIN dep ON dep.method = a.method AND dep.node = a.anchor WHERE agrees),
   b AS (SELECT *, count(*) OVER (PARTITION BY method, node, decision) AS arms FROM m)"""
 
@@ -162,7 +162,8 @@ def _members(spark, d):
     definitions = view(spark, d, "v_def")
     read = lambda sql: spark.sql(sql.replace("v_def", "{d}"), d=definitions)
     nodes = read(_SCENARIO).where(admission.material(F.col("kind")))
-    return topology.memberships(nodes, read(_STANDS), flow.control_dependences(view(spark, d, "v_block")))
+    blocks = view(spark, d, "v_block")
+    return topology.memberships(nodes, read(_STANDS), flow.control_dependences(blocks), blocks.where("cond_succ is not null and fall is not null").select("method", F.col("ord").alias("decision")))
 
 
 @query("decision_memberships", f"{_MEMBERS} SELECT method, node, decision, polarity FROM b WHERE arms = 1")

@@ -1,5 +1,6 @@
 """Framework models, predicates and behaviour-graph operators on hand-built rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import frameworks, predicates, scenario
@@ -25,17 +26,52 @@ def test_dispatch_none_one_many(spark):
 
 
 NODES = "tree string, node long, parent long, place long, kind string, operator string, type string, constant string"
+BOOL = "System.Boolean"
 
 
 def test_predicates(spark):
-    rows = [("t", 0, None, 0, "binary", "&&", "b", None), ("t", 1, 0, 0, "binary", "||", "b", None), ("t", 2, 0, 1, "unary", "!", "b", None), ("t", 3, 1, 0, "parameter", None, "b", "p"), ("t", 4, 1, 1, "local", None, "b", "q"), ("t", 5, 2, 0, "member", None, "b", "r")]
-    deep = [("deep", k, k - 1 if k else None, 0, "unary" if k < 69 else "constant", "!", "b", "c") for k in range(70)]
-    bad = [("bad", 0, None, 0, "call", None, "b", "c")]
-    bad += [("loop", 1, 2, 0, "unary", "!", "b", None), ("loop", 2, 1, 0, "unary", "!", "b", None), ("lone", 1, None, 0, "unary", "!", "b", None)]
+    rows = [("t", 0, None, 0, "binary", "&&", None, None), ("t", 1, 0, 0, "binary", "||", None, None), ("t", 2, 0, 1, "unary", "!", None, None), ("t", 3, 1, 0, "parameter", None, BOOL, "p"), ("t", 4, 1, 1, "local", None, BOOL, "q"), ("t", 5, 2, 0, "member", None, BOOL, "r")]
+    deep = [("deep", k, k - 1 if k else None, 0, "unary" if k < 69 else "constant", "!", BOOL, "true") for k in range(70)]
+    bad = [("bad", 0, None, 0, "call", None, BOOL, "c")]
+    bad += [("loop", 1, 2, 0, "unary", "!", None, None), ("loop", 2, 1, 0, "unary", "!", None, None), ("lone", 1, None, 0, "unary", "!", None, None)]
     nodes = spark.createDataFrame(rows[::-1] + deep + bad, NODES)
     assert got(predicates.readable(nodes)) == [("bad", None, "PRED001"), ("deep", None, "PRED003"), ("lone", None, "PRED001"), ("loop", None, "PRED003"), ("t", "(p || q) && !r", None)]
     (text,) = [t for tree, t, _ in got(predicates.canonical(nodes)) if tree == "t"]
-    assert text.startswith("binary(2:&&,") and "parameter(1:b,1:p)" in text
+    sym = lambda x: f"sym(14:System.Boolean,1:{x})"
+    assert text == f"and(14:System.Boolean,or(14:System.Boolean,{sym('p')},{sym('q')}),neg(14:System.Boolean,{sym('r')}))"
+
+
+INT, TEXT, TIME = "System.Int32", "System.String", "System.DateTime"
+
+
+@pytest.mark.parametrize(
+    "operator, left, right, expected",
+    [
+        (None, ("local", BOOL, "ok"), None, "truth(14:System.Boolean,sym(14:System.Boolean,2:ok))"),
+        (None, ("constant", BOOL, "True"), None, "bool(14:System.Boolean,4:true)"),
+        (None, ("constant", "System.Char", "x"), None, "chr(11:System.Char,1:x)"),
+        ("<", ("local", INT, "n"), ("constant", INT, "12"), "cmp(14:System.Boolean,8:LessThan,sym(12:System.Int32,1:n),num(12:System.Int32,2:12))"),
+        ("==", ("local", TEXT, "s"), ("constant", TEXT, ""), "cmp(14:System.Boolean,5:Equal,sym(13:System.String,1:s),str(13:System.String,0:))"),
+        ("!=", ("local", "A.B", "b"), ("constant", "A.B", None), "cmp(14:System.Boolean,8:NotEqual,sym(3:A.B,1:b),null(3:A.B))"),
+        ("==", ("local", "A.Kind", "k"), ("constant", "A.Kind", "Big"), "cmp(14:System.Boolean,5:Equal,sym(6:A.Kind,1:k),enum(6:A.Kind,3:Big))"),
+        (">", ("opaque", TIME, "DateTime.UtcNow"), ("local", TIME, "t"), "cmp(14:System.Boolean,11:GreaterThan,opaque(15:System.DateTime,15:DateTime.UtcNow),sym(15:System.DateTime,1:t))"),
+        ("%", ("local", INT, "n"), ("constant", INT, "2"), "arith(12:System.Int32,9:Remainder,sym(12:System.Int32,1:n),num(12:System.Int32,1:2))"),
+        ("<", ("local", TEXT, "s"), ("local", TEXT, "t"), None),  # strings have no order
+        ("==", ("local", INT, "n"), ("local", "System.Int64", "m"), None),  # types differ
+        ("&&", ("local", BOOL, "p"), ("local", INT, "n"), None),
+        ("<=", ("local", "A.B", "b"), ("constant", "A.B", None), None),  # null compares for equality only
+        ("+", ("local", TEXT, "s"), ("local", TEXT, "t"), None),
+        ("??", ("local", BOOL, "p"), ("local", BOOL, "q"), None),  # no such operator
+        ("==", ("constant", "System.Double", "NaN"), ("local", "System.Double", "x"), None),
+        ("==", ("local", INT, None), ("local", INT, "n"), None),  # a symbol without a name
+    ],
+)
+def test_admission_of_predicates(spark, operator, left, right, expected):
+    leaves = [x for x in (left, right) if x]
+    rows = [("t", 0, None, 0, "binary", operator, None, None)] if operator else []
+    rows += [("t", k + len(rows[:1]), 0 if operator else None, k, kind, None, type_, value) for k, (kind, type_, value) in enumerate(leaves)]
+    nodes = spark.createDataFrame(rows, NODES)
+    assert got(predicates.canonical(nodes)) == [("t", expected, None if expected else "PRED001")]
 
 
 def test_either_key_once(spark):
@@ -51,11 +87,6 @@ def test_caught(spark):
     assert got(scenario.caught(throws, catches, above), "ord", "caught") == [(1, True), (5, False), (9, True)]
 
 
-def test_cycles(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 4)], "source long, target long")
-    assert got(scenario.cyclic(edges)) == [(1,), (2,), (4,)]
-
-
 def test_profiles_and_focus(spark):
     rows = spark.createDataFrame([(1, "Net8", {"a": "1", "t": "x"}), (2, "net8", {"a": "2"})], "id long, framework string, properties map<string,string>")
     assert got(scenario.profile_matches(rows, {"framework": "NET8"}, {"a": "1"}, ("t",)), "id") == [(1,)]

@@ -75,15 +75,36 @@ def test_innermost(spark):
 CALLS = "caller long, callee long, owner long, op_ord long"
 
 
-def test_expansion_cycle_body_depth_and_budget(spark):
-    methods = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "method_id long, has_body boolean")
-    edges = spark.createDataFrame([(1, 2, 0, 0), (2, 1, 0, 1), (2, 4, 0, 2), (1, 3, 0, 3)], CALLS)
+def test_expansion_stops(spark):
+    """Each reason once; a leaf at the last level that calls nothing is complete, one that calls on is cut for its depth."""
+    methods = spark.createDataFrame([(1, True, True, 1), (2, True, True, 1), (3, False, True, 1), (4, True, True, 1), (5, True, False, 1), (6, True, True, 0), (7, True, True, 2), (8, True, True, 1)], "method_id long, has_body boolean, loaded boolean, flows int")
+    edges = spark.createDataFrame([(1, 2, 0, 0), (2, 1, 0, 1), (2, 4, 0, 2), (2, 8, 0, 3), (1, 3, 0, 3), (1, 5, 0, 4), (1, 6, 0, 5), (1, 7, 0, 6), (8, 4, 0, 0)], CALLS)
     roots = spark.createDataFrame([(1,)], "root long")
-    assert got(calls.expand(roots, edges, methods), "path", "method_id", "stop") == [("", 1, None), ("1", 2, None), ("1.1", 1, "Cycle"), ("1.2", 4, "Depth"), ("2", 3, "BodyUnavailable")]
-    many = spark.createDataFrame([(1, 4, 0, k) for k in range(65)], CALLS)
-    out = got(calls.expand(roots, many, methods), "path", "stop")
-    assert len(out) == 65 and [s for p, s in out].count("NodeBudget") == 1
-    assert got(calls.expand(roots, many.limit(0), methods), "path", "stop") == [("", None)]
+    found = got(calls.expand(roots, edges, methods), "path", "method_id", "stop", "step")
+    assert found == [("", 1, None, False), ("1", 2, None, True), ("1.1", 1, "Cycle", True), ("1.2", 4, None, True), ("1.3", 8, "Depth", True), ("2", 3, "BodyUnavailable", True), ("3", 5, "SourceUnavailable", True), ("4", 6, "NoFlow", True), ("5", 7, "AmbiguousFlow", True)]
+    assert got(calls.expand(roots, edges.limit(0), methods), "path", "stop") == [("", None)]
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 70])
+def test_expansion_budget(spark, n):
+    """64 steps without the root; every call that a step makes behind them is marked, also with its own calls left out."""
+    methods = spark.createDataFrame([(1, True), (2, True), (4, True)], "method_id long, has_body boolean")
+    roots = spark.createDataFrame([(1,)], "root long")
+    flat = got(calls.expand(roots, spark.createDataFrame([(1, 4, 0, k) for k in range(n)], CALLS), methods), "path", "stop", "step")
+    assert [sum(step for *_, step in flat), [s for _, s, _ in flat].count("NodeBudget")] == [min(n, 64), max(0, n - 64)]
+    deep = spark.createDataFrame([(1, 2, 0, 0), (1, 4, 0, 1)] + [(2, 4, 0, k) for k in range(n)], CALLS)
+    out = got(calls.expand(roots, deep, methods), "path", "stop", "step")
+    assert sum(step for *_, step in out) == min(64, n + 2) and ("2", "NodeBudget" if n > 62 else None, n <= 62) in out
+    assert len(out) == n + 3
+
+
+def test_guarded_calls_are_marked_below_the_root_only(spark):
+    methods = spark.createDataFrame([(1, True), (2, True), (4, True)], "method_id long, has_body boolean")
+    edges = spark.createDataFrame([(1, 2, 0, 0, True), (2, 4, 0, 1, True), (2, 4, 0, 2, False), (2, 4, 0, 3, None)], CALLS + ", guarded boolean")
+    found = calls.expand(spark.createDataFrame([(1,)], "root long"), edges, methods)
+    assert got(found, "path", "stop", "step") == [("", None, False), ("1", None, True), ("1.1", "Guarded", False), ("1.2", None, True), ("1.3", None, True)]
+    conflicts = spark.createDataFrame([(2, "op"), (2, "op"), (4, "x"), (9, "y")], "caller long, operation string")
+    assert got(calls.expansion_conflicts(found, conflicts), "path", "operation") == [("1", "op"), ("1.2", "x"), ("1.3", "x")]
 
 
 def test_closure_with_cycle(spark):
@@ -136,7 +157,9 @@ def one(spark, fn, value, kind="string"):
         (text.pluralize, "Part", "Parts"),
         (text.observation_kind, "// fixme: later", "Todo"),
         (text.observation_kind, "/* Note this", "Note"),
-        (text.observation_kind, "// noted", None),
+        (text.observation_kind, "// noted", "Note"),
+        (text.observation_kind, "/// TODOs: more */", "Todo"),
+        (text.observation_kind, "// see TODO", None),
         (text.diagram_label, 'a "b";`c`\r\n\n#', "a #quot;b#quot;;`c`  #"),
         (text.diagram_alias, 'a "b";`c`\n#', "a #quot;b#quot;#59;#96;c#96; #"),
         (text.delay_label, 2000, "Wait 2 seconds"),

@@ -1,6 +1,6 @@
 """Memberships, fragments, pruning, admission and the value graph on hand-built cases."""
 
-from factweave.operators import admission, joins, topology, values
+from factweave.operators import admission, arms, joins, topology, values
 
 
 def got(frame, *columns):
@@ -11,9 +11,74 @@ def test_memberships_need_agreeing_anchors_and_one_arm(spark):
     nodes = spark.createDataFrame([("m", 1, "a"), ("m", 2, "b"), ("m", 3, None), ("m", 4, "gone"), ("m", 5, "both"), ("flat", 6, "a")], "method string, node int, operation string")
     anchors = spark.createDataFrame([("m", "a", 10), ("m", "a", 11), ("m", "a", 11), ("m", "b", 12), ("m", "b", 13), ("m", "both", 14), ("flat", "a", 1)], "method string, operation string, anchor int")
     dependences = spark.createDataFrame([("m", 0, 10, True), ("m", 0, 11, True), ("m", 0, 12, False), ("m", 1, 14, True), ("m", 1, 14, False), ("m", 2, 14, True)], "method string, decision int, node int, polarity boolean")
-    found, codes = topology.memberships(nodes, anchors, dependences)
+    decisions = spark.createDataFrame([("m", 0), ("m", 1), ("m", 2), ("idle", 9)], "method string, decision int")
+    found, codes = topology.memberships(nodes, anchors, dependences, decisions)
     assert got(found, "node", "decision", "polarity") == [(1, 0, True), (5, 2, True)]
     assert got(codes, "node", "code", "decision") == [(2, "SC011", None), (3, "SC011", None), (4, "SC011", None), (5, "SC012", 1)]
+    # A decision is a question to answer, whether or not anything depends on it.
+    found, codes = topology.memberships(nodes.where("node in (1, 4)"), anchors, dependences.limit(0), decisions)
+    assert got(found, "node") == [] and got(codes, "node", "code") == [(4, "SC011")]
+
+
+def test_topology_of_root_and_service(spark):
+    """Nodes of an entry are anchored in either method; an operation anchored in both must agree in both."""
+    scopes = spark.createDataFrame([("e", "root"), ("e", "svc"), ("e", "svc"), ("f", "root")], "entry string, method string")
+    nodes = spark.createDataFrame([("e", 1, "a"), ("e", 2, "b"), ("e", 3, "c"), ("f", 4, "b"), ("f", 5, "a")], "entry string, node int, operation string")
+    anchors = spark.createDataFrame([("root", "a", 10), ("svc", "b", 10), ("root", "c", 11), ("svc", "c", 11)], "method string, operation string, anchor int")
+    dependences = spark.createDataFrame([("root", 0, 10, True), ("svc", 5, 10, False), ("root", 0, 11, True)], "method string, decision int, node int, polarity boolean")
+    terminals = spark.createDataFrame([("root", 0, True, "Terminates", None), ("root", 0, False, "Unknown", "switch"), ("svc", 5, True, "Unknown", "loop"), ("svc", 5, False, "Unknown", "switch")], "method string, decision int, arm boolean, terminal string, reason string")
+    out = topology.decision_topology(scopes, nodes, anchors, dependences, terminals)
+    assert got(out["arms"], "entry", "method", "decision", "polarity", "terminal") == [("e", "root", 0, False, "Unknown"), ("e", "root", 0, True, "Terminates"), ("e", "svc", 5, False, "Unknown"), ("e", "svc", 5, True, "Unknown"), ("f", "root", 0, False, "Unknown"), ("f", "root", 0, True, "Terminates")]
+    assert got(out["memberships"], "entry", "node", "method", "decision", "polarity") == [("e", 1, "root", 0, True), ("e", 2, "svc", 5, False), ("f", 5, "root", 0, True)]
+    assert got(out["diagnostics"], "entry", "code", "node", "method", "decision", "detail") == [("e", "SC011", 3, None, None, None), ("e", "SC013", None, "root", 0, "switch"), ("e", "SC013", None, "svc", 5, "loop"), ("f", "SC011", 4, None, None, None), ("f", "SC013", None, "root", 0, "switch")]
+
+
+# One graph a case: kinds of nodes, edges, loops (loop, header, body, exits), regions (node, kind), and the true arm of decision 1.
+ARMS = {
+    "Terminates": ({1: "Decision", 2: "Block", 3: "Return", 4: "Exit"}, [(1, 2, "True"), (1, 4, "False"), (2, 3, "Normal"), (3, 4, "Return")], [], [(1, "Root"), (1, "Try")]),
+    "Rejoins": ({1: "Decision", 2: "Block", 4: "Exit"}, [(1, 2, "True"), (1, 4, "False"), (2, 4, "Normal")], [], []),
+    "loop-back": ({1: "Decision", 4: "Exit"}, [(1, 0, "LoopBack"), (1, 4, "True")], [], []),
+    "foreign-loop-back": ({1: "Decision", 4: "Exit"}, [(1, 0, "LoopBack"), (1, 4, "True")], [(9, 1, {2}, {4})], []),
+    "switch": ({1: "Decision", 4: "Exit"}, [(1, 4, "True"), (1, 4, "False"), (1, 5, "SwitchCase")], [], []),
+    "exception-region": ({1: "Decision", 4: "Exit"}, [(1, 4, "True"), (1, 4, "False")], [], [(1, "Lock")]),
+    "missing-arm-edge": ({1: "Decision", 4: "Exit"}, [(1, 1, "LoopBack"), (1, 4, "False")], [(9, 1, set(), {4})], []),
+    "exception-edge": ({1: "Decision", 4: "Exit"}, [(1, 4, "True"), (1, 4, "False"), (1, 7, "ExceptionHandler")], [], []),
+    "missing-node": ({1: "Decision", 4: "Exit"}, [(1, 8, "True"), (1, 4, "False")], [], []),
+    "exception-region-target": ({1: "Decision", 2: "Block", 4: "Exit"}, [(1, 2, "True"), (2, 4, "Normal")], [], [(2, "Catch")]),
+    "mismatched-exit": ({1: "Decision", 2: "Block", 4: "Exit"}, [(1, 2, "True"), (2, 4, "Normal")], [(9, 1, {2}, {5})], []),
+    "loop": ({1: "Decision", 2: "Loop", 4: "Exit"}, [(1, 2, "True"), (2, 4, "Normal")], [], []),
+    "exception-boundary-target": ({1: "Decision", 3: "Throw", 4: "Block"}, [(1, 3, "True"), (3, 4, "Throw")], [], [(4, "Finally")]),
+    "operation-derived-duplicate-terminal": ({1: "Decision", 3: "Return", 4: "Exit"}, [(1, 3, "True"), (3, 4, "Normal")], [], []),
+    "unsupported-edge:LoopBack": ({0: "Decision", 1: "Decision", 2: "Block", 4: "Exit"}, [(1, 2, "True"), (1, 4, "False"), (2, 0, "LoopBack")], [(9, 0, {1, 2}, {4})], []),
+    "foreign-body-source": ({1: "Decision", 2: "Block", 4: "Exit"}, [(1, 2, "True"), (1, 4, "False"), (2, 1, "LoopBack")], [(9, 1, {3}, {4})], []),
+    "no-reachable-boundary": ({1: "Decision", 2: "Block", 4: "Exit"}, [(1, 2, "True"), (1, 4, "False")], [], []),
+    "mixed-boundary": ({1: "Decision", 2: "Block", 3: "Return", 4: "Exit"}, [(1, 2, "True"), (2, 3, "Normal"), (2, 4, "Normal")], [], []),
+}
+
+
+def arm_table(spark, cases):
+    rows = lambda k: [(m, *x) for m, case in cases.items() for x in (case[k].items() if k == 0 else case[k])]
+    loops = [(m, loop, header, node, role) for m, loop, header, body, exits in rows(2) for held, role in ((body, "Body"), (exits, "Exit")) for node in (held or {None})]
+    return arms.arm_terminals(
+        spark.createDataFrame(rows(0), "method string, node long, kind string"), spark.createDataFrame(rows(1), "method string, source long, target long, kind string"),
+        spark.createDataFrame(loops, "method string, loop long, header long, node long, role string"), spark.createDataFrame(rows(3), "method string, node long, kind string"))
+
+
+def test_every_reason_of_an_arm(spark):
+    found = {m: reason or end for m, d, arm, end, reason in got(arm_table(spark, ARMS), "method", "decision", "arm", "terminal", "reason") if d == 1 and arm}
+    assert found == {m: m for m in ARMS}
+
+
+def test_arms_of_loops(spark):
+    """A loop's header: one arm iterates, the other leaves by the agreed exit. A decision inside: its way back to the header is not followed."""
+    kinds = {0: "Block", 1: "Decision", 2: "Block", 3: "Decision", 4: "Block", 5: "Exit", 6: "Block"}
+    edges = [(0, 1, "Normal"), (1, 2, "True"), (1, 5, "False"), (2, 1, "LoopBack")]
+    inner = [(0, 1, "Normal"), (1, 3, "True"), (1, 5, "False"), (3, 4, "True"), (3, 6, "False"), (4, 1, "LoopBack"), (6, 6, "Normal")]
+    cases = {"own": (kinds, edges, [(2, 1, {2}, {5})], [(1, "Try")]), "inner": (kinds, inner, [(4, 1, {3, 4}, {5})], [])}
+    found = {(m, d, arm): reason or end for m, d, arm, end, reason in got(arm_table(spark, cases), "method", "decision", "arm", "terminal", "reason")}
+    assert found["own", 1, True] == "Rejoins" and found["own", 1, False] == "Rejoins"
+    assert found["inner", 3, True] == "unsupported-edge:LoopBack" and found["inner", 3, False] == "no-reachable-boundary"
+    assert found["inner", 1, True] == "mismatched-exit"
 
 
 def members(spark, **methods):

@@ -23,39 +23,37 @@ def test_coverage_of_a_late_plan(spark, tmp_path):
     assert [tuple(r) for r in registry.QUERIES["plan_coverage"](spark, str(tmp_path)).collect()] == [(900, 2, 1)]
 
 
-def heap_tree(n, make):
-    """The root's text of a tree of n nodes, as the view lays it out: node k has children 2k + 1 and 2k + 2."""
-
-    def fold(k):
-        kids = [c for c in (2 * k + 1, 2 * k + 2) if c < n]
-        return make(k, [fold(c) for c in kids])
-
-    return fold(0)
-
-
-@pytest.mark.parametrize("n", [1, 7, 8, 17, 40])
+@pytest.mark.parametrize("n", [1, 7, 8, 17, 26, 40])
 def test_large_trees(spark, tmp_path, n):
-    """One tree of n nodes, by a fold of its own; the node's method_id tells its operator, its supplier the constant."""
-    ops = {0: ("&&", 2), 1: ("||", 1), 2: ("==", 3)}
+    """One tree of n nodes in the view's layout (node k has children 2k + 1 and 2k + 2), by a fold of its own."""
+    names = {"==": "Equal", "<=": "LessThanOrEqual"}
+    ops = ["&&", "||", "==", "<="]
     lines = spark.range(n).selectExpr("5L l_orderkey", "cast(id as int) l_linenumber", "id l_partkey", "100 + id l_suppkey", "1.0 l_extendedprice", "1.0 l_quantity", "date'2020-01-01' l_shipdate", "'A' l_returnflag", "'F' l_linestatus")
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     framed = lambda t: f"{len(t)}:{t}"
 
-    def canonical(k, kids):
-        if not kids:
-            return f"constant({framed('System.Int32')},{framed(str(100 + k))})"
-        op = "!" if len(kids) == 1 else ops[k % 3][0]
-        return f"{'unary' if len(kids) == 1 else 'binary'}({','.join(map(framed, [op, *kids]))})"
-
-    def readable(k, kids):
+    def fold(k):
+        """(canonical, readable, rank, type) of a node; type None where it is not admitted."""
+        kids = [fold(c) for c in (2 * k + 1, 2 * k + 2) if c < n]
         if not kids:
-            return str(100 + k), 9
+            p = (k - 1) // 2
+            number = k > 0 and ops[p % 4] in names and 4 * p + 3 >= n and 2 * p + 2 < n
+            kind = "System.String" if (100 + k) % 60 == 7 else "System.Int32" if number else "System.Boolean"
+            value = f"local{100 + k}" if (100 + k) % 3 == 0 else str(100 + k) if number else str((100 + k) % 2 == 0)
+            word = "sym" if (100 + k) % 3 == 0 else {"System.String": "str", "System.Int32": "num"}.get(kind, "bool")
+            text = f"{word}({framed(kind)},{framed(value.lower() if word == 'bool' else value)})"
+            return (f"truth(14:System.Boolean,{text})" if k == 0 and word == "sym" else text), value, 9, kind
         if len(kids) == 1:
-            return "!" + (f"({kids[0][0]})" if kids[0][1] < 7 else kids[0][0]), 7
-        op, rank = ops[k % 3]
-        (a, ra), (b, rb) = kids
-        return f"{f'({a})' if ra < rank else a} {op} {f'({b})' if rb <= rank else b}", rank
-
+            (c, r, rank, kind), = kids
+            return f"neg(14:System.Boolean,{c})", "!" + (f"({r})" if rank < 7 else r), 7, kind if kind == "System.Boolean" else None
+        op = ops[k % 4]
+        (ca, a, ra, ta), (cb, b, rb, tb) = kids
+        rank = {"||": 1, "&&": 2, "==": 3, "<=": 4}[op]
+        sound = ta == tb == "System.Boolean" if op not in names else ta is not None and ta == tb and (ta != "System.String" or op == "==")
+        word = f"cmp(14:System.Boolean,{framed(names[op])}" if op in names else f"{ {'&&': 'and', '||': 'or'}[op] }(14:System.Boolean"
+        return f"{word},{ca},{cb})", f"{f'({a})' if ra < rank else a} {op} {f'({b})' if rb <= rank else b}", rank, "System.Boolean" if sound else None
+
+    text, shown, _, kind = fold(0)
     got = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
-    assert got("predicate_canonical") == [(5, heap_tree(n, canonical), None)]
-    assert got("predicate_text") == [(5, heap_tree(n, readable)[0], None)]
+    assert got("predicate_canonical") == [(5, text if kind else None, None if kind else "PRED001")]
+    assert got("predicate_text") == [(5, shown if kind else None, None if kind else "PRED001")]
