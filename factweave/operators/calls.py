@@ -29,26 +29,37 @@ def call_kind(delegate: Column, dynamic: Column, constructor: Column, static: Co
     return F.coalesce(*[F.when(flag, name) for flag, name in kinds], F.lit("Instance"))
 
 
+def _rounds(seen: DataFrame, step: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
+    """seen(*keys, node) with all that step(bounds among the keys, node, target) leads to, round by round from the newest rows."""
+    seen = new = cut(seen.distinct())
+    on = [c for c in step.columns if c != "target"]
+    step = step.distinct()
+    for _ in range(max_rounds):
+        # New names for the columns: rows of two rounds must not share attributes in the union below.
+        found = new.join(step, on).select(*[F.col(c).alias(c) for c in keys], F.col("target").alias("node")).distinct()
+        new = cut(found.join(seen, [*keys, "node"], "left_anti"))
+        if not new.limit(1).count():
+            return seen
+        seen = cut(seen.unionAll(new))
+    raise RuntimeError(f"the closure is not complete after {max_rounds} rounds")
+
+
 def closure(starts: DataFrame, edges: DataFrame, on: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
     """All (start, node) with node reached from start, itself included, over edges(source, target).
 
-    on: columns that starts and edges share and that bound the search (a method, a profile). Edges are distinct per
-    bound; cycles end as only new pairs go on. Raises RuntimeError rather than return an unfinished result.
+    on: columns that starts and edges share and that bound the search (a method, a profile). starts may tell node, where a start begins if
+    not at itself. Edges are distinct per bound; cycles end as only new pairs go on. Raises RuntimeError rather than return an
+    unfinished result.
     """
     on = on or []
-    seen = cut(starts.select(*on, F.col("start"), F.col("start").alias("node")).distinct())
-    new = seen
-    step = edges.select(*on, F.col("source").alias("node"), "target").distinct()
-    for _ in range(max_rounds):
-        # New names for the columns: rows of two rounds must not share attributes in the union below.
-        found = new.join(step, [*on, "node"]).select(*[F.col(c).alias(c) for c in (*on, "start")], F.col("target").alias("node")).distinct()
-        new = cut(found.join(seen, [*on, "start", "node"], "left_anti"))
-        if not new.limit(1).count():
-            break
-        seen = cut(seen.unionAll(new))
-    else:
-        raise RuntimeError(f"the closure is not complete after {max_rounds} rounds")
-    return seen
+    begin = F.col("node") if "node" in starts.columns else F.col("start")
+    step = edges.select(*on, F.col("source").alias("node"), "target")
+    return _rounds(starts.select(*on, "start", begin.alias("node")), step, [*on, "start"], max_rounds)
+
+
+def reached(starts: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node): what edges(source, target) lead to from any of starts(node), these included; nodes only, not pairs with a start."""
+    return _rounds(starts.select("node"), edges.select(F.col("source").alias("node"), "target"), [], max_rounds)
 
 
 def candidates(sites: DataFrame, implementations: DataFrame, methods: DataFrame) -> DataFrame:
@@ -74,8 +85,8 @@ def prune_types(candidates: DataFrame, ancestors: DataFrame, roots: DataFrame, c
         return candidates
     if not roots.limit(1).count():
         raise ValueError("a closed world needs at least one root type")
-    up = closure(roots.select(F.col("type").alias("start")), ancestors.select(F.col("type").alias("source"), F.col("above").alias("target")))
-    return candidates.join(up.select(F.col("node").alias("type")).distinct(), "type", "left_semi")
+    up = reached(roots.select(F.col("type").alias("node")), ancestors.select(F.col("type").alias("source"), F.col("above").alias("target")))
+    return candidates.join(up.select(F.col("node").alias("type")), "type", "left_semi")
 
 
 def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int = 2, budget: int = 64) -> DataFrame:

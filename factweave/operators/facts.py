@@ -13,11 +13,43 @@ def certainty_name(level: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CERTAINTY)), (level + 1).cast("int"))
 
 
-def evidence_union(evidence: DataFrame, owner: str = "owner", weakest: bool = False) -> DataFrame:
-    """Per owner its distinct evidence ids in order, their number, and the strongest (or weakest) certainty."""
+def evidence_union(evidence: DataFrame, owner: str = "owner") -> DataFrame:
+    """(owner, evidence_id, certainty): each owner's evidence, every id once with its strongest certainty.
+
+    The union stays rows, in no order: an owner may hold any number of them.
+    """
+    return evidence.groupBy(owner, "evidence_id").agg(certainty_name(F.min("certainty")).alias("certainty"))
+
+
+def combined_certainty(evidence: DataFrame, owner: str = "owner", weakest: bool = False) -> DataFrame:
+    """(owner, n_evidence, certainty): of each owner the number of evidence ids and the strongest (or weakest) certainty.
+
+    Ids are counted in two steps, so that an owner's ids never meet in one task.
+    """
     pick = F.max if weakest else F.min
-    ids = F.array_join(F.transform(F.array_sort(F.collect_set("evidence_id")), lambda x: x.cast("string")), ",")
-    return evidence.groupBy(owner).agg(ids.alias("evidence"), F.count_distinct("evidence_id").alias("n_evidence"), certainty_name(pick("certainty")).alias("certainty"))
+    single = evidence.groupBy(owner, "evidence_id").agg(pick("certainty").alias("certainty"))
+    return single.groupBy(owner).agg(F.count("evidence_id").alias("n_evidence"), certainty_name(pick("certainty")).alias("certainty"))
+
+
+#: Rows of a sequence that are hashed together.
+SPAN = 4096
+
+
+def fingerprint(rows: DataFrame, group: str, place: str, line: Column, levels: int = 3) -> DataFrame:
+    """(group, fingerprint) of the lines of each group in order of place (a long, from 0).
+
+    SPAN neighbouring places are hashed together, then the hashes of SPAN such ranges, and so on, so no task holds more than SPAN
+    values of a group unless places repeat, and SPAN ** levels places have room before the last step holds more.
+    """
+    def digest() -> Column:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+        return F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
+
+    out = rows.select(F.col(group).alias("group"), F.col(place).cast("long").alias("place"), line.alias("line"))
+    for _ in range(levels):
+        out = out.groupBy("group", F.floor(F.col("place") / SPAN).alias("range")).agg(digest().alias("line"))
+        out = out.select("group", F.col("range").alias("place"), "line")
+    return out.groupBy(F.col("group").alias(group)).agg(digest().alias("fingerprint"))
 
 
 def resolve_conflicts(facts: DataFrame, key: list[str], payload: list[str], code: str) -> tuple[DataFrame, DataFrame]:

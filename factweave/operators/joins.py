@@ -26,14 +26,31 @@ def paired(arms: DataFrame, key: list[str], id_column: str) -> DataFrame:
     return both.where("t = 1 and f = 1").drop("t", "f")
 
 
-def equal_sets(sets: DataFrame, group: str, member: str) -> DataFrame:
-    """Pairs (first, other) of groups with the same set of members, each with the first of its equals.
+def marks(sets: DataFrame, group: list[str], member: list[str]) -> DataFrame:
+    """(*group, size, hash1, hash2) of each group's set of members, of which sets has no repeats: equal sets share all three.
 
-    The set is compared by its sorted form, so groups meet by one shuffle and not pair by pair.
+    The hashes are sums of two 64-bit hashes of the members, so sets stay rows and no group is ever gathered.
     """
-    whole = sets.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), ",").alias("members"))
-    first = whole.groupBy("members").agg(F.min(group).alias("first"))
-    return whole.join(first, "members").where(F.col(group) > F.col("first")).select("first", F.col(group).alias("other"), "members")
+    # Nulls are hashed as flags, as xxhash64 passes over them.
+    parts = [x for c in member for x in (F.col(c).isNull(), F.col(c))]
+    sums = [F.sum(F.xxhash64(F.lit(k), *parts).cast("decimal(38,0)")).alias(f"hash{k}") for k in (1, 2)]
+    return sets.groupBy(*group).agg(F.count("*").alias("size"), *sums)
+
+
+MARK = ["size", "hash1", "hash2"]
+
+
+def equal_sets(sets: DataFrame, group: str, member: str) -> DataFrame:
+    """(first, other, size) of groups with the same set of members, each with the first of its equals."""
+    whole = marks(sets.select(group, member).distinct(), [group], [member])
+    first = whole.groupBy(*MARK).agg(F.min(group).alias("first"))
+    return whole.join(first, MARK).where(F.col(group) > F.col("first")).select("first", F.col(group).alias("other"), "size")
+
+
+def _proper(pairs: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
+    """The pairs (child, parent, n, size) of which the parent holds all n members of the child."""
+    held = pairs.join(children.withColumnRenamed("g", "child"), "child").join(parents.withColumnRenamed("g", "parent"), ["parent", "m"], "left_semi")
+    return held.groupBy("child", "n", "parent", "size").agg(F.count("*").alias("shared")).where("shared = n").select("child", "parent", "size")
 
 
 def proper_supersets(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -47,28 +64,37 @@ def proper_supersets(children: DataFrame, parents: DataFrame) -> DataFrame:
     child = rare.groupBy(F.col("g").alias("child")).agg(F.count("*").alias("n"), F.min_by("m", F.struct("held_by", "m")).alias("m"))
     size = parents.groupBy(F.col("g").alias("parent")).agg(F.count("*").alias("size"))
     pairs = child.join(parents.withColumnRenamed("g", "parent"), "m").join(size, "parent").where("n < size").select("child", "parent", "n", "size")
-    held = pairs.join(children.withColumnRenamed("g", "child"), "child").join(parents.withColumnRenamed("g", "parent"), ["parent", "m"], "left_semi")
-    return held.groupBy("child", "n", "parent", "size").agg(F.count("*").alias("shared")).where("shared = n").select("child", "parent", "size")
+    return _proper(pairs, children, parents)
 
 
 def minimal_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     """(child, parent): the one minimal proper superset of each child among the parents, null if there is none or there are several.
 
-    Minimal is by inclusion. If just one superset is minimal, it lies within all the others: so it is the smallest, no other
+    Only distinct sets are compared, however many groups share one; a set that several parents share is no one parent. Minimal is by
+    inclusion. If just one superset is minimal, it lies within all the others: so it is the smallest, no other
     is as small, and all others are proper supersets of it.
     """
+    of_child, of_parent = (cut(marks(rows, ["g"], ["m"])) for rows in (children, parents))
+    child_sets = of_child.groupBy(*MARK).agg(F.min("g").alias("rep"))
+    parent_sets = of_parent.groupBy(*MARK).agg(F.min("g").alias("rep"), F.count("*").alias("copies"))
+    only = lambda rows, sets: rows.join(sets.select(F.col("rep").alias("g")), "g", "left_semi")
+    children, parents = cut(only(children, child_sets)), cut(only(parents, parent_sets))
     over = cut(proper_supersets(children, parents))
     best = over.groupBy("child").agg(F.count("*").alias("k"), F.min("size").alias("size"), F.min_by("parent", F.struct("size", "parent")).alias("best"))
-    rest = over.join(best.select("child", "best"), "child").where("parent <> best")
-    inside = proper_supersets(parents, parents).select(F.col("child").alias("best"), "parent")
+    rest = over.join(best.select("child", "best", F.col("size").alias("n")), "child").where("parent <> best and size > n")
+    pairs = rest.select(F.col("best").alias("child"), "parent", "n", "size").distinct()
+    inside = _proper(pairs, parents, parents).select(F.col("child").alias("best"), "parent")
     held = rest.join(inside, ["best", "parent"], "left_semi").groupBy("child").agg(F.count("*").alias("held"))
-    found = best.join(held, "child", "left").where(F.col("k") == F.coalesce("held", F.lit(0)) + 1).select("child", F.col("best").alias("parent"))
-    return children.select(F.col("g").alias("child")).distinct().join(found, "child", "left")
+    found = best.join(held, "child", "left").where(F.col("k") == F.coalesce("held", F.lit(0)) + 1)
+    single = parent_sets.where("copies = 1").select(F.col("rep").alias("best"))
+    found = found.join(single, "best").select(F.col("child").alias("rep"), F.col("best").alias("parent"))
+    named = of_child.join(child_sets, MARK).select("g", "rep").join(found, "rep", "left")
+    return named.select(F.col("g").alias("child"), "parent")
 
 
 def minimal_supersets(sets: DataFrame, group: str, member: str) -> DataFrame:
     """(child, parent): minimal_parents() of sets among themselves."""
-    rows = sets.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
+    rows = cut(sets.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct())
     return minimal_parents(rows, rows)
 
 
@@ -97,8 +123,9 @@ def innermost(points: DataFrame, intervals: DataFrame, on: list[str], point: str
 
 def agreement(rows: DataFrame, owner: str, anchor: str, value: list[str]) -> DataFrame:
     """(owner, agrees): whether all anchors of an owner carry the same set of values."""
-    sets = rows.groupBy(owner, anchor).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", *value))), ",").alias("s"))
-    return sets.groupBy(owner).agg((F.count_distinct("s") == 1).alias("agrees"))
+    sets = marks(rows.select(owner, anchor, *value).distinct(), [owner, anchor], value)
+    whole = F.struct(*MARK)
+    return sets.groupBy(owner).agg((F.min(whole) == F.max(whole)).alias("agrees"))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:

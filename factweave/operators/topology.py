@@ -81,12 +81,9 @@ def fragments(members: DataFrame) -> DataFrame:
     members = cut(members)  # Read several times below, as is the table of parents.
     node = F.struct("method", "node").alias("m")
     whole = members.select(F.struct("method", "decision").alias("g"), node).distinct()
-    # Equal sets share size and both hashes; the sets themselves stay rows.
-    sums = [F.sum(F.xxhash64(F.lit(k), "m").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
-    marks = whole.groupBy("g").agg(F.count("*").alias("size"), *sums)
-    key = ["g.method", "size", "h1", "h2"]
-    twin = marks.groupBy(*[F.col(k).alias(k.replace("g.", "")) for k in key]).agg(F.count("*").alias("same"))
-    twins = marks.withColumn("method", F.col("g.method")).join(twin, ["method", "size", "h1", "h2"]).where("same > 1").select("g")
+    marks = joins.marks(whole.select("g", "m.method", "m.node"), ["g"], ["method", "node"])
+    twin = marks.groupBy(*joins.MARK).agg(F.count("*").alias("same"))
+    twins = marks.join(twin, joins.MARK).where("same > 1").select("g")
     arms = members.select(F.struct("method", "decision", "polarity").alias("g"), node).distinct()
     arms = arms.join(twins.select(F.col("g.method").alias("tm"), F.col("g.decision").alias("td")), (F.col("g.method") == F.col("tm")) & (F.col("g.decision") == F.col("td")), "left_anti")
     up = joins.minimal_parents(whole, arms)

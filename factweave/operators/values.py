@@ -37,9 +37,8 @@ def anchors(ops: DataFrame, operands: DataFrame) -> DataFrame:
 
 def block_operations(roots: DataFrame, operands: DataFrame, ops: DataFrame) -> DataFrame:
     """(method, block, op, ordinal): all operations below a block's roots(method, block, op), once a block, in evaluation order."""
-    down = closure(roots.select("method", F.col("op").alias("start")), operands.select("method", F.col("op").alias("source"), F.col("operand").alias("target")), ["method"])
-    held = roots.select("method", "block", F.col("op").alias("start")).join(down, ["method", "start"])
-    rows = held.select("method", "block", F.col("node").alias("op")).distinct().join(ops.select("method", "op", "evaluation"), ["method", "op"])
+    down = closure(roots.select("method", F.col("block").alias("start"), F.col("op").alias("node")), operands.select("method", F.col("op").alias("source"), F.col("operand").alias("target")), ["method"])
+    rows = down.select("method", F.col("start").alias("block"), F.col("node").alias("op")).join(ops.select("method", "op", "evaluation"), ["method", "op"])
     order = Window.partitionBy("method", "block").orderBy("evaluation", "op")
     return rows.select("method", "block", "op", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
 

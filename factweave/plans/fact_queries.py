@@ -22,20 +22,19 @@ def query(name: str, sql: str | None):
 _CERT = "CASE {} WHEN 0 THEN 'Exact' WHEN 1 THEN 'Conservative' WHEN 2 THEN 'Heuristic' ELSE 'Unknown' END AS certainty"
 
 
-@query("evidence_union", f"{with_views('v_evid')} SELECT owner, string_agg(DISTINCT CAST(evidence_id AS VARCHAR), ',' ORDER BY CAST(evidence_id AS VARCHAR)) AS evidence, count(DISTINCT evidence_id) AS n_evidence, {_CERT.format('min(certainty)')} FROM v_evid GROUP BY owner")
+@query("evidence_union", f"{with_views('v_evid')} SELECT owner, evidence_id, {_CERT.format('min(certainty)')} FROM v_evid GROUP BY owner, evidence_id")
 def _evidence(spark, d):
-    rows = view(spark, d, "v_evid")
-    return facts.evidence_union(rows.withColumn("evidence_id", F.col("evidence_id").cast("string")))
+    return facts.evidence_union(view(spark, d, "v_evid"))
 
 
 @query("weakest_certainty", f"{with_views('v_evid')} SELECT artifact, count(DISTINCT evidence_id) AS n_evidence, {_CERT.format('max(certainty)')} FROM v_evid GROUP BY artifact")
 def _weakest(spark, d):
-    return facts.evidence_union(view(spark, d, "v_evid"), "artifact", weakest=True).drop("evidence")
+    return facts.combined_certainty(view(spark, d, "v_evid"), "artifact", weakest=True)
 
 
 @query("strongest_certainty", f"{with_views('v_evid')} SELECT artifact, count(DISTINCT evidence_id) AS n_evidence, {_CERT.format('min(certainty)')} FROM v_evid GROUP BY artifact")
 def _strongest(spark, d):
-    return facts.evidence_union(view(spark, d, "v_evid"), "artifact").drop("evidence")
+    return facts.combined_certainty(view(spark, d, "v_evid"), "artifact")
 
 
 _CONFLICT = f"{with_views('v_inv')} SELECT owner, line, min(kind) AS kind, min(status) AS status FROM v_inv GROUP BY owner, line HAVING count(DISTINCT kind || status) = 1"
@@ -110,7 +109,7 @@ def _sets(spark, d):
     return view(spark, d, "v_def").select(F.col("method").alias("g"), F.concat_ws(":", "local_name", (F.col("event_id") % 2).cast("string")).alias("m"))
 
 
-@query("set_equality", f"{with_views('v_def')}, {_SETS}, w AS (SELECT g, string_agg(m, ',' ORDER BY m) AS members FROM s GROUP BY g) SELECT f.first, g AS other, w.members FROM w JOIN (SELECT members, min(g) AS first FROM w GROUP BY members) f ON f.members = w.members WHERE g > f.first")
+@query("set_equality", f"{with_views('v_def')}, {_SETS}, w AS (SELECT g, string_agg(m, ',' ORDER BY m) AS members, count(*) AS size FROM s GROUP BY g) SELECT f.first, g AS other, w.size FROM w JOIN (SELECT members, min(g) AS first FROM w GROUP BY members) f ON f.members = w.members WHERE g > f.first")
 def _equal(spark, d):
     return joins.equal_sets(_sets(spark, d), "g", "m")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, render
+from ..operators import catalog, facts, render
 from .bind import view, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -102,11 +102,14 @@ def _ids(spark, d):
     return m.select("method_id", text.stable_id("method", fields).alias("stable_id"))
 
 
-@query("snapshot_fingerprint", f"{with_views('v_method')} SELECT project, sha256(string_agg(length(name) || ':' || name || length(CAST(method_id AS VARCHAR)) || ':' || method_id, chr(10) ORDER BY method_id)) AS fingerprint FROM v_method GROUP BY project")
+_LINES = "SELECT project, method_id AS place, length(name) || ':' || name || length(CAST(method_id AS VARCHAR)) || ':' || method_id AS line FROM v_method"
+_HASHED = "SELECT project, place // 4096 AS place, sha256(string_agg(line, chr(10) ORDER BY place, line)) AS line FROM ({}) GROUP BY project, place // 4096"
+
+
+@query("snapshot_fingerprint", f"{with_views('v_method')} SELECT project, sha256(string_agg(line, chr(10) ORDER BY place)) AS fingerprint FROM ({_HASHED.format(_HASHED.format(_HASHED.format(_LINES)))}) GROUP BY project")
 def _fingerprint(spark, d):
     line = text.framed([F.col("name"), F.col("method_id").cast("string")])
-    rows = view(spark, d, "v_method").groupBy("project").agg(F.array_sort(F.collect_list(F.struct("method_id", line.alias("line")))).alias("lines"))
-    return rows.select("project", F.sha2(F.array_join("lines.line", "\n").cast("binary"), 256).alias("fingerprint"))
+    return facts.fingerprint(view(spark, d, "v_method"), "project", "method_id", line)
 
 
 @query("slug", f"{with_views('v_method')} SELECT method_id, regexp_replace(regexp_replace(lower(type_name || '.' || name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '-' || right('00000000' || method_id, 8) AS entry_key FROM v_method")
