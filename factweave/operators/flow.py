@@ -2,7 +2,8 @@
 
 A method's graph is small and independent of all others, so blocks are dealt and sorted by method once and each fixpoint is
 computed as a method's blocks pass by (no global iteration, and no data frame for each method); everything around the
-fixpoints is plain DataFrame code. Node sets are Python integers used as bit sets.
+fixpoints is plain DataFrame code. Dominance is held as a tree whose nodes are numbered on entering and leaving, so that it is a
+comparison of intervals, in a task as in a join (dominator_tree), and takes room in proportion to the blocks.
 
 Input `blocks`: method, ord (from 0), n (the method's exit block), cond_succ and fall (null: no such edge).
 """
@@ -10,78 +11,130 @@ Input `blocks`: method, ord (from 0), n (the method's exit block), cond_succ and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Graph = tuple[int, list[int], list[int]]  # exit block, successor sets, predecessor sets
+Graph = tuple[int, list[list[int]], list[list[int]]]  # exit block, successors, predecessors
 Block = tuple[int, int, str, int | None, int | None]  # ord, n, terminal, cond_succ, fall
 
 
 def graph_of(body: list[Block]) -> Graph:
     exit_block = body[0][1]
-    after, before = [0] * (exit_block + 1), [0] * (exit_block + 1)
+    after, before = [[] for _ in range(exit_block + 1)], [[] for _ in range(exit_block + 1)]
     for a, _, _, *targets in body:
-        for b in targets:
-            if b is not None:
-                after[a] |= 1 << b
-                before[b] |= 1 << a
+        for b in dict.fromkeys(t for t in targets if t is not None):
+            after[a].append(b)
+            before[b].append(a)
     return exit_block, after, before
 
 
-def bits(x: int):
-    while x:
-        low = x & -x
-        yield low.bit_length() - 1
-        x ^= low
+class Tree:
+    """The dominator tree of the nodes that some head reaches: the nodes on every way from a head to a node are those above it.
 
+    Immediate dominators by the two-finger method in reverse post-order (Cooper, Harvey, Kennedy 2001) below one root above
+    all heads. A node that no head reaches is dominated by every node, and dominates only such ones.
+    """
 
-def meet_all(heads: int, into: list[int]) -> list[int]:
-    """For each node the nodes on every way to it from a head, itself included; nodes that no head reaches hold all."""
-    everything = (1 << len(into)) - 1
-    sets = [1 << k if heads >> k & 1 else everything for k in range(len(into))]
-    changed = True
-    while changed:
-        changed = False
-        for k, sources in enumerate(into):
-            if heads >> k & 1 or not sources:
-                continue
-            new = everything
-            for s in bits(sources):
-                new &= sets[s]
-            new |= 1 << k
-            if new != sets[k]:
-                sets[k], changed = new, True
-    return sets
+    def __init__(self, heads: list[int], after: list[list[int]], before: list[list[int]]):
+        root = len(after)
+        self.size, head = root, set(heads)
+        number, order, stack = [-1] * (root + 1), [], [(root, iter(heads))]
+        seen = {root}
+        while stack:
+            node, rest = stack[-1]
+            for k in rest:
+                if k not in seen:
+                    seen.add(k)
+                    stack.append((k, iter(after[k])))
+                    break
+            else:
+                stack.pop()
+                number[node] = len(order)
+                order.append(node)
+        self.above: list[int | None] = [None] * (root + 1)
+        self.above[root] = root
+        changed = True
+        while changed:
+            changed = False
+            for node in reversed(order[:-1]):
+                new = root if node in head else None
+                for p in before[node]:
+                    if self.above[p] is not None:
+                        x, y = p, p if new is None else new
+                        while x != y:
+                            while number[x] < number[y]:
+                                x = self.above[x]
+                            while number[y] < number[x]:
+                                y = self.above[y]
+                        new = x
+                if new != self.above[node]:
+                    self.above[node], changed = new, True
+        below: list[list[int]] = [[] for _ in range(root + 1)]
+        for node in order[:-1]:
+            below[self.above[node]].append(node)
+        self.enter, self.leave, clock = [-1] * (root + 1), [-1] * (root + 1), 0
+        walk = [(root, iter(sorted(below[root])))]
+        while walk:
+            node, rest = walk[-1]
+            if self.enter[node] < 0:
+                self.enter[node] = clock
+                clock += 1
+            k = next(rest, None)
+            if k is None:
+                self.leave[node] = clock
+                walk.pop()
+            else:
+                walk.append((k, iter(sorted(below[k]))))
+
+    def reached(self, node: int) -> bool:
+        return self.enter[node] >= 0
+
+    def dominates(self, a: int, b: int) -> bool:
+        if not self.reached(b):
+            return True
+        return self.reached(a) and self.enter[a] <= self.enter[b] < self.leave[a]
+
+    def over(self, node: int) -> list[int]:
+        """The nodes that dominate a node, itself included."""
+        if not self.reached(node):
+            return list(range(self.size))
+        out = []
+        while node != self.size:
+            out.append(node)
+            node = self.above[node]
+        return out
 
 
-def dominator_sets(g: Graph) -> list[int]:
-    return meet_all(1, g[2])
+def forward_tree(g: Graph) -> Tree:
+    return Tree([0], g[1], g[2])
 
 
-def post_dominator_sets(g: Graph) -> list[int]:
-    return meet_all(sum(1 << k for k, s in enumerate(g[1]) if not s), g[1])
+def backward_tree(g: Graph) -> Tree:
+    """Post-dominance: every node without successors is an end of its own."""
+    return Tree([k for k, s in enumerate(g[1]) if not s], g[2], g[1])
 
 
-def loop_body(g: Graph, latch: int, header: int) -> int:
+def loop_body(g: Graph, latch: int, header: int) -> set[int]:
     """The header and all nodes that reach the latch without passing it."""
-    body, open_nodes = 1 << header | 1 << latch, [latch] if latch != header else []
-    while open_nodes:
-        fresh = g[2][open_nodes.pop()] & ~body
-        body |= fresh
-        open_nodes.extend(bits(fresh))
+    body, todo = {header, latch}, [latch] if latch != header else []
+    while todo:
+        for k in g[2][todo.pop()]:
+            if k not in body:
+                body.add(k)
+                todo.append(k)
     return body
 
 
-def reached(g: Graph, start: int) -> int:
+def reached(g: Graph, start: int) -> set[int]:
     """The nodes that a way leads to from start, itself included."""
-    seen, todo = 1 << start, [start]
+    seen, todo = {start}, [start]
     while todo:
-        fresh = g[1][todo.pop()] & ~seen
-        seen |= fresh
-        todo.extend(bits(fresh))
+        for k in g[1][todo.pop()]:
+            if k not in seen:
+                seen.add(k)
+                todo.append(k)
     return seen
 
 
@@ -124,18 +177,51 @@ def decisions(body: list[Block]) -> list[tuple[int, int, int]]:
     return [(o, c, f) for o, _, _, c, f in body if c is not None and f is not None]
 
 
-def _pairs(sets_of, g: Graph, _):
-    return [(d, y) for y, s in enumerate(sets_of(g)) for d in bits(s)]
-
-
 def dominators(blocks: DataFrame) -> DataFrame:
     """(method, dominator, node); a node that the entry does not reach is dominated by every node."""
-    return per_method(blocks, partial(_pairs, dominator_sets), "dominator long, node long")
+
+    def rows(g: Graph, _):
+        tree = forward_tree(g)
+        return [(d, y) for y in range(g[0] + 1) for d in tree.over(y)]
+
+    return per_method(blocks, rows, "dominator long, node long")
 
 
 def post_dominators(blocks: DataFrame) -> DataFrame:
     """(method, dominator, node): every node without successors is an end of its own."""
-    return per_method(blocks, partial(_pairs, post_dominator_sets), "dominator long, node long")
+
+    def rows(g: Graph, _):
+        tree = backward_tree(g)
+        return [(d, y) for y in range(g[0] + 1) for d in tree.over(y)]
+
+    return per_method(blocks, rows, "dominator long, node long")
+
+
+def dominator_tree(blocks: DataFrame) -> DataFrame:
+    """(method, node, parent, enter, leave): a dominates b if a.enter <= b.enter < a.leave.
+
+    Nodes that the entry does not reach have nulls: every node dominates them. The entry has no parent.
+    """
+
+    def rows(g: Graph, _):
+        tree, top = forward_tree(g), g[0] + 1
+        shown = lambda k: (k, tree.above[k] if tree.above[k] != top else None, tree.enter[k], tree.leave[k])
+        return [shown(k) if tree.reached(k) else (k, None, None, None) for k in range(top)]
+
+    return per_method(blocks, rows, "node long, parent long, enter long, leave long")
+
+
+def on_every_way(points: DataFrame, tree: DataFrame, exits: DataFrame) -> DataFrame:
+    """points(method, node) with whether no way from the entry to the method's exit(method, exit) goes around the node.
+
+    Where the entry does not reach the exit there is no such way. A comparison of intervals of dominator_tree(), by two
+    equi-joins; a point that is no node of its method is on no way.
+    """
+    ends = exits.distinct().join(tree.select("method", F.col("node").alias("exit"), F.col("enter").alias("at")), ["method", "exit"])
+    placed = points.join(tree.select("method", "node", "enter", "leave", F.lit(True).alias("known")), ["method", "node"], "left").join(ends.select("method", "at", F.lit(True).alias("ends")), "method", "left")
+    inside = F.col("at").isNull() | ((F.col("enter") <= F.col("at")) & (F.col("at") < F.col("leave")))
+    held = F.col("known").isNotNull() & F.col("ends").isNotNull() & F.coalesce(inside, F.lit(False))
+    return placed.select(*points.columns, held.alias("on_every_way"))
 
 
 def _edges(blocks: DataFrame) -> DataFrame:
@@ -168,8 +254,8 @@ def edges(blocks: DataFrame) -> DataFrame:
 
 
 def _back(g: Graph):
-    sets = dominator_sets(g)
-    return [(s, t) for s, after in enumerate(g[1]) for t in bits(after) if t <= s and sets[s] >> t & 1]
+    tree = forward_tree(g)
+    return [(s, t) for s, after in enumerate(g[1]) for t in sorted(after) if t <= s and tree.dominates(t, s)]
 
 
 def back_edges(blocks: DataFrame) -> DataFrame:
@@ -179,7 +265,7 @@ def back_edges(blocks: DataFrame) -> DataFrame:
 
 def natural_loops(blocks: DataFrame) -> DataFrame:
     """(method, latch, header, node): the nodes of each back edge's loop, the header among them."""
-    return per_method(blocks, lambda g, _: [(s, t, k) for s, t in _back(g) for k in bits(loop_body(g, s, t))], "latch long, header long, node long")
+    return per_method(blocks, lambda g, _: [(s, t, k) for s, t in _back(g) for k in sorted(loop_body(g, s, t))], "latch long, header long, node long")
 
 
 def loop_exits(blocks: DataFrame) -> DataFrame:
@@ -189,10 +275,7 @@ def loop_exits(blocks: DataFrame) -> DataFrame:
         out = []
         for s, t in _back(g):
             body = loop_body(g, s, t)
-            after = 0
-            for k in bits(body):
-                after |= g[1][k]
-            out += [(s, t, k) for k in bits(after & ~body)]
+            out += [(s, t, k) for k in sorted({x for k in body for x in g[1][k]} - body)]
         return out
 
     return per_method(blocks, rows, "latch long, header long, node long")
@@ -202,10 +285,11 @@ def control_dependences(blocks: DataFrame) -> DataFrame:
     """(method, decision, node, polarity): the node post-dominates one successor of the decision only, and not the decision."""
 
     def rows(g: Graph, body: list[Block]):
-        sets = post_dominator_sets(g)
+        tree = backward_tree(g)
         out = []
         for d, c, f in decisions(body):
-            out += [(d, k, bool(sets[c] >> k & 1)) for k in bits((sets[c] ^ sets[f]) & ~sets[d])]
+            one, two, own = set(tree.over(c)), set(tree.over(f)), set(tree.over(d))
+            out += [(d, k, k in one) for k in sorted((one ^ two) - own)]
         return out
 
     return per_method(blocks, rows, "decision long, node long, polarity boolean")
@@ -233,7 +317,7 @@ def reachability(blocks: DataFrame, kind: str | None = None) -> DataFrame:
 
     def rows(g: Graph, body: list[Block]):
         starts = range(g[0] + 1) if kind is None else [b[0] for b in body if b[2] == kind]
-        return [(s, k) for s in starts for k in bits(reached(g, s))]
+        return [(s, k) for s in starts for k in sorted(reached(g, s))]
 
     return per_method(blocks, rows, "start long, node long")
 
@@ -243,6 +327,6 @@ def on_cycles(blocks: DataFrame) -> DataFrame:
 
     def rows(g: Graph, _):
         sets = [reached(g, k) for k in range(g[0] + 1)]
-        return [(k,) for k, after in enumerate(g[1]) if any(sets[t] >> k & 1 for t in bits(after))]
+        return [(k,) for k, after in enumerate(g[1]) if any(k in sets[t] for t in after)]
 
     return per_method(blocks, rows, "node long")

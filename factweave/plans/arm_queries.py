@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import admission, arms, flow, joins, topology
+from ..operators import admission, arms, callbacks, flow, joins, topology
 from .bind import view, with_views
 from .fact_queries import _regions
 from .flow_queries import _EDGES, _LOOP
+from .flow_queries import ORACLES as FLOW
 from .value_queries import _DEPENDS, _SCENARIO, _STANDS
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +96,31 @@ def _topology_members(spark, d):
   UNION ALL SELECT entry, 'SC013', NULL, method, decision, coalesce(max(reason) FILTER (arm), max(reason)) FROM scope JOIN arm USING (method) WHERE reason IS NOT NULL GROUP BY entry, method, decision""")
 def _topology_codes(spark, d):
     return _topology(spark, d)["diagnostics"]
+
+
+# Clicks and sign-ups call one of five delegates; what encloses them comes from loops, regions and control dependences.
+_SPANS = "SELECT method, event_id AS op, ord AS block FROM v_def UNION ALL SELECT method, event_id, ord + 1 FROM v_def WHERE event_id % 19 = 0"
+_USES = "SELECT method, event_id % 5 AS parameter, event_id AS op, ord, CASE WHEN event_id % 97 = 0 THEN 'escape' ELSE 'invoke' END AS kind, event_id % 23 = 0 AS access FROM v_def WHERE local_name IN ('click', 'signup') AND event_id % 3 = 0"
+
+
+@query("callback_contracts", f"""{with_views('v_def')}, loops AS ({_LOOP} SELECT DISTINCT method, node FROM body), dep AS ({FLOW['cfg_control_dependences']}), once AS ({FLOW['exactly_once']}),
+  odd AS (SELECT DISTINCT p.method, p.ord FROM v_def p JOIN (SELECT method, event_id AS region, ord AS start_block, ord + event_id % 7 AS end_block FROM v_def WHERE ord % 5 = 1) g ON g.method = p.method AND p.ord BETWEEN start_block AND end_block WHERE {_KIND} <> 'Try'),
+  u AS (SELECT u.*, EXISTS (SELECT 1 FROM loops l WHERE l.method = u.method AND l.node = u.ord) AS loop, EXISTS (SELECT 1 FROM odd o WHERE o.method = u.method AND o.ord = u.ord) AS unsupported,
+    (SELECT count(DISTINCT decision) FROM dep WHERE dep.method = u.method AND dep.node = u.ord) AS conditions, (SELECT min(decision) FROM dep WHERE dep.method = u.method AND dep.node = u.ord) AS condition FROM ({_USES}) u),
+  p AS (SELECT method, parameter, bool_or(kind = 'escape') AS escapes, count(*) FILTER (kind = 'invoke') AS n, min(op) FILTER (kind = 'invoke') AS op, bool_or(kind = 'invoke' AND loop) AS loop, bool_or(kind = 'invoke' AND unsupported) AS unsupported, bool_or(kind = 'invoke' AND access) AS access,
+    max(conditions) FILTER (kind = 'invoke') AS conditions, arg_min(condition, op) FILTER (kind = 'invoke') AS condition FROM u GROUP BY method, parameter),
+  s AS (SELECT method, op, min(block) AS block FROM ({_SPANS}) GROUP BY method, op HAVING count(*) = 1),
+  x AS (SELECT c.method, c.parameter, p.op, condition, CASE WHEN coalesce(escapes, true) OR n = 0 THEN 'Unbounded' WHEN unsupported THEN 'Unknown' WHEN n > 1 OR loop THEN 'RepeatedOrUnknown'
+      WHEN conditions = 0 AND NOT access AND coalesce(on_every_way, false) THEN 'ExactlyOnce' WHEN conditions = 1 AND NOT access AND condition % 3 > 0 THEN 'ZeroOrOne' ELSE 'Unknown' END AS cardinality
+    FROM (SELECT DISTINCT method, event_id % 5 AS parameter FROM v_def) c LEFT JOIN p ON p.method = c.method AND p.parameter = c.parameter LEFT JOIN s ON s.method = p.method AND s.op = p.op LEFT JOIN once ON once.method = s.method AND once.node = s.block)
+  SELECT method, parameter, cardinality, CASE cardinality WHEN 'ExactlyOnce' THEN 'Unconditional' WHEN 'ZeroOrOne' THEN 'Conditional' WHEN 'Unbounded' THEN NULL ELSE 'Unknown' END AS trigger, CASE WHEN cardinality <> 'Unbounded' THEN op END AS invoke, CASE WHEN cardinality = 'ZeroOrOne' THEN condition END AS condition FROM x""")
+def _contracts(spark, d):
+    definitions, blocks = view(spark, d, "v_def"), view(spark, d, "v_block")
+    read = lambda sql: spark.sql(sql.replace("v_def", "{d}"), d=definitions)
+    points, regions = _regions(spark, d)
+    odd = joins.in_intervals(points, regions.where(F.expr(_KIND) != "Try"), ["method"], "ord", "start_block", "end_block").select("method", "ord").distinct().withColumn("unsupported", F.lit(True))
+    loops = flow.natural_loops(blocks).select("method", F.col("node").alias("ord")).distinct().withColumn("loop", F.lit(True))
+    control = flow.control_dependences(blocks).groupBy("method", F.col("node").alias("ord")).agg(F.count_distinct("decision").alias("conditions"), F.min("decision").alias("condition"))
+    uses = read(_USES).join(loops, ["method", "ord"], "left").join(odd, ["method", "ord"], "left").join(control, ["method", "ord"], "left").withColumn("statement", F.col("condition") % 3 > 0)
+    named = definitions.select("method", (F.col("event_id") % 5).alias("parameter"))
+    return callbacks.callback_contracts(named, uses, read(_SPANS), flow.dominator_tree(blocks), blocks.select("method", F.col("n").alias("exit")))

@@ -1,5 +1,7 @@
 """Control-flow queries and their DuckDB counterparts, which define dominance by reachability without a node."""
 
+from pyspark.sql import functions as F
+
 from ..operators import flow
 from .bind import view, with_views
 
@@ -12,6 +14,20 @@ def _query(fn):
 
 QUERIES = {"cfg_edges": _query(flow.edges)} | {f"cfg_{n}": _query(getattr(flow, n)) for n in _NAMES}
 
+
+
+def _immediate(spark, d):
+    return flow.dominator_tree(view(spark, d, "v_block")).where("enter is not null").select("method", "node", "parent")
+
+
+def _once(spark, d):
+    blocks = view(spark, d, "v_block")
+    points = blocks.select("method", F.col("ord").alias("node"))
+    return flow.on_every_way(points, flow.dominator_tree(blocks), blocks.select("method", F.col("n").alias("exit")))
+
+
+QUERIES |= {"cfg_immediate_dominators": _immediate, "exactly_once": _once}
+
 _W = with_views("v_edge", "v_node", recursive=True)
 # free(m, d, y): y is reached from the entry without passing d.
 _DOM = f"""{_W},
@@ -35,6 +51,12 @@ _EDGES = f"""{_DOM} SELECT e.method, e.source, e.target, way, CASE WHEN terminal
       UNION ALL SELECT method, ord, n, 'Fall', terminal FROM v_block WHERE fall IS NULL AND terminal IN ('Throw', 'Rethrow')"""
 
 ORACLES = {
+    # Of the dominators of a node the immediate one has the most dominators itself.
+    "cfg_immediate_dominators": f"""{_DOM}, live AS (SELECT DISTINCT method, y AS node FROM free UNION SELECT method, node FROM v_node n WHERE node = 0 OR EXISTS (SELECT 1 FROM v_edge e WHERE e.method = n.method AND e.source = 0 AND e.target = n.node)),
+      n AS (SELECT method, node, count(*) AS above FROM dom GROUP BY method, node)
+      SELECT l.method, l.node, (SELECT arg_max(d.dominator, n.above) FROM dom d JOIN n ON n.method = d.method AND n.node = d.dominator WHERE d.method = l.method AND d.node = l.node AND d.dominator <> l.node) AS parent FROM live l""",
+    # By deletion: the exit is not reached without passing the block.
+    "exactly_once": f"""{_DOM} SELECT b.method, b.ord AS node, b.ord = 0 OR NOT EXISTS (SELECT 1 FROM free WHERE free.method = b.method AND free.d = b.ord AND free.y = b.n) AS on_every_way FROM v_block b""",
     "cfg_edges": f"SELECT method, source, target, kind FROM ({_EDGES})",
     "cfg_edge_ordinals": f"SELECT method, source, target, kind, row_number() OVER (PARTITION BY method ORDER BY source, way, target) - 1 AS ordinal FROM ({_EDGES})",
     "cfg_dominators": f"{_DOM} SELECT method, dominator, node FROM dom",
