@@ -89,7 +89,7 @@ def prune_types(candidates: DataFrame, ancestors: DataFrame, roots: DataFrame, c
     return candidates.join(up.select(F.col("node").alias("type")), "type", "left_semi")
 
 
-def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int = 2, budget: int = 64) -> DataFrame:
+def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int = 2, budget: int = 64) -> DataFrame:
     """Call trees of roots(root) over admitted calls(caller, callee, owner, op_ord), in pre-order, with the reason why a node stops.
 
     Children follow in the order of (owner, op_ord). The first reason that holds stops a callee: BodyUnavailable, SourceUnavailable
@@ -97,7 +97,8 @@ def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int =
     last level, if it calls on). calls may also tell guarded, methods(method_id, has_body) loaded and flows; else false, true and 1.
     A call is no step of the tree, only a mark where it ends, if it is guarded and not the root's own (Guarded), or if `budget` steps
     (the root not among them) come before it (NodeBudget); nothing follows below it.
-    Returns root, path (places joined by dots), depth, method_id, stop (null: complete or expanded), step (false for the root and marks).
+    Returns root, path (places joined by dots), up (the path above), depth, caller, place (of the call in its caller, from 1), method_id,
+    stop (null: complete or expanded), step (false for the root and marks).
     """
     order = Window.partitionBy("caller").orderBy("owner", "op_ord", "callee")
     guarded = F.coalesce("guarded", F.lit(False)) if "guarded" in calls.columns else F.lit(False)
@@ -124,7 +125,18 @@ def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int =
     up = F.coalesce(*[F.when(F.col("depth") == k + 1, F.last(F.when(F.col("depth") == k, F.col("rank")), ignorenulls=True).over(before)) for k in range(depth)], F.lit(0))
     ranked = ranked.withColumn("up", up).where(F.col("up") <= budget)
     stop = F.when(counts & (F.col("rank") > budget), "NodeBudget").otherwise(F.col("stop"))
-    return ranked.select("root", F.array_join("places", ".").alias("path"), F.col("depth").cast("long"), "method_id", stop.alias("stop"), (counts & (F.col("rank") <= budget)).alias("step"))
+    places = F.col("places")
+    above = F.when(F.col("depth") > 0, F.array_join(F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), "."))
+    caller = F.when(F.col("depth") > 0, F.get("trail", F.size("trail") - 2))
+    return ranked.select(
+        "root", F.array_join("places", ".").alias("path"), above.alias("up"), F.col("depth").cast("long"), caller.alias("caller"),
+        F.get("places", F.size("places") - 1).cast("long").alias("place"), "method_id", stop.alias("stop"), (counts & (F.col("rank") <= budget)).alias("step"),
+    )
+
+
+def expand(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int = 2, budget: int = 64) -> DataFrame:
+    """call_tree() without where a call stands in its caller: root, path, depth, method_id, stop, step."""
+    return call_tree(roots, calls, methods, depth, budget).select("root", "path", "depth", "method_id", "stop", "step")
 
 
 def expansion_conflicts(tree: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -47,6 +47,29 @@ VIEWS = {
     "v_msg": "SELECT conv_id AS plan, turn AS ord, role AS participant, text FROM {conversations}",
     "v_cfg": "SELECT event_id, user_id, event_type, props, value FROM {events}",
     "v_hier": "SELECT n.n_nationkey AS type_id, n.n_name AS name, n.n_regionkey AS namespace_id, r.r_name AS namespace FROM {nation} n LEFT JOIN {region} r ON n.n_regionkey = r.r_regionkey",
+    # Facts of a scenario graph: entries on methods, services by arithmetic on ids, the facts of a service method from a user's events.
+    "v_g_entry": "SELECT 'e' || method_id AS entry, method_id AS root, CASE WHEN method_id % 4 = 0 THEN 'Configured' WHEN method_id % 4 = 1 THEN 'Minimal' ELSE 'Controller' END AS kind, name AS label FROM v_method WHERE size < 40 UNION ALL SELECT 'gone', -1, 'Controller', type_name FROM v_method WHERE method_id = 1",
+    "v_g_method": "SELECT method_id, name, type_name || '/' || project AS type_name, has_body, loaded, flows, size % 7 = 0 AS is_constructor FROM v_method",
+    "v_g_call": "SELECT caller, callee, owner, op_ord, owner * 100 + op_ord AS operation, guarded FROM v_call",
+    "v_g_root": "SELECT caller, callee, owner * 100 + op_ord AS operation, CAST(row_number() OVER (PARTITION BY caller ORDER BY owner, op_ord) AS BIGINT) - 1 AS place FROM v_call WHERE (owner + op_ord) % 3 = 0",
+    "v_g_dispatch": "SELECT method_id AS method, owner * 100 + op_ord AS operation, 'R' || (target % 9) AS request_type, CASE target % 5 WHEN 0 THEN 'Ambiguous' WHEN 1 THEN 'OpenGeneric' WHEN 2 THEN 'Unresolved' ELSE 'ExactSingle' END AS resolution, CASE WHEN target % 5 > 2 AND target % 11 > 0 THEN target END AS handler FROM v_inv WHERE kind = 'R' AND method_id % 6 = 1 AND line = 2",
+    "v_g_bind": """SELECT method_id AS constructor, 'S' || (method_id * 3 % 40) AS service_type, 'I' || (method_id * 3 % 40) AS implementation, CASE WHEN method_id % 19 > 0 THEN method_id END AS registration FROM v_method WHERE size % 7 = 0 AND method_id % 8 > 0
+      UNION ALL SELECT method_id, 'S' || ((method_id * 3 + 1) % 40), 'I' || ((method_id * 3 + 1) % 40), method_id FROM v_method WHERE size % 7 = 0 AND method_id % 3 = 0 UNION ALL SELECT method_id, 'S' || (method_id * 3 % 40), 'X', method_id FROM v_method WHERE size % 7 = 0 AND method_id % 9 = 0""",
+    "v_g_site": "SELECT method_id AS caller, owner * 100 + op_ord AS site, owner * 100 + op_ord AS operation, 'S' || (target % 40) AS declared_type, line <> 3 AS complete FROM v_inv WHERE (owner + op_ord) % 4 = 0",
+    "v_g_cand": "SELECT owner * 100 + op_ord AS site, target AS candidate, CASE WHEN target % 7 = 0 THEN 'J' ELSE 'I' || (target % 40) END AS declaring_type FROM v_inv UNION ALL SELECT owner * 100 + op_ord, target + 1, 'I' || (target % 40) FROM v_inv WHERE line = 5",
+    "v_g_step": "SELECT method, event_id AS operation, CASE local_name WHEN 'view' THEN 'EntityQuery' WHEN 'click' THEN 'StateAssignment' ELSE CASE WHEN event_id % 3 = 0 THEN 'Save' ELSE 'Mutation' END END AS kind, local_name || ' on T' || (event_id % 7) AS detail, ord AS ordinal FROM v_def WHERE local_name IN ('view', 'click', 'purchase')",
+    "v_g_obs": "SELECT method, event_id AS observation, event_id AS operation, local_name AS detail FROM v_def WHERE local_name = 'signup'",
+    "v_g_end": "SELECT method_id AS method, owner * 100 + op_ord AS operation, CASE target % 5 WHEN 0 THEN 'Ok' WHEN 1 THEN 'CreatedAtAction' WHEN 2 THEN 'BadRequest' WHEN 3 THEN 'NotFound' ELSE 'Redirect' END AS helper, CASE WHEN target % 5 = 1 AND line > 1 THEN target * 2 END AS created, target, line, kind, owner, op_ord FROM v_inv",
+    "v_g_arm": "SELECT method, 'M' || line AS member, operation, owner AS switch, 'E' || (method % 4) AS enum, helper, created FROM v_g_end WHERE kind = 'N' AND method % 3 = 0 AND op_ord % 3 = 0",
+    "v_g_terminal": "SELECT method, operation, helper, created, line AS ordinal FROM v_g_end WHERE kind = 'A' AND method % 3 = 0 AND op_ord % 4 = 0 UNION ALL SELECT method, operation, helper, created, 9 FROM v_g_arm WHERE operation % 2 = 0",
+    "v_g_outcome": """SELECT method, operation, CASE WHEN target % 13 = 0 THEN 'Conflict' ELSE helper END AS helper, CASE target % 5 WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 400 WHEN 3 THEN 404 ELSE 302 END AS status FROM v_g_end WHERE line <> 4 AND (method % 3 = 0 OR (op_ord = 0 AND owner % 3 = 0))
+      UNION ALL SELECT method, operation, helper, 500 FROM v_g_end WHERE line = 6 AND method % 3 = 0""",
+    "v_g_route": "SELECT method_id AS root, '/r/' || name AS route FROM v_method WHERE size % 3 = 0 UNION ALL SELECT method_id, '/s/' || name FROM v_method WHERE method_id % 10 = 0",
+    "v_g_decision": "SELECT method_id AS method, 'r' || (size % 3) AS local FROM v_method WHERE size % 11 > 0",
+    "v_g_factory": "SELECT method, event_id AS operation, CASE WHEN event_id % 2 = 0 THEN 'Success' ELSE 'NotFound' END AS outcome, 'T' || (method % 3) AS type_name FROM v_def WHERE ord IN (1, 2, 3)",
+    "v_g_returned": "SELECT method, event_id AS operation FROM v_def WHERE event_id % 3 > 0",
+    "v_g_local": "SELECT method_id AS method, 'r' || (size % 3) AS name, 'T' || (method_id % 3) AS type_name FROM v_method WHERE size % 13 > 0",
+    "v_g_path": "SELECT method_id AS method, 'Success' AS outcome, 'Ok' AS helper FROM v_method UNION ALL SELECT method_id, 'NotFound', 'NotFound' FROM v_method UNION ALL SELECT method_id, 'Success', 'CreatedAtAction' FROM v_method WHERE size % 2 = 0 UNION ALL SELECT method_id, 'NotFound', 'Ok' FROM v_method WHERE size % 5 = 0",
     "v_member": "SELECT s_suppkey AS member_id, CAST(s_nationkey AS BIGINT) AS type_id, s_name AS name, 'supplier' AS kind FROM {supplier} UNION ALL SELECT c_custkey, CAST(c_nationkey AS BIGINT), c_name, 'customer' FROM {customer}",
 }
 
