@@ -66,9 +66,9 @@ VIEWS = {
       UNION ALL SELECT method, operation, helper, 500 FROM v_g_end WHERE line = 6 AND method % 3 = 0""",
     "v_g_route": "SELECT method_id AS root, '/r/' || name AS route FROM v_method WHERE size % 3 = 0 UNION ALL SELECT method_id, '/s/' || name FROM v_method WHERE method_id % 10 = 0",
     "v_g_decision": "SELECT method_id AS method, 'r' || (size % 3) AS local FROM v_method WHERE size % 11 > 0",
-    "v_g_factory": "SELECT method, event_id AS operation, CASE WHEN event_id % 2 = 0 THEN 'Success' ELSE 'NotFound' END AS outcome, 'T' || (method % 3) AS type_name FROM v_def WHERE ord IN (1, 2, 3)",
+    "v_g_factory": "SELECT method, event_id AS operation, CASE WHEN event_id % 2 = 0 THEN 'Success' ELSE 'NotFound' END AS outcome, 'T' || (method % 2) AS type_name FROM v_def WHERE ord IN (1, 2, 3)",
     "v_g_returned": "SELECT method, event_id AS operation FROM v_def WHERE event_id % 3 > 0",
-    "v_g_local": "SELECT method_id AS method, 'r' || (size % 3) AS name, 'T' || (method_id % 3) AS type_name FROM v_method WHERE size % 13 > 0",
+    "v_g_local": "SELECT method_id AS method, 'r' || (size % 3) AS name, 'T' || (method_id % 2) AS type_name FROM v_method WHERE size % 13 > 0",
     "v_g_path": "SELECT method_id AS method, 'Success' AS outcome, 'Ok' AS helper FROM v_method UNION ALL SELECT method_id, 'NotFound', 'NotFound' FROM v_method UNION ALL SELECT method_id, 'Success', 'CreatedAtAction' FROM v_method WHERE size % 2 = 0 UNION ALL SELECT method_id, 'NotFound', 'Ok' FROM v_method WHERE size % 5 = 0",
     "v_member": "SELECT s_suppkey AS member_id, CAST(s_nationkey AS BIGINT) AS type_id, s_name AS name, 'supplier' AS kind FROM {supplier} UNION ALL SELECT c_custkey, CAST(c_nationkey AS BIGINT), c_name, 'customer' FROM {customer}",
 }
