@@ -104,14 +104,16 @@ def simple_type_name(display: Column) -> Column:
 def single_generic_argument(display: Column) -> Column:
     """The argument of a type with exactly one that holds no comma outside of brackets; else null."""
     inner = F.regexp_extract(display, "^[^<]*<(.*)>$", 1)
-    flat = F.regexp_replace(F.regexp_replace(inner, "<[^<>]*>", ""), "<[^<>]*>", "")
-    return F.when((inner != "") & ~F.contains(flat, F.lit(",")), inner)
+    flat = inner
+    for _ in range(8):  # from the innermost brackets out
+        flat = F.regexp_replace(flat, "<[^<>]*>", "")
+    return F.when((F.trim(inner) != "") & ~flat.rlike("[,<>]"), inner)
 
 
 def effective_return_type(display: Column) -> Column:
-    """What a task-like type carries, else the type itself."""
-    carried = F.regexp_extract(display, r"^System\.Threading\.Tasks\.(?:Value)?Task<(.*)>$", 1)
-    return F.when(carried != "", carried).otherwise(display)
+    """The one type that a task carries, or a type without arguments itself; null for anything else."""
+    task = display.rlike(r"^System\.Threading\.Tasks\.(?:Value)?Task<")
+    return F.when(~display.rlike("[<>]") & (F.trim(display) != ""), display).when(task, single_generic_argument(display))
 
 
 def aliased_type(display: Column) -> Column:

@@ -70,6 +70,14 @@ VIEWS = {
     "v_g_returned": "SELECT method, event_id AS operation FROM v_def WHERE event_id % 3 > 0",
     "v_g_local": "SELECT method_id AS method, 'r' || (size % 3) AS name, 'T' || (method_id % 2) AS type_name FROM v_method WHERE size % 13 > 0",
     "v_g_path": "SELECT method_id AS method, 'Success' AS outcome, 'Ok' AS helper FROM v_method UNION ALL SELECT method_id, 'NotFound', 'NotFound' FROM v_method UNION ALL SELECT method_id, 'Success', 'CreatedAtAction' FROM v_method WHERE size % 2 = 0 UNION ALL SELECT method_id, 'NotFound', 'Ok' FROM v_method WHERE size % 5 = 0",
+    # Dispatches to handlers, whose bodies are a method's invocations over all owners; a site repeats or fails now and then.
+    "v_d_dispatch": """SELECT owner * 100 + op_ord AS dispatch, CASE WHEN line = 5 THEN 'Notification' ELSE 'RequestResponse' END AS boundary, CASE WHEN line = 6 THEN 'Many' ELSE 'ExactlyOne' END AS cardinality,
+      CASE method_id % 9 WHEN 0 THEN 'Ambiguous' WHEN 1 THEN 'GeneratedBodyUnavailable' WHEN 2 THEN 'OpenGeneric' ELSE 'ExactSingle' END AS resolution, CASE WHEN method_id % 23 > 0 THEN target END AS handler, method_id % 10 > 0 AS body_available, CASE WHEN method_id % 4 > 0 THEN 'R' || (target % 5) END AS response_type FROM v_inv WHERE kind = 'R' AND owner % 5 = 0""",
+    "v_d_method": "SELECT method_id, CASE method_id % 7 WHEN 0 THEN 'System.Threading.Tasks.Task<R' || (method_id % 5) || '>' WHEN 1 THEN 'A.Box<R>' WHEN 2 THEN 'System.Threading.Tasks.ValueTask<R0>' ELSE 'R' || (method_id % 5) END AS return_type, flows FROM v_method WHERE method_id % 31 > 0",
+    "v_d_inv": "SELECT method_id AS caller, owner * 100 + op_ord AS op, owner * 100 + op_ord AS node, owner % 40 AS block, line AS evaluation, target, 'T' || (target % 6) AS type_name, CASE WHEN target % 29 > 0 THEN 'M' || target END AS member_name, 'Exact' AS certainty, true AS proven, line <> 2 AS source_backed, line = 3 AS platform, op_ord = 4 AS nested, false AS dynamic, false AS delegate, false AS constructor FROM v_inv WHERE (owner + op_ord) % 3 = 0",
+    "v_d_site": """SELECT caller, op, op AS site, target AS declared_target, 'Exact' AS site_certainty, true AS site_proven, CASE WHEN target % 8 = 0 THEN 'Cha' ELSE 'DirectExact' END AS resolution, evaluation <> 7 AS complete, CAST(1 AS BIGINT) AS candidates, target AS candidate, 'Exact' AS resolution_certainty, true AS resolution_proven FROM v_d_inv WHERE block <> 17
+      UNION ALL SELECT caller, op, op + 1, target, 'Exact', true, 'DirectExact', true, CAST(1 AS BIGINT), target, 'Exact', true FROM v_d_inv WHERE block = 18""",
+    "v_d_return": "SELECT method, event_id AS operation FROM v_def WHERE local_name = 'purchase' AND event_id % 9 = 0",
     "v_member": "SELECT s_suppkey AS member_id, CAST(s_nationkey AS BIGINT) AS type_id, s_name AS name, 'supplier' AS kind FROM {supplier} UNION ALL SELECT c_custkey, CAST(c_nationkey AS BIGINT), c_name, 'customer' FROM {customer}",
 }
 
