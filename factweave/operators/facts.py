@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calls import cut, reached
+
 # Certainty from strongest to weakest.
 CERTAINTY = ("Exact", "Conservative", "Heuristic", "Unknown")
 
@@ -97,3 +99,40 @@ def terminal_fold(arms: DataFrame, key: list[str], terminal: str) -> DataFrame:
     """Terminates if all do, Rejoins if all do, else Unknown (a null counts as unknown)."""
     every = lambda t: F.bool_and(F.coalesce(F.col(terminal) == t, F.lit(False)))
     return arms.groupBy(*key).agg(F.when(every("Terminates"), "Terminates").when(every("Rejoins"), "Rejoins").otherwise("Unknown").alias("terminal"))
+
+
+def evidence_layers(evidence: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(id, layer, code) of evidence(id): 0 for what rests on nothing, else one more than the highest layer that links(id, underlying) name.
+
+    Layers are peeled off from below, a round each, by counting down how much of what an id rests on is still open, so a round costs
+    what is open in it. Missing marks an id that rests on an unknown one, at any depth; Cycle one on, or above, a circle. Raises
+    RuntimeError rather than return an unfinished result.
+    """
+    ids = evidence.select("id").distinct()
+    links = cut(links.select("id", "underlying").distinct().join(ids, "id", "left_semi"))
+    lost = links.join(ids.select(F.col("id").alias("underlying")), "underlying", "left_anti").select("id").distinct()
+    counts = links.groupBy("id").agg(F.count("*").alias("open"))
+    left = cut(ids.join(counts, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open")))
+    names = lambda frame: cut(frame).toDF(*frame.columns)
+    done = new = names(left.where("open = 0").select("id", F.lit(0).cast("long").alias("layer")))
+    left = names(left.where("open > 0"))
+    for k in range(1, max_rounds):
+        closed = links.join(new.select(F.col("id").alias("underlying")), "underlying").groupBy("id").agg(F.count("*").alias("closed"))
+        left = names(left.join(closed, "id", "left").select("id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        new = names(left.where("open = 0").select("id", F.lit(k).cast("long").alias("layer")))
+        if new.isEmpty():
+            break
+        done, left = done.unionAll(new), left.where("open > 0")
+    else:
+        raise RuntimeError(f"evidence has more than {max_rounds} layers")
+    # What is left rests on something unknown, or on a circle.
+    above = _resting(lost, links, left.select("id"), max_rounds)
+    code = F.when(F.col("missing"), "Missing").otherwise("Cycle")
+    rest = left.join(above.withColumn("missing", F.lit(True)), "id", "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
+    return done.select("id", "layer", F.lit(None).cast("string").alias("code")).unionAll(rest.select("id", F.lit(None).cast("long"), code))
+
+
+def _resting(lost: DataFrame, links: DataFrame, open_ids: DataFrame, max_rounds: int) -> DataFrame:
+    """(id): of the open ids those that rest on a lost one, however far below."""
+    up = links.join(open_ids, "id", "left_semi").select(F.col("underlying").alias("source"), F.col("id").alias("target"))
+    return reached(lost.select(F.col("id").alias("node")), up, max_rounds).select(F.col("node").alias("id"))

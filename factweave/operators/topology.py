@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import joins
+from . import chains, joins
 from .calls import cut
 
 MAX_DEPTH = 3
@@ -100,3 +100,29 @@ def fragments(members: DataFrame) -> DataFrame:
     kept = F.col("place") == "Nested"
     out = out.join(deep, "method").withColumn("place", place)
     return out.select("method", "decision", F.when(kept, F.col("parent")).alias("parent"), F.when(kept, F.col("parent_arm")).alias("parent_arm"), F.when(F.col("place") == "Flat", 1).otherwise(F.col("depth")).cast("long").alias("depth"), F.col("place").alias("placement"))
+
+
+def predicate_groups(tree: DataFrame, wording: DataFrame, terminals: DataFrame, supported: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((method, predicate, owner, valid), (method, decision, arm, owner, owner_arm)) of predicates that one owner shares with subordinates.
+
+    tree(method, decision, parent, parent_arm) is that of fragments(), wording(method, decision, predicate, role) names a decision's
+    predicate as its Owner or a Subordinate, terminals(method, decision, arm, terminal) how arms end, supported(method, decision) what a
+    diagram can show. A group of exactly one owner is valid if the owner and all subordinates are supported, every subordinate lies
+    somewhere below the owner, and each arm of theirs is known not to end the method. Only then do their arms give what they hold to
+    the owner's arm that they lie in: a group is taken whole, or left as it is.
+    """
+    owners = wording.where("role = 'Owner'").groupBy("method", "predicate").agg(F.count_distinct("decision").alias("owners"), F.min("decision").alias("owner")).where("owners = 1").drop("owners")
+    subs = wording.where("role = 'Subordinate'").select("method", "predicate", "decision").distinct()
+    rows = cut(subs.join(owners, ["method", "predicate"]))
+    above, _ = chains.ancestors(rows.select("method", F.col("decision").alias("start")), tree.select("method", F.col("decision").alias("node"), F.col("parent").alias("receiver")))
+    above = cut(above)
+    # The owner's arm is that by which the last decision below it hangs on it.
+    hung = above.join(tree.select("method", F.col("decision").alias("node"), "parent", "parent_arm"), ["method", "node"]).where("parent is not null")
+    placed = rows.join(hung.select("method", F.col("start").alias("decision"), F.col("parent").alias("owner"), F.col("parent_arm").alias("owner_arm")), ["method", "decision", "owner"], "left")
+    known = lambda c: supported.select("method", F.col("decision").alias(c), F.lit(True).alias(f"{c}_known")).distinct()
+    goes_on = terminals.groupBy("method", "decision").agg((F.count_distinct("arm") == 2).alias("both"), F.bool_and(F.coalesce(F.col("terminal") == "Rejoins", F.lit(False))).alias("on"))
+    judged = placed.join(known("decision"), ["method", "decision"], "left").join(known("owner"), ["method", "owner"], "left").join(goes_on, ["method", "decision"], "left")
+    fine = F.col("owner_arm").isNotNull() & F.col("decision_known").isNotNull() & F.col("owner_known").isNotNull() & F.coalesce(F.col("both") & F.col("on"), F.lit(False))
+    groups = judged.groupBy("method", "predicate", "owner").agg(F.bool_and(fine).alias("valid"))
+    moved = placed.join(groups.where("valid"), ["method", "predicate", "owner"], "left_semi").join(terminals.select("method", "decision", "arm").distinct(), ["method", "decision"])
+    return groups, moved.select("method", "decision", "arm", "owner", "owner_arm").distinct()

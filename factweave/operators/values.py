@@ -133,6 +133,29 @@ def value_edges(ops: DataFrame, operands: DataFrame) -> DataFrame:
     return assigned.unionAll(reads).unionAll(passed)
 
 
+#: Ways along which a value stays itself.
+SAME_VALUE = ("Assignment", "CaptureCollapse", "Conversion")
+
+
+def returned_values(ops: DataFrame, operands: DataFrame) -> DataFrame:
+    """(method, op, value): the value node that each return hands back, its first operand; returns without one are left out."""
+    given = operands.where("place = 0").select("method", "op", F.col("operand").alias("value"))
+    nodes = value_nodes(ops, operands).select("method", F.col("op").alias("value"))
+    return ops.where("kind = 'Return'").select("method", "op").join(given, ["method", "op"]).join(nodes, ["method", "value"], "left_semi").select("method", "op", "value")
+
+
+def return_provenance(ops: DataFrame, operands: DataFrame) -> DataFrame:
+    """(method, return_op, operation): the calls and creations whose result a return hands back.
+
+    A slice backwards from the returned value along SAME_VALUE edges: through locals and conversions, not into arguments.
+    """
+    starts = returned_values(ops, operands).select("method", F.col("op").alias("start"), F.col("value").alias("node"))
+    edges = value_edges(ops, operands).where(F.col("kind").isin(*SAME_VALUE)).select("method", F.col("target").alias("source"), F.col("source").alias("target"))
+    found = closure(starts, edges, ["method"])
+    made = ops.where(F.col("kind").isin(*CALLS)).select("method", F.col("op").alias("node"))
+    return found.join(made, ["method", "node"], "left_semi").select("method", F.col("start").alias("return_op"), F.col("node").alias("operation"))
+
+
 def state_access(ops: DataFrame, operands: DataFrame) -> DataFrame:
     """(method, access, member, ordinal): the distinct members that a method reads and writes, in order, as rows."""
     reads = ops.where(F.col("kind").isin(*MEMBERS) & F.col("member").isNotNull()).select("method", F.lit("Read").alias("access"), "member")
