@@ -76,6 +76,16 @@ def candidates(sites: DataFrame, implementations: DataFrame, methods: DataFrame)
     return out.select("site", "target", "candidate", kind.alias("resolution"))
 
 
+def virtual_targets(targets: DataFrame, overrides: DataFrame, methods: DataFrame) -> DataFrame:
+    """(target, candidate) of virtual targets(target): the method itself and, at any depth, what overrides(base, override) it, where concrete.
+
+    methods(method_id, is_abstract) are the indexed ones; one that is not among them is no candidate.
+    """
+    concrete = methods.where("not coalesce(is_abstract, true)").select(F.col("method_id").alias("candidate"))
+    down = closure(targets.select(F.col("target").alias("start")), overrides.select(F.col("base").alias("source"), F.col("override").alias("target")))
+    return down.select(F.col("start").alias("target"), F.col("node").alias("candidate")).join(concrete, "candidate", "left_semi").select("target", "candidate")
+
+
 def prune_types(candidates: DataFrame, ancestors: DataFrame, roots: DataFrame, closed_world: bool) -> DataFrame:
     """Candidates whose containing type is among the roots or above one; an open world keeps all.
 

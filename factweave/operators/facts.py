@@ -75,6 +75,23 @@ def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def duplicate_families(families: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """(family, value, copies): the keys that several rows of a family (its name, rows and key columns) share; a null part counts as a value."""
+    out = None
+    for name, rows, key in families:
+        value = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in key])
+        found = rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1").select(F.lit(name).alias("family"), value.alias("value"), "copies")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def agreement_codes(rows: DataFrame, key: list[str], columns: list[str], code: str) -> DataFrame:
+    """(*key, copies, code): how many rows share a key, and the code where they differ in any of the columns; nulls equal nulls."""
+    whole = F.struct(*columns)
+    same = F.min(whole).eqNullSafe(F.max(whole))
+    return rows.groupBy(*key).agg(F.count("*").alias("copies"), F.when(~same, code).alias("code"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, foreign: str, key: str) -> DataFrame:
     """Child rows whose non-null foreign key has no parent."""
     return child.where(F.col(foreign).isNotNull()).join(parent.select(F.col(key).alias(foreign)).distinct(), foreign, "left_anti")

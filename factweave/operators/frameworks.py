@@ -89,8 +89,17 @@ def bind_parameters(parameters: DataFrame, routes: DataFrame) -> DataFrame:
     return rows.select("method_id", "ordinal", F.coalesce("binding", body).alias("binding"))
 
 
+def helper_outcomes(claims: DataFrame) -> DataFrame:
+    """claims(..., helper) with the status that a known helper answers with, its polarity, and SC004 for any other helper or polarity."""
+    status = lookup(HELPERS, F.col("helper"))
+    polarity = outcome_polarity(status)
+    known = polarity.isin("Success", "Failure")
+    return claims.select("*", F.when(known, status).alias("status"), F.when(known, polarity).alias("polarity"), F.when(~F.coalesce(known, F.lit(False)), "SC004").alias("code"))
+
+
 def outcome_polarity(status):
-    return F.when(status.between(200, 299), "Success").when(status.between(400, 599), "Failure").otherwise("Next")
+    """Success for 2xx, Failure for 4xx and 5xx, Next for any other status; null for none."""
+    return F.when(status.between(200, 299), "Success").when(status.between(400, 599), "Failure").when(status.isNotNull(), "Next")
 
 
 def queries(chains: DataFrame) -> DataFrame:

@@ -133,6 +133,28 @@ def value_edges(ops: DataFrame, operands: DataFrame) -> DataFrame:
     return assigned.unionAll(reads).unionAll(passed)
 
 
+def source_ordinal(block, evaluation):
+    """The place of an operation in its method: by block, then evaluation; null beyond a million evaluations of a block."""
+    return F.when(F.col(evaluation).between(0, 999_999), F.col(block) * 1_000_000 + F.col(evaluation))
+
+
+def local_usage(ops: DataFrame, operands: DataFrame, by_reference: DataFrame) -> DataFrame:
+    """(method, local_name, reads, writes, escapes, single_assignment) of the locals of methods.
+
+    A write is an assignment with the local at place 0 (a compound one also reads it); a local escapes if a reference to it is one of
+    by_reference(method, op). It is assigned once if it is written once and does not escape.
+    """
+    refs = ops.where("kind = 'LocalReference' and local_name is not null").select("method", "op", "local_name")
+    targets = ops.where(F.col("kind").isin(*ASSIGNMENTS)).select("method", F.col("op").alias("by"), (F.col("kind") == "CompoundAssignment").alias("also_reads"))
+    targets = operands.where("place = 0").select("method", F.col("op").alias("by"), F.col("operand").alias("op")).join(targets, ["method", "by"])
+    # An operation may be the target of several assignments, so they are counted before they meet it.
+    targets = targets.groupBy("method", "op").agg(F.count("*").alias("written"), F.bool_or("also_reads").alias("also_reads"))
+    rows = refs.join(targets, ["method", "op"], "left").join(by_reference.select("method", "op").distinct().withColumn("given", F.lit(True)), ["method", "op"], "left")
+    reads = F.count_if(F.col("written").isNull() | F.col("also_reads"))
+    per = rows.groupBy("method", "local_name").agg(reads.alias("reads"), F.sum(F.coalesce("written", F.lit(0))).alias("writes"), F.bool_or(F.col("given").isNotNull()).alias("escapes"))
+    return per.withColumn("single_assignment", (F.col("writes") == 1) & ~F.col("escapes"))
+
+
 #: Ways along which a value stays itself.
 SAME_VALUE = ("Assignment", "CaptureCollapse", "Conversion")
 

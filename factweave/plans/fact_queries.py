@@ -3,7 +3,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import calls, facts, flow, joins
+from ..operators import calls, facts, flow, frameworks, joins, values
 from .bind import view, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -81,9 +81,9 @@ def _site(spark, d):
     return view(spark, d, "v_call").select("caller", "owner", "op_ord", facts.sibling_ordinal(["caller"], ["owner", "op_ord"]).alias("site"))
 
 
-@query("source_ordinal", f"{with_views('v_inv')} SELECT owner, op_ord, line * 1000000 + op_ord AS source_ordinal FROM v_inv")
+@query("source_ordinal", f"{with_views('v_op')} SELECT method, op, block * 1000000 + evaluation AS source_ordinal FROM v_op")
 def _source(spark, d):
-    return view(spark, d, "v_inv").select("owner", "op_ord", (F.col("line") * 1_000_000 + F.col("op_ord")).alias("source_ordinal"))
+    return view(spark, d, "v_op").select("method", "op", values.source_ordinal("block", "evaluation").alias("source_ordinal"))
 
 
 @query("reaching_definition", f"{with_views('v_def')} SELECT method, local_name, ord, lag(event_id) OVER (PARTITION BY method, local_name ORDER BY ord) AS definition FROM v_def")
@@ -159,11 +159,12 @@ def _terminal(spark, d):
     return facts.terminal_fold(rows, ["method", "arm"], "t")
 
 
-@query("local_usage", f"{with_views('v_def')} SELECT method, local_name, count(*) AS uses, count(*) FILTER (event_id % 3 = 0) AS writes, bool_or(event_id % 11 = 0) AS escapes, count(*) FILTER (event_id % 3 = 0) = 1 AND NOT bool_or(event_id % 11 = 0) AS single_assignment FROM v_def GROUP BY method, local_name")
+@query("local_usage", f"""{with_views('v_op', 'v_operand')}, w AS (SELECT a.method, a.operand AS op, count(*) AS written, bool_or(o.kind = 'CompoundAssignment') AS also FROM v_operand a JOIN v_op o ON o.method = a.method AND o.op = a.op WHERE a.place = 0 AND o.kind IN ('Assignment', 'CompoundAssignment') GROUP BY ALL),
+  l AS (SELECT o.method, o.local_name, o.target % 11 = 0 AS given, coalesce(w.written, 0) AS written, w.op IS NULL OR w.also AS reads FROM v_op o LEFT JOIN w ON w.method = o.method AND w.op = o.op WHERE o.kind = 'LocalReference' AND o.local_name IS NOT NULL)
+  SELECT method, local_name, count(*) FILTER (reads) AS reads, sum(written)::BIGINT AS writes, bool_or(given) AS escapes, sum(written) = 1 AND NOT bool_or(given) AS single_assignment FROM l GROUP BY method, local_name""")
 def _usage(spark, d):
-    write, escape = F.col("event_id") % 3 == 0, F.col("event_id") % 11 == 0
-    out = view(spark, d, "v_def").groupBy("method", "local_name").agg(F.count("*").alias("uses"), F.count_if(write).alias("writes"), F.bool_or(escape).alias("escapes"))
-    return out.withColumn("single_assignment", (F.col("writes") == 1) & ~F.col("escapes"))
+    ops = view(spark, d, "v_op")
+    return values.local_usage(ops, view(spark, d, "v_operand"), ops.where("target % 11 = 0").select("method", "op"))
 
 
 @query("escaping_throw", f"{with_views('v_def')}, {_REGION} SELECT d.method, d.ord FROM v_def d WHERE local_name = 'error' AND NOT EXISTS (SELECT 1 FROM g WHERE g.method = d.method AND d.ord BETWEEN start_block AND end_block)")
@@ -271,11 +272,34 @@ def _represented(spark, d):
     return rows.where("kind = 'N'").join(rows.where("kind <> 'N'").select("owner", "method_id").distinct(), ["owner", "method_id"], "left_anti").select("owner", "op_ord")
 
 
-@query("status_join", f"{with_views('v_inv')} SELECT owner, op_ord, status, CASE status WHEN 'F' THEN 200 ELSE 404 END::BIGINT AS code, CASE WHEN status = 'F' THEN 'Success' ELSE 'Failure' END AS polarity FROM v_inv")
+_HELPED = "SELECT owner, op_ord, CASE target % 7 WHEN 0 THEN 'Ok' WHEN 1 THEN 'CreatedAtAction' WHEN 2 THEN 'BadRequest' WHEN 3 THEN 'NotFound' WHEN 4 THEN 'Conflict' WHEN 5 THEN 'Redirect' END AS helper FROM v_inv"
+
+
+@query("status_join", f"""{with_views('v_inv')}, h AS ({_HELPED}), s AS (SELECT * FROM (VALUES ('Ok', 200), ('CreatedAtAction', 201), ('BadRequest', 400), ('NotFound', 404), ('Conflict', 409)) AS t(helper, status))
+  SELECT owner, op_ord, h.helper, s.status, CASE WHEN status < 300 THEN 'Success' WHEN status >= 400 THEN 'Failure' END AS polarity, CASE WHEN status IS NULL THEN 'SC004' END AS code FROM h LEFT JOIN s ON s.helper = h.helper""")
 def _status(spark, d):
-    code = F.when(F.col("status") == "F", 200).otherwise(404).cast("long")
-    polarity = F.when(code.between(200, 299), "Success").when(code.between(400, 599), "Failure").otherwise("Next")
-    return view(spark, d, "v_inv").select("owner", "op_ord", "status", code.alias("code"), polarity.alias("polarity"))
+    return frameworks.helper_outcomes(spark.sql(_HELPED.replace("v_inv", "{i}"), i=view(spark, d, "v_inv")))
+
+
+@query("cha_virtual", f"""{with_views('v_method', recursive=True)}, o AS (SELECT method_id // 3 AS base, method_id AS override FROM v_method WHERE method_id > 0 AND size % 4 > 0),
+  r AS (SELECT method_id AS target, method_id AS node FROM v_method WHERE size % 7 = 0 UNION SELECT r.target, o.override FROM r JOIN o ON o.base = r.node) SELECT target, node AS candidate FROM r JOIN v_method m ON m.method_id = r.node WHERE size % 5 > 0""")
+def _virtual(spark, d):
+    m = view(spark, d, "v_method")
+    overrides = m.where("method_id > 0 and size % 4 > 0").select(F.expr("method_id div 3").alias("base"), F.col("method_id").alias("override"))
+    return calls.virtual_targets(m.where("size % 7 = 0").select(F.col("method_id").alias("target")), overrides, m.select("method_id", (F.col("size") % 5 == 0).alias("is_abstract")))
+
+
+_FAMILIES = {"invocation": ("v_inv", ["owner", "line"]), "operation": ("v_op", ["method", "block", "evaluation"]), "call": ("v_call", ["caller", "callee"]), "method": ("v_method", ["type_name", "project", "name"]), "type": ("v_hier", ["name"]), "member": ("v_member", ["type_id", "name"]),
+             "run": ("v_run", ["profile", "started"]), "route": ("v_route", ["url"]), "message": ("v_msg", ["plan", "ord"]), "evidence": ("v_evid", ["owner", "artifact"]), "block": ("v_block", ["method", "cond_succ"]), "definition": ("v_def", ["method", "local_name"])}
+
+
+def _shown_as(column: str) -> str:
+    return f"coalesce(CAST({column} AS VARCHAR), 'null')"
+
+
+@query("duplicate_families", with_views(*[v for v, _ in _FAMILIES.values()]) + " " + " UNION ALL ".join(f"SELECT '{name}' AS family, {' || chr(124) || '.join(_shown_as(c) for c in key)} AS value, count(*) AS copies FROM {v} GROUP BY {', '.join(key)} HAVING count(*) > 1" for name, (v, key) in _FAMILIES.items()))
+def _families(spark, d):
+    return facts.duplicate_families([(name, view(spark, d, v), key) for name, (v, key) in _FAMILIES.items()])
 
 
 @query("plan_coverage", f"{with_views('v_msg', 'v_inv')} SELECT coalesce(m.plan, r.plan) AS plan, coalesce(m.ord, r.ord) AS ord, coalesce(refs, 0) AS refs FROM (SELECT DISTINCT plan, ord FROM v_msg) m FULL JOIN (SELECT owner AS plan, line AS ord, count(*) AS refs FROM v_inv GROUP BY ALL) r ON m.plan = r.plan AND m.ord = r.ord WHERE coalesce(refs, 0) <> 1 OR m.plan IS NULL")

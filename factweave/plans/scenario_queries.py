@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import flow, scenario
+from ..operators import facts, flow, scenario
 from .bind import view, with_views
 from .fact_queries import _EXPAND, _REGION, _expand, _regions
 
@@ -89,7 +89,12 @@ def _artifacts(spark, d):
     return view(spark, d, "v_evid").groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("artifact")), ", ").alias("artifacts"), F.count_distinct("artifact").alias("n"))
 
 
-@query("duplicate_agreement", f"{with_views('v_inv')} SELECT owner, line, count(*) AS copies, CASE WHEN count(DISTINCT (kind, status, method_id)) > 1 THEN 'SC-DIRECT-DUPLICATE' END AS code FROM v_inv GROUP BY owner, line")
+# What invocations of one operation must agree on.
+_AGREED = ["target", "dispatchable", "delegate", "is_static", "constructor", "dynamic", "certainty", "type_name", "member_name", "nested", "source_backed", "loaded", "block", "evaluation", "assembly", "platform"]
+_INVOKED = "SELECT caller, block % 8 AS op, target % 2 AS target, target % 16 < 15 AS dispatchable, delegate, target % 18 = 17 AS is_static, constructor, dynamic, certainty, CASE WHEN target % 14 > 0 THEN 'T' END AS type_name, CASE WHEN target % 29 > 0 THEN 'M' END AS member_name, nested, source_backed, true AS loaded, block, 0 AS evaluation, 'asm' AS assembly, platform FROM v_d_inv"
+
+
+@query("duplicate_agreement", f"{with_views('v_d_inv')} SELECT caller, op, count(*) AS copies, CASE WHEN count(DISTINCT ({', '.join(_AGREED)})) > 1 THEN 'SC-DIRECT-DUPLICATE' END AS code FROM ({_INVOKED}) GROUP BY caller, op")
 def _agree(spark, d):
-    same = F.min(F.struct("kind", "status", "method_id")).eqNullSafe(F.max(F.struct("kind", "status", "method_id")))
-    return view(spark, d, "v_inv").groupBy("owner", "line").agg(F.count("*").alias("copies"), F.when(~same, "SC-DIRECT-DUPLICATE").alias("code"))
+    rows = spark.sql(_INVOKED.replace("v_d_inv", "{i}"), i=view(spark, d, "v_d_inv"))
+    return facts.agreement_codes(rows, ["caller", "op"], _AGREED, "SC-DIRECT-DUPLICATE")

@@ -72,10 +72,13 @@ def _severity(spark, d):
     return catalog.severity_counts(view(spark, d, "v_cfg").withColumn("severity", F.expr(_DIAG)), ["user_id"])
 
 
-@query("shown_diagnostics", f"SELECT severity, stage, code, min(event_id) AS id FROM (SELECT event_id, {_DIAG} AS severity, event_type AS stage, 'SD' || (user_id % 40) AS code FROM events) GROUP BY severity, stage, code ORDER BY CASE severity WHEN 'Error' THEN 1 WHEN 'Warning' THEN 2 ELSE 3 END, stage, code, id LIMIT 20")
+_TOLD = f"SELECT event_id AS id, {_DIAG} AS severity, event_type AS stage, 'SD' || (user_id % 4) AS code, 'message ' || (event_id % 3) AS message, props AS detail, 'p' || (user_id % 2) AS project, CASE WHEN event_id % 4 > 0 THEN 'd' || (event_id % 2) END AS document, event_id % 2 AS line FROM v_cfg"
+_SHOWN = ["severity", "stage", "code", "message", "detail", "project", "document", "line"]
+
+
+@query("shown_diagnostics", f"{with_views('v_cfg')} SELECT {', '.join(_SHOWN)}, min(id) AS id FROM ({_TOLD}) GROUP BY {', '.join(_SHOWN)} ORDER BY CASE severity WHEN 'Error' THEN 1 WHEN 'Warning' THEN 2 ELSE 3 END, stage, code, id LIMIT 20")
 def _shown(spark, d):
-    rows = view(spark, d, "v_cfg").select(F.col("event_id").alias("id"), F.expr(_DIAG).alias("severity"), F.col("event_type").alias("stage"), F.concat(F.lit("SD"), (F.col("user_id") % 40).cast("string")).alias("code"))
-    return catalog.shown_diagnostics(rows, ["severity", "stage", "code"])
+    return catalog.shown_diagnostics(spark.sql(_TOLD.replace("v_cfg", "{c}"), c=view(spark, d, "v_cfg")), _SHOWN)
 
 
 @query("active_runs", f"{with_views('v_run')} SELECT profile, arg_max(run_id, (started, run_id)) AS run_id FROM v_run WHERE state = 'Completed' GROUP BY profile")
@@ -124,10 +127,17 @@ def _route(spark, d):
     return view(spark, d, "v_method").select("method_id", route.alias("route"))
 
 
-@query("path_normalize", f"{with_views('v_method')} SELECT method_id, CASE WHEN size % 5 = 0 THEN NULL WHEN size % 5 = 1 THEN project || '/x.cs' ELSE 'src/' || project || '/x.cs' END AS path FROM v_method")
+# Five parts, each a name, a dot, two dots or nothing; SQL takes a name and the two dots behind it away until none is left.
+_PARTS = " || '/' || ".join(f"CASE (method_id * {k} + size) % 7 WHEN 0 THEN '.' WHEN 1 THEN '..' WHEN 2 THEN '' ELSE 'n{k}' || (size % 3) END" for k in (1, 2, 3, 5, 8))
+_STEP = "regexp_replace({}, '(^|/)n[^/]*/[.][.](/|$)', '\\1')"
+_FLAT = "trim(regexp_replace(regexp_replace(regexp_replace(p, '(^|/)[.](/[.])*(/|$)', '\\1', 'g'), '/+', '/', 'g'), '(^|/)[.](/|$)', '\\1', 'g'), '/')"
+for _ in range(5):
+    _FLAT = f"trim(regexp_replace({_STEP.format(_FLAT)}, '/+', '/', 'g'), '/')"
+
+
+@query("path_normalize", f"{with_views('v_method')}, t AS (SELECT method_id, {_PARTS} AS p FROM v_method), n AS (SELECT *, {_FLAT} AS flat FROM t) SELECT method_id, CASE WHEN NOT starts_with(p, '/') AND NOT regexp_matches(flat, '(^|/)[.][.](/|$)') THEN flat END AS path FROM n")
 def _path(spark, d):
-    p = F.col("project")
-    raw = F.when(F.col("size") % 5 == 0, F.concat(F.lit("../"), p)).when(F.col("size") % 5 == 1, F.concat(F.lit("src\\..\\"), p, F.lit("//./x.cs"))).otherwise(F.concat(F.lit("src/"), p, F.lit("/y/../x.cs")))
+    raw = F.expr(_PARTS.replace("'/'", "if(method_id % 2 = 0, '/', '\\\\')"))
     return view(spark, d, "v_method").select("method_id", text.normalize_path(raw).alias("path"))
 
 
@@ -156,13 +166,20 @@ def _complement(spark, d):
     return view(spark, d, "v_def").select("event_id", text.complement(F.element_at(ops, (F.col("event_id") % 6 + 1).cast("int"))).alias("complement"))
 
 
-@query("type_display", f"{with_views('v_method')} SELECT method_id, 'List' AS simple, 'System.String' AS effective, 'string' AS alias, 'System.Threading.Tasks.Task<System.String>' AS argument FROM v_method")
+# A type in a wrapper: bare, a task, a nested generic, one of two arguments, a task of such a one, or nullable.
+_PLAIN = "CASE size % 4 WHEN 0 THEN 'System.Int32' WHEN 1 THEN 'System.String' WHEN 2 THEN 'My.' || replace(name, ' ', '') ELSE 'A.B+' || replace(type_name, ' ', '') END"
+_FORM = "method_id % 7"
+_DISPLAY = f"CASE {_FORM} WHEN 0 THEN x WHEN 1 THEN 'System.Threading.Tasks.Task<' || x || '>' WHEN 2 THEN 'Out.Box`1<' || x || '>' WHEN 3 THEN 'Out.Pair`2<' || x || ',' || x || '>' WHEN 4 THEN 'System.Threading.Tasks.ValueTask<Out.Pair<' || x || ',' || x || '>>' WHEN 5 THEN x || '?' ELSE 'System.Threading.Tasks.Task<' || x || ',' || x || '>' END"
+_SHORT = "CASE size % 4 WHEN 0 THEN 'Int32' WHEN 1 THEN 'String' WHEN 2 THEN replace(name, ' ', '') ELSE replace(type_name, ' ', '') END"
+
+
+@query("type_display", f"""{with_views('v_method')}, t AS (SELECT *, {_PLAIN} AS x FROM v_method) SELECT method_id, CASE {_FORM} WHEN 0 THEN {_SHORT} WHEN 2 THEN 'Box' WHEN 3 THEN 'Pair' WHEN 4 THEN 'ValueTask' WHEN 5 THEN {_SHORT} || '?' ELSE 'Task' END AS simple,
+  CASE WHEN {_FORM} IN (0, 1) THEN x WHEN {_FORM} = 4 THEN 'Out.Pair<' || x || ',' || x || '>' WHEN {_FORM} = 5 THEN x || '?' END AS effective, CASE WHEN {_FORM} IN (0, 5) THEN CASE size % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'string' ELSE x END ELSE {_DISPLAY} END AS alias,
+  CASE WHEN {_FORM} IN (1, 2) THEN x WHEN {_FORM} = 4 THEN 'Out.Pair<' || x || ',' || x || '>' END AS argument FROM t""")
 def _types(spark, d):
-    m = view(spark, d, "v_method")
-    full = F.lit("System.Collections.Generic.List`1<System.Threading.Tasks.Task<System.String>>")
-    inner = text.single_generic_argument(full)
-    effective = text.effective_return_type(inner)
-    return m.select("method_id", text.simple_type_name(full).alias("simple"), effective.alias("effective"), text.aliased_type(effective).alias("alias"), inner.alias("argument"))
+    shown = view(spark, d, "v_method").withColumn("x", F.expr(_PLAIN)).withColumn("t", F.expr(_DISPLAY))
+    c = F.col("t")
+    return shown.select("method_id", text.simple_type_name(c).alias("simple"), text.effective_return_type(c).alias("effective"), text.aliased_type(c).alias("alias"), text.single_generic_argument(c).alias("argument"))
 
 
 # A key and a value for each method, of which some are sensitive by each of the rules; the last is null.
@@ -289,3 +306,20 @@ _PATTERN = "CASE method_id % 5 WHEN 0 THEN type_name WHEN 1 THEN type_name || '.
 @query("excluded_call", f"{with_views('v_method')} SELECT method_id, method_id % 5 < 3 OR name = type_name AS excluded FROM v_method")
 def _excluded(spark, d):
     return view(spark, d, "v_method").select("method_id", text.excluded_call(F.col("type_name"), F.col("name"), F.expr(_PATTERN)).alias("excluded"))
+
+
+# Roots by id: of indexed methods, of methods that are not, and of other forms.
+_ROOTS = "SELECT DISTINCT CASE size % 5 WHEN 0 THEN 'method:v1:' || upper(sha256(name)) WHEN 1 THEN 'method:v2:' || sha256(name) WHEN 2 THEN 'method:v1:' || substring(sha256(name), 1, 63) ELSE 'method:v1:' || sha256(name) END AS root FROM v_method"
+
+
+@query("root_validity", f"{with_views('v_method')}, r AS ({_ROOTS}) SELECT root, CASE WHEN NOT regexp_full_match(root, 'method:v1:[0-9a-f]{{64}}') THEN 'SD3012' ELSE 'SD3013' END AS code FROM r WHERE NOT regexp_full_match(root, 'method:v1:[0-9a-f]{{64}}') OR root NOT IN (SELECT 'method:v1:' || sha256(name) FROM v_method WHERE has_body)")
+def _roots(spark, d):
+    m = view(spark, d, "v_method")
+    roots = spark.sql(_ROOTS.replace("sha256(name)", "sha2(name, 256)").replace("v_method", "{m}"), m=m)
+    return catalog.validate_roots(roots, m.where("has_body").select(F.concat(F.lit("method:v1:"), F.sha2("name", 256)).alias("id")))
+
+
+@query("markdown_documents", f"WITH g AS ({ORACLES['mermaid_text']}) SELECT plan, '# Plan \\[' || plan || '\\]' || chr(10) || chr(10) || '```mermaid' || chr(10) || diagram || '```' || chr(10) AS document FROM g")
+def _documents(spark, d):
+    drawn = _mermaid(spark, d)
+    return render.markdown(drawn.select("plan", F.concat(F.lit("Plan ["), F.col("plan").cast("string"), F.lit("]")).alias("title")), drawn)
