@@ -102,6 +102,51 @@ def fragments(members: DataFrame) -> DataFrame:
     return out.select("method", "decision", F.when(kept, F.col("parent")).alias("parent"), F.when(kept, F.col("parent_arm")).alias("parent_arm"), F.when(F.col("place") == "Flat", 1).otherwise(F.col("depth")).cast("long").alias("depth"), F.col("place").alias("placement"))
 
 
+def supported_decisions(members: DataFrame, messages: DataFrame, terminals: DataFrame) -> DataFrame:
+    """(method, decision) of decisions that a fragment can show: both arms end in a known way, some message stands under an arm, and no node
+    under both. messages(method, message, node), terminals(method, decision, arm, terminal)."""
+    known = terminals.groupBy("method", "decision").agg((F.count_distinct("arm") == 2).alias("two"), F.bool_and(F.coalesce(F.col("terminal").isin("Terminates", "Rejoins"), F.lit(False))).alias("known")).where("two and known")
+    told = members.join(messages.select("method", "node").distinct(), ["method", "node"], "left_semi").select("method", "decision").distinct()
+    both = members.groupBy("method", "decision", "node").agg(F.count_distinct("polarity").alias("n")).where("n > 1").select("method", "decision")
+    return known.select("method", "decision").join(told, ["method", "decision"], "left_semi").join(both, ["method", "decision"], "left_anti")
+
+
+def plan_fragments(members: DataFrame, messages: DataFrame, terminals: DataFrame, worded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((method, decision, parent, parent_arm, depth), (method, message, placement, decision, arm), (method, code)).
+
+    Decisions that are supported and worded(method, decision) become fragments, but for those of equal node sets, which are hoisted. A
+    fragment nests in the one minimal arm, of another fragment, that properly holds its nodes. A message stands in the deepest fragment
+    that holds its node (of several as deep the first decision), else Flat if it is under no decision or under a hoisted one, else it is
+    Withheld (DP002): it would look unconditional. A method deeper than MAX_DEPTH has no fragments, and all messages but the withheld
+    ones are Flat (DP001).
+    """
+    members = cut(members.select("method", "decision", "polarity", "node").distinct())
+    able = cut(supported_decisions(members, messages, terminals).join(worded.select("method", "decision").distinct(), ["method", "decision"], "left_semi"))
+    ways = supported_decisions(members, messages, terminals)
+    marks = joins.marks(members.select("method", "decision", "node").distinct().join(ways, ["method", "decision"], "left_semi"), ["method", "decision"], ["method", "node"])
+    twins = marks.join(marks.groupBy("method", *joins.MARK).agg(F.count("*").alias("same")).where("same > 1").drop("same"), ["method", *joins.MARK]).select("method", "decision")
+    shown = cut(able.join(twins, ["method", "decision"], "left_anti"))
+    node = F.struct("method", "node").alias("m")
+    own = members.join(shown, ["method", "decision"], "left_semi")
+    up = joins.minimal_parents(own.select(F.struct("method", "decision").alias("g"), node).distinct(), own.select(F.struct("method", "decision", "polarity").alias("g"), node).distinct())
+    tree = cut(up.select("child.method", "child.decision", F.col("parent.decision").alias("parent"), F.col("parent.polarity").alias("parent_arm")))
+    step = tree.select("method", F.col("decision").alias("above"), F.col("parent").alias("next"))
+    deep = tree.withColumn("above", F.col("parent")).withColumn("depth", F.lit(1))
+    for _ in range(MAX_DEPTH):
+        deep = deep.join(step, ["method", "above"], "left").withColumn("depth", F.col("depth") + F.when(F.col("above").isNotNull(), 1).otherwise(0)).drop("above").withColumnRenamed("next", "above")
+    deep = cut(deep.drop("above"))
+    flat = deep.where(F.col("depth") > MAX_DEPTH).select("method").distinct()
+    kept = deep.join(flat, "method", "left_anti")
+    # Where a message may stand: under a fragment, else under a hoisted decision that could be one, else under others.
+    held = messages.select("method", "message", "node").join(members, ["method", "node"], "left")
+    held = held.join(kept.select("method", "decision", F.col("depth")), ["method", "decision"], "left").join(able.withColumn("able", F.lit(True)), ["method", "decision"], "left")
+    per = held.groupBy("method", "message").agg(F.count("decision").alias("owners"), F.bool_or(F.col("able").isNotNull()).alias("able"), F.max("depth").alias("deepest"), F.min(F.when(F.col("depth").isNotNull(), F.struct(-F.col("depth"), "decision", "polarity"))).alias("best"))
+    place = F.when(F.col("deepest").isNotNull(), "Fragment").when((F.col("owners") == 0) | F.col("able"), "Flat").otherwise("Withheld")
+    placed = per.select("method", "message", place.alias("placement"), F.col("best.decision").alias("decision"), F.col("best.polarity").alias("arm"))
+    codes = flat.select("method", F.lit("DP001").alias("code")).unionAll(placed.where("placement = 'Withheld'").select("method", F.lit("DP002")).distinct())
+    return kept.select("method", "decision", "parent", "parent_arm", F.col("depth").cast("long")), placed, codes
+
+
 def predicate_groups(tree: DataFrame, wording: DataFrame, terminals: DataFrame, supported: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((method, predicate, owner, valid), (method, decision, arm, owner, owner_arm)) of predicates that one owner shares with subordinates.
 

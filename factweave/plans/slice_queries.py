@@ -94,3 +94,41 @@ def _placements(spark, d):
 @query("guard_kinds", f"SELECT reduced, operator, count(*) AS guards FROM ({ORACLES['guard_reduction']}) GROUP BY reduced, operator")
 def _kinds(spark, d):
     return _guards(spark, d).groupBy("reduced", "operator").agg(F.count("*").alias("guards"))
+
+
+# Two events make a node, every third event a message of it; one in eight decisions has no wording.
+_TOLD = "SELECT method, event_id AS message, CAST(floor(ord / 2) AS BIGINT) AS node FROM v_def WHERE event_id % 3 = 0"
+_WORDED = "SELECT method, ord AS decision FROM v_def WHERE local_name = 'view' AND event_id % 8 > 0"
+_FRAGMENTS = f"""{with_views('v_def', recursive=True)}, mb AS (SELECT DISTINCT * FROM ({_STRETCH})), ms AS ({_TOLD}), en AS ({_ENDS}),
+  sup AS (SELECT method, decision FROM en GROUP BY method, decision HAVING count(DISTINCT arm) = 2 AND bool_and(terminal <> 'Unknown') INTERSECT SELECT mb.method, mb.decision FROM mb JOIN ms ON ms.method = mb.method AND ms.node = mb.node
+    EXCEPT SELECT method, decision FROM mb GROUP BY method, decision, node HAVING count(DISTINCT polarity) = 2),
+  able AS (SELECT * FROM sup INTERSECT SELECT * FROM ({_WORDED})),
+  se AS (SELECT method, decision, list_sort(list(DISTINCT node)) AS l FROM mb GROUP BY method, decision), tw AS (SELECT method, decision FROM (SELECT se.*, count(*) OVER (PARTITION BY se.method, l) AS same FROM se JOIN sup ON sup.method = se.method AND sup.decision = se.decision) WHERE same > 1),
+  sh AS (SELECT * FROM able EXCEPT SELECT * FROM tw), ar AS (SELECT mb.method, mb.decision, polarity, list_sort(list(DISTINCT node)) AS l FROM mb JOIN sh ON sh.method = mb.method AND sh.decision = mb.decision GROUP BY ALL),
+  ca AS (SELECT se.method, se.decision, ar.decision AS parent, ar.polarity, ar.l FROM se JOIN sh ON sh.method = se.method AND sh.decision = se.decision JOIN ar ON ar.method = se.method AND len(se.l) < len(ar.l) AND list_has_all(ar.l, se.l)),
+  pa AS (SELECT method, decision, min(parent) AS parent, bool_or(polarity) AS arm FROM ca WHERE NOT EXISTS (SELECT 1 FROM ca x WHERE x.method = ca.method AND x.decision = ca.decision AND len(x.l) < len(ca.l) AND list_has_all(ca.l, x.l)) GROUP BY method, decision HAVING count(*) = 1),
+  tr AS (SELECT sh.method, sh.decision, parent, arm FROM sh LEFT JOIN pa ON pa.method = sh.method AND pa.decision = sh.decision),
+  de AS (SELECT method, decision, 1 AS depth FROM tr WHERE parent IS NULL UNION ALL SELECT tr.method, tr.decision, de.depth + 1 FROM de JOIN tr ON tr.method = de.method AND tr.parent = de.decision),
+  fl AS (SELECT DISTINCT method FROM de WHERE depth > 3), ke AS (SELECT tr.*, depth FROM tr JOIN de ON de.method = tr.method AND de.decision = tr.decision WHERE tr.method NOT IN (SELECT method FROM fl)),
+  pl AS (SELECT ms.method, ms.message, count(mb.decision) AS owners, bool_or(able.decision IS NOT NULL) AS able, min((-ke.depth, mb.decision, mb.polarity)) FILTER (ke.depth IS NOT NULL) AS best FROM ms LEFT JOIN mb ON mb.method = ms.method AND mb.node = ms.node LEFT JOIN ke ON ke.method = mb.method AND ke.decision = mb.decision LEFT JOIN able ON able.method = mb.method AND able.decision = mb.decision GROUP BY ms.method, ms.message),
+  pp AS (SELECT method, message, CASE WHEN best IS NOT NULL THEN 'Fragment' WHEN owners = 0 OR able THEN 'Flat' ELSE 'Withheld' END AS placement, best[2] AS decision, best[3] AS arm FROM pl)"""
+
+
+def _planned(spark, d):
+    read = lambda sql: spark.sql(sql.replace("v_def", "{d}"), d=view(spark, d, "v_def"))
+    return topology.plan_fragments(read(_STRETCH), read(_TOLD), read(_ENDS), read(_WORDED))
+
+
+@query("planned_fragments", f"{_FRAGMENTS} SELECT method, decision, parent, arm AS parent_arm, depth FROM ke")
+def _planned_tree(spark, d):
+    return _planned(spark, d)[0]
+
+
+@query("planned_messages", f"{_FRAGMENTS} SELECT method, message, placement, decision, arm FROM pp")
+def _planned_messages(spark, d):
+    return _planned(spark, d)[1]
+
+
+@query("planned_codes", f"{_FRAGMENTS} SELECT method, 'DP001' AS code FROM fl UNION ALL SELECT DISTINCT method, 'DP002' FROM pp WHERE placement = 'Withheld'")
+def _planned_codes(spark, d):
+    return _planned(spark, d)[2]

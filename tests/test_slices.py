@@ -102,3 +102,32 @@ def test_groups_are_taken_whole_or_left(spark):
     groups, moved = topology.predicate_groups(frame(tree, "decision int, parent int, parent_arm boolean"), frame(wording, "decision int, predicate int, role string"), frame(ends, "decision int, arm boolean, terminal string"), frame(supported, "decision int"))
     assert {m: valid for m, valid in got(groups, "method", "valid")} == {m: m == "whole" for m in cases if m != "two owners"}
     assert got(moved, "method", "decision", "arm", "owner", "owner_arm") == [("whole", d, arm, 1, True) for d in (2, 3) for arm in (False, True)]
+
+
+def test_messages_stand_in_the_deepest_fragment(spark):
+    """Decision 1 holds 2 under its true arm; each other method spoils something; a message under no fragment is withheld."""
+    nested = {(1, True): {1, 2, 3}, (1, False): {4}, (2, True): {1}, (2, False): {2}}
+    chain = {(k, True): set(range(1, 6 - k)) for k in range(1, 5)}
+    cases = {
+        "nested": (nested, {}, {1, 2}), "no words": (nested, {}, {1}), "unknown": (nested, {(1, False): "Unknown"}, {1, 2}), "both arms": (nested | {(1, False): {3, 4}}, {}, {1, 2}),
+        "twins": ({(1, True): {1}, (2, True): {1}}, {}, {1, 2}), "deep": (chain, {}, {1, 2, 3, 4}), "lone": ({(1, True): {1}}, {}, set()),
+    }
+    members = [(m, d, arm, n) for m, (sets, _, _) in cases.items() for (d, arm), held in sets.items() for n in held]
+    ends = [(m, d, arm, odd.get((d, arm), "Rejoins")) for m, (sets, odd, _) in cases.items() for d in {d for d, _ in sets} for arm in (True, False)]
+    told = [(m, 10 * n, n) for m in cases for n in (1, 3, 9)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, f"method string, {schema}")
+    tree, placed, codes = topology.plan_fragments(frame(members, "decision int, polarity boolean, node int"), frame(told, "message int, node int"), frame(ends, "decision int, arm boolean, terminal string"), frame([(m, d) for m, (_, _, words) in cases.items() for d in words], "decision int"))
+    shape = {}
+    for m, *row in got(tree, "method", "decision", "parent", "parent_arm", "depth"):
+        shape.setdefault(m, []).append(tuple(row))
+    assert shape == {"nested": [(1, None, None, 1), (2, 1, True, 2)], "no words": [(1, None, None, 1)], "unknown": [(2, None, None, 1)], "both arms": [(2, None, None, 1)]}
+    spots = {}
+    for m, message, *row in got(placed, "method", "message", "placement", "decision", "arm"):
+        spots.setdefault(m, {})[message] = tuple(row)
+    flat, lost = ("Flat", None, None), ("Withheld", None, None)
+    assert spots["nested"] == {10: ("Fragment", 2, True), 30: ("Fragment", 1, True), 90: flat}
+    assert spots["no words"] == {10: ("Fragment", 1, True), 30: ("Fragment", 1, True), 90: flat}
+    assert spots["unknown"] == spots["both arms"] == {10: ("Fragment", 2, True), 30: lost, 90: flat}
+    assert spots["twins"] == {10: flat, 30: flat, 90: flat} and spots["lone"] == {10: lost, 30: flat, 90: flat}
+    assert spots["deep"] == {10: flat, 30: flat, 90: flat}
+    assert got(codes) == sorted([("deep", "DP001"), ("unknown", "DP002"), ("both arms", "DP002"), ("lone", "DP002")], key=repr)
