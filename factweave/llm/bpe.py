@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, tidied
+from .common import give_back, small_batches, table, tidied
 
 #: Entries of a worker's cache, and characters of the longest piece it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
@@ -66,6 +66,12 @@ class WordBpe:
         self.cache: dict[str, tuple[str, int, str]] = {}
         self.fragments: dict[tuple[str, bool], list[int]] = {}
 
+    def forget(self) -> None:
+        """Empty the caches: a worker lives on after its task, and other work than this may follow."""
+        self.cache.clear()
+        self.fragments.clear()
+        give_back()
+
     def split_symbols(self, token: str) -> list[str]:
         """A token's symbols; the word end is part of the last one."""
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -197,7 +203,11 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
-        yield from tidied(pd.DataFrame([bpe.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"]) for texts in batches)
+        try:
+            for texts in batches:
+                yield pd.DataFrame([bpe.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            bpe.forget()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", digest("text").alias("x")).select("doc_id", "x.*")

@@ -42,7 +42,7 @@ def _bytes(setting: str) -> int:
     return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return memory that Python has freed to the system (glibc keeps it otherwise); elsewhere nothing happens."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -59,9 +59,9 @@ def tidied(results: Iterator, every: int = 16) -> Iterator:
         for k, result in enumerate(results, 1):
             yield result
             if k % every == 0:
-                _give_back()
+                give_back()
     finally:
-        _give_back()
+        give_back()
 
 
 def shared_dir(spark: SparkSession) -> str:
