@@ -43,14 +43,14 @@ def run_models(models: list[Model], packages: set[str], descriptors: DataFrame)
     """(facts, diagnostics): of the models whose packages are all referenced, in canonical order.
 
     Facts of one id and equal content count once, whichever models say so; of unequal content all are dropped, with
-    SEQFW003. A fact without evidence of its producer (null) is dropped with SEQFW002.
+    SEQFW003. A fact without evidence of its producer (null) is dropped with SEQFW001.
     """
     chosen = sorted((m for m in models if m.packages <= packages), key=lambda m: (m.order, m.name))
     spark = descriptors.sparkSession
     found = spark.createDataFrame([], FACT)
     for m in chosen:
         found = found.unionByName(m.analyze(descriptors).withColumn("producer", F.lit(m.name)))
-    bare = found.where("owner is null or fact_id is null").select(F.coalesce("fact_id", F.lit("")).alias("fact_id"), F.lit("SEQFW002").alias("code"))
+    bare = found.where("owner is null or fact_id is null").select(F.coalesce("fact_id", F.lit("")).alias("fact_id"), F.lit("SEQFW001").alias("code"))
     whole = found.where("owner is not null and fact_id is not null")
     kept, dropped = facts.resolve_conflicts(whole, ["fact_id"], ["kind", "owner", "payload", "certainty"], "SEQFW003")
     return kept, dropped.unionByName(bare)

@@ -14,7 +14,7 @@ def test_host(spark):
     a = frameworks.Model("a", 1, frozenset({"p"}), model([("1", "k", "o", "x", 0), ("2", "k", "o", "x", 0), ("3", "k", None, "x", 0)]))
     b = frameworks.Model("b", 2, frozenset(), model([("1", "k", "o", "x", 0), ("2", "k", "o", "y", 0)]))
     kept, codes = frameworks.run_models([b, a], {"p", "q"}, spark.range(1))
-    assert got(kept, "fact_id") == [("1",)] and got(codes) == [("2", "SEQFW003"), ("3", "SEQFW002")]
+    assert got(kept, "fact_id") == [("1",)] and got(codes) == [("2", "SEQFW003"), ("3", "SEQFW001")]
     kept, codes = frameworks.run_models([b, a], set(), spark.range(1))
     assert got(kept, "fact_id") == [("1",), ("2",)] and got(codes) == []
 
