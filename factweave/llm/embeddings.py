@@ -8,7 +8,8 @@ are taken over all rotated dimensions (spans: the leading ones). Runs are compar
 threshold, again in double precision.
 
 Equal vectors are one class from the start, so a third of all rows being copies of one vector costs nothing further; rows
-meet their class by class and salt. A pair of intervals is one bounded group; it returns link counts by class and the edges of a
+meet their class by class and salt. A task joins a square of up to SQUARE by SQUARE intervals, so that an interval goes to one task
+for each strip of intervals that it is joined with, not for each interval; it returns link counts by class and the edges of a
 spanning forest, never all pairs. The rotation is fitted on at most SAMPLE classes: any rotation gives the same links.
 
 In vectors without clusters the boxes overlap and all pairs of intervals are compared, which is work of the square of the rows.
@@ -34,6 +35,8 @@ THRESHOLD = 0.9
 SAMPLE, LEADING, RUN, SALTS = 4096, 8, 128, 4096
 #: Bytes of an interval (in double precision); spans of intervals whose boxes the driver joins; rows that are broadcast at most.
 INTERVAL_BYTES, SPANS, BROADCAST_ROWS = 4 << 20, 256, 500_000
+#: Intervals on a side of the square that a task joins, at most, and squares for each shuffle partition below which they are smaller.
+SQUARE, SQUARES = 8, 4
 
 
 def units(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +109,23 @@ def _join_group(rotation: np.ndarray, threshold: float, run: int):
     eps = _eps(threshold)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["side"] == k] for k in (0, 1)]
-        left = Runs(sides[0].sort_values("place"), rotation, run)
-        right = Runs(sides[1].sort_values("place"), rotation, run) if len(sides[1]) else left
-        alone = left is right
+        own = {(side, interval): Runs(part.sort_values("place"), rotation, run) for (side, interval), part in group.groupby(["side", "interval"])}
+        sides = [[k for s, k in own if s == side] for side in (0, 1)]
         counts: dict[int, int] = {}
         edges: set[tuple[int, int]] = set()
         explicit: set[tuple[int, int]] = set()
+        for i in sides[0]:
+            for j in sides[1] or [k for k in sides[0] if k >= i]:  # of a strip with itself each pair once
+                left, right = own[0, i], own[1 if sides[1] else 0, j]
+                join_intervals(left, right, counts, edges, explicit)
+        out = [(i, k, None, None, None) for i, k in counts.items()]
+        out += [(None, 0, a, b, None) for a, b in edges]
+        out += [(i, 0, None, None, j) for a, b in explicit for i, j in {(a, b), (b, a)}]
+        columns = zip(*out) if out else [()] * 5
+        return pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in zip(("cls", "links", "a", "b", "far"), columns)})
+
+    def join_intervals(left: Runs, right: Runs, counts: dict[int, int], edges: set, explicit: set) -> None:
+        alone = left is right
         for m, n in joined_runs(left, right, eps):
             p, q = slice(m * run, (m + 1) * run), slice(n * run, (n + 1) * run)
             same = alone and m == n
@@ -140,11 +153,6 @@ def _join_group(rotation: np.ndarray, threshold: float, run: int):
                     break
                 mine, theirs = new, newer
             edges.update((int(i), int(k)) for i, k in zip((*own, *other), (*mine, *theirs)) if i != k)
-        out = [(i, k, None, None, None) for i, k in counts.items()]
-        out += [(None, 0, a, b, None) for a, b in edges]
-        out += [(i, 0, None, None, j) for a, b in explicit for i, j in {(a, b), (b, a)}]
-        columns = zip(*out) if out else [()] * 5
-        return pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in zip(("cls", "links", "a", "b", "far"), columns)})
 
     return join
 
@@ -241,10 +249,16 @@ def _linked_classes(classes: DataFrame, size: int, threshold: float) -> DataFram
     placed = _placed(classes, size, rotation, eps)
     boxes = cut(placed.select("interval", "span", "vector").mapInArrow(_boxes(rotation), "interval long, span int, low array<double>, high array<double>"))
     pairs = _joined_intervals(boxes, min(LEADING, size), eps)
-    sides = pairs.select("i", "j", F.col("i").alias("interval"), F.lit(0).alias("side")).unionAll(pairs.where("i < j").select("i", "j", F.col("j").alias("interval"), F.lit(1).alias("side")))
-    sides = cut(sides)
+    intervals = boxes.agg(F.max("interval")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    square = max(1, min(SQUARE, math.isqrt((intervals + 1) ** 2 // (2 * SQUARES * partitions))))
+    # A square of strips (x <= y) gets the intervals that some pair of it needs; pairs in it that are apart are skipped there again.
+    at = F.expr(f"i div {square}").alias("x"), F.expr(f"j div {square}").alias("y")
+    pairs = pairs.select(*at, "i", "j")
+    sides = pairs.select("x", "y", F.col("i").alias("interval"), F.lit(0).alias("side")).unionAll(pairs.select("x", "y", F.col("j").alias("interval"), F.when(F.col("x") < F.col("y"), 1).otherwise(0)))
+    sides = cut(sides.distinct())
     sides = F.broadcast(sides) if sides.count() <= BROADCAST_ROWS else sides
-    return placed.join(sides, "interval").groupBy("i", "j").applyInPandas(_join_group(rotation, threshold, RUN), LINKS)
+    return placed.join(sides, "interval").groupBy("x", "y").applyInPandas(_join_group(rotation, threshold, RUN), LINKS)
 
 
 def _placed(classes: DataFrame, size: int, rotation: np.ndarray, eps: float) -> DataFrame:
