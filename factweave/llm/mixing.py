@@ -52,23 +52,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
 
     Returns doc_id, source, size, source_size, target, taken, the words taken in each pass (pass_words, array), the
     position in [0, 1] of each pass (positions, array, null where nothing is taken) and position (that of the first).
-    A source's documents are taken in the order of the md5 of doc_id and size, passes times over, until floor(target + 0.5)
+    A source's documents are taken in the order of the md5 of doc_id, size and text, passes times over, until floor(target + 0.5)
     words are taken; the document at the end is cut, so taken sums to the target to half a word.
 
     Null or empty text: size 0, nothing taken, no position. Null source: a source of its own, ranked last. Null
-    doc_id: ordered as the empty string. Rows of equal doc_id and size tie and are interchangeable; repeated rows are documents
+    doc_id: ordered as the empty string. Rows of equal doc_id and text tie and are interchangeable; repeated rows are documents
     of their own. Other columns are ignored whatever their names. An empty table gives an empty result.
     """
     return _plan(docs, [], weights, share, passes, tilts)
 
 
 def _plan(docs: DataFrame, keys: list[str], weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, tilts=TILTS) -> DataFrame:
-    """mix() with the columns `keys` of docs carried along; they also order rows of one doc_id and size.
+    """mix() with the columns `keys` of docs carried along; they also order rows of one doc_id and text.
 
-    The order's hash takes in the size and the keys, so rows that share a doc_id, or lack one, are spread over all buckets.
+    The order's hash takes in the text, so rows that share a doc_id, or lack one, are spread over all buckets unless they are copies.
     """
-    rows = docs.select(*keys, "doc_id", F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), word_count("text").alias("size"))
-    rows = rows.withColumn("order_key", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", *keys)))
+    rows = docs.select(*keys, "doc_id", F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), word_count("text").alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = rows.withColumn("order_key", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_hash"))).drop("text_hash")
     rows = rows.withColumn("bucket", F.substring("order_key", 1, 3))  # 4,096 ranges of the order key
     by = ["no_source", "source_key", "bucket"]
     rows = cut(rows)  # counts without texts: both uses below read them, and the texts are read once
@@ -129,8 +129,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || '/' || size::VARCHAR) AS k FROM (
-    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)),
+  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || '/' || size::VARCHAR || '/' || text_hash) AS k FROM (
+    SELECT doc_id, source, md5(coalesce(text, '')) AS text_hash, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM s),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
