@@ -98,7 +98,11 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, small, block):
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_vectors_against_all_pairs(spark):
+@pytest.mark.parametrize("intervals, square", [(8, 1), (40, 3), (40, 8)])
+def test_vectors_against_all_pairs(spark, monkeypatch, intervals, square):
+    """Few intervals joined pair by pair, then many in squares of strips."""
+    monkeypatch.setattr(embeddings, "SQUARE", square)
+    monkeypatch.setattr(embeddings, "SQUARES", 1)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16))
     x = np.concatenate([c + rng.normal(scale=s, size=(n, 16)) for c, s, n in zip(centres, np.linspace(0.05, 0.5, 40), rng.integers(1, 60, 40))]).astype(np.float32)
@@ -111,12 +115,9 @@ def test_vectors_against_all_pairs(spark):
         if (new == label).all():
             break
         label = new
-    old = embeddings.INTERVAL_BYTES, embeddings.RUN
-    embeddings.INTERVAL_BYTES, embeddings.RUN = 150 * 8 * 16, 32
-    try:
-        got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
-    finally:
-        embeddings.INTERVAL_BYTES, embeddings.RUN = old
+    monkeypatch.setattr(embeddings, "INTERVAL_BYTES", 1200 // intervals * 8 * 16)
+    monkeypatch.setattr(embeddings, "RUN", 256 // intervals)
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(linked[i].sum()), int(label[i])) for i in range(len(x))}
 
 

@@ -41,14 +41,14 @@ def test_prior():
     k = rng.binomial(n, rng.beta(3.0, 9.0, 4000))
     alpha, beta = hosts.beta_prior(int(n.sum()), int(k.sum()), len(n), float((n * n).sum()), float((k * k / n).sum()))
     assert abs(alpha - 3) < 0.4 and abs(beta - 9) < 1.2
-    for args in ((100, 10, 10, 1000.0, 10.0), (50, 5, 1, 2500.0, 0.5), (0, 0, 0, 0.0, 0.0), (100, 0, 10, 1000.0, 0.0), (100, 100, 10, 1000.0, 100.0)):
+    for args in ((100, 10, 10, 1000.0, 1.0), (50, 5, 1, 2500.0, 0.5), (0, 0, 0, 0.0, 0.0), (100, 0, 10, 1000.0, 0.0), (100, 100, 10, 1000.0, 100.0)):
         alpha, beta = hosts.beta_prior(*args)
         assert alpha >= 0 and beta >= 0 and alpha + beta > 1e6
 
 
 def test_hosts_are_judged_and_joined_back(spark, monkeypatch):
     good = " ".join(f"word{k}" for k in range(60))
-    rows = [(k, good if k % 10 else "short", f"fine{k % 20}") for k in range(2000)]
+    rows = [(k, good if k % 10 else "short", f"fine{k % 19}") for k in range(2000)]
     rows += [(5000 + k, good if k % 10 == 0 else "buy now " * 40, "spam") for k in range(300)]  # large and bad
     rows += [(6000, "short", "tiny"), (6001, good, "tiny")]  # half of its rows fail, but it has only two
     rows += [(None, good, None)] * 800 + [(7000, None, None), (7001, good, ""), (7001, good, "")]

