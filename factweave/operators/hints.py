@@ -52,7 +52,7 @@ def _blank(c: str) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def _checked(tag: str, rows: DataFrame) -> Column:
+def _checked(tag: str) -> Column:
     """The first reason to leave an output of this tag out."""
     bare = F.coalesce(F.size("evidence") <= 0, F.lit(True))
     foreign = F.exists("evidence", lambda e: ~F.coalesce(e["producer"] == F.col("producer"), F.lit(False)) | ~F.coalesce(e["direct"], F.lit(False)))
@@ -86,10 +86,10 @@ def run_outputs(models: list[OutputModel], packages: set[str], operations: DataF
     for tag, fields in FIELDS.items():
         value = F.parse_json("text")
         rows = found.where(F.col("tag") == tag).select("id", "producer", "evidence", "text", *[F.try_variant_get(value, f"$.{c}", kind).alias(c) for c, kind in fields.items()])
-        rows = rows.withColumn("code", _checked(tag, rows))
-        left = rows.where("code is not null").select("id", "producer", "code")
+        rows = rows.withColumn("why", _checked(tag))
+        left = rows.where("why is not null").select("id", "producer", F.col("why").alias("code"))
         codes = left if codes is None else codes.unionAll(left)
-        kept = rows.where("code is null").select("id", "producer", *fields)
+        kept = rows.where("why is null").select("id", "producer", *fields)
         if tag == "fact":
             agreed, torn = facts.resolve_conflicts(kept, ["id"], list(fields), CONFLICT)
             first = kept.groupBy("id").agg(F.min("producer").alias("producer"))
