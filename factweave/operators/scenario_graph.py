@@ -175,12 +175,12 @@ def _configured(f: Facts):
     """Configured methods: the tree of their calls, or why they have none."""
     gate = f.entries.where("kind = 'Configured'").join(f.methods.select(F.col("method_id").alias("root"), F.coalesce("has_body", F.lit(False)).alias("body"), "flows"), "root", "left")
     code = F.when(~F.coalesce("body", F.lit(False)), "SC002").when(F.col("flows") == 0, "SC-DIRECT-NO-FLOW").when(F.col("flows") > 1, "SC-DIRECT-AMBIGUOUS-FLOW")
-    gate = gate.withColumn("code", code)
+    gate = calls.cut(gate.withColumn("code", code))
     tree = calls.call_tree(gate.where("code is null").select("root"), f.calls, f.methods).where("depth > 0")
     place = F.row_number().over(Window.partitionBy("caller").orderBy("owner", "op_ord", "callee")).cast("long")
     sites = f.calls.select("caller", place.alias("place"), "operation", "op_ord")
     tree = tree.join(sites, ["caller", "place"]).join(f.methods.select("method_id", "type_name", "name"), "method_id", "left")
-    tree = gate.where("code is null").select("entry", "root").join(tree, "root")
+    tree = calls.cut(gate.where("code is null").select("entry", "root").join(tree, "root"))  # read for nodes, edges and stops
     steps = tree.where("step")
     action, own = ("Action", _text("action:", "root")), ("MethodCall", _text("method-call:", "path"))
     above = (F.when(F.col("up") == "", "Action").otherwise("MethodCall"), F.when(F.col("up") == "", action[1]).otherwise(_text("method-call:", "up")))
@@ -227,6 +227,7 @@ def _served(f: Facts, resolved: DataFrame):
 
 def _ended(joined: DataFrame, source: tuple):
     """Outcome nodes, once an entry and key by the first claim, with an edge for each claim; codes of those that cannot be told."""
+    joined = calls.cut(joined)
     good = joined.where("code is null")
     first = good.groupBy("entry", "key").agg(F.min_by(F.struct("method", "at", "detail"), F.struct("place", "operation")).alias("o")).select("entry", "key", "o.*")
     nodes = _node(first, "Outcome", F.col("key"), method=F.col("method"), operation=F.col("at"), detail=F.col("detail"))
@@ -254,7 +255,7 @@ def _by_status(f: Facts, resolved: DataFrame):
 def _by_factories(f: Facts, resolved: DataFrame):
     """Other roots: a result for either factory that the service returns, with the outcomes of the paths that the root decides between."""
     rows = resolved.select("entry", "root", "method").join(f.arms.select(F.col("method").alias("root")).distinct(), "root", "left_anti")
-    found = associate_results(rows, f.decisions, f.factories, f.returned, f.locals)
+    found = calls.cut(associate_results(rows, f.decisions, f.factories, f.returned, f.locals))
     sound, service = found.where("code is null"), ("ServiceCall", _text("service:", "method"))
     nodes, edges, told = [], [], [_told(found.where("code is not null"), F.col("code"), F.col("detail"))]
     for outcome, key, column in (("Success", "result-success", "success"), ("NotFound", "result-failure", "failure")):
