@@ -295,6 +295,32 @@ def _encoded(blocks: DataFrame, words: DataFrame) -> DataFrame:
     return blocks.select("block", "size", "starts", "tokens", "vocabulary").join(known.groupBy("block").agg(F.collect_list("id").alias("ids")), "block")
 
 
+def _picked(offsets: dict[int, int], places: np.ndarray):
+    """Of keys in order, dealt to partitions that begin at offsets, those at places."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = offsets.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            lo, hi = np.searchsorted(places, [at, at + len(batch)])
+            yield batch.take(pa.array(places[lo:hi] - at))
+            at += len(batch)
+
+    return pick
+
+
+def range_bounds(sample: DataFrame, subranges: int) -> np.ndarray:
+    """The distinct bounds that part sample(key) into equal ranges; it is sorted on the executors, and only bounds reach the driver."""
+    keys = cut(sample.orderBy("key"))
+    sizes = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    offsets, n = {}, 0
+    for r in sizes:
+        offsets[r.part], n = n, n + r.n
+    places = np.unique(np.arange(1, subranges, dtype=np.int64) * n // subranges) if n else np.empty(0, np.int64)
+    chosen = keys.mapInArrow(_picked(offsets, places), "key binary").toArrow()["key"].combine_chunks() if len(places) else pa.array([], pa.binary())
+    # Keys have one width, so their bytes are an array already; numpy's order of them is that of the ranges.
+    return np.unique(np.frombuffer(b"".join(chosen.to_pylist()), f"S{4 * LONGEST}"))
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases(high, low, a), words(lang, word, f, id), totals(lang, n)) of docs(lang, text); a phrase's ids fill two longs."""
     spark = docs.sparkSession
@@ -307,9 +333,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     subranges = min(SUBRANGES, max(1, math.ceil(tokens / SUBRANGE_KEYS)))
     picked = [r.block for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS).collect()]
     each = math.ceil(subranges * SAMPLE_KEYS / max(1, len(picked)))
-    sample = _encoded(blocks.where(F.col("block").isin(picked)), words).mapInArrow(_sampled(each), "key binary").collect()
-    sample = np.array(sorted(bytes(r.key) for r in sample), f"S{4 * LONGEST}")
-    bounds = np.unique(sample[np.arange(1, subranges) * len(sample) // subranges]) if len(sample) else sample
+    bounds = range_bounds(_encoded(blocks.where(F.col("block").isin(picked)), words).mapInArrow(_sampled(each), "key binary"), subranges)
     partitions = min(len(bounds) + 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens / RANGE_KEYS)))
     dealt = _encoded(blocks, words).mapInArrow(_dealt(bounds), "subrange int, n int, data binary")
     ranged = dealt.withColumn("range", F.expr(f"cast(cast(subrange as long) * {partitions} div {len(bounds) + 1} as int)"))

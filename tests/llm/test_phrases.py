@@ -96,3 +96,13 @@ def test_exact_scores_beyond_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "frequent_phrases", lambda docs, least: (found, words, spark.createDataFrame([("en", 5 * 10**14)], "lang string, n long")))
     (r,) = phrases.collocations(None).collect()
     assert (r.phrase, r.score) == ("a b", 2000000 * (10**14 + 1) // (3 * 10**14 + 10**14 + 7))
+
+
+def test_bounds_are_chosen_on_the_executors(spark):
+    """Of 20,000 sampled keys only the bounds come to the driver, and they are those of the sorted sample."""
+    keys = sorted(b"%016d" % (k * 7919 % 10_000) for k in range(20_000))
+    sample = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary").repartition(5)
+    want = sorted({keys[k * len(keys) // 300] for k in range(1, 300)})
+    assert phrases.range_bounds(sample, 300).tolist() == want
+    assert phrases.range_bounds(sample.limit(0), 300).tolist() == []
+    assert phrases.range_bounds(sample, 1).tolist() == []
