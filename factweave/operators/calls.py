@@ -112,28 +112,39 @@ def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int
     """
     order = Window.partitionBy("caller").orderBy("owner", "op_ord", "callee")
     guarded = F.coalesce("guarded", F.lit(False)) if "guarded" in calls.columns else F.lit(False)
-    step = calls.withColumn("place", F.row_number().over(order)).select("caller", "callee", "place", guarded.alias("guarded"))
+    # Of a call how many of its caller's up to it, and of its callee's, are steps below the root, and its callee's reason to stop.
+    among = F.count(F.when(~F.col("guarded"), 1)).over(Window.partitionBy("caller").orderBy("place"))
+    step = calls.withColumn("place", F.row_number().over(order)).select("caller", "callee", "place", guarded.alias("guarded")).withColumn("among", among)
+    calls_on = step.groupBy(F.col("caller").alias("callee")).agg(F.count_if(~F.col("guarded")).alias("below"), F.lit(True).alias("calls_on"))
     told = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in methods.columns else F.lit(default)
-    bodies = methods.select(F.col("method_id").alias("callee"), F.coalesce("has_body", F.lit(False)).alias("has_body"), told("loaded", True).alias("loaded"), told("flows", 1).alias("flows"))
-    bodies = bodies.join(calls.select(F.col("caller").alias("callee")).distinct().withColumn("calls_on", F.lit(True)), "callee", "left")
-    level = roots.select("root", F.col("root").alias("method_id"), F.array("root").alias("trail"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("stop"))
-    out = level
-    for k in range(1, depth + 1):
-        # A call behind `budget` others of its caller cannot be a step, so nothing below it is looked up.
-        open_ = level.where("stop is null and (size(places) = 0 or element_at(places, -1) <= %d)" % budget)
-        nxt = open_.join(step, F.col("method_id") == F.col("caller")).join(bodies, "callee", "left")
-        stop = F.when(F.col("guarded") & F.lit(k > 1), "Guarded").when(~F.coalesce("has_body", F.lit(False)), "BodyUnavailable").when(~F.col("loaded"), "SourceUnavailable")
-        stop = stop.when(F.col("flows") == 0, "NoFlow").when(F.col("flows") > 1, "AmbiguousFlow").when(F.array_contains("trail", F.col("callee")), "Cycle")
-        stop = stop.when(F.lit(k == depth) & F.col("calls_on"), "Depth")
-        level = nxt.select("root", F.col("callee").alias("method_id"), F.concat("trail", F.array("callee")).alias("trail"), F.concat("places", F.array("place")).alias("places"), F.lit(k).alias("depth"), stop.alias("stop"))
-        out = out.unionAll(level)
+    reason = F.when(~F.coalesce("has_body", F.lit(False)), "BodyUnavailable").when(~told("loaded", True), "SourceUnavailable").when(told("flows", 1) == 0, "NoFlow").when(told("flows", 1) > 1, "AmbiguousFlow")
+    bodies = methods.select(F.col("method_id").alias("callee"), reason.alias("reason"), F.lit(True).alias("known")).join(calls_on, "callee", "left")
+    steps = step.join(bodies, "callee", "left").withColumn("reason", F.when(F.col("known"), F.col("reason")).otherwise("BodyUnavailable"))
+    level = roots.select("root", F.col("root").alias("method_id"), F.array("root").alias("trail"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("stop"), F.lit(0).cast("long").alias("below"))
+
+    def calls_of(open_: DataFrame, k: int, *more: Column) -> DataFrame:
+        stop = F.when(F.col("guarded") & F.lit(k > 1), "Guarded").otherwise(F.coalesce("reason", F.when(F.array_contains("trail", F.col("callee")), "Cycle")))
+        stop = F.coalesce(stop, F.when(F.lit(k == depth) & F.col("calls_on"), "Depth"))
+        return open_.join(steps, F.col("method_id") == F.col("caller")).select("root", F.col("callee").alias("method_id"), F.concat("trail", F.array("callee")).alias("trail"), F.concat("places", F.array("place")).alias("places"), F.lit(k).alias("depth"), stop.alias("stop"), *more)
+
+    # The levels above the last. A call behind `budget` others of its caller cannot be a step, so nothing below it is looked up.
+    inner, again = level, F.expr(f"size(places) = 0 or element_at(places, -1) <= {budget}")
+    for k in range(1, depth):
+        level = calls_of(level.drop("below").where(F.col("stop").isNull() & again), k, (F.coalesce("below", F.lit(0)) * int(k == depth - 1)).alias("below"))
+        inner = inner.unionByName(level)
     by_place = Window.partitionBy("root").orderBy("places")
+    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
     counts = (F.col("depth") > 0) & ~F.coalesce(F.col("stop") == "Guarded", F.lit(False))
-    ranked = out.withColumn("rank", F.count(F.when(counts, 1)).over(by_place))
+    # Steps up to a node: those of the levels above the last, and the last level's, which all stand right behind the call above them.
+    ranked = inner.withColumn("rank", F.count(F.when(counts, 1)).over(by_place) + F.coalesce(F.sum(F.when(F.col("stop").isNull(), F.col("below"))).over(before), F.lit(0)))
     # In pre-order a node's parent is the last node before it that is one level up.
-    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
-    up = F.coalesce(*[F.when(F.col("depth") == k + 1, F.last(F.when(F.col("depth") == k, F.col("rank")), ignorenulls=True).over(before)) for k in range(depth)], F.lit(0))
-    ranked = ranked.withColumn("up", up).where(F.col("up") <= budget)
+    up = F.coalesce(*[F.when(F.col("depth") == k + 1, F.last(F.when(F.col("depth") == k, F.col("rank")), ignorenulls=True).over(before)) for k in range(depth - 1)], F.lit(0))
+    ranked = ranked.withColumn("up", up).where(F.col("up") <= budget).drop("below")
+    if depth > 0:
+        # Only what the budget leaves open is looked up at the last level, whose steps need no order of a whole tree.
+        open_ = ranked.where(F.col("stop").isNull() & (F.col("depth") == depth - 1) & (F.col("rank") <= budget) & again)
+        own = F.col("place").cast("long") if depth == 1 else F.col("among")
+        ranked = ranked.unionByName(calls_of(open_, depth, (F.col("rank") + own).alias("rank"), F.col("rank").alias("up")))
     stop = F.when(counts & (F.col("rank") > budget), "NodeBudget").otherwise(F.col("stop"))
     places = F.col("places")
     above = F.when(F.col("depth") > 0, F.array_join(F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), "."))
