@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,50 @@ def closure(starts: DataFrame, edges: DataFrame, on: list[str] | None = None, ma
     return _rounds(starts.select(*on, "start", begin.alias("node")), step, [*on, "start"], max_rounds)
 
 
+def _reach(data: pa.RecordBatch, keys: list[str]) -> pa.RecordBatch:
+    """(*keys, start, node) of rows (*keys, starts, edges), whose methods are walked together, a round for each step."""
+    def pairs(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = data.column(name)
+        flat = lists.flatten()
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        return np.repeat(np.arange(len(counts)), counts), a, b
+
+    group, start, node = pairs("starts")
+    owner, source, target = pairs("edges")
+    # Nodes of all groups are numbered together; a start is told by its number among the rows of starts.
+    begin, origin = np.unique(np.stack([group, start], 1), axis=0, return_inverse=True)
+    names, place = np.unique(np.concatenate([np.stack([group, node], 1), np.stack([owner, source], 1), np.stack([owner, target], 1)]), axis=0, return_inverse=True)
+    origin, place = origin.ravel(), place.ravel()
+    at, source, target = np.split(place, [len(node), len(node) + len(source)])
+    order = np.argsort(source, kind="stable")
+    source, target, wide = source[order], target[order], len(names)
+    new = seen = np.unique(origin * wide + at)
+    while len(new):
+        lo, hi = (np.searchsorted(source, new % wide, side) for side in ("left", "right"))
+        n = hi - lo
+        edge = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found = np.unique(np.repeat(new // wide, n) * wide + target[edge])
+        new = found[~np.isin(found, seen)]
+        seen = np.union1d(seen, new)
+    begin, node = begin[seen // wide], names[seen % wide, 1]
+    return pa.RecordBatch.from_arrays([*[data.column(c).take(pa.array(begin[:, 0])) for c in keys], pa.array(begin[:, 1]), pa.array(node)], [*keys, "start", "node"])
+
+
+def closure_within(starts: DataFrame, edges: DataFrame, on: list[str]) -> DataFrame:
+    """closure() bounded by the columns `on`, in one pass: the starts and edges of a bound (a method, whose source bounds it) meet in one row.
+
+    start, node, source and target are whole numbers, none of them null. There are no rounds of joins and no files.
+    """
+    begin = F.col("node") if "node" in starts.columns else F.col("start")
+    long = lambda c: c.cast("long")
+    s = starts.select(*on, F.struct(long(F.col("start")), long(begin)).alias("s"), F.lit(None).alias("e"))
+    e = edges.select(*on, F.lit(None).alias("s"), F.struct(long(F.col("source")), long(F.col("target"))).alias("e"))
+    rows = s.unionByName(e).groupBy(*on).agg(F.collect_set("s").alias("starts"), F.collect_set("e").alias("edges")).where("size(starts) > 0")
+    schema = ", ".join([*[f"{c} {starts.schema[c].dataType.simpleString()}" for c in on], "start long", "node long"])
+    return rows.mapInArrow(lambda batches: (_reach(b, on) for b in batches if len(b)), schema)
+
+
 def reached(starts: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node): what edges(source, target) lead to from any of starts(node), these included; nodes only, not pairs with a start."""
     return _rounds(starts.select("node"), edges.select(F.col("source").alias("node"), "target"), [], max_rounds)

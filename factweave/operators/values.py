@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .calls import closure
+from .calls import closure_within
 
 CALLS = ("Invocation", "DynamicInvocation", "EventAssignment", "ObjectCreation")
 ASSIGNMENTS = ("Assignment", "CompoundAssignment")
@@ -37,7 +37,7 @@ def anchors(ops: DataFrame, operands: DataFrame) -> DataFrame:
 
 def block_operations(roots: DataFrame, operands: DataFrame, ops: DataFrame) -> DataFrame:
     """(method, block, op, ordinal): all operations below a block's roots(method, block, op), once a block, in evaluation order."""
-    down = closure(roots.select("method", F.col("block").alias("start"), F.col("op").alias("node")), operands.select("method", F.col("op").alias("source"), F.col("operand").alias("target")), ["method"])
+    down = closure_within(roots.select("method", F.col("block").alias("start"), F.col("op").alias("node")), operands.select("method", F.col("op").alias("source"), F.col("operand").alias("target")), ["method"])
     rows = down.select("method", F.col("start").alias("block"), F.col("node").alias("op")).join(ops.select("method", "op", "evaluation"), ["method", "op"])
     order = Window.partitionBy("method", "block").orderBy("evaluation", "op")
     return rows.select("method", "block", "op", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
@@ -173,7 +173,7 @@ def return_provenance(ops: DataFrame, operands: DataFrame) -> DataFrame:
     """
     starts = returned_values(ops, operands).select("method", F.col("op").alias("start"), F.col("value").alias("node"))
     edges = value_edges(ops, operands).where(F.col("kind").isin(*SAME_VALUE)).select("method", F.col("target").alias("source"), F.col("source").alias("target"))
-    found = closure(starts, edges, ["method"])
+    found = closure_within(starts, edges, ["method"])
     made = ops.where(F.col("kind").isin(*CALLS)).select("method", F.col("op").alias("node"))
     return found.join(made, ["method", "node"], "left_semi").select("method", F.col("start").alias("return_op"), F.col("node").alias("operation"))
 

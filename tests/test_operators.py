@@ -1,5 +1,7 @@
 """Small hand-built inputs: none, one and several matches, nulls, order of rows, degenerate graphs."""
 
+import random
+
 import pytest
 
 from factweave.functions import text
@@ -265,3 +267,15 @@ def test_an_expansion_looks_up_no_last_level_behind_its_budget(spark):
     found = calls.expand(roots, edges, methods).groupBy("root").agg(F.count_if("step").alias("steps")).collect()
     assert {r["steps"] for r in found} == {64}
     assert shuffled() - before < 50_000
+
+
+def test_closures_within_bounds_need_no_rounds(spark):
+    """One pass gives what the rounds of closure() give, cycles, starts without edges and edges without starts among them."""
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(f"m{rng.randrange(9)}", rng.randrange(8), rng.randrange(8)) for _ in range(90)], "method string, source long, target long")
+    starts = spark.createDataFrame([(f"m{rng.randrange(1, 11)}", rng.randrange(3), rng.randrange(8)) for _ in range(30)], "method string, start long, node long")
+    key = ["method", "start", "node"]
+    found = got(calls.closure_within(starts, edges, ["method"]), *key)
+    assert found == got(calls.closure(starts, edges, ["method"]), *key) and len(found) > 60
+    assert got(calls.closure_within(starts, edges.limit(0), ["method"]), *key) == got(starts.distinct(), *key)
+    assert got(calls.closure_within(starts.limit(0), edges, ["method"]), *key) == []
