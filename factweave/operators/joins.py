@@ -41,10 +41,18 @@ MARK = ["size", "hash1", "hash2"]
 
 
 def equal_sets(sets: DataFrame, group: str, member: str) -> DataFrame:
-    """(first, other, size) of groups with the same set of members, each with the first of its equals."""
-    whole = marks(sets.select(group, member).distinct(), [group], [member])
+    """(first, other, members) of groups with the same set of members, each with the first of its equals.
+
+    Sets are compared as rows, by size and hashes; only those of a first and its equals are told, as members in order with commas between.
+    """
+    rows = sets.select(group, member).distinct()
+    whole = marks(rows, [group], [member])
     first = whole.groupBy(*MARK).agg(F.min(group).alias("first"))
-    return whole.join(first, MARK).where(F.col(group) > F.col("first")).select("first", F.col(group).alias("other"), "size")
+    pairs = whole.join(first, MARK).where(F.col(group) > F.col("first")).select("first", F.col(group).alias("other"))
+    # An equal of the first holds the same members, so each first's are put together once.
+    told = rows.withColumnRenamed(group, "first").join(pairs.select("first").distinct(), "first", "left_semi")
+    told = told.groupBy("first").agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("members"))
+    return pairs.join(told, "first").select("first", "other", "members")
 
 
 def _proper(pairs: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:

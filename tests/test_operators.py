@@ -279,3 +279,14 @@ def test_closures_within_bounds_need_no_rounds(spark):
     assert found == got(calls.closure(starts, edges, ["method"]), *key) and len(found) > 60
     assert got(calls.closure_within(starts, edges.limit(0), ["method"]), *key) == got(starts.distinct(), *key)
     assert got(calls.closure_within(starts.limit(0), edges, ["method"]), *key) == []
+
+
+def test_unions_of_evidence_tell_their_ids(spark):
+    rows = spark.createDataFrame([("a", 10, 2), ("a", 9, 1), ("a", 9, 3), ("b", 1, 3), (None, 4, 0)], "owner string, evidence_id long, certainty int")
+    found = {r["owner"]: (r["evidence"], r["n_evidence"], r["certainty"]) for r in facts.evidence_union(rows).collect()}
+    assert found == {"a": ("10,9", 2, "Conservative"), "b": ("1", 1, "Unknown"), None: ("4", 1, "Exact")}
+
+
+def test_equal_sets_tell_their_members(spark):
+    rows = spark.createDataFrame([("b", "y"), ("b", "x"), ("b", "x"), ("d", "x"), ("d", "y"), ("a", "x"), ("e", "y"), ("e", "x")], "g string, m string")
+    assert got(joins.equal_sets(rows, "g", "m"), "first", "other", "members") == [("b", "d", "x,y"), ("b", "e", "x,y")]
