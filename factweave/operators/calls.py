@@ -123,6 +123,18 @@ def candidates(sites: DataFrame, implementations: DataFrame, methods: DataFrame)
     return out.select("site", "target", "candidate", kind.alias("resolution"))
 
 
+def class_candidates(sites: DataFrame, members: DataFrame, methods: DataFrame, key: list[str]) -> DataFrame:
+    """candidates() where the implementations of a target are the members(*key, candidate) of the class(*key) of its sites(site, target, *key).
+
+    A class is counted by itself, so pairs are made by the last join alone and neither dealt again nor sorted by site.
+    """
+    body = methods.where("has_body").select(F.col("method_id").alias("candidate"))
+    found = members.select(*key, "candidate").distinct().join(body, "candidate", "left_semi")
+    sized = sites.join(found.groupBy(*key).agg(F.count("*").alias("n")), key, "left")
+    kind = F.when(F.col("n").isNull(), "Unresolved").when((F.col("n") == 1) & (F.col("candidate") == F.col("target")), "DirectExact").otherwise("Cha")
+    return sized.join(found, key, "left").select("site", "target", "candidate", kind.alias("resolution"))
+
+
 def virtual_targets(targets: DataFrame, overrides: DataFrame, methods: DataFrame) -> DataFrame:
     """(target, candidate) of virtual targets(target): the method itself and, at any depth, what overrides(base, override) it, where concrete.
 

@@ -297,3 +297,15 @@ def test_blocks_that_share_an_id_are_one_node_of_a_circle(spark):
     rows = [(1, 50, 120, 101, None), (1, 70, 120, 50, None), (1, 103, 120, 70, None), (2, 1, 9, None, 3), (2, 4, 9, None, 5), (5, 2, 9, 2, None), (5, 3, 9, None, 4)]
     blocks = spark.createDataFrame(rows, "method long, ord long, n long, cond_succ long, fall long")
     assert got(flow.on_numbered_cycles(blocks, 100), "node") == [(150,), (170,), (201,), (203,), (502,)]
+
+
+def test_candidates_of_a_class_equal_those_of_its_pairs(spark):
+    """None, one (the target or another) and several candidates; a class without sites, a null class and a method without a body."""
+    methods = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True), (5, False), (6, True), (7, True)], "method_id long, has_body boolean")
+    classes = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 3), ("b", 4), ("b", 5), (None, 6), ("c", 7)], "k string, candidate long")
+    sites = spark.createDataFrame([(10, 1, "a"), (11, 4, "b"), (12, 5, "b"), (13, 6, None), (14, 8, "z")], "site long, target long, k string")
+    pairs = sites.join(classes, "k").select("target", "candidate")
+    cols = ["site", "target", "candidate", "resolution"]
+    found = calls.class_candidates(sites, classes, methods, ["k"])
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, found.select(cols).collect())) == sorted(map(repr, calls.candidates(sites.select("site", "target"), pairs, methods).select(cols).collect()))
