@@ -45,7 +45,7 @@ class OutputModel:
 
 def payload(**fields: Column) -> Column:
     """A VARIANT object of the fields; nulls stay."""
-    return F.parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"}))
+    return F.to_variant_object(F.struct(*[c.alias(k) for k, c in fields.items()]))
 
 
 def _blank(c: str) -> Column:
@@ -75,21 +75,22 @@ def run_outputs(models: list[OutputModel], packages: set[str], operations: DataF
     Facts of one id and equal content count once, whichever models say so (producer: the first by name); of unequal content none
     counts (SEQFW003, once). codes(id, producer, code) holds what was left out and why; the models' own diagnostics are those of the tag.
     """
-    spark = operations.sparkSession
-    found = spark.createDataFrame([], "tag string, id string, evidence array<struct<id: string, producer: string, direct: boolean>>, producer string, text string")
+    found = operations.sparkSession.createDataFrame([], "tag string, id string, text string, evidence array<struct<id: string, producer: string, direct: boolean>>, producer string")
+    found = found.select("tag", "id", F.parse_json("text").alias("payload"), "evidence", "producer")
     for m in sorted((m for m in models if m.packages <= packages), key=lambda m: (m.order, m.name)):
         for analyze, descriptors in ((m.operations, operations), (m.symbols, symbols)):
             if analyze is not None:
-                # VARIANT values do not compare, so their text goes along from here.
-                found = found.unionByName(analyze(descriptors).select("tag", "id", "evidence", F.lit(m.producer).alias("producer"), F.to_json("payload").alias("text")))
-    out, codes = {}, None
+                found = found.unionByName(analyze(descriptors).select("tag", "id", "payload", "evidence", F.lit(m.producer).alias("producer")))
+    # Each output is read and checked once, by its tag, as a field is of one type in all tags that have it. An explode of one row keeps the
+    # fields apart from what refers to them, which else would read the payload again for each reference.
+    kinds = {c: kind for fields in FIELDS.values() for c, kind in fields.items()}
+    told = F.struct(*[F.try_variant_get("payload", f"$.{c}", kind).alias(c) for c, kind in kinds.items()])
+    read = found.select("tag", "id", "producer", "evidence", F.explode(F.array(told)).alias("f")).select("tag", "id", "producer", "evidence", "f.*")
+    read = read.withColumn("why", F.coalesce(*[F.when(F.col("tag") == tag, _checked(tag)) for tag in FIELDS]))
+    codes = read.where("why is not null").select("id", "producer", F.col("why").alias("code"))
+    out = {}
     for tag, fields in FIELDS.items():
-        value = F.parse_json("text")
-        rows = found.where(F.col("tag") == tag).select("id", "producer", "evidence", "text", *[F.try_variant_get(value, f"$.{c}", kind).alias(c) for c, kind in fields.items()])
-        rows = rows.withColumn("why", _checked(tag))
-        left = rows.where("why is not null").select("id", "producer", F.col("why").alias("code"))
-        codes = left if codes is None else codes.unionAll(left)
-        kept = rows.where("why is null").select("id", "producer", *fields)
+        kept = read.where((F.col("tag") == tag) & F.col("why").isNull()).select("id", "producer", *fields)
         if tag == "fact":
             agreed, torn = facts.resolve_conflicts(kept, ["id"], list(fields), CONFLICT)
             first = kept.groupBy("id").agg(F.min("producer").alias("producer"))

@@ -52,3 +52,14 @@ def test_handlers_behind_generic_bases(spark):
     endless = spark.createDataFrame([("E", [], "W<E>"), ("W", ["T"], "W<W<T>>")], "name string, parameters array<string>, above string")
     with pytest.raises(RuntimeError):
         generics.implemented(spark.createDataFrame([("E",)], "type string"), endless, max_rounds=4)
+
+
+def test_outputs_are_read_once(spark):
+    """The codes of all tags come from one reading of the outputs, besides that for facts which disagree."""
+    tag = F.element_at(F.array(*[F.lit(t) for t in hints.FIELDS]), (F.col("id") + 1).cast("int"))
+    fields = {f: F.lit("1").cast(k) for of in hints.FIELDS.values() for f, k in of.items()}
+    evidence = F.lit(None).cast("array<struct<id: string, producer: string, direct: boolean>>")
+    model = hints.OutputModel("m", "1", 1, frozenset(), operations=lambda d: d.select(tag.alias("tag"), F.col("id").cast("string").alias("id"), hints.payload(**fields).alias("payload"), evidence.alias("evidence")))
+    codes = hints.run_outputs([model], set(), spark.range(5), spark.range(1))["codes"]
+    assert codes._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 5") == 2
+    assert got(codes, "id", "code") == [("0", "SEQFW001"), ("1", "SEQFW002"), ("2", "SEQFW002"), ("3", "SEQFW002")]
