@@ -138,11 +138,42 @@ def arm_terminals(nodes: DataFrame, edges: DataFrame, loops: DataFrame, regions:
     return flow.walk_methods(tagged, ["tag", "a", "b", "c", "kind"], ["tag", "a", "b", "c", "kind"], _classify, "decision long, arm boolean, terminal string, reason string")
 
 
-def graph(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, loops) of blocks as flow.edges() takes them: a block with both successors decides, the last one is the exit."""
-    kind = F.when(F.col("cond_succ").isNotNull() & F.col("fall").isNotNull(), "Decision").when(F.col("terminal") == "Return", "Return")
-    kind = kind.when(F.col("terminal").isin("Throw", "Rethrow"), "Throw").otherwise("Block")
-    nodes = blocks.select("method", F.col("ord").alias("node"), kind.alias("kind")).unionAll(blocks.select("method", F.col("n").alias("node"), F.lit("Exit").alias("kind")).distinct())
-    body = flow.natural_loops(blocks).select("method", F.col("latch").alias("loop"), "header", F.when(F.col("node") != F.col("header"), F.col("node")).alias("node"), F.lit("Body").alias("role"))
-    exits = flow.loop_exits(blocks).select("method", F.col("latch").alias("loop"), "header", "node", F.lit("Exit").alias("role"))
-    return nodes, flow.edges(blocks), body.unionAll(exits)
+def block_terminals(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """arm_terminals() of blocks as flow.edges() takes them and regions(method, start_block, end_block, kind), each method in one walk.
+
+    A block with both successors decides, the last one is the exit; edges are those of flow.edges(), loops the natural ones.
+    """
+    whole = lambda c: F.col(c).cast("long")
+    none = F.lit(None).cast("long")
+    rows = blocks.select("method", F.lit(0).alias("tag"), whole("ord").alias("a"), whole("n").alias("b"), whole("cond_succ").alias("c"), whole("fall").alias("d"), F.col("terminal").alias("kind"))
+    rows = rows.unionAll(regions.select("method", F.lit(1), whole("start_block"), whole("end_block"), none, none, "kind"))
+    columns = ["tag", "a", "b", "c", "d", "kind"]
+    return flow.walk_methods(rows, columns, columns[:2], lambda found: _classify(_graph(found)), "decision long, arm boolean, terminal string, reason string")
+
+
+def _graph(found: list[tuple]) -> list[tuple]:
+    """The rows of Method from a method's blocks and regions."""
+    number = lambda v: None if v is None else int(v)
+    body = [(int(a), int(b), kind, number(c), number(d)) for tag, a, b, c, d, kind in found if tag == 0]
+    if not body:
+        return []
+    g = flow.graph_of(body)
+    back = flow.back_edges_of(g)
+    looped = set(back)
+    nodes, out = [(0, g[0], None, None, "Exit")], []
+    for o, n, terminal, cond, fall in body:
+        ends = terminal in LEAVING
+        nodes.append((0, o, None, None, "Decision" if cond is not None and fall is not None else "Return" if terminal == "Return" else "Throw" if ends else "Block"))
+        for target, kind in ((cond, "True"), (fall, "False" if terminal == "Conditional" else "Normal")):
+            if target is not None:
+                out.append((1, o, target, None, terminal if ends else "LoopBack" if (o, target) in looped else kind))
+        if fall is None and terminal in ("Throw", "Rethrow"):
+            out.append((1, o, n, None, terminal))
+    for latch, header in sorted(back, key=lambda e: (e[1], e[0])):
+        inside = flow.loop_body(g, latch, header)
+        out += [(2, header, k if k != header else None, latch, "Body") for k in inside]
+        out += [(2, header, k, latch, "Exit") for k in {x for k in inside for x in g[1][k]} - inside]
+    for tag, start, end, _, _, kind in found:
+        if tag == 1 and start is not None and end is not None:
+            out += [(3, node, None, None, kind) for _, node, *_ in nodes if start <= node <= end]
+    return nodes + out

@@ -45,10 +45,7 @@ _ARMS = f"{_GRAPH} SELECT method, decision, arm, CASE WHEN event IN ('Rejoins',
 
 
 def _terminals(spark, d):
-    nodes, edges, loops = arms.graph(view(spark, d, "v_block"))
-    regions = _regions(spark, d)[1].withColumn("kind", F.expr(_KIND))
-    held = joins.in_intervals(nodes.select("method", "node"), regions, ["method"], "node", "start_block", "end_block")
-    return arms.arm_terminals(nodes, edges, loops, held.select("method", "node", "kind"))
+    return arms.block_terminals(view(spark, d, "v_block"), _regions(spark, d)[1].withColumn("kind", F.expr(_KIND)))
 
 
 @query("arm_terminals", _ARMS)
