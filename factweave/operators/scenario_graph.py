@@ -44,7 +44,9 @@ def resolve_services(actions: DataFrame, methods: DataFrame, bindings: DataFrame
     met = typed.join(bound, "constructor").join(called, ["root", "service_type"])
     fields = ("service_type", "implementations", "implementation", "registered", "sites", "site", "operation", "complete")
     first = met.groupBy("entry").agg(F.min_by(F.struct(*fields), "service_type").alias("s")).select("entry", "s.*")
-    single = candidates.groupBy("site", F.col("declaring_type").alias("implementation")).agg(F.count_distinct("candidate").alias("found"), F.min("candidate").alias("method"))
+    # Only candidates of the sites that decide are counted: they are few of all.
+    sought = first.select("site", F.col("implementation").alias("declaring_type")).distinct()
+    single = candidates.join(sought, ["site", "declaring_type"], "left_semi").groupBy("site", F.col("declaring_type").alias("implementation")).agg(F.count_distinct("candidate").alias("found"), F.min("candidate").alias("method"))
     out = typed.join(any_bound, "constructor", "left").join(first, "entry", "left").join(single, ["site", "implementation"], "left")
     found = F.coalesce("found", F.lit(0))
     at = lambda name: F.concat(F.lit(f"{name}:"), "service_type")

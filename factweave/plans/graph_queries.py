@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import scenario_graph
-from .bind import view, with_views
+from .bind import keep, view, with_views
 from .fact_queries import _EXPAND
 
 QUERIES, ORACLES = {}, {}
@@ -24,7 +24,8 @@ _NAMES = {
 
 
 def _graph(spark, d):
-    return scenario_graph.scenario_graph(scenario_graph.Facts(**{k: view(spark, d, f"v_g_{v}") for k, v in _NAMES.items()}))
+    ready = keep(spark, d, "v_inv", "v_call", "v_def")
+    return scenario_graph.scenario_graph(scenario_graph.Facts(**{k: view(spark, d, f"v_g_{v}", ready) for k, v in _NAMES.items()}))
 
 
 _REASON = """CASE WHEN NOT known THEN 'action-method-missing' WHEN ctor IS NULL THEN 'controller-constructor-missing' WHEN NOT bound THEN 'no-di-bindings' WHEN st IS NULL THEN 'no-service-call-matched'
