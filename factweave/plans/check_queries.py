@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import catalog, joins, render, validation
-from .bind import view, with_views
+from .bind import keep, view, with_views
 
 QUERIES, ORACLES = {}, {}
 
@@ -17,9 +17,9 @@ def query(name: str, sql: str):
     return add
 
 
-def _read(spark, d, sql, *names):
+def _read(spark, d, sql, *names, ready=None):
     """A text on views, read alike by Spark and, with the views defined before it, by DuckDB."""
-    frames = {n: view(spark, d, n) for n in names}
+    frames = {n: view(spark, d, n, ready) for n in names}
     for n in names:
         sql = sql.replace(n, "{" + n + "}")
     return spark.sql(sql, **frames)
@@ -52,7 +52,8 @@ _FAULTS = f"""{with_views('v_method', 'v_op')}, {', '.join(f'{k} AS ({sql})' for
 
 @query("extraction_errors", f"{_FAULTS} SELECT method, code, CAST(ordinal AS BIGINT) AS ordinal FROM f")
 def _extraction(spark, d):
-    return validation.extraction_errors(*[_read(spark, d, sql, "v_method" if k == "m" else "v_op") for k, sql in _X.items()])
+    ready = keep(spark, d, "v_inv")
+    return validation.extraction_errors(*[_read(spark, d, sql, "v_method" if k == "m" else "v_op", ready=ready) for k, sql in _X.items()])
 
 
 # Steps of an expansion: the invocations of an owner, each below the one before; ids, depths and flags fail for some.

@@ -8,7 +8,7 @@ from factweave.plans import bind, registry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["scenario_nodes", "scenario_edges"])
+@pytest.mark.parametrize("name", ["scenario_nodes", "scenario_edges", "extraction_errors"])
 def test_the_table_is_dealt_and_sorted_once(spark, name):
     found = registry.QUERIES[name](spark, DATA).inputFiles()
     assert any("kept-" in f for f in found) and not any("lineitem" in f for f in found)
