@@ -79,13 +79,8 @@ def argument_labels(arguments: DataFrame) -> DataFrame:
     return rows.groupBy("method", "op").agg(F.when(sound, F.array_join(parts, ", ")).alias("label"))
 
 
-def value_nodes(ops: DataFrame, operands: DataFrame) -> DataFrame:
-    """(method, op, kind, value_kind, role): the operations that yield a value, or define one.
-
-    ops also holds parameter (its ordinal), local_name and member, null where the operation has none; an assignment has its
-    target at place 0 and its value at place 1.
-    """
-    has = operands.groupBy("method", "op").agg((F.count_distinct(F.when(F.col("place") < 2, F.col("place"))) == 2).alias("assigns"), F.lit(True).alias("any"))
+def _value() -> Column:
+    """The value kind and role of an operation that is a value node, else null; any: it has operands, assigns: two at places 0 and 1."""
     kind = F.col("kind")
     cases = [
         ((kind == "ParameterReference") & F.col("parameter").isNotNull(), "Parameter", F.lit("parameter")),
@@ -97,8 +92,17 @@ def value_nodes(ops: DataFrame, operands: DataFrame) -> DataFrame:
         (kind == "Conversion", "OperationResult", F.lit("conversion")),
         (F.col("any") & ~kind.isin(*NO_VALUE), "OperationResult", F.lit("result")),
     ]
-    found = F.coalesce(*[F.when(when, F.struct(F.lit(value).alias("value_kind"), role.alias("role"))) for when, value, role in cases])
-    rows = ops.join(has, ["method", "op"], "left").withColumn("v", found).where("v is not null")
+    return F.coalesce(*[F.when(when, F.struct(F.lit(value).alias("value_kind"), role.alias("role"))) for when, value, role in cases])
+
+
+def value_nodes(ops: DataFrame, operands: DataFrame) -> DataFrame:
+    """(method, op, kind, value_kind, role): the operations that yield a value, or define one.
+
+    ops also holds parameter (its ordinal), local_name and member, null where the operation has none; an assignment has its
+    target at place 0 and its value at place 1.
+    """
+    has = operands.groupBy("method", "op").agg((F.count_distinct(F.when(F.col("place") < 2, F.col("place"))) == 2).alias("assigns"), F.lit(True).alias("any"))
+    rows = ops.join(has, ["method", "op"], "left").withColumn("v", _value()).where("v is not null")
     return rows.select("method", "op", "kind", "v.value_kind", "v.role")
 
 
@@ -116,21 +120,41 @@ def value_edges(ops: DataFrame, operands: DataFrame) -> DataFrame:
 
     Assignment: from the value to the definition of a local. CaptureCollapse: from the latest definition before it to a use of
     a local. Argument, Conversion (of a single operand), Operand: from an operand to its operation.
+
+    A method is dealt once, and what an operation needs to know of another is told within it: no join deals it again. An operation
+    of a method is one row of ops.
     """
-    nodes = value_nodes(ops, operands)
-    defined = _assigned(ops, operands, nodes).where("local_name is not null")
-    assigned = defined.select("method", F.col("value").alias("source"), F.col("op").alias("target"), F.lit("Assignment").alias("kind"))
-    uses = ops.where("kind = 'LocalReference' and local_name is not null").select("method", "local_name", "block", "evaluation", "op", F.lit(False).alias("defines"))
-    order = Window.partitionBy("method", "local_name").orderBy("block", "evaluation", "op").rowsBetween(Window.unboundedPreceding, -1)
-    both = uses.unionAll(defined.select("method", "local_name", "block", "evaluation", "op", F.lit(True)))
-    latest = both.withColumn("source", F.last(F.when(F.col("defines"), F.col("op")), ignorenulls=True).over(order))
-    reads = latest.where("not defines and source is not null").select("method", "source", F.col("op").alias("target"), F.lit("CaptureCollapse").alias("kind"))
-    given = operands.join(nodes.select("method", F.col("op").alias("operand")), ["method", "operand"], "left_semi")
-    counted = operands.groupBy("method", "op").agg(F.count("*").alias("n"))
-    taking = nodes.where(~F.col("kind").isin(*ASSIGNMENTS, "LocalReference")).join(counted, ["method", "op"]).where("kind <> 'Conversion' or n = 1")
-    way = F.when(F.col("kind") == "Invocation", "Argument").when(F.col("kind") == "Conversion", "Conversion").otherwise("Operand")
-    passed = given.join(taking, ["method", "op"]).select("method", F.col("operand").alias("source"), F.col("op").alias("target"), way.alias("kind"))
-    return assigned.unionAll(reads).unionAll(passed)
+    own = F.struct("block", "evaluation", "kind", "parameter", "local_name", "member")
+    rows = ops.select("method", "op", own.alias("own"), F.lit(None).alias("given")).unionByName(operands.select("method", "op", F.lit(None).alias("own"), F.struct("place", "operand").alias("given")))
+    at = lambda k: F.min(F.when(F.col("given.place") == k, F.col("given.operand")))
+    has = lambda k: F.coalesce(F.bool_or(F.col("given.place") == k), F.lit(False))
+    per = rows.where("method is not null and op is not null").repartition("method").groupBy("method", "op").agg(
+        F.first("own", ignorenulls=True).alias("own"), F.collect_list("given").alias("given"), at(0).alias("first"), at(1).alias("second"), (has(0) & has(1)).alias("assigns")
+    )
+    per = per.where("own is not null").select("method", "op", "own.*", "given", "first", "second", "assigns", (F.size("given") > 0).alias("any"))
+    kind, asks = F.col("kind"), lambda key, way: F.struct(key.alias("key"), F.lit(way).alias("way") if isinstance(way, str) else way.alias("way"))
+    per = per.withColumn("node", _value().isNotNull())
+    # What an operation asks for: an assignment its sides, any other value its operands; and its own row, which answers.
+    takes = F.col("node") & (kind != "LocalReference") & ((kind != "Conversion") | (F.size("given") == 1))
+    way = F.when(kind == "Invocation", "Argument").when(kind == "Conversion", "Conversion").otherwise("Operand")
+    asked = F.when(kind.isin(*ASSIGNMENTS), F.array(asks(F.col("first"), "Target"), asks(F.col("second"), "Value"))).when(takes, F.transform("given", lambda g: asks(g["operand"], way)))
+    own = F.array(asks(F.col("op"), F.lit(None).cast("string")))
+    asked = per.select("method", "op", "block", "evaluation", "kind", "local_name", "node", F.inline(F.concat(own, F.coalesce(asked, F.slice(own, 1, 0))))).where("key is not null")
+    answers = Window.partitionBy("method", "key")
+    told = asked.withColumn("is_node", F.max(F.when(F.col("way").isNull(), F.col("node"))).over(answers)).withColumn("named", F.max(F.when(F.col("way").isNull(), F.col("local_name"))).over(answers))
+    only = lambda when, c: F.max(F.when(when, F.col(c)))
+    way, used = F.col("way"), F.col("way").isNull() & (kind == "LocalReference")
+    per = told.groupBy("method", "op").agg(
+        F.first("block").alias("block"), F.first("evaluation").alias("evaluation"), only(way == "Target", "named").alias("assigned"), only((way == "Value") & F.col("is_node"), "key").alias("value"), only(used, "local_name").alias("used"),
+        F.collect_list(F.when(~way.isin("Target", "Value") & F.col("is_node"), F.struct(F.col("key").alias("source"), way.alias("kind")))).alias("passed"),
+    )
+    per = per.withColumn("defines", F.col("assigned").isNotNull() & F.col("value").isNotNull()).withColumn("local", F.when(F.col("defines"), F.col("assigned")).otherwise(F.col("used")))
+    order = Window.partitionBy("method", "local").orderBy("block", "evaluation", "op").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("latest", F.last(F.when(F.col("defines"), F.col("op")), ignorenulls=True).over(order))
+    flow = lambda source, kind: F.array(F.struct(source.alias("source"), F.lit(kind).alias("kind")))
+    more = F.when(F.col("defines"), flow(F.col("value"), "Assignment")).when(F.col("used").isNotNull() & F.col("latest").isNotNull(), flow(F.col("latest"), "CaptureCollapse"))
+    edges = per.select("method", "op", F.inline(F.concat("passed", F.coalesce(more, F.slice("passed", 1, 0)))))
+    return edges.select("method", "source", F.col("op").alias("target"), "kind")
 
 
 def source_ordinal(block, evaluation):

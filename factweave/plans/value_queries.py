@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import admission, flow, topology, values
-from .bind import view, with_views
+from .bind import keep, view, with_views
 from .flow_queries import ORACLES as FLOW
 from .text_queries import LOOKS_SENSITIVE
 
@@ -100,7 +100,8 @@ def _values(spark, d):
   UNION ALL SELECT w.method, a.operand, w.op, CASE w.kind WHEN 'Invocation' THEN 'Argument' WHEN 'Conversion' THEN 'Conversion' ELSE 'Operand' END FROM w JOIN v_operand a ON a.method = w.method AND a.op = w.op JOIN w g ON g.method = w.method AND g.op = a.operand
     WHERE w.kind NOT IN ('LocalReference', 'Assignment', 'CompoundAssignment') AND (w.kind <> 'Conversion' OR w.n = 1)""")
 def _edges(spark, d):
-    return values.value_edges(view(spark, d, "v_op"), view(spark, d, "v_operand"))
+    ready = keep(spark, d, "v_inv")
+    return values.value_edges(view(spark, d, "v_op", ready), view(spark, d, "v_operand", ready))
 
 
 @query("state_access", f"""{_VALUES}, q AS (SELECT method, 'Read' AS access, member FROM v_op WHERE member IS NOT NULL UNION SELECT method, 'Write', member FROM s WHERE member IS NOT NULL)
