@@ -6,10 +6,12 @@ them depends on is held by all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import chains, joins
+from . import flow, joins
 from .calls import cut
 
 MAX_DEPTH = 3
@@ -78,30 +80,57 @@ def fragments(members: DataFrame) -> DataFrame:
     are Hoisted: they own nothing and hold nothing. Without such an arm, or with several minimal ones, a decision is at the Top. A
     method whose tree is deeper than MAX_DEPTH is Flat throughout (DP001).
     """
-    members = cut(members)  # Read several times below, as is the table of parents.
-    node = F.struct("method", "node").alias("m")
-    whole = members.select(F.struct("method", "decision").alias("g"), node).distinct()
-    marks = joins.marks(whole.select("g", "m.method", "m.node"), ["g"], ["method", "node"])
-    twin = marks.groupBy(*joins.MARK).agg(F.count("*").alias("same"))
-    twins = marks.join(twin, joins.MARK).where("same > 1").select("g")
-    arms = members.select(F.struct("method", "decision", "polarity").alias("g"), node).distinct()
-    arms = arms.join(twins.select(F.col("g.method").alias("tm"), F.col("g.decision").alias("td")), (F.col("g.method") == F.col("tm")) & (F.col("g.decision") == F.col("td")), "left_anti")
-    up = joins.minimal_parents(whole, arms)
-    rows = up.join(twins.withColumnRenamed("g", "child").withColumn("hoisted", F.lit(True)), "child", "left")
-    rows = rows.select(F.col("child.method").alias("method"), F.col("child.decision").alias("decision"), F.when(F.col("hoisted").isNull(), F.col("parent")).alias("p"), F.coalesce("hoisted", F.lit(False)).alias("hoisted"))
-    rows = cut(rows.select("method", "decision", "hoisted", F.col("p.decision").alias("parent"), F.col("p.polarity").alias("parent_arm")))
-    # Depth matters up to one level beyond the limit only, so a fixed number of steps upwards tells it.
-    step = rows.select("method", F.col("decision").alias("above"), F.col("parent").alias("next"))
-    out = rows.withColumn("above", F.col("parent")).withColumn("depth", F.lit(1))
-    for _ in range(MAX_DEPTH):
-        out = out.join(step, ["method", "above"], "left").withColumn("depth", F.col("depth") + F.when(F.col("above").isNotNull(), 1).otherwise(0)).drop("above").withColumnRenamed("next", "above")
-    deep = out.groupBy("method").agg((F.max("depth") > MAX_DEPTH).alias("deep"))
-    place = F.when(F.col("hoisted"), "Hoisted").when(F.col("deep"), "Flat").when(F.col("parent").isNull(), "Top").otherwise("Nested")
+    rows = nested(members)
+    place = F.when(F.col("hoisted"), "Hoisted").when(F.col("deepest") > MAX_DEPTH, "Flat").when(F.col("parent").isNull(), "Top").otherwise("Nested")
     kept = F.col("place") == "Nested"
-    out = out.join(deep, "method").withColumn("place", place)
+    out = rows.withColumn("place", place)
     return out.select("method", "decision", F.when(kept, F.col("parent")).alias("parent"), F.when(kept, F.col("parent_arm")).alias("parent_arm"), F.when(F.col("place") == "Flat", 1).otherwise(F.col("depth")).cast("long").alias("depth"), F.col("place").alias("placement"))
 
 
+def nested(members: DataFrame) -> DataFrame:
+    """(method, decision, parent, parent_arm, depth, deepest, hoisted) of members(method, decision, polarity, node), before any limit of depth.
+
+    No decision reaches beyond its method, which is bounded by its source: a method's members are dealt to one task once and its tree is
+    told there. Null methods and decisions are none.
+    """
+    kind = members.schema["decision"].dataType.simpleString()
+    # Nodes are only compared, and texts stay themselves beside nulls, which whole numbers do not in a data frame; a decision without parent names itself.
+    rows = members.where("method is not null and decision is not null").select("method", "decision", "polarity", F.col("node").cast("string").alias("node"))
+    told = flow.walk_methods(rows, ["decision", "polarity", "node"], ["decision"], _nest, f"decision {kind}, parent {kind}, parent_arm boolean, depth long, deepest long, hoisted boolean")
+    return told.withColumn("parent", F.when(F.col("parent") != F.col("decision"), F.col("parent")))
+
+
+def _nest(rows: list[tuple]) -> list[tuple]:
+    """The rows of nested() of one method.
+
+    If just one arm that properly holds a decision's nodes is minimal, it is the smallest and lies properly within all the others. All of them
+    hold the decision's rarest node, so only the arms of that node are looked at.
+    """
+    arms: dict[tuple, set] = {}
+    for decision, polarity, node in rows:
+        arms.setdefault((decision, polarity), set()).add(node)
+    whole: dict = {}
+    for (decision, _), held in arms.items():
+        whole[decision] = whole.get(decision, frozenset()) | held
+    same = Counter(whole.values())
+    holders: dict = {}
+    for arm, held in arms.items():
+        if same[whole[arm[0]]] == 1:
+            for node in held:
+                holders.setdefault(node, []).append((len(held), arm, held))
+    above: dict = {}
+    for decision, nodes in whole.items():
+        over = [] if same[nodes] > 1 else [h for h in min((holders.get(n, []) for n in nodes), key=len) if h[0] > len(nodes) and nodes <= h[2]]
+        best = min(over, key=lambda h: h[0], default=None)
+        if best and all(h is best or best[2] < h[2] for h in over):
+            above[decision] = best[1]
+    depth: dict = {}
+    for decision in sorted(whole, key=lambda d: -len(whole[d])):  # a parent holds more nodes
+        depth[decision] = depth[above[decision][0]] + 1 if decision in above else 1
+    deepest = max(depth.values())
+    return [(d, *above.get(d, (d, None)), depth[d], deepest, same[whole[d]] > 1) for d in whole]
+
+
 def supported_decisions(members: DataFrame, messages: DataFrame, terminals: DataFrame) -> DataFrame:
     """(method, decision) of decisions that a fragment can show: both arms end in a known way, some message stands under an arm, and no node
     under both. messages(method, message, node), terminals(method, decision, arm, terminal)."""
@@ -126,15 +155,7 @@ def plan_fragments(members: DataFrame, messages: DataFrame, terminals: DataFrame
     marks = joins.marks(members.select("method", "decision", "node").distinct().join(ways, ["method", "decision"], "left_semi"), ["method", "decision"], ["method", "node"])
     twins = marks.join(marks.groupBy("method", *joins.MARK).agg(F.count("*").alias("same")).where("same > 1").drop("same"), ["method", *joins.MARK]).select("method", "decision")
     shown = cut(able.join(twins, ["method", "decision"], "left_anti"))
-    node = F.struct("method", "node").alias("m")
-    own = members.join(shown, ["method", "decision"], "left_semi")
-    up = joins.minimal_parents(own.select(F.struct("method", "decision").alias("g"), node).distinct(), own.select(F.struct("method", "decision", "polarity").alias("g"), node).distinct())
-    tree = cut(up.select("child.method", "child.decision", F.col("parent.decision").alias("parent"), F.col("parent.polarity").alias("parent_arm")))
-    step = tree.select("method", F.col("decision").alias("above"), F.col("parent").alias("next"))
-    deep = tree.withColumn("above", F.col("parent")).withColumn("depth", F.lit(1))
-    for _ in range(MAX_DEPTH):
-        deep = deep.join(step, ["method", "above"], "left").withColumn("depth", F.col("depth") + F.when(F.col("above").isNotNull(), 1).otherwise(0)).drop("above").withColumnRenamed("next", "above")
-    deep = cut(deep.drop("above"))
+    deep = cut(nested(members.join(shown, ["method", "decision"], "left_semi")).select("method", "decision", "parent", "parent_arm", "depth"))
     flat = deep.where(F.col("depth") > MAX_DEPTH).select("method").distinct()
     kept = deep.join(flat, "method", "left_anti")
     # Where a message may stand: under a fragment, else under a hoisted decision that could be one, else under others.
@@ -156,18 +177,47 @@ def predicate_groups(tree: DataFrame, wording: DataFrame, terminals: DataFrame,
     somewhere below the owner, and each arm of theirs is known not to end the method. Only then do their arms give what they hold to
     the owner's arm that they lie in: a group is taken whole, or left as it is.
     """
-    owners = wording.where("role = 'Owner'").groupBy("method", "predicate").agg(F.count_distinct("decision").alias("owners"), F.min("decision").alias("owner")).where("owners = 1").drop("owners")
-    subs = wording.where("role = 'Subordinate'").select("method", "predicate", "decision").distinct()
-    rows = cut(subs.join(owners, ["method", "predicate"]))
-    above, _ = chains.ancestors(rows.select("method", F.col("decision").alias("start")), tree.select("method", F.col("decision").alias("node"), F.col("parent").alias("receiver")))
-    above = cut(above)
-    # The owner's arm is that by which the last decision below it hangs on it.
-    hung = above.join(tree.select("method", F.col("decision").alias("node"), "parent", "parent_arm"), ["method", "node"]).where("parent is not null")
-    placed = rows.join(hung.select("method", F.col("start").alias("decision"), F.col("parent").alias("owner"), F.col("parent_arm").alias("owner_arm")), ["method", "decision", "owner"], "left")
-    known = lambda c: supported.select("method", F.col("decision").alias(c), F.lit(True).alias(f"{c}_known")).distinct()
-    goes_on = terminals.groupBy("method", "decision").agg((F.count_distinct("arm") == 2).alias("both"), F.bool_and(F.coalesce(F.col("terminal") == "Rejoins", F.lit(False))).alias("on"))
-    judged = placed.join(known("decision"), ["method", "decision"], "left").join(known("owner"), ["method", "owner"], "left").join(goes_on, ["method", "decision"], "left")
-    fine = F.col("owner_arm").isNotNull() & F.col("decision_known").isNotNull() & F.col("owner_known").isNotNull() & F.coalesce(F.col("both") & F.col("on"), F.lit(False))
-    groups = judged.groupBy("method", "predicate", "owner").agg(F.bool_and(fine).alias("valid"))
+    group = Window.partitionBy("method", "predicate")
+    owner = F.when(F.col("role") == "Owner", F.col("decision"))
+    rows = wording.where("method is not null and predicate is not null").withColumn("owner", F.min(owner).over(group)).withColumn("other", F.max(owner).over(group))
+    rows = rows.where("role = 'Subordinate' and owner = other").select("method", "predicate", "decision", "owner").distinct()
+    # A decision's links upwards and the owners it is asked for are dealt to its method's task.
+    kind = tree.schema["decision"].dataType.simpleString()
+    links = tree.where("method is not null and decision is not null and parent is not null").select("method", F.lit(0).alias("tag"), "decision", F.col("parent").alias("above"), F.col("parent_arm").alias("arm"))
+    asked = rows.where("decision is not null").select("method", F.lit(1), "decision", "owner", F.lit(None).cast("boolean"))
+    hung = flow.walk_methods(links.unionAll(asked), ["tag", "decision", "above", "arm"], ["tag", "decision"], _hang, f"decision {kind}, owner {kind}, owner_arm boolean").distinct()
+    # One row for each decision with what is known of it.
+    no = F.lit(None)
+    facts = supported.select("method", "decision", F.lit(True).alias("shown"), no.cast("boolean").alias("arm"), no.cast("boolean").alias("on"))
+    facts = facts.unionAll(terminals.select("method", "decision", F.lit(False), "arm", F.coalesce(F.col("terminal") == "Rejoins", F.lit(False))))
+    facts = facts.groupBy("method", "decision").agg(F.bool_or("shown").alias("shown"), ((F.min("arm") != F.max("arm")) & F.bool_and("on")).alias("on"))
+    placed = rows.join(hung, ["method", "decision", "owner"], "left").join(facts, ["method", "decision"], "left")
+    placed = placed.join(facts.where("shown").select("method", F.col("decision").alias("owner"), F.col("shown").alias("owner_shown")), ["method", "owner"], "left")
+    fine = F.col("owner_arm").isNotNull() & F.coalesce(F.col("shown") & F.col("owner_shown") & F.col("on"), F.lit(False))
+    placed = cut(placed.select("method", "predicate", "decision", "owner", "owner_arm", fine.alias("fine")))
+    groups = placed.groupBy("method", "predicate", "owner").agg(F.bool_and("fine").alias("valid"))
     moved = placed.join(groups.where("valid"), ["method", "predicate", "owner"], "left_semi").join(terminals.select("method", "decision", "arm").distinct(), ["method", "decision"])
     return groups, moved.select("method", "decision", "arm", "owner", "owner_arm").distinct()
+
+
+def _hang(rows: list[tuple]) -> list[tuple]:
+    """(decision, owner, arm): the owner's arm is that by which the last decision below it hangs on it.
+
+    A decision of several parents ends the way up; on a way that goes in a circle nothing hangs.
+    """
+    up: dict = {}
+    out = []
+    for tag, decision, above, arm in rows:
+        if tag == 0:
+            up.setdefault(decision, set()).add((above, arm))
+            continue
+        found, seen, node = [], set(), decision
+        while node not in seen:
+            seen.add(node)
+            found += [(decision, above, a) for parent, a in up.get(node, ()) if parent == above]
+            parents = {parent for parent, _ in up.get(node, ())}
+            if len(parents) != 1:
+                out += found
+                break
+            node = parents.pop()
+    return out

@@ -3,6 +3,7 @@
 import random
 
 from factweave.operators import facts, guards, topology, values
+from factweave.plans import registry
 from tests.test_operators import got
 
 GUARD = "method long, ordinal long, symbol string, operator string, constant int, low int, high int, terminates boolean"
@@ -104,6 +105,30 @@ def test_groups_are_taken_whole_or_left(spark):
     assert got(moved, "method", "decision", "arm", "owner", "owner_arm") == [("whole", d, arm, 1, True) for d in (2, 3) for arm in (False, True)]
 
 
+def test_groups_without_rounds(spark):
+    """A chain of 40 below the owner, whose last link's arm counts; circles and two parents end the way up; null keys are no group."""
+    big = 2**60
+    frame = lambda rows, schema: spark.createDataFrame(rows, f"method string, {schema}")
+    tree = [("long", big, None, None), ("long", big + 1, big, True), *(("long", big + k, big + k - 1, False) for k in range(2, 41))]
+    tree += [("ring", 1, None, None), ("ring", 2, 3, True), ("ring", 3, 2, True), ("two", 1, None, None), ("two", 2, 1, True), ("two", 3, 2, True), ("two", 3, 4, True)]
+    wording = [("long", big, 9, "Owner"), ("long", big + 40, 9, "Subordinate"), ("ring", 1, 9, "Owner"), ("ring", 3, 9, "Subordinate"), ("two", 1, 9, "Owner"), ("two", 3, 9, "Subordinate")]
+    wording += [(None, 1, 9, "Owner"), (None, 2, 9, "Subordinate"), ("null", 1, None, "Owner"), ("null", 2, None, "Subordinate"), ("lost", 1, 9, "Owner"), ("lost", None, 9, "Subordinate")]
+    ends = [(m, d, arm, "Rejoins") for m, d, _, _ in wording for arm in (True, False)]
+    groups, moved = topology.predicate_groups(frame(tree, "decision long, parent long, parent_arm boolean"), frame(wording, "decision long, predicate long, role string"), frame(ends, "decision long, arm boolean, terminal string"), frame([(m, d) for m, d, _, _ in wording], "decision long"))
+    assert got(groups, "method", "owner", "valid") == [("long", big, True), ("lost", 1, False), ("ring", 1, False), ("two", 1, False)]
+    assert got(moved, "decision", "arm", "owner", "owner_arm") == [(big + 40, arm, big, True) for arm in (False, True)]
+
+
+def test_groups_take_few_jobs(spark):
+    """Trees and ways up are told within methods: no rounds of jobs."""
+    spark.sparkContext.setJobGroup("groups", "groups")
+    try:
+        registry.QUERIES["predicate_groups"](spark, "/root/testdata/sf0.001").collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("groups")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_messages_stand_in_the_deepest_fragment(spark):
     """Decision 1 holds 2 under its true arm; each other method spoils something; a message under no fragment is withheld."""
     nested = {(1, True): {1, 2, 3}, (1, False): {4}, (2, True): {1}, (2, False): {2}}

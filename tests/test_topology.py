@@ -106,6 +106,17 @@ def test_no_rows(spark):
     assert joins.minimal_supersets(spark.createDataFrame([], "g int, m int"), "g", "m").count() == 0
 
 
+def test_a_tree_of_fragments_is_told_in_one_walk(spark):
+    """Ids beyond 2**53, nulls among nodes, an arm that two decisions share; no job runs before the result is asked for."""
+    big = 2**60
+    rows = [("m", big + d, p, n) for d, arms in {1: {True: [1, 2, None], False: [3]}, 2: {True: [1], False: [None]}, 3: {True: [4, 5]}, 4: {True: [4], False: [5]}, 5: {True: [6, 7]}, 6: {True: [6, 7], False: [8]}, 7: {True: [6]}}.items() for p, held in arms.items() for n in held]
+    rows += [(None, 1, True, 1), ("m", None, True, 1)]
+    found = topology.fragments(spark.createDataFrame(rows, "method string, decision long, polarity boolean, node long"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+    assert got(found, "decision", "parent", "parent_arm", "placement") == sorted([(big + 1, None, None, "Top"), (big + 2, big + 1, True, "Nested"), (big + 3, None, None, "Hoisted"), (big + 4, None, None, "Hoisted"), (big + 5, None, None, "Top"), (big + 6, None, None, "Top"), (big + 7, None, None, "Top")], key=repr)
+
+
 def test_prune_takes_edges_and_memberships_along(spark):
     nodes = spark.createDataFrame([("m", 1), ("m", 2), ("n", 1)], "method string, node int")
     edges = spark.createDataFrame([("m", 1, 2), ("n", 1, 1)], "method string, source int, target int")
