@@ -29,12 +29,12 @@ def paired(arms: DataFrame, key: list[str], id_column: str) -> DataFrame:
 def marks(sets: DataFrame, group: list[str], member: list[str]) -> DataFrame:
     """(*group, size, hash1, hash2) of each group's set of members, of which sets has no repeats: equal sets share all three.
 
-    The hashes are sums of two 64-bit hashes of the members, so sets stay rows and no group is ever gathered.
+    The hashes are two 64-bit hashes of the members, joined by exclusive or, so sets stay rows and no group is ever gathered.
     """
     # Nulls are hashed as flags, as xxhash64 passes over them.
     parts = [x for c in member for x in (F.col(c).isNull(), F.col(c))]
-    sums = [F.sum(F.xxhash64(F.lit(k), *parts).cast("decimal(38,0)")).alias(f"hash{k}") for k in (1, 2)]
-    return sets.groupBy(*group).agg(F.count("*").alias("size"), *sums)
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k), *parts)).alias(f"hash{k}") for k in (1, 2)]
+    return sets.groupBy(*group).agg(F.count("*").alias("size"), *hashes)
 
 
 MARK = ["size", "hash1", "hash2"]
@@ -129,11 +129,23 @@ def innermost(points: DataFrame, intervals: DataFrame, on: list[str], point: str
     return points.join(held, [*on, point], "left")
 
 
+# Rows of which a task may hold sets in memory, whatever the size of the input and the session's number of partitions.
+ROWS_A_TASK = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as leave each about ROWS_A_TASK: a plain shuffle deals out by cores, and tasks grow with the input."""
+    return rows.repartition(max(rows.count() // ROWS_A_TASK + 1, rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def agreement(rows: DataFrame, owner: str, anchor: str, value: list[str]) -> DataFrame:
-    """(owner, agrees): whether all anchors of an owner carry the same set of values."""
-    sets = marks(rows.select(owner, anchor, *value).distinct(), [owner, anchor], value)
-    whole = F.struct(*MARK)
-    return sets.groupBy(owner).agg((F.min(whole) == F.max(whole)).alias("agrees"))
+    """(owner, agrees): whether all anchors of an owner carry the same set of values.
+
+    An anchor's values are told apart and marked where they are dealt to; only one row an anchor goes on to its owner.
+    """
+    sets = marks(dealt(rows.select(owner, anchor, *value), owner, anchor).distinct(), [owner, anchor], value)
+    same = [F.min(c) == F.max(c) for c in MARK]
+    return sets.groupBy(owner).agg((same[0] & same[1] & same[2]).alias("agrees"))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from factweave.operators import generics
+from factweave.operators import generics, joins
 
 
 @pytest.mark.parametrize("bound, group", [(2_000_000, 10_000), (2_000_000, 2), (0, 10_000)])
@@ -18,3 +18,14 @@ def test_handlers_in_groups(spark, monkeypatch, bound, group):
     expected = [(o, k if k != 7 else None, k % 2 == 0) for o, q in ((1, True), (2, True), (3, False)) for k in range(20) if bool(k % 3) == q]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
     assert ("Generate inline" in found._jdf.queryExecution().executedPlan().toString()) == (bound > 0)
+
+
+def test_agreement_holds_bounded_rows_in_a_task(spark, monkeypatch):
+    """Equal and unequal sets, repeats, nulls among values, anchors and owners; tasks are as many as the rows ask for, not as the session says."""
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 3, raising=False)
+    sets = {"same": [{"x", "y"}, {"y", "x"}], "less": [{"x", "y"}, {"x"}], "other": [{"x"}, {"y"}], "one": [{"x", "y"}], "null": [{"x", None}, {"x", None}], "no null": [{"x", None}, {"x"}], None: [{"x"}, {"x"}]}
+    rows = [(o, k or None, v, 1) for o, held in sets.items() for k, values in enumerate(held) for v in values] * 2
+    found = joins.agreement(spark.createDataFrame(rows, "owner string, anchor long, kind string, status long"), "owner", "anchor", ["kind", "status"])
+    assert {r[0]: r[1] for r in found.collect()} == {o: o in ("same", "one", "null", None) for o in sets} and found.count() == len(sets)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [owner" in plan and f", {len(rows) // 3 + 1}" in plan
