@@ -2,7 +2,8 @@
 
 Rows: tree, node, parent (null at the root), place (among siblings), kind (constant, parameter, local, member, opaque, unary,
 binary), operator, type (of a leaf), constant (a constant's value or a symbol's name; null for the constant null). A tree is one condition
-of a program and so small: rows are dealt and sorted by tree and folded as they pass, which takes one shuffle whatever their depth. Trees
+of a program and so small: rows are numbered within their tree and folded as they pass, which takes one shuffle whatever their depth, or
+none where they lie together already. Trees
 deeper than MAX_DEPTH, without exactly one root or with nodes that the root does not reach (a cycle) are withheld with
 PRED003; those with an unknown kind, a wrong number of operands, or an operator that is not admitted for the types of its
 operands with PRED001.
@@ -12,9 +13,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 MAX_DEPTH = 64
 # Kinds of nodes with their number of operands, and how tightly operators bind.
@@ -32,7 +35,8 @@ class Malformed(Exception):
     """Carries the code for which a tree is withheld."""
 
 
-def result_type(operator: str | None, operands: list[tuple[str, bool]]) -> str:
+@lru_cache(maxsize=4096)
+def result_type(operator: str | None, operands: tuple[tuple[str, bool], ...]) -> str:
     """The type of an operation on operands (type, whether the constant null); Malformed if it is not admitted.
 
     Both operands have one type. And, or and not take booleans; numbers, booleans, characters, times and enumerations compare in
@@ -73,34 +77,32 @@ def leaf_kind(kind: str, type_: str | None, value: str | None) -> str:
 def _fold(nodes: DataFrame, make) -> DataFrame:
     """(tree, text, code); make(kind, operator, type, constant, operands, is_root) gives a node's (text, rank); operands are such pairs."""
 
-    columns = ["tree", "node", "parent", "kind", "operator", "type", "constant"]
+    columns = ["ordinal", "tree", "node", "parent", "kind", "operator", "type", "constant"]
 
     def whole(rows: list[tuple]) -> str:
         below: dict = {}
         for row in rows:
-            below.setdefault(row[2], []).append(row)
+            below.setdefault(row[3], []).append(row)
         seen = 0
 
         def text(row: tuple, depth: int):
             """(text, rank), and (type, whether null) of a node."""
             nonlocal seen
             seen += 1
-            _, node, _, kind, operator, type_, constant = row
-            kids = below.get(node, [])
-            if kind not in OPERANDS or len(kids) != OPERANDS[kind]:
+            _, _, node, _, kind, operator, type_, constant = row
+            kids = below.get(node, ())
+            if len(kids) != OPERANDS.get(kind):
                 raise Malformed("PRED001")
             if depth >= MAX_DEPTH:
                 raise Malformed("PRED003")
-            found = [text(k, depth + 1) for k in kids]
-            if found:
-                kind, null = "operation", False
-                type_ = result_type(operator, [t for _, t in found])
-            else:
+            if not kids:
                 kind = leaf_kind(kind, type_, constant)
-                null = kind == "null"
-            return make(kind, operator, type_, constant, [x for x, _ in found], depth == 0), (type_, null)
+                return make(kind, operator, type_, constant, (), depth == 0), (type_, kind == "null")
+            found = [text(k, depth + 1) for k in kids]
+            type_ = result_type(operator, tuple([t for _, t in found]))
+            return make("operation", operator, type_, constant, [x for x, _ in found], depth == 0), (type_, False)
 
-        roots = below.get(None, [])
+        roots = below.get(None, ())
         if len(roots) != 1:
             raise Malformed("PRED003")
         out = text(roots[0], 0)[0][0]
@@ -110,26 +112,31 @@ def _fold(nodes: DataFrame, make) -> DataFrame:
 
     def fold(rows: list[tuple]) -> tuple:
         try:
-            return rows[0][0], whole(rows), None
+            return rows[0][1], whole(rows), None
         except Malformed as e:
-            return rows[0][0], None, e.args[0]
+            return rows[0][1], None, e.args[0]
+
+    def told(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row[k] for row in done], t) for k, t in enumerate((kind, pa.string(), pa.string()))], ["tree", "text", "code"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the tree that the last batch may have cut
+        kind = None
         for batch in batches:
-            done = []
-            for row in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in columns)):
-                if held and held[0][0] != row[0]:
+            done, kind = [], batch.column("tree").type
+            # Whole numbers stay such beside nulls.
+            for row in zip(*(batch.column(c).to_pandas(integer_object_nulls=True).tolist() for c in columns)):
+                if row[0] == 1 and held:
                     done.append(fold(held))
                     held = []
                 held.append(row)
-            yield pd.DataFrame(done, columns=["tree", "text", "code"])
+            yield told(done, kind)
         if held:
-            yield pd.DataFrame([fold(held)], columns=["tree", "text", "code"])
+            yield told([fold(held)], kind)
 
     kind = nodes.schema["tree"].dataType.simpleString()
-    rows = nodes.select(*columns, "place").repartition("tree").sortWithinPartitions("tree", "place", "node").select(*columns)
-    return rows.mapInPandas(run, f"tree {kind}, text string, code string")
+    rows = nodes.withColumn("ordinal", F.row_number().over(Window.partitionBy("tree").orderBy("parent", "place", "node")))
+    return rows.sortWithinPartitions("tree", "parent", "place", "node").select(*columns).mapInArrow(run, f"tree {kind}, text string, code string")
 
 
 def framed(text: str) -> str:

@@ -1,8 +1,9 @@
 """Queries on framework models and predicates, and their DuckDB counterparts."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import frameworks, predicates
+from ..operators import frameworks, joins, predicates
 from .bind import view, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -126,8 +127,24 @@ _OPERATORS = "SELECT *, count(*) OVER (PARTITION BY owner) AS n, CASE method_id
 
 
 def _trees(spark, d):
-    rows = spark.sql(_OPERATORS.replace("v_inv", "{v_inv}"), v_inv=view(spark, d, "v_inv"))
-    return spark.sql(_NODES.replace("//", "div").replace("VARCHAR", "STRING").replace("y AS", "{y} AS"), y=rows)
+    """The nodes of _NODES, without its join: a parent of two leaves answers them by its place, within their tree."""
+    rows = joins.dealt(view(spark, d, "v_inv").select("owner", "op_ord", "method_id", "target"), "owner")
+    rows = spark.sql(_OPERATORS.replace("v_inv", "{v_inv}"), v_inv=rows)
+    ask = lambda key, answers: F.struct(F.expr(key).alias("parent"), F.lit(answers).alias("answers"))
+    own, answer = ask("CASE WHEN op_ord > 0 THEN (op_ord - 1) div 2 END", False), ask("op_ord", True)
+    both = F.expr("op_ord * 4 + 3 >= n and op_ord * 2 + 2 < n")
+    rows = rows.select(F.col("owner").alias("tree"), F.col("op_ord").alias("node"), F.col("op_ord").alias("place"), "n", "target", "operator", F.inline(F.when(both, F.array(own, answer)).otherwise(F.array(own))))
+    # Siblings and the answer to them, in the order in which trees are folded.
+    siblings = Window.partitionBy("tree", "parent").orderBy("place", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    above = F.max(F.when(F.col("answers"), F.col("operator"))).over(siblings)
+    rows = rows.withColumn("compares", F.coalesce(above.isin("==", "<="), F.lit(False)) & F.col("tree").isNotNull()).where("not answers")
+    return rows.selectExpr(
+        "tree", "node", "parent", "place",
+        "CASE WHEN node * 2 + 2 < n THEN 'binary' WHEN node * 2 + 1 < n THEN 'unary' WHEN target % 3 = 0 THEN 'local' ELSE 'constant' END AS kind",
+        "CASE WHEN node * 2 + 2 < n THEN operator WHEN node * 2 + 1 < n THEN '!' END AS operator",
+        "CASE WHEN target % 60 = 7 THEN 'System.String' WHEN compares THEN 'System.Int32' ELSE 'System.Boolean' END AS type",
+        "CASE WHEN target % 3 = 0 THEN 'local' || CAST(target AS STRING) WHEN compares THEN CAST(target AS STRING) WHEN target % 2 = 0 THEN 'True' ELSE 'False' END AS constant",
+    )
 
 
 def _fold_sql(leaf: str, unary: str, binary: str) -> str:

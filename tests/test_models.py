@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import frameworks, predicates, scenario
+from factweave.plans import registry
 from tests.test_operators import got
 
 
@@ -100,3 +101,18 @@ def test_cardinality(spark):
     rows = spark.createDataFrame(uses, "callback string, kind string, in_loop boolean, in_region boolean, conditional boolean, on_every_path boolean")
     assert [c for _, c in got(frameworks.callback_cardinality(rows))] == ["Unbounded", "ExactlyOnce", "ZeroOrOne", "RepeatedOrUnknown", "Unknown", "Unbounded", "Unknown"]
     assert rows.where(F.col("kind") == "read").count() == 1
+
+
+def test_trees_are_dealt_once_and_ids_stay_whole(spark):
+    """Ids beyond 2**53 beside the root's null; trees in any order of rows; a null tree is one too."""
+    big = 2**60
+    rows = [(t, big + k, p if p is None else big + p, k, *r) for t in (big, big + 1, None) for k, p, *r in [(0, None, "binary", "&&", None, None), (1, 0, "unary", "!", None, None), (2, 0, "local", None, "System.Boolean", "b"), (3, 1, "local", None, "System.Boolean", "a")]]
+    nodes = spark.createDataFrame(rows[::-1], "tree long, node long, parent long, place long, kind string, operator string, type string, constant string")
+    assert got(predicates.readable(nodes)) == sorted([(t, "!a && b", None) for t in (big, big + 1, None)], key=repr)
+    assert predicates.readable(nodes.repartition("tree"))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_parents_answer_without_a_join(spark):
+    for name in ("predicate_text", "predicate_canonical"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Repartition") == 1
