@@ -22,6 +22,8 @@ STOPS = {
     "NodeBudget": "SC-DIRECT-NODE-BUDGET", "Cycle": "SC-DIRECT-CYCLE", "Depth": "SC-DIRECT-DEPTH", "BodyUnavailable": "SC-DIRECT-BODY-UNAVAILABLE",
     "SourceUnavailable": "SC-DIRECT-SOURCE-UNAVAILABLE", "NoFlow": "SC-DIRECT-NO-FLOW", "AmbiguousFlow": "SC-DIRECT-AMBIGUOUS-FLOW", "Guarded": "SC-DIRECT-GUARDED",
 }
+#: Sites of service calls that a broadcast may hold.
+BROADCAST_SITES = 1_000_000
 DISPATCHES = {"Ambiguous": "SC-DISPATCH-AMBIGUOUS", "OpenGeneric": "SC-DISPATCH-OPEN-GENERIC"}
 ACTIONS = {"Configured": "configured method", "Minimal": "minimal API handler", "Controller": "controller action"}
 
@@ -43,9 +45,10 @@ def resolve_services(actions: DataFrame, methods: DataFrame, bindings: DataFrame
     called = sites.groupBy(F.col("caller").alias("root"), F.col("declared_type").alias("service_type")).agg(F.count("*").alias("sites"), F.min("site").alias("site"), F.min("operation").alias("operation"), F.bool_and(F.coalesce("complete", F.lit(False))).alias("complete"))
     met = typed.join(bound, "constructor").join(called, ["root", "service_type"])
     fields = ("service_type", "implementations", "implementation", "registered", "sites", "site", "operation", "complete")
-    first = met.groupBy("entry").agg(F.min_by(F.struct(*fields), "service_type").alias("s")).select("entry", "s.*")
-    # Only candidates of the sites that decide are counted: they are few of all.
+    first = calls.cut(met.groupBy("entry").agg(F.min_by(F.struct(*fields), "service_type").alias("s")).select("entry", "s.*"))
+    # Only candidates of the sites that decide are counted: they are few of all, which are not dealt for them up to a counted bound.
     sought = first.select("site", F.col("implementation").alias("declaring_type")).distinct()
+    sought = F.broadcast(sought) if first.count() <= BROADCAST_SITES else sought
     single = candidates.join(sought, ["site", "declaring_type"], "left_semi").groupBy("site", F.col("declaring_type").alias("implementation")).agg(F.count_distinct("candidate").alias("found"), F.min("candidate").alias("method"))
     out = typed.join(any_bound, "constructor", "left").join(first, "entry", "left").join(single, ["site", "implementation"], "left")
     found = F.coalesce("found", F.lit(0))
@@ -178,12 +181,9 @@ def _configured(f: Facts):
     gate = f.entries.where("kind = 'Configured'").join(f.methods.select(F.col("method_id").alias("root"), F.coalesce("has_body", F.lit(False)).alias("body"), "flows"), "root", "left")
     code = F.when(~F.coalesce("body", F.lit(False)), "SC002").when(F.col("flows") == 0, "SC-DIRECT-NO-FLOW").when(F.col("flows") > 1, "SC-DIRECT-AMBIGUOUS-FLOW")
     gate = calls.cut(gate.withColumn("code", code))
-    tree = calls.call_tree(gate.where("code is null").select("root"), f.calls, f.methods).where("depth > 0")
-    place = F.row_number().over(Window.partitionBy("caller").orderBy("owner", "op_ord", "callee")).cast("long")
-    sites = f.calls.select("caller", place.alias("place"), "operation", "op_ord")
-    tree = tree.join(sites, ["caller", "place"]).join(f.methods.select("method_id", "type_name", "name"), "method_id", "left")
-    tree = calls.cut(gate.where("code is null").select("entry", "root").join(tree, "root"))  # read for nodes, edges and stops
-    steps = tree.where("step")
+    tree = calls.call_tree(gate.where("code is null").select("entry", "root"), f.calls, f.methods, carried=("operation", "op_ord"))
+    tree = calls.kept(tree.where("depth > 0").drop("caller", "place", "depth"))  # read for nodes, edges and stops
+    steps = tree.where("step").join(f.methods.select("method_id", "type_name", "name"), "method_id", "left")
     action, own = ("Action", _text("action:", "root")), ("MethodCall", _text("method-call:", "path"))
     above = (F.when(F.col("up") == "", "Action").otherwise("MethodCall"), F.when(F.col("up") == "", action[1]).otherwise(_text("method-call:", "up")))
     nodes = _node(steps, *own, method=F.col("method_id"), operation=F.col("operation"), detail=_text("calls ", F.coalesce(F.concat_ws(".", "type_name", "name"), F.lit("?"))), ordinal=F.col("op_ord"))
