@@ -172,7 +172,7 @@ def prune_types(candidates: DataFrame, ancestors: DataFrame, roots: DataFrame, c
     return candidates.join(up.select(F.col("node").alias("type")), "type", "left_semi")
 
 
-def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int = 2, budget: int = 64, carried: tuple[str, ...] = ()) -> DataFrame:
+def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int = 2, budget: int = 64, carried: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """Call trees of roots(root) over admitted calls(caller, callee, owner, op_ord), in pre-order, with the reason why a node stops.
 
     Children follow in the order of (owner, op_ord). The first reason that holds stops a callee: BodyUnavailable, SourceUnavailable
@@ -180,7 +180,8 @@ def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int
     last level, if it calls on). calls may also tell guarded, methods(method_id, has_body) loaded and flows; else false, true and 1.
     A call is no step of the tree, only a mark where it ends, if it is guarded and not the root's own (Guarded), or if `budget` steps
     (the root not among them) come before it (NodeBudget); nothing follows below it. More columns of roots are told with each node of
-    their tree; roots that only differ in these have a tree each.
+    their tree; roots that only differ in these have a tree each. few: roots are a part of the methods, so callees are looked up where
+    they stand in a tree, not for all calls, and the levels above the last are kept.
     Returns root, path (places joined by dots), up (the path above), depth, caller, place (of the call in its caller, from 1), method_id,
     stop (null: complete or expanded), step (false for the root and marks), and the columns of calls named in carried (null for the root).
     """
@@ -190,9 +191,11 @@ def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int
     told = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in methods.columns else F.lit(default)
     reason = F.when(~F.coalesce("has_body", F.lit(False)), "BodyUnavailable").when(~told("loaded", True), "SourceUnavailable").when(told("flows", 1) == 0, "NoFlow").when(told("flows", 1) > 1, "AmbiguousFlow")
     bodies = methods.select(F.col("method_id").alias("callee"), reason.alias("reason"), F.lit(True).alias("known")).join(calls_on, "callee", "left")
-    # Of a call how many of its caller's up to it are steps below the root. Calls are dealt by their caller only: their callee is looked up where they stand in a tree.
+    # Of a call how many of its caller's up to it are steps below the root.
     steps = calls.select("caller", "callee", "owner", "op_ord", guarded.alias("guarded"), *[c for c in carried if c not in ("owner", "op_ord")]).withColumn("place", F.row_number().over(order))
     steps = steps.withColumn("among", F.count(F.when(~F.col("guarded"), 1)).over(Window.partitionBy("caller").orderBy("place")))
+    if not few:
+        steps = steps.join(bodies, "callee", "left")
     nothing = [F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in carried]
     own = [c for c in roots.columns if c != "root"]
     level = roots.select("root", *own, F.col("root").alias("method_id"), F.array("root").alias("trail"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("stop"), *nothing, F.lit(0).cast("long").alias("below"))
@@ -201,7 +204,8 @@ def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int
         reason = F.when(F.col("known"), F.col("reason")).otherwise("BodyUnavailable")
         stop = F.when(F.col("guarded") & F.lit(k > 1), "Guarded").otherwise(F.coalesce(reason, F.when(F.array_contains("trail", F.col("callee")), "Cycle")))
         stop = F.coalesce(stop, F.when(F.lit(k == depth) & F.col("below").isNotNull(), "Depth"))
-        made = open_.drop("below", *carried).join(steps, F.col("method_id") == F.col("caller")).join(bodies, "callee", "left")
+        made = open_.drop("below", *carried).join(steps, F.col("method_id") == F.col("caller"))
+        made = made.join(bodies, "callee", "left") if few else made
         return made.select("root", *own, F.col("callee").alias("method_id"), F.concat("trail", F.array("callee")).alias("trail"), F.concat("places", F.array("place")).alias("places"), F.lit(k).alias("depth"), stop.alias("stop"), *carried, *more)
 
     # The levels above the last. A call behind `budget` others of its caller cannot be a step, so nothing below it is looked up.
@@ -218,7 +222,7 @@ def call_tree(roots: DataFrame, calls: DataFrame, methods: DataFrame, depth: int
     up = F.coalesce(*[F.when(F.col("depth") == k + 1, F.last(F.when(F.col("depth") == k, F.col("rank")), ignorenulls=True).over(before)) for k in range(depth - 1)], F.lit(0))
     ranked = ranked.withColumn("up", up).where(F.col("up") <= budget).drop("below")
     if depth > 0:
-        ranked = kept(ranked)  # read for its rows and for the last level
+        ranked = kept(ranked) if few else ranked  # read for its rows and for the last level
         # Only what the budget leaves open is looked up at the last level, whose steps need no order of a whole tree.
         open_ = ranked.where(F.col("stop").isNull() & (F.col("depth") == depth - 1) & (F.col("rank") <= budget) & again)
         up_to = F.col("place").cast("long") if depth == 1 else F.col("among")

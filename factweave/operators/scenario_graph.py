@@ -181,7 +181,7 @@ def _configured(f: Facts):
     gate = f.entries.where("kind = 'Configured'").join(f.methods.select(F.col("method_id").alias("root"), F.coalesce("has_body", F.lit(False)).alias("body"), "flows"), "root", "left")
     code = F.when(~F.coalesce("body", F.lit(False)), "SC002").when(F.col("flows") == 0, "SC-DIRECT-NO-FLOW").when(F.col("flows") > 1, "SC-DIRECT-AMBIGUOUS-FLOW")
     gate = calls.cut(gate.withColumn("code", code))
-    tree = calls.call_tree(gate.where("code is null").select("entry", "root"), f.calls, f.methods, carried=("operation", "op_ord"))
+    tree = calls.call_tree(gate.where("code is null").select("entry", "root"), f.calls, f.methods, carried=("operation", "op_ord"), few=True)
     tree = calls.kept(tree.where("depth > 0").drop("caller", "place", "depth"))  # read for nodes, edges and stops
     steps = tree.where("step").join(f.methods.select("method_id", "type_name", "name"), "method_id", "left")
     action, own = ("Action", _text("action:", "root")), ("MethodCall", _text("method-call:", "path"))

@@ -39,13 +39,14 @@ def test_calls_are_kept_with_invocations(spark):
     assert shuffled() - before < 1.1 * rows
 
 
-def test_entries_of_one_root_have_a_tree_each(spark):
+@pytest.mark.parametrize("few", [False, True])
+def test_entries_of_one_root_have_a_tree_each(spark, few):
     """What a call carries comes with its place in the tree; levels above the last are made once."""
     roots = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "root long, entry string")
     edges = spark.createDataFrame([(1, 2, 0, 0, 70), (2, 3, 5, 1, 71), (3, 9, 1, 0, 72)] + [(1, 3, 1, k, 100 + k) for k in range(63)], "caller long, callee long, owner long, op_ord long, operation long")
     methods = spark.createDataFrame([(k, True) for k in (1, 2, 3)], "method_id long, has_body boolean")
-    tree = calls.call_tree(roots, edges, methods, carried=("operation", "op_ord"))
-    assert sum("kept-" in f for f in tree.inputFiles()) > 0
+    tree = calls.call_tree(roots, edges, methods, carried=("operation", "op_ord"), few=few)
+    assert any("kept-" in f for f in tree.inputFiles()) == few
     rows = [tuple(r) for r in tree.select("entry", "root", "path", "stop", "step", "operation", "op_ord").collect()]
     of = lambda entry: sorted((r[1:] for r in rows if r[0] == entry), key=repr)
     assert of("a") == of("b") and of("c") == sorted([(3, "", None, False, None, None), (3, "1", "BodyUnavailable", True, 72, 0)], key=repr)
